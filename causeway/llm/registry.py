@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from causeway.llm import chat, mixing, sharding
+from causeway.llm import chat, decontaminate, line_dedup, mixing, sharding, topk
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_exact_topk": topk.op3_exact_topk,
         "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
         "op9_format_chats": chat.op9_format_chats,
         "op10_mix_sources": mixing.op10_mix_sources,
@@ -14,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_format_chats": chat.OP9_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op3_exact_topk": topk.OP3_SQL, "op9_format_chats": chat.OP9_SQL}
