@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import chat, decontaminate, line_dedup, mixing, sharding, topk
+from causeway.llm import chat, decontaminate, line_dedup, mixing, near_dup, sharding, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_exact_topk": topk.op3_exact_topk,
+        "op6_near_duplicates": near_dup.op6_near_duplicates,
         "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
         "op9_format_chats": chat.op9_format_chats,
         "op10_mix_sources": mixing.op10_mix_sources,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op3_exact_topk": topk.OP3_SQL, "op9_format_chats": chat.OP9_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op3_exact_topk": topk.OP3_SQL, "op6_near_duplicates": near_dup.OP6_SQL, "op9_format_chats": chat.OP9_SQL}
