@@ -46,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
 BYTE = mix(FOLDED + U(0x5851F42D4C957F2D))
-POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
+POWER = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             starts = np.searchsorted(where, at)
             lens = np.diff(np.append(starts, len(where)))
             place = np.arange(len(where)) - np.repeat(starts, lens)
-            hashes.append(mix(np.add.reduceat(BYTE[part[where]] * POWER[place & 0xFFFF], starts) + lens.astype(U)))
+            hashes.append(mix(np.add.reduceat(BYTE[part[where]] * POWER[place & 0xFFF], starts) + lens.astype(U)))
             docs.append(np.searchsorted(offsets, at + a, side="right") - 1)
         a = b
     return np.concatenate(docs), np.concatenate(hashes)
