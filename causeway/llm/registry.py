@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import chat, decontaminate, line_dedup, mixing, near_dup, sharding, topk, toxicity
+from causeway.llm import chat, decontaminate, licenses, line_dedup, mixing, near_dup, secrets, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_line_dedup": line_dedup.op2_line_dedup,
         "op3_exact_topk": topk.op3_exact_topk,
+        "op4_secret_scan": secrets.op4_secret_scan,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_near_duplicates": near_dup.op6_near_duplicates,
         "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_format_chats": chat.op9_format_chats,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
