@@ -9,13 +9,15 @@ connected components of the links.
    shingles + registers * log(registers). All documents of a batch run together in numpy.
 2. Equal multisets are one node from here on. ``bands`` bands of ``rows`` registers give buckets; at similarity 0.8, 24 bands of 5 miss a pair
    with probability 7e-5.
-3. In a bucket every node is verified against its smallest node (a star: no more pairs than members), by exact multiset overlap of the texts.
-4. Links that a star can't see join different components through a bucket: such pairs are generated too, unless sizes or the triangle inequality of
-   the Jaccard distance (through the bucket's smallest node, whose distances are known) exclude them, and verified alike. Pairs within a
-   component can't change classes and are never made.
+3. In a bucket every node is verified against its leader, the node with the largest buckets (a star: no more pairs than members), by exact multiset
+   overlap of the texts.
+4. Links that a star can't see join different components through a bucket: such pairs are verified too, unless one of two exact bounds excludes them: the
+   triangle inequality of the Jaccard distance through the leader, or the overlap that sizes ask for against the shingles that a node shares with
+   any other node. Pairs within a component can't change classes and are never made.
 
 Scale: texts are scanned once for signatures and once more for candidates; buckets are (hash, node) rows, combined map-side, so a bucket with a third of all
-documents is no group in any task; skewed joins are left to AQE. Components shrink by large-star/small-star rounds with a checkpoint each.
+documents is no group in any task; skewed joins are left to AQE. Components shrink by large-star/small-star rounds,
+each written to the shared folder.
 
 Cases: texts without words (null, empty, punctuation) are classes of their own; one to four words are one shingle; rows of equal text are in one class whatever
 their ids; a class is named by its smallest id; an empty table gives an empty result; extra columns are ignored.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import shared_dir, small, stored, table
+from causeway.llm.common import small, stored, table
 
 U = np.uint64
 SPAN = 1 << 20
@@ -174,22 +176,37 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node of its component, for every node of edges (a, b). Large-star and small-star rounds until nothing changes."""
-    shared_dir(edges.sparkSession)
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct().checkpoint()
-    told = None
-    while True:
+    """(node, comp): one label a component, for every node of edges (a, b). Large-star and small-star rounds until only stars are left."""
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+
+    def stars() -> bool:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+    while not stars():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).filter("u > v").distinct().checkpoint()
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == told:
-            break
-        told = now
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small_ = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
+        e = stored(small_.filter("u > v").distinct(), "edges")
+    joined = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    return joined.unionByName(joined.select(F.col("comp").alias("node"), "comp").distinct())
+
+
+def own_mass(texts: DataFrame, size: int) -> DataFrame:
+    """(node, own): how many of a node's shingles, with their counts, no other node of texts (node, text) has. Nodes without any are left out."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 500):
+                batch = whole.slice(s, 500)
+                d, h, c = shingle_bags(*text_words(batch.column("text")), batch.num_rows, size)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["node", "h", "c"])
+
+    rows = texts.mapInArrow(spread, "node long, h long, c long")
+    once = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.sum("c").alias("c")).filter("node = last")
+    return once.groupBy("node").agg(F.sum("c").alias("own"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -215,34 +232,45 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     nodes = signed.groupBy("m1", "m2").agg(F.min(F.struct("id", "th")).alias("at"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     held = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    leaders = held.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    members = stored(held.join(leaders, "bucket").filter("node > leader"), "members")
-    sound = F.least("n", "ln") >= F.greatest("n", "ln") * threshold - 1e-9
-    sizes = nodes.select(F.col("node").alias("leader"), F.col("n").alias("ln"))
-    star = stored(members.select("leader", "node", "n").distinct().join(sizes, "leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), sound.alias("near")), "star")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "at"), "node").select("node", F.col("at.id").alias("want"), F.col("at.th").alias("th"))
+    met = held.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    held = stored(held.join(met, "bucket"), "buckets")
+    central = held.groupBy("node").agg(F.sum("members").alias("central"))
+    leaders = held.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", -F.col("node"))).alias("top")).select("bucket", (-F.col("top").getField("col2")).alias("leader"))
+    members = stored(held.join(leaders, "bucket").filter("node <> leader").drop("members"), "members")
+    star = stored(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        want = wanted.join(nodes.select("node", "at"), "node").select("node", F.col("at.id").alias("want"), F.col("at.th").alias("th"))
         want = small(stored(want, "wanted-texts"))
         return docs.join(want, (docs.th == want.th) & docs.id.eqNullSafe(want.want)).select("node", "text").dropDuplicates(["node"])
 
-    sims = stored(verified(star.select("a", "b"), texts_of(star), size), "star-similarities")
+    sims = stored(verified(star, texts_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct()), size), "star-similarities")
     links = sims.filter(F.col("sim") >= threshold - 1e-9)
     comps = stored(components(links), "components")
-    # pairs of different components in a bucket, of which neither is the smallest
+    # pairs of different components in a bucket, of which neither is the leader
     label = members.join(comps, "node", "left").join(comps.select(F.col("node").alias("leader"), F.col("comp").alias("lc")), "leader", "left")
     label = label.join(sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), "sim"), ["leader", "node"])
-    label = label.select("bucket", "node", "n", "sim", F.coalesce("comp", "node").alias("comp"), F.coalesce("lc", "leader").alias("lc"))
-    stray = label.filter("comp <> lc")
-    stray = stored(stray, "strays")
-    near = label.join(stray.select("bucket").distinct(), "bucket", "left_semi")
-    x, y = stray.alias("x"), near.alias("y")
-    can = (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - threshold + 1e-9) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9)
-    once = (F.col("y.comp") == F.col("y.lc")) | (F.col("x.node") < F.col("y.node"))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & can & once)
-    rest = stored(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "rest")
-    late = verified(rest, texts_of(rest), size).filter(F.col("sim") >= threshold - 1e-9)
-    comps = stored(components(stored(links.select("a", "b").unionByName(late.select("a", "b")), "links")), "components")
+    label = label.select("bucket", "node", "leader", "n", "sim", F.coalesce("comp", "node").alias("comp"), F.coalesce("lc", "leader").alias("lc"))
+    stray = stored(label.filter("comp <> lc"), "strays")
+    if not stray.isEmpty():
+        near = stored(label.join(stray.select("bucket").distinct(), "bucket", "left_semi"), "near-strays")
+        taking_part = near.select("node").unionByName(near.select(F.col("leader").alias("node"))).distinct()
+        own = stored(own_mass(texts_of(taking_part), size), "own-mass")
+        with_own = lambda df: df.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+        x, y = with_own(stray).alias("x"), with_own(near).alias("y")
+        close = F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - threshold + 1e-9
+        enough = F.least("x.shared", "y.shared", "x.n", "y.n") >= (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
+        once = (F.col("y.comp") == F.col("y.lc")) | (F.col("x.node") < F.col("y.node"))
+        rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & close & enough & once)
+        rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb"))
+        rest = stored(rest.distinct(), "rest")
+        late = verified(rest.select("a", "b"), texts_of(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()), size).filter(F.col("sim") >= threshold - 1e-9)
+        late = stored(late.join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "late-links")
+        if not late.isEmpty():
+            merged = components(late).withColumnRenamed("comp", "final")
+            alone = late.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("comp"))
+            every = comps.unionByName(alone.join(comps.select("node"), "node", "left_anti"))
+            comps = every.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("final", "comp").alias("comp"))
     named = nodes.select("node", "least", "m1", "m2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("least").alias("class_id"))
     named = named.join(names, "comp").select("m1", "m2", "class_id")
