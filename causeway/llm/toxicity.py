@@ -147,11 +147,25 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not 0 < fit_ones < fit_every:
         model.constant = (ones + 1) / (every + 2)
         return model
-    tokens = F.array_distinct(words(F.col("text")))
-    parts = [F.transform(tokens, lambda t: F.struct(F.lit(0).alias("level"), t.alias("token")))]
-    parts += [F.array_distinct(F.transform(tokens, lambda t: F.struct(F.lit(k).alias("level"), F.substring(t, 1, k).alias("token")))) for k in STEMS]  # noqa: B023
-    shares = rows.filter("part > 0").select("y", F.inline(F.concat(*parts))).groupBy("level", "token").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
-    shares = shares.filter(F.col("n") >= min_docs).toPandas()
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shares: dict[tuple[int, str], list[int]] = {}
+        told = lambda: pd.DataFrame([(k[0], k[1], v[0], v[1]) for k, v in shares.items()], columns=["level", "token", "y", "n"])
+        for pdf in frames:
+            for y, text in zip(pdf.y.tolist(), pdf.text):
+                own = set(TOKEN.findall(text.lower()))
+                for level in (0, *STEMS):
+                    for token in {t[:level] for t in own} if level else own:
+                        seen = shares.setdefault((level, token), [0, 0])
+                        seen[0] += y
+                        seen[1] += 1
+                if len(shares) > REMEMBERED:
+                    yield told()
+                    shares.clear()
+        yield told()
+
+    shares = rows.filter("part > 0").select("y", "text").mapInPandas(count, "level int, token string, y long, n long").groupBy("level", "token").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    shares = shares.filter((F.col("n") >= min_docs) & ((F.col("y") > 0) | (F.col("n") * 8 >= prior))).toPandas()  # rarer ones without a toxic document hardly move the prior
     model.shares = {(lv, t): (y, n) for lv, t, y, n in zip(shares.level.tolist(), shares.token.tolist(), shares.y.tolist(), shares.n.tolist())}
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
