@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -231,6 +232,23 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
     return rows.mapInPandas(judge, f"{schema}, score double, n_tokens int, passages array<struct<first_token:int,end_token:int,start:int,end:int,log_odds:double,e_value:double>>")
 
 
+def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs with a score below threshold, all columns as they are."""
+    if model.constant is not None:
+        return docs if model.constant < threshold else docs.limit(0)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**sent.value)
+        scores = model.scores()
+        for batch in batches:
+            mask = [model.probability(*model.evidence(*scan(scores, text or ""))[:2]) < threshold for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5))
 

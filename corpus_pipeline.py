@@ -10,38 +10,39 @@ from causeway.llm.decontaminate import find_contamination
 from causeway.llm.mixing import mix_sources
 from causeway.llm.near_dup import near_duplicates
 from causeway.llm.sharding import shard_by_curve
-from causeway.llm.toxicity import score_toxicity, trained
+from causeway.llm.toxicity import reject_toxic, trained
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model learns from labelled rows outside fold 0."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    scored = score_toxicity(docs.withColumn("whole", F.col("text")), trained(spark, sf_dir), keep=("whole", *rest))
-    return scored.filter("score < 0.5").withColumnRenamed("whole", "text").select(*docs.columns)
+    return reject_toxic(docs, trained(spark, sf_dir))
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate class; of rows with one id, one."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(small(stored(gone, "copies")), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again_id"))
+    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone__")).distinct()
+    kept = docs.join(small(stored(gone, "copies")), F.col("doc_id").eqNullSafe(F.col("gone__")), "left_anti")
+    again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again__"))
     again = stored(again, "repeated-ids")
     if again.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("again_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("again__"))
     return kept.join(small(again), same, "left_anti").unionByName(kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
-    hit = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"))
-    return docs.join(small(stored(hit, "contaminated")), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    hit = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("hit__"))
+    return docs.join(small(stored(hit, "contaminated")), F.col("doc_id").eqNullSafe(F.col("hit__")), "left_anti")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    mixed = mix_sources(docs.select("doc_id", "text", "source")).filter("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    cols, key = docs.columns, "doc_id"
+    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that share an id are told apart by a number
+        docs, key = stored(docs.withColumn("row__", F.monotonically_increasing_id()), "numbered"), "row__"
+    mixed = mix_sources(docs.select(key, "text", "source"), id_col=key).filter("copies > 0").select(F.col(key).alias("mixed__"), F.col("copies").alias("copies__"))
+    return docs.join(mixed, F.col(key).eqNullSafe(F.col("mixed__"))).withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*cols)
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
