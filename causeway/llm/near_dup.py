@@ -11,9 +11,9 @@ connected components of the links.
    with probability 7e-5.
 3. In a bucket every node is verified against its leader, the node with the largest buckets (a star: no more pairs than members), by exact multiset
    overlap of the texts.
-4. Links that a star can't see join different components through a bucket: such pairs are verified too, unless one of two exact bounds excludes them: the
+4. Links that a star can't see join different components through a bucket: such pairs are verified too, unless one of three exact bounds excludes them: the
    triangle inequality of the Jaccard distance through the leader, or the overlap that sizes ask for against the shingles that a node shares with
-   any other node. Pairs within a component can't change classes and are never made.
+   any other node, or the shingles that bitmaps show to be missing. Pairs within a component can't change classes and are never made.
 
 Scale: texts are scanned once for signatures and once more for candidates; buckets are (hash, node) rows, combined map-side, so a bucket with a third of all
 documents is no group in any task; skewed joins are left to AQE. Components shrink by large-star/small-star rounds,
@@ -26,16 +26,19 @@ their ids; a class is named by its smallest id; an empty table gives an empty re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.common import small, stored, table
 
 U = np.uint64
 SPAN = 1 << 20
+#: Longs of a bitmap, 64 shingles each.
+LONGS = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -209,6 +212,32 @@ def own_mass(texts: DataFrame, size: int) -> DataFrame:
     return once.groupBy("node").agg(F.sum("c").alias("own"))
 
 
+def bitmaps(texts: DataFrame, size: int) -> DataFrame:
+    """(node, b0, b1, ...): the bits that a node's shingles (each occurrence one of its own) set. texts: node, text.
+
+    A bit set in x and not in y is a shingle of x that y lacks, so x and y share at most n(x) - |x & ~y| shingles.
+    """
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 500):
+                batch = whole.slice(s, 500)
+                d, h, c = shingle_bags(*text_words(batch.column("text")), batch.num_rows, size)
+                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                bit = (mix(np.repeat(h, c) + nth.astype(U) * U(0xD6E8FEB86659FD93)) % U(64 * LONGS)).astype(np.int64)
+                drawn = np.zeros((batch.num_rows, 64 * LONGS), np.uint8)
+                drawn[np.repeat(d, c), bit] = 1
+                longs = np.packbits(drawn, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(LONGS)]], ["node", *[f"b{i}" for i in range(LONGS)]])
+
+    return texts.mapInArrow(draw, ", ".join(["node long", *[f"b{i} long" for i in range(LONGS)]]))
+
+
+def lacking(x: str, y: str) -> Column:
+    """How many shingles of x, at least, y lacks."""
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in range(LONGS)])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b, sim) of stored pairs (a, b). texts: node, text."""
 
@@ -256,10 +285,17 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
         near = stored(label.join(stray.select("bucket").distinct(), "bucket", "left_semi"), "near-strays")
         taking_part = near.select("node").unionByName(near.select(F.col("leader").alias("node"))).distinct()
         own = stored(own_mass(texts_of(taking_part), size), "own-mass")
-        with_own = lambda df: df.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
-        x, y = with_own(stray).alias("x"), with_own(near).alias("y")
+        bits = stored(bitmaps(texts_of(taking_part), size), "bitmaps")
+
+        def able(df: DataFrame) -> DataFrame:
+            """With bitmaps; without the nodes that can't have a partner, as they share too few shingles with all others."""
+            df = df.join(own, "node", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+            return df.filter(F.col("shared") >= threshold * F.col("n") - 1e-9).join(bits, "node")
+
+        x, y = able(stray).alias("x"), able(near).alias("y")
         close = F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - threshold + 1e-9
-        enough = F.least("x.shared", "y.shared", "x.n", "y.n") >= (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
+        asked = (F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9
+        enough = (F.least("x.shared", "y.shared", "x.n", "y.n") >= asked) & (F.col("x.n") - lacking("x", "y") >= asked) & (F.col("y.n") - lacking("y", "x") >= asked)
         once = (F.col("y.comp") == F.col("y.lc")) | (F.col("x.node") < F.col("y.node"))
         rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & close & enough & once)
         rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb"))
