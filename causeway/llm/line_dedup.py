@@ -32,6 +32,13 @@ BLANKS = b" \t\n\x0b\x0c\r"
 BLOCK = 1 << 19
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: lines and keys of few texts at a time are Python objects in a worker."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)
+
+
 def line_key(line: bytes, min_chars: int) -> bytes | None:
     """The key of a line, None if it is too short to count."""
     key = line.strip(BLANKS)
@@ -68,7 +75,7 @@ def twice_seen(docs: DataFrame, lines: int, min_chars: int, bits_per_line: int,
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 found += {xxhash.xxh3_64_intdigest(key) for line in text.split(b"\n") if (key := line_key(line, min_chars))}
@@ -120,31 +127,37 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, id_col: str = "doc_id",
         return [{key for key in own if next(flags)} for own in keys]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = suspects(batch.column("text").cast(pa.binary()).to_pylist())
             pairs = [(k, key) for k, own in zip(batch.column("k").to_pylist(), found) for key in own]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], ["k", "key"])
 
-    def only(suspected: bool):
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = suspects(batch.column("text").cast(pa.binary()).to_pylist())
-                yield batch.filter(pa.array([bool(own) == suspected for own in found], pa.bool_()))
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = suspects(batch.column("text").cast(pa.binary()).to_pylist())
+            yield batch.filter(pa.array([bool(own) for own in found], pa.bool_()))
+
+    def told(ids: pa.Array, out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], ["id", "n_lines", "n_dropped", "kept"])
 
-        return part
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            clear = [not own for own in suspects(texts)]
+            yield told(batch.column("id").filter(pa.array(clear, pa.bool_())), [(text.count(b"\n") + 1, 0, text) for text, ok in zip(texts, clear) if ok])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text, lost in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lost").to_pylist()):
                 own = text.split(b"\n")
                 lost = set(lost or ())
                 kept = [x for x in own if (key := line_key(x, min_chars)) is None or xxhash.xxh3_128_digest(key) not in lost] if lost else own
                 out.append((len(own), len(own) - len(kept), b"\n".join(kept)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], ["id", "n_lines", "n_dropped", "kept"])
+            yield told(batch.column("id"), out)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2000):
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([xxhash.xxh3_128_digest(x) for x in batch.column("key").to_pylist()], pa.binary())], ["k", "digest"])
 
     found = docs.select("k", "text").mapInArrow(rows, "k long, key binary")
@@ -152,8 +165,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, id_col: str = "doc_id",
     lost = found.join(repeats, "key").filter("k > first").select("k", "key").mapInArrow(digest, "k long, digest binary")
     lost = lost.groupBy("k").agg(F.collect_list("digest").alias("lost"))
     schema = "id long, n_lines long, n_dropped long, kept string"
-    untouched = docs.mapInArrow(only(False), docs.schema).withColumn("lost", F.lit(None).cast("array<binary>")).mapInArrow(drop, schema)
-    cut = docs.mapInArrow(only(True), docs.schema).join(lost, "k", "left").mapInArrow(drop, schema)
+    untouched = docs.select("id", "text").mapInArrow(whole, schema)
+    cut = docs.mapInArrow(suspected, docs.schema).join(lost, "k", "left").mapInArrow(drop, schema)
     return untouched.unionByName(cut).withColumnRenamed("id", id_col)
 
 
