@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import table, words
+from causeway.llm.common import hashed_sample, small, stored, table, words
 
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 ANNOUNCE = r"(?i)passw|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|bearer|private"
@@ -78,7 +78,7 @@ def scan_secrets(docs: DataFrame, findings: DataFrame, *, max_rows: int = 20_000
     """(id, nth, candidate, left, score, secret) of every candidate in docs. findings: path, left, candidate, right, label (0 or 1), the labelled findings."""
     trigrams = common_trigrams(docs, text_col)
     labelled = findings.select("path", "left", "candidate", "right", F.col("label").cast("double").alias("label")).filter("label in (0, 1) and candidate is not null")
-    labelled = labelled.orderBy(F.xxhash64("candidate", "left"), "candidate").limit(max_rows)
+    labelled = stored(hashed_sample(labelled, ["candidate", "left"], max_rows), "labelled-findings")
     kinds = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     rows = with_features(candidates(docs, id_col, text_col, path_col), trigrams)
     if len(kinds) < 2:
@@ -91,8 +91,9 @@ def scan_secrets(docs: DataFrame, findings: DataFrame, *, max_rows: int = 20_000
 
 
 def labelled_by_issuer(docs: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Findings labelled by issuers' published formats and by announced hexadecimal values, from a bounded sample of documents (ids in hash order)."""
-    found = candidates(docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "text", "source").limit(max_rows))
+    """Findings labelled by issuers' published formats and by announced hexadecimal values, from the documents of at most max_rows ids (in hash order)."""
+    ids = stored(hashed_sample(docs.select("doc_id"), ["doc_id"], max_rows), "sampled-ids")
+    found = candidates(docs.select("doc_id", "text", "source").join(small(ids), "doc_id", "left_semi"))
     issuer = F.col("candidate").rlike(r"^(AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,}|xox[abp]-[0-9A-Za-z\-]{10,}|AIza[0-9A-Za-z_\-]{30,})")
     hexed = F.col("candidate").rlike("^[0-9a-fA-F]{16,}$") & F.col("left").rlike(r"(?i)(password|secret|token|key)\s*[=:]\s*[\"']?$")
     return found.withColumn("label", (issuer | hexed).cast("int"))
