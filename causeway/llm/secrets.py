@@ -96,7 +96,7 @@ def labelled_by_issuer(docs: DataFrame, max_rows: int = 20_000) -> DataFrame:
     found = candidates(docs.select("doc_id", "text", "source").join(small(ids), "doc_id", "left_semi"))
     issuer = F.col("candidate").rlike(r"^(AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,}|xox[abp]-[0-9A-Za-z\-]{10,}|AIza[0-9A-Za-z_\-]{30,})")
     hexed = F.col("candidate").rlike("^[0-9a-fA-F]{16,}$") & F.col("left").rlike(r"(?i)(password|secret|token|key)\s*[=:]\s*[\"']?$")
-    return found.withColumn("label", (issuer | hexed).cast("int"))
+    return stored(found.withColumn("label", (issuer | hexed).cast("int")), "issuers-findings")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
