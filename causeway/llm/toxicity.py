@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import table, words
+from causeway.llm.common import hashed_sample, table, words
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Lengths of the prefixes a word's prior backs off to, longest last.
@@ -138,7 +138,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 15_000, prior: float = 60.0, drift: float = 0.5, min_docs: int = 3, e_value: float = 0.05) -> Model:
     """Learns from at most max_rows labelled rows."""
     sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
-    sample = sample.orderBy(F.xxhash64("id"), "id", "y").limit(max_rows).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)))
+    sample = hashed_sample(sample, ["id"], max_rows).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
     counted = rows.groupBy("part").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
     ones, every = sum(r["y"] for r in counted), sum(r["n"] for r in counted)
