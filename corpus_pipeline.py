@@ -18,31 +18,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return reject_toxic(docs, trained(spark, sf_dir))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, made longer until docs has no such column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str, how: str = "left_anti") -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (one column, doc_id), or is (left_semi)."""
+    own = unused(docs, name)
+    return docs.join(small(ids.select(F.col("doc_id").alias(own))), F.col("doc_id").eqNullSafe(F.col(own)), how)
+
+
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate class; of rows with one id, one."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone__")).distinct()
-    kept = docs.join(small(stored(gone, "copies")), F.col("doc_id").eqNullSafe(F.col("gone__")), "left_anti")
-    again = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again__"))
-    again = stored(again, "repeated-ids")
+    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    kept = without(docs, stored(gone, "copies"), "gone")
+    again = stored(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
     if again.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("again__"))
-    return kept.join(small(again), same, "left_anti").unionByName(kept.join(small(again), same, "left_semi").dropDuplicates(["doc_id"]))
+    return without(kept, again, "again").unionByName(without(kept, again, "again", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
-    hit = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("hit__"))
-    return docs.join(small(stored(hit, "contaminated")), F.col("doc_id").eqNullSafe(F.col("hit__")), "left_anti")
+    hit = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id")
+    return without(docs, stored(hit, "contaminated"), "hit")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    cols, key = docs.columns, "doc_id"
+    cols, key, other, times, copy = docs.columns, "doc_id", unused(docs, "mixed"), unused(docs, "times"), unused(docs, "copy")
     if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that share an id are told apart by a number
-        docs, key = stored(docs.withColumn("row__", F.monotonically_increasing_id()), "numbered"), "row__"
-    mixed = mix_sources(docs.select(key, "text", "source"), id_col=key).filter("copies > 0").select(F.col(key).alias("mixed__"), F.col("copies").alias("copies__"))
-    return docs.join(mixed, F.col(key).eqNullSafe(F.col("mixed__"))).withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies__")))).select(*cols)
+        key = unused(docs, "row")
+        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    mixed = mix_sources(docs.select(F.col(key).alias("key"), "text", "source"), id_col="key").filter("copies > 0").select(F.col("key").alias(other), F.col("copies").alias(times))
+    return docs.join(mixed, F.col(key).eqNullSafe(F.col(other))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*cols)
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
