@@ -7,6 +7,9 @@ Training, on a bounded sample of labelled rows (``max_rows``, a documented bound
 * one third calibrates: the best segment of clean texts follows an extreme-value law with scale 1 / lambda and location ln(K n) / lambda for n tokens;
   lambda and K are fitted by quantiles, and a logistic curve over the extreme-value statistics gives the probability.
 
+A token counts in favour at most once in any AGAIN (16) tokens, in training, calibration and scoring alike: a word that a clean text repeats is no evidence each time,
+but uses further ahead, however many, take nothing from a passage, and a passage that comes again counts again.
+
 Scoring scans each whole text once: all maximal scoring segments in linear time (Ruzzo and Tompa's stack), each with its E-value K n exp(-lambda s); those of
 at most ``e_value`` are the toxic passages. A document's score is the calibrated probability given the sum statistic of its best
 segments and the number of its passages.
@@ -35,6 +38,8 @@ from causeway.llm.common import hashed_sample, table, words
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Lengths of the prefixes a word's prior backs off to, longest last.
 STEMS = (3, 4, 5, 6, 7, 8)
+#: Tokens from one place where a token counts in favour to the next: repeats in a phrase are no news, those in another passage are.
+AGAIN = 16
 #: Most tokens whose scores a worker remembers.
 REMEMBERED = 400_000
 
@@ -194,14 +199,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def scan(scores: TokenScores, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-    """Tokens and segments of a text. A token counts in favour once; repeats of it only cost the drift."""
+    """Tokens and segments of a text. A token counts in favour once in AGAIN tokens; a nearer repeat only costs the drift."""
     tokens = TOKEN.findall(text.lower())
     found = np.fromiter(map(scores.__getitem__, tokens), float, len(tokens))
-    met = set()
+    counted: dict[str, int] = {}  # where each token counted last
     for i in np.flatnonzero(found > 0).tolist():
-        if tokens[i] in met:
+        if i - counted.get(tokens[i], -AGAIN) < AGAIN:
             found[i] = -scores.drift
-        met.add(tokens[i])
+        else:
+            counted[tokens[i]] = i
     return len(tokens), segments(found)
 
 

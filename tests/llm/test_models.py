@@ -146,3 +146,17 @@ def test_run(spark, sf_dir):
     by = Counter(r.shard for r in out)
     assert out and set(by) <= set(range(8))
     assert all(sorted(r.slot for r in out if r.shard == s) == list(range(n)) for s, n in by.items())
+
+
+def test_toxic_passages_after_uses_of_their_words():
+    words = ["vilescum", "vilecur", "vilerat", "grubber", "grubling", "grubcur"]
+    scores = toxicity.TokenScores({}, 0.5, 60.0, 0.5)
+    scores.update(dict.fromkeys(words, 2.0))
+    model = toxicity.Model({}, 0.5, 60.0, 0.5, 0.05)
+    filler = ["an"] * 40
+    late = [x for w in words for x in (w, *filler)] + words
+    n, found = toxicity.scan(scores, " ".join(late))
+    assert [p[:3] for p in model.evidence(n, found)[2]] == [(len(late) - 6, len(late), 12.0)]
+    n, found = toxicity.scan(scores, " ".join(words + filler + words))
+    assert [p[:3] for p in model.evidence(n, found)[2]] == [(0, 6, 12.0), (46, 52, 12.0)]
+    assert all(s <= 2 for _, _, s in toxicity.scan(scores, "vilescum an an an " * 500)[1])  # one word again and again is no passage
