@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import small, stored, table
+from causeway.llm.common import small, stored, table, words
 from causeway.llm.decontaminate import find_contamination
 from causeway.llm.mixing import mix_sources
 from causeway.llm.near_dup import near_duplicates
@@ -25,34 +25,48 @@ def unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str, how: str = "left_anti") -> DataFrame:
-    """The rows of docs whose doc_id is not among ids (one column, doc_id), or is (left_semi)."""
+def told_apart(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the column that tells its rows apart: doc_id if no two rows share one (null included), else a number that is stored with them."""
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs, "doc_id"
+    key = unused(docs, "row")
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
+def without(docs: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows of docs whose key is not among keys (one column, of that name)."""
     own = unused(docs, name)
-    return docs.join(small(ids.select(F.col("doc_id").alias(own))), F.col("doc_id").eqNullSafe(F.col(own)), how)
+    return docs.join(small(keys.select(F.col(key).alias(own))), F.col(key).eqNullSafe(F.col(own)), "left_anti")
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class; of rows with one id, one."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = without(docs, stored(gone, "copies"), "gone")
-    again = stored(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return kept
-    return without(kept, again, "again").unionByName(without(kept, again, "again", "left_semi").dropDuplicates(["doc_id"]))
+    """The row with the smallest id of each near-duplicate class (null ids last); of wordless rows with one id and text, one."""
+    cols = docs.columns
+    docs, key = told_apart(docs)
+    classes = near_duplicates(docs.select(F.col(key).alias("key"), "text"), id_col="key")
+    if key == "doc_id":
+        gone = classes.filter(~F.col("key").eqNullSafe(F.col("class_id")))
+    else:
+        bare = (F.size(words(F.col("text"))) == 0) & F.col("doc_id").isNotNull()
+        rows = docs.select(F.col(key).alias("row"), "doc_id", F.when(bare, F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))).alias("bare"))
+        rows = stored(classes.join(rows, F.col("key") == F.col("row")).withColumn("class_id", F.when(F.col("bare").isNull(), F.col("class_id"))).select("key", "doc_id", "class_id", "bare"), "classes")
+        first = rows.groupBy("class_id", "bare").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("first"))
+        gone = rows.join(first, F.col("key") == F.col("first"), "left_anti")
+    return without(docs, stored(gone.select(F.col("key").alias(key)), "copies"), key, "gone").select(*cols)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
-    hit = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id")
-    return without(docs, stored(hit, "contaminated"), "hit")
+    cols = docs.columns
+    docs, key = told_apart(docs)
+    hit = find_contamination(docs.select(F.col(key).alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key").filter("n_hit > 0")
+    return without(docs, stored(hit.select(F.col("key").alias(key)), "contaminated"), key, "hit").select(*cols)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    cols, key, other, times, copy = docs.columns, "doc_id", unused(docs, "mixed"), unused(docs, "times"), unused(docs, "copy")
-    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():  # rows that share an id are told apart by a number
-        key = unused(docs, "row")
-        docs = stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    cols, other, times, copy = docs.columns, unused(docs, "mixed"), unused(docs, "times"), unused(docs, "copy")
+    docs, key = told_apart(docs)
     mixed = mix_sources(docs.select(F.col(key).alias("key"), "text", "source"), id_col="key").filter("copies > 0").select(F.col("key").alias(other), F.col("copies").alias(times))
     return docs.join(mixed, F.col(key).eqNullSafe(F.col(other))).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*cols)
 

@@ -160,3 +160,21 @@ def test_toxic_passages_after_uses_of_their_words():
     n, found = toxicity.scan(scores, " ".join(words + filler + words))
     assert [p[:3] for p in model.evidence(n, found)[2]] == [(0, 6, 12.0), (46, 52, 12.0)]
     assert all(s <= 2 for _, _, s in toxicity.scan(scores, "vilescum an an an " * 500)[1])  # one word again and again is no passage
+
+
+def test_stages_decide_by_row(spark, sf_dir):
+    rng = random.Random(3)
+    a, b, x, alone = (" ".join(prose(rng, 40)) for _ in range(4))
+
+    def kept(rows, stage=corpus_pipeline.keep_one_of_each_class):
+        out = stage(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA), sf_dir)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        return Counter((r.doc_id, r.text) for r in out.collect())
+
+    assert kept([(1, x), (3, x), (3, alone)]) == Counter([(1, x), (3, alone)])
+    assert kept([(1, b), (3, a), (3, b), (5, a)]) == Counter([(1, b), (3, a)])
+    assert kept([(1, x), (None, x), (None, alone), (None, a), (None, a)]) == Counter([(1, x), (None, alone), (None, a)])
+    assert kept([(1, x), (1, x), (2, ""), (2, ""), (None, ""), (None, None)]) == Counter([(1, x), (2, ""), (None, ""), (None, None)])
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 50").first().text
+    rows = [(3, item), (3, x), (None, item), (None, alone), (4, a)]
+    assert kept(rows, corpus_pipeline.drop_contaminated) == Counter([(3, x), (None, alone), (4, a)])
