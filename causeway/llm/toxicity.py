@@ -16,8 +16,8 @@ segments and the number of its passages.
 
 Scale: one map over the texts with a model bounded by the sample; no shuffle.
 
-Cases: null and empty texts have no token and get the score of no evidence; without labels of both kinds every score is the smoothed share of
-label 1; repeated rows are scored each; labels of null toxic, or for ids not in the corpus, are ignored; an empty table gives an empty result; extra columns are ignored.
+Cases: null and empty texts have no token and get the score of no evidence; without labels of both kinds among the rows that
+give token scores nothing was learnt: every score is the smoothed share of label 1, but at most NO_EVIDENCE (0.49), so nothing is predicted toxic, and reject_toxic keeps all rows; repeated rows are scored each; labels of null toxic, or for ids not in the corpus, are ignored; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ STEMS = (3, 4, 5, 6, 7, 8)
 AGAIN = 16
 #: Most tokens whose scores a worker remembers.
 REMEMBERED = 400_000
+#: The highest score where nothing was learnt.
+NO_EVIDENCE = 0.49
 
 
 class TokenScores(dict):
@@ -98,7 +100,7 @@ class Model:
     rate: float = 1.0  # lambda
     log_k: float = 0.0
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    constant: float | None = None  # the score of everything, if there is nothing to learn
+    constant: float | None = None  # the smoothed share of label 1, if there is nothing to learn
 
     def scores(self) -> TokenScores:
         return TokenScores(self.shares, self.base, self.prior, self.drift)
@@ -212,10 +214,13 @@ def scan(scores: TokenScores, text: str) -> tuple[int, list[tuple[int, int, floa
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, score, n_tokens, passages array<struct<first_token, end_token, start, end, log_odds, e_value>>) for every row; start and end are character offsets."""
+    """(id, *keep, score, n_tokens, passages array<struct<first_token, end_token, start, end, log_odds, e_value>>) for every row; start and end are character offsets.
+
+    If the model learnt nothing, every score is its constant, but at most NO_EVIDENCE.
+    """
     if model.constant is not None:
         none = F.array().cast("array<struct<first_token:int,end_token:int,start:int,end:int,log_odds:double,e_value:double>>")
-        return docs.select(id_col, *keep, F.lit(model.constant).alias("score"), F.size(words(F.col(text_col))).alias("n_tokens"), none.alias("passages"))
+        return docs.select(id_col, *keep, F.lit(min(model.constant, NO_EVIDENCE)).alias("score"), F.size(words(F.col(text_col))).alias("n_tokens"), none.alias("passages"))
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,9 +244,9 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 
 
 def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs with a score below threshold, all columns as they are."""
+    """The rows of docs with a score below threshold, all columns as they are; all rows if the model learnt nothing."""
     if model.constant is not None:
-        return docs if model.constant < threshold else docs.limit(0)
+        return docs
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     at = docs.columns.index(text_col)
 

@@ -162,6 +162,16 @@ def test_toxic_passages_after_uses_of_their_words():
     assert all(s <= 2 for _, _, s in toxicity.scan(scores, "vilescum an an an " * 500)[1])  # one word again and again is no passage
 
 
+def test_nothing_learnt_rejects_nothing(spark, sf_dir, labelled, monkeypatch):
+    docs, labels = labelled
+    elsewhere = spark.createDataFrame([(-1, 1), (-2, 0)], "doc_id long, toxic int")
+    inner = labels.filter(toxicity.fold(F.col("doc_id")) == 0)
+    for none in (labels.limit(0), elsewhere, inner, labels.filter("toxic = 1")):
+        monkeypatch.setattr(toxicity, "table", lambda s, d, name, none=none: docs if name == "documents" else none)
+        assert corpus_pipeline.drop_toxic(spark, docs, sf_dir).count() == docs.count()
+        assert toxicity.op5_toxicity(spark, sf_dir).filter("predicted = 1 or score >= 0.5").isEmpty()
+
+
 def test_stages_decide_by_row(spark, sf_dir):
     rng = random.Random(3)
     a, b, x, alone = (" ".join(prose(rng, 40)) for _ in range(4))
