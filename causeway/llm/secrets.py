@@ -20,30 +20,40 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import hashed_sample, small, stored, table, words
+from causeway.llm.common import fold, hashed_sample, small, stored, table
 
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 ANNOUNCE = r"(?i)passw|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|bearer|private"
 HARMLESS = r"(?i)\bsha\d*|hash|checksum|digest|uuid|commit|etag|md5|integrity|\bid\b"
 PLACEHOLDER = r"(?i)example|dummy|sample|changeme|fake|placeholder|xxxx|your[_-]|abcdef|123456"
 PLACE = r"(?i)test|example|sample|spec|fixture|mock|docs?/"
+#: What stands right in front of an announced value.
+ANNOUNCED = r"(?i)(passw(or)?d|passphrase|pwd|secret|token|key|credentials?)[\"']?\s*(:=|=>|[=:])\s*[\"']?$|\bbearer\s+$"
+ISSUED = (
+    r"^(A[KS]IA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{30,}|github_pat_[0-9A-Za-z_]{20,}|glpat-[0-9A-Za-z_\-]{16,}|sk-[0-9A-Za-z]{20,}|sk-(proj|ant|svcacct)-[0-9A-Za-z_\-]{20,}"
+    r"|[sr]k_(live|test)_[0-9A-Za-z]{16,}|xox[abp]-[0-9A-Za-z\-]{10,}|AIza[0-9A-Za-z_\-]{30,}|eyJ[0-9A-Za-z_\-]{13,})"
+)
+#: In front of the payload or the signature of a web token.
+WEB_TOKEN = r"\beyJ[0-9A-Za-z_\-]+\.([0-9A-Za-z_\-]+\.)?$"
+WORDS = r"[A-Za-z][a-z]{3,}|[A-Z]{5,}"
 FEATURES = ["length", "transitions", "digits", "capitals", "hex", "distinct", "coverage", "announced", "harmless", "placeholder", "assigned", "quoted", "place"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(id, path, nth, left, candidate, right): every candidate with up to 48 characters before and 24 after it."""
+    """(id, path, nth, left, candidate, right): every candidate with the up to 48 characters in front of it, other candidates included, and up to 24 behind it, as far as the next."""
     text = F.translate(F.col(text_col), "\u0001", " ")
     rows = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), text.alias("text")).filter(F.col("text").rlike(CANDIDATE))
     rows = rows.select("id", "path", F.split(F.regexp_replace("text", f"({CANDIDATE})", "\u0001$1\u0001"), "\u0001").alias("parts"))
-    near = F.transform(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)), lambda i: F.struct(((i + 1) / 2).cast("int").alias("nth"), F.right(F.get("parts", i - 1), F.lit(48)).alias("left"), F.get("parts", i).alias("candidate"), F.left(F.get("parts", i + 1), F.lit(24)).alias("right")))
+    # a candidate has 16 characters at least, so three with the gaps in front of them fill 48
+    left = lambda i: F.right(F.concat(*[F.coalesce(F.right(F.get("parts", i - k), F.lit(48)), F.lit("")) for k in range(6, 0, -1)]), F.lit(48))
+    near = F.transform(F.sequence(F.lit(1), F.size("parts") - 2, F.lit(2)), lambda i: F.struct(((i + 1) / 2).cast("int").alias("nth"), left(i).alias("left"), F.get("parts", i).alias("candidate"), F.left(F.get("parts", i + 1), F.lit(24)).alias("right")))
     return rows.select("id", "path", F.inline(near))
 
 
 def common_trigrams(docs: DataFrame, text_col: str = "text") -> list[str]:
     """Letter trigrams more frequent in the corpus's words than if all were equally frequent."""
-    own = docs.select(F.explode(words(F.col(text_col))).alias("word")).filter(F.length("word").between(3, 64))
-    own = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3)))).alias("g"))
-    counts = own.filter(F.col("g").rlike("^[a-z]{3}$")).groupBy("g").count().collect()  # at most 26**3 rows
+    own = docs.select(F.explode(F.regexp_extract_all(fold(F.col(text_col)), F.lit("(?=([a-z]{3}))"), F.lit(1))).alias("g"))
+    counts = own.groupBy("g").count().collect()  # at most 26**3 rows
     total = sum(r["count"] for r in counts)
     return sorted(r["g"] for r in counts if r["count"] * 26**3 >= total)
 
@@ -90,13 +100,24 @@ def scan_secrets(docs: DataFrame, findings: DataFrame, *, max_rows: int = 20_000
     return out.select(F.col("id").alias(id_col), "nth", "candidate", "left", "score", (F.col("score") >= 0.5).alias("secret"))
 
 
+def label(found: DataFrame) -> DataFrame:
+    """found (left, candidate, ...) and label: 1 for issuers' formats and announced values of any key alphabet, 0 for what is known to be none, null where neither can be told.
+
+    A value of a key alphabet is hexadecimal, or has a digit and is not three quarters words. None are: words without a digit, plain numbers, and values named as digests or ids, unless announced.
+    """
+    c, left = F.col("candidate"), F.coalesce(F.col("left"), F.lit(""))
+    wordy = F.length(F.regexp_replace(c, WORDS, "")) * 4 <= F.length(c)
+    hexed, digit, announced = c.rlike("^[0-9a-fA-F]{16,}$"), c.rlike("[0-9]"), left.rlike(ANNOUNCED)
+    secret = c.rlike(ISSUED) | left.rlike(WEB_TOKEN) | (announced & (hexed | (digit & ~wordy)) & ~c.rlike(PLACEHOLDER))
+    none = ~announced & ((wordy & ~digit) | c.rlike("^[0-9]+$") | (left.rlike(HARMLESS) & ~left.rlike(ANNOUNCE)))
+    return found.withColumn("label", F.when(secret, 1).when(none, 0))
+
+
 def labelled_by_issuer(docs: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """Findings labelled by issuers' published formats and by announced hexadecimal values, from the documents of at most max_rows ids (in hash order)."""
+    """The findings that label can tell, from the documents of at most max_rows ids (in hash order)."""
     ids = stored(hashed_sample(docs.select("doc_id"), ["doc_id"], max_rows), "sampled-ids")
     found = candidates(docs.select("doc_id", "text", "source").join(small(ids), "doc_id", "left_semi"))
-    issuer = F.col("candidate").rlike(r"^(AKIA[0-9A-Z]{12,}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{20,}|xox[abp]-[0-9A-Za-z\-]{10,}|AIza[0-9A-Za-z_\-]{30,})")
-    hexed = F.col("candidate").rlike("^[0-9a-fA-F]{16,}$") & F.col("left").rlike(r"(?i)(password|secret|token|key)\s*[=:]\s*[\"']?$")
-    return stored(found.withColumn("label", (issuer | hexed).cast("int")), "issuers-findings")
+    return stored(label(found).filter("label is not null"), "issuers-findings")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

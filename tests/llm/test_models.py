@@ -188,3 +188,24 @@ def test_stages_decide_by_row(spark, sf_dir):
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 50").first().text
     rows = [(3, item), (3, x), (None, item), (None, alone), (4, a)]
     assert kept(rows, corpus_pipeline.drop_contaminated) == Counter([(3, x), (None, alone), (4, a)])
+
+
+def test_announced_secrets_of_any_alphabet(spark):
+    rng = random.Random(4)
+    drawn = lambda n, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(of) for _ in range(n - 1)) + "7"
+    hexes = "0123456789abcdef"
+    forms = [lambda: ("aws_secret_access_key=", drawn(40)), lambda: ('password = "', drawn(24)), lambda: ('token = "', drawn(40, hexes)), lambda: ('note "', "glpat-" + drawn(20)), lambda: ("sha1 checksum ", drawn(40, hexes)), lambda: ("", "internationalisation"), lambda: ("", drawn(40))]
+    rows, value = [], {}
+    for i in range(350):
+        before, value[i] = forms[i % 7]()
+        rows.append((i, " ".join([*prose(rng, 20), before + value[i], *prose(rng, 3)]), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = secrets.labelled_by_issuer(docs)
+    told = {r.candidate: r.label for r in labels.collect()}
+    assert {i: told.get(v) for i, v in value.items()} == {i: (1, 1, 1, 1, 0, 0, None)[i % 7] for i in value}
+    assert {r.id: r.left[-22:] for r in secrets.candidates(docs).filter("nth = 2").collect()} == {i: "aws_secret_access_key=" for i in value if i % 7 == 0}
+    flagged = {(r.doc_id, r.candidate) for r in secrets.scan_secrets(docs, labels).filter("secret").collect()}
+    assert {(i, value[i]) for i in value if i % 7 < 4} <= flagged
+    assert not any((i, value[i]) in flagged for i in value if i % 7 in (4, 5))
+    long = spark.createDataFrame([(1, "abc" * 100, None, None, None)], SCHEMA)
+    assert secrets.common_trigrams(long) == ["abc", "bca", "cab"]
