@@ -1,19 +1,27 @@
-"""What several corpus operators share: text folding, word splitting, tables in the shared folder, size-checked broadcasts."""
+"""What several corpus operators share: text folding, word splitting, tables in the shared folder, size-checked broadcasts, batches cut by bytes."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Everything that is not a word character: ASCII controls, blanks and punctuation (after folding, no capitals are left).
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a narrow table (a few longs a row) is broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a table is broadcast; beyond either Spark shuffles both sides.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Rows of an Arrow batch between Spark and Python: texts are some kilobytes each, so Spark's 10,000 would be tens of megabytes a copy.
+ARROW_ROWS = 1000
+#: Bytes of text that Python works on at a time.
+SLICE_BYTES = 1 << 20
 
 
 def fold(text: Column) -> Column:
@@ -26,6 +34,27 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), GAPS), "")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ARROW_ROWS rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``most`` bytes of the column's texts, or of one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start, done = 0, 0
+        while start < batch.num_rows:
+            stop = max(int(np.searchsorted(upto, done + most, side="right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start, done = stop, int(upto[stop - 1])
+        pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a local one only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -37,17 +66,33 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: it cuts lineage, survives lost executors, and Spark knows its size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it counts at most ``rows`` rows; else as it is. For stored tables, whose count is cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(df: DataFrame) -> Column:
+    """About the bytes of a row of df."""
+    out = F.lit(0)
+    for f in df.schema:
+        kind, col = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        own = F.octet_length(col) if kind in ("string", "binary") else F.octet_length(F.array_join(col, "")) + 8 * F.size(col) if kind == "array<string>" else 8 * F.size(col) if kind.startswith("array") else F.lit(8)
+        out = out + F.coalesce(own, F.lit(0))
+    return out
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most ``rows`` rows and ``most`` bytes; else as it is. For stored tables, which are cheap to count."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    return F.broadcast(df) if (df.agg(F.sum(width(df))).first()[0] or 0) <= most else df
 
 
 def hashed_sample(df: DataFrame, by: list[str], rows: int) -> DataFrame:
