@@ -38,10 +38,34 @@ def test_shards(spark):
     assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in by.values())
     sizes = [sum(r["size"] for r in s) for s in by.values()]
     assert max(sizes) - min(sizes) < 0.12 * sum(sizes)
-    light = [t for t, n in Counter(texts[r.doc_id] for r in out).items() if n * (len(t.encode()) + 1) <= 0.05 * sum(sizes) / 4]
+    total = Counter()
+    for r in out:
+        total[texts[r.doc_id]] += r["size"]
+    light = [t for t, n in total.items() if n <= 0.05 * sum(sizes) / 4]
     assert all(len({r.shard for r in out if texts[r.doc_id] == t}) == 1 for t in light)
-    order = [r.curve for k in sorted(by) for r in sorted(by[k], key=lambda r: r.slot)]
-    assert order == sorted(order)
+    for k in by:  # the run in curve order, large groups behind it
+        run = [r.curve for r in sorted(by[k], key=lambda r: r.slot) if texts[r.doc_id] in light]
+        assert run == sorted(run)
+
+
+def test_groups_that_fit_stay_whole(spark):
+    rng = random.Random(4)
+    rows = [(i if i % 5 else None, f"group {i % 6}" * 4, "en", "s") for i in range(420)] + [(1000 + i, "loose " * rng.randrange(1, 9) + str(i), rng.choice(["en", "de"]), "s") for i in range(900)]
+    d = docs(spark, rows)
+    out = sharding.shard_by_curve(d, 4, unit_rows=16).join(d.select(F.col("doc_id").alias("i"), "text").distinct(), F.col("doc_id").eqNullSafe(F.col("i")) & (F.crc32("text") == F.col("text_crc32"))).collect()
+    assert len(out) == len(rows)
+    shards, bytes_, slots = defaultdict(set), Counter(), defaultdict(list)
+    for r in out:
+        shards[r.text].add(r.shard)
+        bytes_[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(len(s) == 1 for s in shards.values())
+    assert max(bytes_.values()) - min(bytes_.values()) < 0.12 * sum(bytes_.values()) / 4
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_packing():
+    assert sharding.packed([("a", 9, 1), ("b", 6, 1), ("c", 5, 1), ("d", 3, 1)], 2, 10) == {"a": 0, "b": 1, "d": 1}
 
 
 def test_shards_of_nothing(spark):
@@ -69,6 +93,13 @@ def test_fit_is_the_best_subset_sum():
         assert abs(int((got * lens).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_fit_beyond_the_first_pool():
+    fit = lambda lens, cnts, budget: mixing.fit_lengths(np.array(lens), np.array(cnts), budget).tolist()
+    assert fit([70000, 100000], [1, 1], 100000) == [0, 1]
+    assert fit([70000, 100000], [3, 2], 240000) == [2, 1]
+    assert fit([70001, 100003, 250007], [2, 2, 1], 70001 + 250007) == [1, 0, 1]
+
+
 def test_fit_of_a_large_source_is_exact_and_keeps_the_shape():
     rng = np.random.default_rng(1)
     lens = np.unique(rng.integers(1, 9000, 3000))
