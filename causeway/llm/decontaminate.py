@@ -3,17 +3,19 @@
 An item's windows are its runs of ``window`` words (a shorter item is one window). A window is a set of word shingles, and a document holds it
 only if it holds all of them, so one shingle is a sufficient prefix: the rarest, by counts over all documents.
 
-1. Count the benchmark's shingles over all documents (hash join on the narrow stream of shingle hashes).
-2. Each window's rarest shingle is its prefix token; a window whose rarest shingle never occurs is dropped.
-3. Documents meet prefix tokens; the token's place fixes where the window would start, and the positional and length bounds
-   (0 <= start, start + length <= words) leave candidates.
-4. Candidates are verified word by word over the item-sized window; hit words are counted by place, items by membership.
-
-Scale: texts are scanned three times and never shuffled while candidates are few; prefix tokens and candidates are broadcast only below a
-checked row count, else Spark joins them by shuffle (skewed joins are split by AQE). Shingle streams carry (id, place, hash) only. Equal windows of many items are one window, and membership is joined at the end.
-
-Cases: null, empty or wordless texts have no words and are clean; wordless items have no window; rows with equal or null ids are
-judged each by its own text; items of equal text all count; an empty benchmark leaves all documents clean; extra columns are ignored.
+1. Texts are folded and split once and stored, their words joined by blanks, under row numbers.
+2. One pass over their shingles leaves the occurrences of the benchmark's shingles, with place; these are counted.
+3. Each window's rarest shingle is its prefix token; a window whose rarest shingle never occurs is dropped.
+4. Occurrences of prefix tokens fix where their windows would start; the positional and length bounds (0 <= start, start + length <= words) leave candidates.
+5. Of the documents with candidates, the item-sized runs at those places are compared with the windows, word by word; hit words are counted by place, items by
+   membership.
+
+Scale: texts are split once, and only texts with candidates are read again. Shingle hashes, prefix tokens, windows and candidates are broadcast below a checked
+number of rows and bytes, else Spark joins them by shuffle (skewed joins are split by AQE). Shingle streams carry numbers only. Equal windows of many items are one window, and membership is joined at the end. What is gathered by row is
+what one document holds.
+
+Cases: null, empty or wordless texts have no words and are clean; very long texts are split whole; wordless items have no window; rows with equal or null ids are
+judged each by its own text; items of equal text all count, ties in rarity go to the smaller hash; an empty benchmark leaves all documents clean; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,50 +32,50 @@ def shingle_hash(parts: list[Column]) -> Column:
     return F.xxhash64(*parts)
 
 
-def shingles(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_words, at, h) for every run of n words. docs: id, w."""
+def shingles(texts: DataFrame, n: int) -> DataFrame:
+    """(row, n_words, at, h) for every run of n words. texts: row, n_words, t (words joined by blanks)."""
+    texts = texts.filter(F.col("n_words") >= n).select("row", "n_words", F.split("t", " ").alias("w"))
     runs = F.arrays_zip(*[(F.col("w") if i == 0 else F.slice("w", i + 1, F.greatest(F.size("w"), F.lit(1)))).alias(f"w{i}") for i in range(n)])
-    out = docs.filter(F.size("w") >= n).select("id", F.size("w").alias("n_words"), F.posexplode(runs).alias("at", "run"))
-    out = out.filter(F.col("at") <= F.col("n_words") - n)
-    return out.select("id", "n_words", "at", shingle_hash([F.col(f"run.w{i}") for i in range(n)]).alias("h"))
+    out = texts.select("row", "n_words", F.posexplode(runs).alias("at", "run")).filter(F.col("at") <= F.col("n_words") - n)
+    return out.select("row", "n_words", "at", shingle_hash([F.col(f"run.w{i}") for i in range(n)]).alias("h"))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, item_ids array<string>) for every row of docs; item_ids sorted as strings."""
-    docs = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))), lambda i: F.slice("w", i + 1, window))
     members = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w")).filter(F.size("w") > 0)
-    members = members.select(F.coalesce("item", F.lit("")).alias("item"), F.explode(runs).alias("ww")).withColumn("win", F.array_join("ww", " ")).distinct()
-    members = stored(members, "windows")
-    wins = members.select("win", "ww").distinct().withColumn("n", F.least(F.size("ww"), F.lit(shingle)))
+    members = stored(members.select(F.coalesce("item", F.lit("")).alias("item"), F.explode(runs).alias("ww")).withColumn("win", F.array_join("ww", " ")).distinct(), "windows")
+    wins = stored(members.select("win", "ww").distinct().withColumn("wid", F.monotonically_increasing_id()).withColumn("n", F.least(F.size("ww"), F.lit(shingle))), "numbered-windows")
     sizes = sorted(r[0] for r in wins.select("n").distinct().collect())  # at most ``shingle`` numbers
     if not sizes:
-        return docs.select(F.col("id").alias(id_col), F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+        return docs.select(F.col(id_col), F.size(words(F.col(text_col))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
+    texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"), F.monotonically_increasing_id().alias("row"))
+    texts = stored(texts.select("row", "id", F.size("w").alias("n_words"), F.array_join("w", " ").alias("t")), "folded-texts")
     parts = []
     for n in sizes:
         cut = F.transform(F.sequence(F.lit(0), F.size("ww") - n), lambda j: F.struct(j.alias("off"), shingle_hash([F.get("ww", j + i) for i in range(n)]).alias("h")))  # noqa: B023
-        parts.append(wins.filter(F.col("n") == n).select("win", "n", F.size("ww").alias("len"), F.inline(cut)))
+        parts.append(wins.filter(F.col("n") == n).select("wid", "n", F.size("ww").alias("len"), F.inline(cut)))
     parts = stored(reduce(DataFrame.unionByName, parts), "window-shingles")
     wanted = small(stored(parts.select("n", "h").distinct(), "wanted"))
-    counts = reduce(DataFrame.unionByName, [shingles(docs, n).join(wanted.filter(F.col("n") == n).select("h", "n"), "h").groupBy("n", "h").count() for n in sizes])
-    prefix = parts.join(stored(counts, "shingle-counts"), ["n", "h"], "left")
-    prefix = prefix.groupBy("win", "len").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "n", "h", "off")).alias("p")).filter("p.count > 0")
-    prefix = small(stored(prefix.select("win", "len", "p.n", "p.h", "p.off"), "prefix-tokens"))
-    found = reduce(DataFrame.unionByName, [shingles(docs, n).join(prefix.filter(F.col("n") == n), "h").select("id", "win", (F.col("at") - F.col("off")).alias("start"), "n_words", "len") for n in sizes])
-    found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words"))).select("id", "win", "start").distinct()
-    found = stored(found, "candidates")
-    few = found.limit(200_001).count() <= 200_000
-    told = small(wins.select("win", "ww"), 50_000)
-    grouped = found.join(told, "win").groupBy("id").agg(F.collect_list(F.struct("start", "win", "ww")).alias("found"))
-    grouped = (F.broadcast(grouped) if few else grouped).withColumnRenamed("id", "found_id")
-    right = F.filter(F.coalesce("found", F.array().cast("array<struct<start:int,win:string,ww:array<string>>>")), lambda c: F.slice("w", c["start"] + 1, F.size(c["ww"])) == c["ww"])
-    hit = F.size(F.array_distinct(F.flatten(F.transform("right", lambda c: F.sequence(c["start"], c["start"] + F.size(c["ww"]) - 1)))))
-    judged = docs.join(grouped, F.col("id").eqNullSafe(F.col("found_id")), "left").withColumn("right", right)
-    judged = judged.select("id", F.size("w").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), F.array_distinct(F.transform("right", lambda c: c["win"])).alias("wins"))
-    judged = stored(judged.withColumn("row", F.monotonically_increasing_id()), "judged")
-    held = judged.filter("n_hit > 0").select("row", F.explode("wins").alias("win")).join(members.select("win", "item"), "win").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    out = judged.join(held, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    met = [shingles(texts, n).join(wanted.filter(F.col("n") == n), "h").select("row", "n_words", "at", "n", "h") for n in sizes]
+    met = stored(reduce(DataFrame.unionByName, met), "shingles-met")
+    prefix = parts.join(met.groupBy("n", "h").count(), ["n", "h"]).groupBy("wid", "len").agg(F.min(F.struct("count", "n", "h", "off")).alias("p"), F.count_distinct("off").alias("seen"), F.first("n").alias("n"))
+    prefix = prefix.filter(F.col("seen") == F.col("len") - F.col("n") + 1)  # every shingle occurs
+    prefix = small(stored(prefix.select("wid", "len", "p.n", "p.h", "p.off"), "prefix-tokens"))
+    found = met.join(prefix, ["n", "h"]).select("row", "wid", (F.col("at") - F.col("off")).alias("start"), "n_words", "len")
+    found = found.filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words"))).select("row", "wid", "start", "len").distinct()
+    found = small(stored(found.groupBy("row").agg(F.collect_list(F.struct("wid", "start", "len")).alias("found")).withColumnRenamed("row", "found_row"), "candidates"))
+    held = texts.select("row", F.split("t", " ").alias("w")).join(found, F.col("row") == F.col("found_row"))
+    run = lambda c: F.when(c["start"] + c["len"] <= F.size("w"), F.array_join(F.slice("w", c["start"] + 1, c["len"]), " "))
+    held = held.select("row", F.inline(F.transform("found", lambda c: F.struct(c["wid"].alias("wid"), c["start"].alias("start"), c["len"].alias("len"), run(c).alias("run")))))
+    right = stored(held.join(small(wins.select("wid", "win")), "wid").filter("run = win").select("row", "wid", "start", "len"), "verified")
+    places = F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("len") - 1)))
+    hits = right.groupBy("row").agg(F.size(F.array_distinct(places)).cast("long").alias("n_hit"))
+    owners = small(members.join(wins.select("win", "wid"), "win").select("wid", "item"))
+    named = right.select("row", "wid").distinct().join(owners, "wid").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    judged = small(stored(hits.join(named, "row").withColumnRenamed("row", "hit_row"), "hits"))
+    out = texts.select("row", "id", F.col("n_words").cast("long").alias("n_words")).join(judged, F.col("row") == F.col("hit_row"), "left")
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
