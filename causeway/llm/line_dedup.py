@@ -1,4 +1,4 @@
-"""Operator 2, line dedup: two Bloom filters for lines seen once and twice; only suspected repeats shuffle.
+"""Operator 2, line dedup: two Bloom filters for once-seen and twice-seen lines; only suspected repeats shuffle.
 
 A line's key is the line without blanks at its ends, A-Z lower-cased. A key of at least ``min_chars`` code points found in two documents
 keeps its lines in the smallest id that holds it and loses them elsewhere.
@@ -7,11 +7,13 @@ keeps its lines in the smallest id that holds it and loses them elsewhere.
    by twice = t1 | t2 | (o1 & o2), once = o1 | o2, which loses no repeat; they merge block by block, streamed, in parallel.
 2. The merged ``twice`` bitmap goes to all tasks. Its size follows the number of lines up to ``max_bits`` (64 MB), a fixed bound: beyond
    it more lines are suspected, none is missed, and the result stays exact.
-3. Suspected lines alone shuffle, with their whole key: min and max id a key (combined map-side, so one line in a third of all documents is one row
-   a task) confirm the repeats and choose the first. Documents without a suspected line never shuffle.
+3. One pass over the texts marks each with its suspected keys and stores it under a row number.
+4. Suspected lines alone shuffle, with their whole key: min and max id a key (combined map-side, so one line in a third of all documents is one row
+   a task) confirm the repeats and choose the first; the join that tells rows which of their keys are lost is one that Spark can split.
+5. Lost keys meet their rows by row number, so what is gathered is what one text holds, whatever its id. Texts without a suspected line never shuffle.
 
-Cases: a null or empty text is one empty line; rows of one id are one document when repeats are counted; rows without an id count as one
-document behind all others; an empty table gives an empty result; extra columns are ignored.
+Cases: a null or empty text is one empty line; very long texts are split whole, one at a time; rows of one id are one document when repeats are counted; rows
+without an id count as one document behind all others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,20 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import table
+from causeway.llm.common import by_bytes, small, stored, table, text_batches
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bits of a block, the unit in which bitmaps merge.
 BLOCK = 1 << 19
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches: lines and keys of few texts at a time are Python objects in a worker."""
-    for batch in batches:
-        for s in range(0, batch.num_rows, rows):
-            yield batch.slice(s, rows)
-
-
 def line_key(line: bytes, min_chars: int) -> bytes | None:
     """The key of a line, None if it is too short to count."""
     key = line.strip(BLANKS)
@@ -75,7 +70,7 @@ def twice_seen(docs: DataFrame, lines: int, min_chars: int, bits_per_line: int,
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in pieces(batches):
+        for batch in by_bytes(batches, "text"):
             found = []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 found += {xxhash.xxh3_64_intdigest(key) for line in text.split(b"\n") if (key := line_key(line, min_chars))}
@@ -113,61 +108,44 @@ def twice_seen(docs: DataFrame, lines: int, min_chars: int, bits_per_line: int,
 def dedup_lines(docs: DataFrame, *, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", bits_per_line: int = 16, max_bits: int = 1 << 29) -> DataFrame:
     """(id, n_lines, n_dropped, kept) for every row of docs; kept: the remaining lines joined by newline."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text_batches(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     bitmap, n_probes = twice_seen(docs, lines, min_chars, bits_per_line, max_bits)
     sent = spark.sparkContext.broadcast(bitmap)
 
-    def suspects(texts: list[bytes]) -> list[set[bytes]]:
-        """The suspected keys of each text."""
-        keys = [{key for line in text.split(b"\n") if (key := line_key(line, min_chars))} for text in texts]
-        flat = [key for own in keys for key in own]
-        hit = has(sent.value, probes(np.array([xxhash.xxh3_64_intdigest(x) for x in flat], dtype=np.uint64), sent.value.size * 8, n_probes)).tolist() if flat else []
-        flags = iter(hit)
-        return [{key for key in own if next(flags)} for own in keys]
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            found = suspects(batch.column("text").cast(pa.binary()).to_pylist())
-            pairs = [(k, key) for k, own in zip(batch.column("k").to_pylist(), found) for key in own]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], ["k", "key"])
-
-    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            found = suspects(batch.column("text").cast(pa.binary()).to_pylist())
-            yield batch.filter(pa.array([bool(own) for own in found], pa.bool_()))
-
-    def told(ids: pa.Array, out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], ["id", "n_lines", "n_dropped", "kept"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            clear = [not own for own in suspects(texts)]
-            yield told(batch.column("id").filter(pa.array(clear, pa.bool_())), [(text.count(b"\n") + 1, 0, text) for text, ok in zip(texts, clear) if ok])
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            keys = [list({key for line in text.split(b"\n") if (key := line_key(line, min_chars))}) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+            flat = [key for own in keys for key in own]
+            flags = iter(has(sent.value, probes(np.array([xxhash.xxh3_64_intdigest(x) for x in flat], dtype=np.uint64), sent.value.size * 8, n_probes)).tolist() if flat else [])
+            found = [[key for key in own if next(flags)] for own in keys]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("text"), pa.array(found, pa.list_(pa.binary()))], ["row", "id", "text", "keys"])
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in by_bytes(batches, "text"):
             out = []
             for text, lost in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lost").to_pylist()):
                 own = text.split(b"\n")
                 lost = set(lost or ())
                 kept = [x for x in own if (key := line_key(x, min_chars)) is None or xxhash.xxh3_128_digest(key) not in lost] if lost else own
                 out.append((len(own), len(own) - len(kept), b"\n".join(kept)))
-            yield told(batch.column("id"), out)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], ["id", "n_lines", "n_dropped", "kept"])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2000):
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([xxhash.xxh3_128_digest(x) for x in batch.column("key").to_pylist()], pa.binary())], ["k", "digest"])
-
-    found = docs.select("k", "text").mapInArrow(rows, "k long, key binary")
-    repeats = found.groupBy("key").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last")
-    lost = found.join(repeats, "key").filter("k > first").select("k", "key").mapInArrow(digest, "k long, digest binary")
-    lost = lost.groupBy("k").agg(F.collect_list("digest").alias("lost"))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([xxhash.xxh3_128_digest(x) for x in batch.column("key").to_pylist()], pa.binary())], ["row", "digest"])
+
+    marked = stored(docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(mark, "row long, id long, text string, keys array<binary>"), "marked-texts")
+    found = marked.select("row", "id", F.explode("keys").alias("key"))
+    repeats = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull().cast("int")).alias("none"))
+    repeats = small(stored(repeats.filter((F.col("first") < F.col("last")) | (F.col("first").isNotNull() & (F.col("none") == 1))).select("key", "first"), "repeated-lines"))
+    lost = found.join(repeats, "key").filter(F.col("id").isNull() | (F.col("id") > F.col("first"))).select("row", "key").mapInArrow(digest, "row long, digest binary")
+    lost = lost.groupBy("row").agg(F.collect_list("digest").alias("lost"))
     schema = "id long, n_lines long, n_dropped long, kept string"
-    untouched = docs.select("id", "text").mapInArrow(whole, schema)
-    cut = docs.mapInArrow(suspected, docs.schema).join(lost, "k", "left").mapInArrow(drop, schema)
-    return untouched.unionByName(cut).withColumnRenamed("id", id_col)
+    whole = marked.filter(F.size("keys") == 0).select("id", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("text").alias("kept"))
+    cut = marked.filter(F.size("keys") > 0).select("row", "id", "text").join(lost, "row", "left").mapInArrow(drop, schema)
+    return whole.unionByName(cut).withColumnRenamed("id", id_col)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
