@@ -1,121 +1,206 @@
 """Operator 8, license scans: conditional compression against templates, confirmed by exact wording.
 
-Candidate blocks are lines and blank-line paragraphs that hold a license word. Each block is compressed by zstandard alone and with every template
-as a raw dictionary; templates are ranked by how much smaller they make the block. The best ``tried`` ones are compared word by word: a block's license
-is the template with the fewest differing words around its best alignment, if none of the differences is decisive (a number, or a word that tells licenses
-apart), and they are at most ``slack`` of the template's words.
-
-Scale: one map over the texts; texts without a license word never leave the JVM.
-
-Cases: null and empty texts have no block; equal blocks in a text are found each; a paragraph that repeats its only line is not reported
-twice; an empty table gives an empty result; extra columns are ignored.
+Blocks are the surroundings of license words: as many words to either side as the longest template of a class needs (short notices, full texts), merged
+where they meet, kept within blank lines, and cut into overlapping blocks of bounded length. Each block is compressed by zstandard alone and with every
+template as a raw dictionary; templates are ranked by how much smaller they make the block. In that order, all that make it smaller are aligned word by word: places
+where enough of a template's word pairs lie in one diagonal band are compared, and each whose differing words are at most ``slack`` of the template's,
+none of them decisive (a number, a word of a license's name, a negation), is an alignment with a span of its own. Of overlapping alignments the one with
+the most words explained wins (then fewer differences, then the larger reduction); all others are findings each. A bare reservation of rights counts only in
+a paragraph without another license.
+
+Scale: one map over the texts; texts without a license word never leave the JVM. Work is linear in the length of a text: lines are scanned once, blocks have bounded
+length, and alignments are made only inside a band.
+
+Cases: null and empty texts have no block; very long texts and lines are cut into overlapping blocks, so no notice is lost at a cut; equal notices in a text
+are found each; of equally good overlapping alignments the first name in order wins; repeated rows are scanned each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import table
+from causeway.llm.common import by_bytes, table, text_batches
+from causeway.llm.license_texts import TITLES, templates as known_templates
 
-ANCHOR = r"(?i)licen[sc]|copyright|\bwarrant|redistribut|permission is hereby|spdx|all rights reserved|public domain"
+ANCHOR = r"(?i)licen[sc]|copyright|\bwarrant|redistribut|permission (?:is hereby|to use)|spdx|all rights reserved|public domain|\bcc(?:0|[ -]by)\b"
+ANCHORS = re.compile(ANCHOR.removeprefix("(?i)"), re.I)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-+][A-Za-z0-9]+)*")
-#: Short notices, as their licensors word them.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0"],
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-    "Proprietary": ["All rights reserved."],
-}
-DECISIVE = re.compile(r"\d|^(?:apache|mit|gnu|gpl|lgpl|agpl|lesser|affero|bsd|mozilla|mpl|cc0?|by.*|sa|nc|nd|attribution.*|sharealike|noncommercial|noderivatives|not|no)$", re.I)
-
-
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(character offset, block): every line, and every paragraph of several lines, that holds a license word."""
-    out = [(m.start(), m.group()) for m in re.finditer(r"[^\n]+", text) if re.search(ANCHOR, m.group())]
-    for m in re.finditer(r"[^\n]*\S[^\n]*(?:\n[^\n]*\S[^\n]*)+", text):
-        if re.search(ANCHOR, m.group()):
-            out.append((m.start(), m.group()))
-    return sorted(out, key=lambda b: (b[0], len(b[1])))
-
-
-def differences(block: list[str], template: list[str]) -> list[str]:
-    """Words of the template missing from the block, and words of the block within the template's best alignment that the template lacks."""
-    match = [b for b in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if b.size]
+BLANK_LINE = re.compile(r"\n[ \t\r\x0b\x0c]*(?=\n)")
+#: Words of titles that tell no licenses apart.
+PLAIN = set("license licence public version general the free software open source development distribution and foundation do what you want to of".split())
+NAMES = {w for title in [*TITLES, *TITLES.values()] for w in WORD.findall(title.lower())} - PLAIN
+DECISIVE = re.compile(r"\d|^(?:attribution.*|sharealike|noncommercial|noderivatives|nc|nd|sa|by|not|no|agpl|gpl|lgpl|mpl|epl)$")
+#: Most words of the templates of a class; the last one has the rest.
+CLASSES = (40, None)
+#: What is dropped beside any other license of its paragraph.
+WEAK = {"Proprietary"}
+
+
+@dataclass(frozen=True)
+class Alignment:
+    start: int  # words of the block
+    end: int
+    license: str
+    size: int  # words of the template
+    gain: float
+    differing: tuple[str, ...]
+
+    def order(self) -> tuple:
+        return (-(self.size - len(self.differing)), len(self.differing), -self.gain, self.license, self.start)
+
+
+def decisive(word: str) -> bool:
+    return word in NAMES or DECISIVE.search(word) is not None
+
+
+def align(template: list[str], words: list[str]) -> tuple[int, int, tuple[str, ...]] | None:
+    """(first word, behind the last word, differing words) of the template's best place in a few words: those of either that the other lacks there."""
+    match = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
     if not match:
-        return template
+        return None
     out, i, j = [], 0, match[0].b
     for m in match:
-        out += template[i : m.a] + block[j : m.b]
+        out += template[i : m.a] + words[j : m.b]
         i, j = m.a + m.size, m.b + m.size
-    return out + template[i:]
+    return match[0].b, j, tuple(out + template[i:])
 
 
 class Templates:
-    """The templates, as zstandard dictionaries and as words."""
-
-    def __init__(self, templates: dict[str, list[str]], level: int = 9) -> None:
-        self.alone = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.all = [(name, WORD.findall(text.lower()), zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, texts in templates.items() for text in texts]
+    """The templates of one class, as zstandard dictionaries, as words, and by word pairs."""
+
+    def __init__(self, texts: list[tuple[str, str]], slack: float, level: int = 3) -> None:
+        self.slack, self.alone, self.all = slack, zstandard.ZstdCompressor(level=level, write_content_size=False), []
+        self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        for name, text in texts:
+            raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=level)
+            words = WORD.findall(text.lower())
+            for i, pair in enumerate(zip(words, words[1:])):
+                self.pairs[pair].append((len(self.all), i))
+            self.all.append((name, words, zstandard.ZstdCompressor(level=level, write_content_size=False, dict_data=raw)))
+        self.longest = max((len(w) for _, w, _ in self.all), default=0)
+        self.reach = self.longest + self.room(self.longest)
+
+    def room(self, size: int) -> int:
+        """Words that may differ."""
+        return int(self.slack * size)
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """(size reduction, template number), best first."""
-        raw = block.encode()
+        raw = block.lower().encode()
         alone = len(self.alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / alone, i) for i, (_, _, c) in enumerate(self.all)), key=lambda x: (-x[0], x[1]))
 
-    def judge(self, block: str, tried: int, slack: float) -> tuple[str, float, list[str]] | None:
-        """(license, size reduction, differing words) of the confirmed winner."""
-        words = WORD.findall(block.lower())
-        best = None
-        for gain, i in self.rank(block)[:tried]:
-            name, own, _ = self.all[i]
-            diff = differences(words, own)
-            if len(diff) <= slack * len(own) and not any(DECISIVE.search(w) for w in diff) and (best is None or len(diff) < len(best[2])):
-                best = (name, gain, diff)
-        return best
-
-
-def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, tried: int = 6, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, license, gain, differing array<string>) of every confirmed block; a paragraph only where no line of it is confirmed."""
-    templates = templates or TEMPLATES
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, met = Templates(templates), {}
-        for pdf in frames:
-            out = []
-            for doc, text in zip(pdf["id"], pdf["text"]):
-                lines: list[int] = []
-                found = blocks(text)
-                for start, block in sorted(found, key=lambda b: "\n" in b[1]):
-                    if "\n" in block and any(start <= x < start + len(block) for x in lines):
-                        continue
-                    if block not in met:
-                        if len(met) > 50_000:
-                            met.clear()
-                        met[block] = known.judge(block, tried, slack)
-                    if met[block]:
-                        lines.append(start)
-                        out.append((doc, start, start + len(block), *met[block]))
-            yield pd.DataFrame(out, columns=["id", "start", "end", "license", "gain", "differing"])
+    def confirmed(self, block: str, words: list[str]) -> list[Alignment]:
+        """All alignments in a block with templates that make it smaller, in the order of the ranking."""
+        diagonals: dict[int, list[int]] = defaultdict(list)
+        for j, pair in enumerate(zip(words, words[1:])):
+            for t, i in self.pairs.get(pair, ()):
+                diagonals[t].append(j - i)
+        # up to room words differ, and each breaks two pairs at most
+        asked = {t: max(1, len(self.all[t][1]) - 1 - 2 * self.room(len(self.all[t][1]))) for t in diagonals}
+        if not any(len(d) >= asked[t] for t, d in diagonals.items()):
+            return []
+        out = []
+        for gain, t in self.rank(block):
+            name, own, _ = self.all[t]
+            if gain <= 0 or t not in diagonals or len(diagonals[t]) < asked[t]:
+                continue
+            room, last = self.room(len(own)), -1
+            votes = Counter(diagonals[t])
+            places = sorted(votes)
+            for a, d in enumerate(places):
+                if sum(votes[x] for x in places[a : bisect_right(places, d + room)]) < asked[t] or d + len(own) <= last:
+                    continue
+                begin = max(0, d - room, last)
+                found = align(own, words[begin : d + len(own) + 2 * room])
+                if found and len(found[2]) <= self.slack * len(own) and not any(map(decisive, found[2])):
+                    last = begin + found[1]
+                    out.append(Alignment(begin + found[0], last, name, len(own), gain, found[2]))
+        return out
+
+
+def classes(texts: dict[str, list[str]], slack: float) -> list[Templates]:
+    """The templates by their number of words."""
+    out: list[list[tuple[str, str]]] = [[] for _ in CLASSES]
+    for name in texts:
+        for text in texts[name]:
+            n = len(WORD.findall(text))
+            out[next(k for k, most in enumerate(CLASSES) if most is None or n <= most)].append((name, text))
+    return [Templates(own, slack) for own in out if own]
+
+
+def blocks(anchors: list[int], paragraphs: list[int], n: int, reach: int) -> Iterator[tuple[int, int]]:
+    """(first word, behind the last) of the blocks around anchored words; paragraphs: first words, ascending."""
+    merged: list[list[int]] = []
+    for at in anchors:
+        p = bisect_right(paragraphs, at)
+        low = max(at - reach, paragraphs[p - 1] if p else 0)
+        high = min(at + reach + 1, paragraphs[p] if p < len(paragraphs) else n)
+        if merged and low <= merged[-1][1] and not (p and low == paragraphs[p - 1] and low == merged[-1][1]):
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    for low, high in merged:
+        while high - low > 3 * reach:
+            yield low, low + 2 * reach
+            low += reach
+        yield low, high
+
+
+def findings(text: str, known: list[Templates], met: dict) -> list[tuple[int, int, str, float, list[str]]]:
+    """(start, end, license, gain, differing words) of a text, by start; start and end are character offsets."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    starts = [s for s, _ in spans]
+    words = [text[s:e].lower() for s, e in spans]
+    anchors = sorted({max(bisect_right(starts, m.start()) - 1, 0) for m in ANCHORS.finditer(text)}) if words else []
+    paragraphs = sorted({bisect_left(starts, m.end()) for m in BLANK_LINE.finditer(text)}) if anchors else []
+    found: list[Alignment] = []
+    for templates in known:
+        for low, high in blocks(anchors, paragraphs, len(words), templates.reach):
+            block = text[spans[low][0] : spans[high - 1][1]]
+            key = (templates.longest, block)
+            if key not in met:
+                if len(met) > 20_000:
+                    met.clear()
+                met[key] = templates.confirmed(block, words[low:high])
+            found += [Alignment(a.start + low, a.end + low, a.license, a.size, a.gain, a.differing) for a in met[key]]
+    kept: list[Alignment] = []
+    begins: list[int] = []
+    for a in sorted(set(found), key=Alignment.order):
+        i = bisect_left(begins, a.end)  # kept ones don't overlap, so only the last that begins before a's end can meet it
+        if i == 0 or kept[i - 1].end <= a.start:
+            kept.insert(i, a)
+            begins.insert(i, a.start)
+    strong = {bisect_right(paragraphs, a.start) for a in kept if a.license not in WEAK}
+    return [(spans[a.start][0], spans[a.end - 1][1], a.license, a.gain, list(a.differing)) for a in kept if a.license not in WEAK or bisect_right(paragraphs, a.start) not in strong]
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, slack: float = 0.25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, license, gain, differing array<string>) of every confirmed alignment."""
+    text_batches(docs.sparkSession)
+    texts = templates or known_templates()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, met = classes(texts, slack), {}
+        for batch in by_bytes(batches, "text"):
+            out = [(doc, *x) for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) for x in findings(text, known, met)]
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["id", "start", "end", "license", "gain", "differing"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(ANCHOR))
-    return rows.mapInPandas(scan, "id long, start int, end int, license string, gain double, differing array<string>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(scan, "id long, start int, end int, license string, gain double, differing array<string>").withColumnRenamed("id", id_col)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
