@@ -5,10 +5,10 @@ characters, dictionary coverage (share of the candidate's letter trigrams that a
 announce secrets, harmless digests or placeholders; assignment and quotes) and the path (test or example places). A random forest is trained on labelled
 findings, at most ``max_rows`` of them, and scores all candidates.
 
-Scale: one map over the texts; only texts with a candidate are marked and split, in linear time. Trigram counts are taken over all words of all texts;
-a table of letter trigrams has 26**3 rows at most, whatever the input, and the common ones become a hash set in the plan.
+Scale: one map over the texts; only texts with a candidate are marked and split, in linear time. Words of all texts are counted (combined map-side), then their
+trigrams; a table of letter trigrams has 26**3 rows at most, whatever the input, and the common ones become a hash set in the plan.
 
-Cases: null and empty texts have no candidate; repeated candidates are findings each, numbered from 1 in a text; a null path has no marks; without
+Cases: null and empty texts have no candidate; very long texts are searched whole; findings of one candidate and left side are one order in the sample, so which of them train is no matter; repeated candidates are findings each, numbered from 1 in a text; a null path has no marks; without
 labels of both kinds the score is the share of label 1, or one half without any label; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -51,11 +51,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def common_trigrams(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """Letter trigrams more frequent in the corpus's words than if all were equally frequent."""
-    own = docs.select(F.explode(F.regexp_extract_all(fold(F.col(text_col)), F.lit("(?=([a-z]{3}))"), F.lit(1))).alias("g"))
-    counts = own.groupBy("g").count().collect()  # at most 26**3 rows
-    total = sum(r["count"] for r in counts)
-    return sorted(r["g"] for r in counts if r["count"] * 26**3 >= total)
+    """Letter trigrams more frequent in the corpus's words than if all were equally frequent. Words are counted first, so a trigram is a row a word, not a row a place."""
+    counted = docs.select(F.explode(F.regexp_extract_all(fold(F.col(text_col)), F.lit("[a-z]{3,}"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substr(F.col("word"), i, F.lit(3)))
+    counts = counted.select("n", F.explode(grams).alias("g")).groupBy("g").agg(F.sum("n").alias("n")).collect()  # at most 26**3 rows
+    total = sum(r["n"] for r in counts)
+    return sorted(r["g"] for r in counts if r["n"] * 26**3 >= total)
 
 
 def with_features(found: DataFrame, trigrams: list[str]) -> DataFrame:
