@@ -10,16 +10,17 @@ connected components of the links.
 2. Equal multisets are one node from here on. ``bands`` bands of ``rows`` registers give buckets; at similarity 0.8, 24 bands of 5 miss a pair
    with probability 7e-5.
 3. In a bucket every node is verified against its leader, the node with the largest buckets (a star: no more pairs than members), by exact multiset
-   overlap of the texts.
+   overlap of the texts. Rows are dealt by leader and part, sorted so that the leader's text is ahead of its members', and streamed: its bag is made once a part.
 4. Links that a star can't see join different components through a bucket: such pairs are verified too, unless one of three exact bounds excludes them: the
    triangle inequality of the Jaccard distance through the leader, or the overlap that sizes ask for against the shingles that a node shares with
    any other node, or the shingles that bitmaps show to be missing. Pairs within a component can't change classes and are never made.
 
 Scale: texts are scanned once for signatures and once more for candidates; buckets are (hash, node) rows, combined map-side, so a bucket with a third of all
-documents is no group in any task; skewed joins are left to AQE. Components shrink by large-star/small-star rounds,
+documents is no group in any task; a leader's members are dealt to parts of about ``MEMBERS``; skewed joins are left to AQE. Python works on slices of about
+a megabyte of text, so long texts cost no more memory than many short ones. Components shrink by large-star/small-star rounds,
 each written to the shared folder.
 
-Cases: texts without words (null, empty, punctuation) are classes of their own; one to four words are one shingle; rows of equal text are in one class whatever
+Cases: texts without words (null, empty, punctuation) are classes of their own; one to four words are one shingle; very long texts are read whole, one a slice; rows of equal text are in one class whatever
 their ids; a class is named by its smallest id; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -33,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import small, stored, table
+from causeway.llm.common import by_bytes, small, stored, table, text_batches
 
 U = np.uint64
 SPAN = 1 << 20
 #: Longs of a bitmap, 64 shingles each.
 LONGS = 16
+#: About as many members are compared with one copy of their leader's text.
+MEMBERS = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,37 +146,35 @@ def bag_minhash(docs: np.ndarray, shingles: np.ndarray, counts: np.ndarray, n_do
     return out.reshape(n_docs, registers)
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """Multiset Jaccard similarity of bag i of a and bag i of b, for all n pairs."""
-    d, h, c = (np.concatenate(x) for x in zip(a, b))
-    order = np.lexsort((h, d))
-    d, h, c = d[order], h[order], c[order]
-    same = np.flatnonzero((d[1:] == d[:-1]) & (h[1:] == h[:-1])) if len(d) else np.zeros(0, int)
-    both = np.bincount(d[same], weights=np.minimum(c[same], c[same + 1]), minlength=n)
-    every = np.bincount(d, weights=c, minlength=n) - both
-    return both / np.maximum(every, 1)
+def overlap_with(lead: tuple[np.ndarray, np.ndarray], d: np.ndarray, h: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """Multiset Jaccard similarity of one bag (shingles ascending, counts) with each of n bags (d: bag number, h: shingle, c: count)."""
+    every = np.bincount(d, weights=c, minlength=n) + lead[1].sum()
+    if not len(lead[0]):
+        return np.zeros(n)
+    at = np.minimum(np.searchsorted(lead[0], h), len(lead[0]) - 1)
+    same = lead[0][at] == h
+    both = np.bincount(d[same], weights=np.minimum(c[same], lead[1][at[same]]), minlength=n)
+    return both / np.maximum(every - both, 1)
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """(id, th, m1, m2, n, bands) of every text with a word. docs: id, th, text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                batch = whole.slice(s, 1000)
-                n = batch.num_rows
-                d, h, c = shingle_bags(*text_words(batch.column("text")), n, size)
-                times = bag_minhash(d, h, c, n, bands * rows).view(U).reshape(n, bands, rows)
-                key = np.broadcast_to(np.arange(1, bands + 1, dtype=U), (n, bands)).copy()
-                for j in range(rows):
-                    key = mix(key * U(3) + times[:, :, j])
-                m1, m2 = np.zeros(n, U), np.zeros(n, U)
-                np.add.at(m1, d, mix(h + c.astype(U) * U(0xA0761D6478BD642F)))
-                np.add.at(m2, d, mix(h ^ mix(c.astype(U) + U(0xE7037ED1A0B428DB))))
-                count = np.bincount(d, weights=c, minlength=n).astype(np.int64)
-                own = pa.array(count > 0)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(m1.view(np.int64)), pa.array(m2.view(np.int64)), pa.array(count), listed], ["id", "th", "m1", "m2", "n", "bands"]).filter(own)
+        for batch in by_bytes(batches, "text"):
+            n = batch.num_rows
+            d, h, c = shingle_bags(*text_words(batch.column("text")), n, size)
+            times = bag_minhash(d, h, c, n, bands * rows).view(U).reshape(n, bands, rows)
+            key = np.broadcast_to(np.arange(1, bands + 1, dtype=U), (n, bands)).copy()
+            for j in range(rows):
+                key = mix(key * U(3) + times[:, :, j])
+            m1, m2 = np.zeros(n, U), np.zeros(n, U)
+            np.add.at(m1, d, mix(h + c.astype(U) * U(0xA0761D6478BD642F)))
+            np.add.at(m2, d, mix(h ^ mix(c.astype(U) + U(0xE7037ED1A0B428DB))))
+            count = np.bincount(d, weights=c, minlength=n).astype(np.int64)
+            own = pa.array(count > 0)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(m1.view(np.int64)), pa.array(m2.view(np.int64)), pa.array(count), listed], ["id", "th", "m1", "m2", "n", "bands"]).filter(own)
 
     return docs.mapInArrow(sign, "id long, th long, m1 long, m2 long, n long, bands array<long>")
 
@@ -201,11 +202,9 @@ def own_mass(texts: DataFrame, size: int) -> DataFrame:
     """(node, own): how many of a node's shingles, with their counts, no other node of texts (node, text) has. Nodes without any are left out."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                batch = whole.slice(s, 500)
-                d, h, c = shingle_bags(*text_words(batch.column("text")), batch.num_rows, size)
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["node", "h", "c"])
+        for batch in by_bytes(batches, "text"):
+            d, h, c = shingle_bags(*text_words(batch.column("text")), batch.num_rows, size)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(d)), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["node", "h", "c"])
 
     rows = texts.mapInArrow(spread, "node long, h long, c long")
     once = rows.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"), F.sum("c").alias("c")).filter("node = last")
@@ -219,16 +218,14 @@ def bitmaps(texts: DataFrame, size: int) -> DataFrame:
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                batch = whole.slice(s, 500)
-                d, h, c = shingle_bags(*text_words(batch.column("text")), batch.num_rows, size)
-                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                bit = (mix(np.repeat(h, c) + nth.astype(U) * U(0xD6E8FEB86659FD93)) % U(64 * LONGS)).astype(np.int64)
-                drawn = np.zeros((batch.num_rows, 64 * LONGS), np.uint8)
-                drawn[np.repeat(d, c), bit] = 1
-                longs = np.packbits(drawn, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(LONGS)]], ["node", *[f"b{i}" for i in range(LONGS)]])
+        for batch in by_bytes(batches, "text"):
+            d, h, c = shingle_bags(*text_words(batch.column("text")), batch.num_rows, size)
+            nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+            bit = (mix(np.repeat(h, c) + nth.astype(U) * U(0xD6E8FEB86659FD93)) % U(64 * LONGS)).astype(np.int64)
+            drawn = np.zeros((batch.num_rows, 64 * LONGS), np.uint8)
+            drawn[np.repeat(d, c), bit] = 1
+            longs = np.packbits(drawn, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(LONGS)]], ["node", *[f"b{i}" for i in range(LONGS)]])
 
     return texts.mapInArrow(draw, ", ".join(["node long", *[f"b{i} long" for i in range(LONGS)]]))
 
@@ -238,27 +235,31 @@ def lacking(x: str, y: str) -> Column:
     return reduce(Column.__add__, [F.bit_count(F.col(f"{x}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.b{i}")))) for i in range(LONGS)])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b, sim) of stored pairs (a, b). texts: node, text."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 500):
-                batch = whole.slice(s, 500)
-                n = batch.num_rows
-                sims = overlap(*(shingle_bags(*text_words(batch.column(c)), n, size) for c in ("ta", "tb")), n)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], ["a", "b", "sim"])
-
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long, sim double")
+def compare_runs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, sim) of rows (a, b, text) that follow the row of their leader (a, null, text)."""
+    lead = (np.zeros(0, U), np.zeros(0, np.int64))
+    for batch in by_bytes(batches, "text"):
+        n = batch.num_rows
+        d, h, c = shingle_bags(*text_words(batch.column("text")), n, size)
+        cut, heads = np.searchsorted(d, np.arange(n + 1)), np.flatnonzero(batch.column("b").is_null().to_numpy(zero_copy_only=False))
+        sims = np.zeros(n)
+        for start, end in zip([-1, *heads.tolist()], [*heads.tolist(), n]):
+            if start >= 0:
+                lead = h[cut[start] : cut[start + 1]].copy(), c[cut[start] : cut[start + 1]].copy()
+            first = start + 1
+            if end > first:
+                own = slice(cut[first], cut[end])
+                sims[first:end] = overlap_with(lead, d[own] - first, h[own], c[own], end - first)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], ["a", "b", "sim"]).filter(batch.column("b").is_valid())
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, bands: int = 24, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) for every row of docs; class_id: the smallest id of its class."""
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     signed = stored(signatures(docs, size, bands, rows), "signatures")
-    nodes = signed.groupBy("m1", "m2").agg(F.min(F.struct("id", "th")).alias("at"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("m1", "m2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("at"), F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     held = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     met = held.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
@@ -268,12 +269,24 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     members = stored(held.join(leaders, "bucket").filter("node <> leader").drop("members"), "members")
     star = stored(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "star")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        want = wanted.join(nodes.select("node", "at"), "node").select("node", F.col("at.id").alias("want"), F.col("at.th").alias("th"))
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """asked (node, ...) with the texts of its nodes. A row of documents that is repeated whole repeats its node."""
+        want = asked.join(nodes.select("node", F.col("at.id").alias("want"), F.col("at.th").alias("want_th")), "node")
         want = small(stored(want, "wanted-texts"))
-        return docs.join(want, (docs.th == want.th) & docs.id.eqNullSafe(want.want)).select("node", "text").dropDuplicates(["node"])
-
-    sims = stored(verified(star, texts_of(star.select(F.explode(F.array("a", "b")).alias("node")).distinct()), size), "star-similarities")
+        return docs.join(want, (F.col("th") == F.col("want_th")) & F.col("id").eqNullSafe(F.col("want"))).select(*asked.columns, "text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, sim) of stored, distinct pairs (a, b). A leader a goes to as many groups as its members fill, and each group reads its text once, ahead of the members."""
+        crowded = small(stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")).filter("parts > 1"), "crowded-leaders"))
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = stored(pairs.join(crowded, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part")), "dealt-pairs")
+        lead = stored(texts_of(dealt.select(F.col("a").alias("node")).distinct()).dropDuplicates(["node"]), "leaders-texts")
+        lead = dealt.select("a", "part").distinct().join(lead, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+        members = texts_of(dealt.withColumn("node", F.col("b"))).select("a", "part", "b", "text")
+        runs = lead.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text")
+        return stored(runs.mapInArrow(lambda batches: compare_runs(batches, size), "a long, b long, sim double"), "similarities").dropDuplicates(["a", "b"])
+
+    sims = stored(verified(star), "star-similarities")
     links = sims.filter(F.col("sim") >= threshold - 1e-9)
     comps = stored(components(links), "components")
     # pairs of different components in a bucket, of which neither is the leader
@@ -284,8 +297,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     if not stray.isEmpty():
         near = stored(label.join(stray.select("bucket").distinct(), "bucket", "left_semi"), "near-strays")
         taking_part = near.select("node").unionByName(near.select(F.col("leader").alias("node"))).distinct()
-        own = stored(own_mass(texts_of(taking_part), size), "own-mass")
-        bits = stored(bitmaps(texts_of(taking_part), size), "bitmaps")
+        own = stored(own_mass(texts_of(taking_part).dropDuplicates(["node"]), size), "own-mass")
+        bits = stored(bitmaps(texts_of(taking_part).dropDuplicates(["node"]), size), "bitmaps")
 
         def able(df: DataFrame) -> DataFrame:
             """With bitmaps; without the nodes that can't have a partner, as they share too few shingles with all others."""
@@ -300,7 +313,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
         rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & close & enough & once)
         rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb"))
         rest = stored(rest.distinct(), "rest")
-        late = verified(rest.select("a", "b"), texts_of(rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()), size).filter(F.col("sim") >= threshold - 1e-9)
+        late = verified(rest.select("a", "b").distinct()).filter(F.col("sim") >= threshold - 1e-9)
         late = stored(late.join(rest, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "late-links")
         if not late.isEmpty():
             merged = components(late).withColumnRenamed("comp", "final")
@@ -311,7 +324,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = 5, b
     names = named.groupBy("comp").agg(F.min("least").alias("class_id"))
     named = named.join(names, "comp").select("m1", "m2", "class_id")
     classed = signed.select("id", "m1", "m2").join(named, ["m1", "m2"]).select("id", "class_id")
-    bare = docs.filter(F.size(F.array_remove(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 2), "")) == 0).select("id", F.col("id").alias("class_id"))
+    bare = docs.filter(~F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).select("id", F.col("id").alias("class_id"))
     return classed.unionByName(bare).withColumnRenamed("id", id_col)
 
 

@@ -14,9 +14,9 @@ Scoring scans each whole text once: all maximal scoring segments in linear time
 at most ``e_value`` are the toxic passages. A document's score is the calibrated probability given the sum statistic of its best
 segments and the number of its passages.
 
-Scale: one map over the texts with a model bounded by the sample; no shuffle.
+Scale: one map over the texts with a model bounded by the sample; no shuffle. Texts are worked on one after another, in batches of about a megabyte.
 
-Cases: null and empty texts have no token and get the score of no evidence; without labels of both kinds among the rows that
+Cases: null and empty texts have no token and get the score of no evidence; very long texts are scanned whole, and longer ones need more to stand out (the E-value grows with n); equal scores of labelled rows are no ties to break, as nothing is ranked; without labels of both kinds among the rows that
 give token scores nothing was learnt: every score is the smoothed share of label 1, but at most NO_EVIDENCE (0.49), so nothing is predicted toxic, and reject_toxic keeps all rows; repeated rows are scored each; labels of null toxic, or for ids not in the corpus, are ignored; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -33,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import hashed_sample, table, words
+from causeway.llm.common import by_bytes, hashed_sample, table, text_batches, words
 
 TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Lengths of the prefixes a word's prior backs off to, longest last.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Tokens from one place where a token counts in favour to the next: repeats in a phrase are no news, those in another passage are.
 AGAIN = 16
-#: Most tokens whose scores a worker remembers.
-REMEMBERED = 400_000
+#: Most tokens whose scores a worker remembers, and as many older ones.
+REMEMBERED = 100_000
 #: The highest score where nothing was learnt.
 NO_EVIDENCE = 0.49
 
@@ -51,19 +51,25 @@ class TokenScores(dict):
 
     def __init__(self, shares: dict[tuple[int, str], tuple[int, int]], base: float, prior: float, drift: float) -> None:
         super().__init__()
-        self.shares, self.base, self.prior, self.drift = shares, base, prior, drift
+        self.shares, self.base, self.prior, self.drift, self.older = shares, base, prior, drift, {}
 
     def __missing__(self, token: str) -> float:
+        out = self.older.get(token)
+        if out is None:
+            out = self.worked_out(token)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[token] = out
+        return out
+
+    def worked_out(self, token: str) -> float:
         share = self.base
         for level in (*STEMS, 0):
             seen = self.shares.get((level, token[:level] if level else token))
             if seen:
                 share = (seen[0] + self.prior * share) / (seen[1] + self.prior)
-        out = math.log(share / (1 - share)) - math.log(self.base / (1 - self.base)) - self.drift
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[token] = out
-        return out
+        return math.log(share / (1 - share)) - math.log(self.base / (1 - self.base)) - self.drift
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -112,7 +118,7 @@ class Model:
         """
         room = self.log_k + math.log(max(n, 1))
         most, total = 0.0, 0.0
-        for r, s in enumerate(sorted((x[2] for x in found), reverse=True)[:50], 1):
+        for r, s in enumerate(sorted((x[2] for x in found), reverse=True), 1):
             if self.rate * s <= room:
                 break
             total += self.rate * s - room
@@ -144,6 +150,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 15_000, prior: float = 60.0, drift: float = 0.5, min_docs: int = 3, e_value: float = 0.05) -> Model:
     """Learns from at most max_rows labelled rows."""
+    text_batches(docs.sparkSession)
     sample = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
     sample = hashed_sample(sample, ["id"], max_rows).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
@@ -249,11 +256,12 @@ def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thres
         return docs
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
     at = docs.columns.index(text_col)
+    text_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**sent.value)
         scores = model.scores()
-        for batch in batches:
+        for batch in by_bytes(batches, text_col):
             mask = [model.probability(*model.evidence(*scan(scores, text or ""))[:2]) < threshold for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(mask, pa.bool_()))
 

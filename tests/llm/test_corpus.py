@@ -109,7 +109,7 @@ def test_bloom_pairs_merge_without_losing_repeats():
 def best(vectors, queries, k):
     out = []
     for q, a in queries:
-        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors if i != q and len(a) == len(b))[:k]
+        scored = sorted((-min(max(sum(x * y for x, y in zip(a, b)), -(1 << 63)), (1 << 63) - 1), i) for i, b in vectors if i != q and len(a) == len(b))[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -118,13 +118,16 @@ def test_top_k(spark):
     rng = random.Random(3)
     raw = [(i, [rng.uniform(-1, 1) for _ in range(40)]) for i in range(300)] + [(500 + i, [0.5] * 40) for i in range(60)]
     raw += [(1000, [0.1] * 3), (1001, [0.2] * 3), (1002, None), (1003, [0.1, None, 0.2]), (1004, [float("nan")] * 40), (1005, [float("inf")] * 40), (1006, []), (1007, [1e12] * 40), (None, [0.1] * 40)]
+    raw += [(1010, [1e5, 1.0]), (1011, [2e5, 1.0]), (1012, [7e4, 1.0]), (1020, [1e9, -3.0]), (1021, [1e9, 5.5]), (1030, [1e300, 1.0]), (1031, [-1e308, 1.0])]
+    raw += [(20, [rng.uniform(-1, 1) for _ in range(40)]), (20, [0.25] * 40), (7, [0.5] * 40)]
     df = spark.createDataFrame([(i, v, 7, 8) for i, v in raw], "vec_id long, embedding array<double>, block int, score int")
-    clip = lambda x: max(-topk.CLIP, min(topk.CLIP, int(np.floor(1024 * x))))
-    sound = [(i, [clip(x) for x in v]) for i, v in raw if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    sound = [(i, [int(np.floor(1024 * x)) if abs(x) < 1e305 else int(np.copysign(np.finfo(float).max, x)) for x in v]) for i, v in raw if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = best(sound, [x for x in sound if x[0] % 10 == 0], 7)
-    got = topk.top_k(df.repartition(4), df.filter("vec_id % 10 = 0"), 7, block=16, per_salt=100)
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == want
+    for block in (16, 2048):
+        got = topk.top_k(df.repartition(4), df.filter("vec_id % 10 = 0"), 7, block=block)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == want
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert topk.top_k(df.limit(0), df).count() == 0
 
 
 def classes(rows, threshold=0.8):
@@ -200,8 +203,8 @@ def test_signatures_are_unbiased():
     bags = near_dup.shingle_bags(*near_dup.text_words(pa.array(texts)), 4)
     sig = near_dup.bag_minhash(*bags, 4, 6000)
     for i, j in ((0, 1), (2, 3)):
-        pair = [tuple(x[bags[0] == k] if q else np.zeros((bags[0] == k).sum(), int) for q, x in enumerate(bags)) for k in (i, j)]
-        assert (sig[i] == sig[j]).mean() == pytest.approx(near_dup.overlap(*pair, 1)[0], abs=0.03)
+        lead, (h, c) = ((bags[1][bags[0] == k], bags[2][bags[0] == k]) for k in (i, j))
+        assert (sig[i] == sig[j]).mean() == pytest.approx(near_dup.overlap_with(lead, np.zeros(len(h), int), h, c, 1)[0], abs=0.03)
 
 
 def test_words_across_spans():

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from causeway.llm import licenses, secrets, toxicity
+from causeway.llm import license_texts, licenses, secrets, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BAD = ["vilescum", "vilecur", "vilerat", "grubber", "grubling"]
@@ -102,23 +102,68 @@ def test_secret_candidates_and_scores(spark):
     assert {r.score for r in secrets.scan_secrets(docs, labels.limit(0)).select("score").distinct().collect()} == {0.5}
 
 
-def test_licenses(spark):
-    text = "some prose\nLicensed under CC BY-NC 4.0.\n\nLicensed under CC BY-NC 3.0.\nthe license of the poet\nlicensed UNDER the apache license, version 2.0\nThis work is licensed under the\nGNU General Public License, version 3.\n"
-    rows = [(1, text, "en", "s", 0), (2, None, None, None, None), (3, "", None, None, None), (4, "Released under the MIT License.\nReleased under the MIT License.", None, None, None), (5, "no notice at all", None, None, None)]
-    out = licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id", "start").collect()
-    got = [(r.doc_id, text[r.start : r.end] if r.doc_id == 1 else r.start, r.license) for r in out]
-    assert (1, "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0") in got
-    assert (1, "licensed UNDER the apache license, version 2.0", "Apache-2.0") in got
-    assert not any(r.doc_id == 1 and "3.0." in text[r.start : r.end] and "\n" not in text[r.start : r.end] for r in out)
-    assert [g for g in got if g[0] == 4] == [(4, 0, "MIT"), (4, 32, "MIT")]
-    assert {r.doc_id for r in out} == {1, 4}
+def noticed(text, slack=0.25):
+    return [(text[s:e], name) for s, e, name, _, _ in licenses.findings(text, licenses.classes(license_texts.templates(), slack), {})]
 
 
-def test_every_template_wins_for_its_own_text():
-    known = licenses.Templates(licenses.TEMPLATES)
-    for name, texts in licenses.TEMPLATES.items():
+def test_licenses(spark):
+    text = "some prose\nLicensed under CC BY-NC 4.0.\n\nLicensed under CC BY-NC 3.0.\nthe license of the poet\nlicensed UNDER the apache license, version 2.0\n\nThis work is licensed under the\nGNU General Public License, version 3.\n"
+    rows = [(1, text, "en", "s", 0), (2, None, None, None, None), (3, "", None, None, None), (4, "Released under the MIT License.\nReleased under the MIT License.", None, None, None), (5, "no notice at all", None, None, None), (4, "SPDX-License-Identifier: MIT", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("license", F.lit("x")).withColumn("start", F.lit(1)).withColumn("id", F.lit(9))
+    out = licenses.scan_licenses(docs).orderBy("doc_id", "start").collect()
+    got = [(r.doc_id, text[r.start : r.end] if r.doc_id == 1 else r.start, r.license) for r in out]
+    assert got == [
+        (1, "Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), (1, "licensed UNDER the apache license, version 2.0", "Apache-2.0"),
+        (1, "This work is licensed under the\nGNU General Public License, version 3", "GPL-3.0"), (4, 0, "MIT"), (4, 0, "MIT"), (4, 32, "MIT"),
+    ]
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_several_licenses_in_a_block():
+    assert [n for _, n in noticed("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.")] == ["MIT", "Apache-2.0"]
+    head = "Copyright (c) 1999 The Authors. All rights reserved.\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    assert [n for _, n in noticed(head)] == ["BSD"]
+    assert noticed("Copyright 2001 A. Author. All rights reserved.") == [("All rights reserved", "Proprietary")]
+    assert noticed("Licensed under the MIT License.\n\nAll rights reserved.")[1][1] == "Proprietary"
+    assert [n for _, n in noticed(license_texts.TEXTS["BSD-3-Clause"][0])] == ["BSD-3-Clause"]
+    assert [n for _, n in noticed(license_texts.TEXTS["BSD-2-Clause"][0])] == ["BSD-2-Clause"]
+
+
+def test_every_wording_is_found_wherever_it_stands():
+    """All templates, alone, in prose, with a word changed, and across the cuts of a long line."""
+    rng = random.Random(6)
+    known = licenses.classes(license_texts.templates(), 0.25)
+    said = lambda t: [n for _, _, n, _, _ in licenses.findings(t, known, {})]
+    lost = 0
+    for name, texts in license_texts.templates().items():
         for t in texts:
-            assert known.judge(t, 6, 0.25)[0] == name
+            assert said(t) == [name]
+            assert said(" ".join([*prose(rng, 40), "license", *prose(rng, 40)]) + "\n" + t + "\n" + " ".join(prose(rng, 90))) == [name]
+            long = prose(rng, 700)
+            for at in range(0, 700, 3):
+                long[at] = "warranty"
+            at = rng.randrange(700)
+            lost += said(" ".join([*long[:at], t, *long[at:]])) != [name]
+    assert lost == 0
+
+
+def test_changed_words():
+    t = license_texts.TEXTS["MIT"][0]
+    words = t.split(" ")
+    assert [n for _, n in noticed(" ".join("foobar" if i % 11 == 5 else w for i, w in enumerate(words)))] == ["MIT"]
+    assert "GPL-3.0" not in [n for _, n in noticed("Licensed under the GNU General Public License, version 4.")]
+    assert noticed("Licensed under the Foo License.") == []
+    assert noticed("licensed under the MIT terms of use") == [("licensed under the MIT", "MIT")]  # one of five words is missing
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    known, rng = licenses.classes(license_texts.templates(), 0.25), random.Random(2)
+    for text in ("the license of poets " * 50_000, ("x" * 400 + " license ") * 2500, "\n \n" * 300_000 + "license", " ".join(prose(rng, 120_000)) + " Licensed under the MIT License."):
+        began = time.process_time()
+        found = licenses.findings(text, known, {})
+        assert time.process_time() - began < 6 and len(found) == text.count("MIT License")
 
 
 def test_pipeline_stages(spark, sf_dir):
