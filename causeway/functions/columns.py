@@ -25,6 +25,18 @@ def nominal_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+#: Most distinct values of a nominal column that become dummies or codes.
+MOST_VALUES = 10_000
+
+
+def nominal_values(df: DataFrame, col: str, most: int = MOST_VALUES) -> list:
+    """The distinct values, sorted, without null; ValueError if there are more than most, so no unbounded column reaches the driver."""
+    values = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{col} has more than {most} distinct values")
+    return sorted(values)
+
+
 def common_columns(a: DataFrame, b: DataFrame, numeric: bool = True) -> list[str]:
     """Columns of both tables, in the order of the first; numeric ones only, unless told otherwise."""
     other = set(numeric_columns(b) if numeric else b.columns)

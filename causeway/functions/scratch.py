@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -17,3 +18,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to a fresh path and reads it back: it cuts lineage, survives lost executors, and Spark knows its size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it counts at most ``rows`` rows (narrow ones: keys and numbers); else as it is, and Spark decides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,59 +1,102 @@
-"""Running totals and ranks that never order a whole table in one task."""
+"""Running totals, ranks and exact percentiles that never order a whole table in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from causeway.functions.scratch import stored
+
+#: Distinct values up to which one aggregate may hold them all.
+DISTINCT = 200_000
+
+
+def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df, stored, with range_: the number of the range of the order that a row is in. Ranges hold about as many rows each; equal keys share one."""
+    return stored(df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranged")
 
 
 def running_totals(df: DataFrame, by: str, sums: list[str], within: list[str] | None = None) -> DataFrame:
-    """df with cum_<c> for c in sums: totals up to and including the row's value of the numeric column by, in each group of within.
+    """df with, for c in sums, cum_<c>: totals up to and including the row's value of by, and all_<c>: totals of the group, in each group of within.
 
-    Values fall into equal-width buckets; totals run inside a bucket and over the bounded number of buckets. df must have one row a
-    (within, by), that is, be aggregated already.
+    df must have one row a (within, by), that is, be aggregated already. It is ordered by ranges that Spark draws from a sample, so outliers or a large group
+    don't fill a task; totals run inside a range and over the ranges of a group.
     """
     within = within or []
-    ends = df.groupBy(*within).agg(F.min(by).alias("lo_"), F.max(by).alias("hi_")) if within else df.agg(F.min(by).alias("lo_"), F.max(by).alias("hi_"))
-    x, span = F.col(by).cast("double"), F.col("hi_").cast("double") - F.col("lo_").cast("double")
-    bucket = F.when(span > 0, F.least(F.lit(BUCKETS - 1), F.floor((x - F.col("lo_")) / span * BUCKETS))).otherwise(0).cast("int")
-    rows = (df.join(F.broadcast(ends) if not within else ends, within) if within else df.crossJoin(F.broadcast(ends))).withColumn("bucket_", bucket).drop("lo_", "hi_")
-    totals = rows.groupBy(*within, "bucket_").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
-    upto = W.partitionBy(*within).orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1) if within else W.orderBy("bucket_").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*within, "bucket_", *[F.coalesce(F.sum(f"t_{c}").over(upto), F.lit(0)).alias(f"b_{c}") for c in sums])
-    inside = W.partitionBy(*within, "bucket_").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({f"c_{c}": F.sum(c).over(inside) for c in sums}).join(totals, [*within, "bucket_"])
-    return rows.select(*df.columns, *[(F.col(f"c_{c}") + F.col(f"b_{c}")).alias(f"cum_{c}") for c in sums])
+    rows = ranged(df, *within, by)
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in (*within, "range_")])
+    totals = rows.groupBy(*within, "range_").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
+    group = W.partitionBy(*(within or [F.lit(0)]))  # a row a range
+    upto = group.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*within, "range_", *[x for c in sums for x in (F.coalesce(F.sum(f"t_{c}").over(upto), F.lit(0)).alias(f"b_{c}"), F.sum(f"t_{c}").over(group).alias(f"a_{c}"))])
+    inside = W.partitionBy(*within, "range_").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"c_{c}": F.sum(c).over(inside) for c in sums}).alias("r").join(totals.alias("t"), same("r", "t"))
+    return rows.select(*[f"r.{c}" for c in df.columns], *[x for c in sums for x in ((F.col(f"c_{c}") + F.col(f"b_{c}")).alias(f"cum_{c}"), F.col(f"a_{c}").alias(f"all_{c}"))])
+
+
+def positions(df: DataFrame, within: list[str], order: list[Column], out: str) -> DataFrame:
+    """df with out: the place of the row in its group of within by order, from 1."""
+    keys = {f"o{i}_": c for i, c in enumerate(order)}
+    rows = ranged(df.withColumns(keys), *within, *keys)
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*within, "range_")])
+    ahead = rows.groupBy(*within, "range_").agg(F.count("*").alias("n_"))
+    ahead = ahead.select(*within, "range_", F.coalesce(F.sum("n_").over(W.partitionBy(*(within or [F.lit(0)])).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead_"))
+    rows = rows.withColumn("own_", F.row_number().over(W.partitionBy(*within, "range_").orderBy(*keys))).alias("r").join(ahead.alias("t"), same)
+    return rows.select(*[f"r.{c}" for c in df.columns], (F.col("own_") + F.col("ahead_")).alias(out))
 
 
 def percent_rank_avg(df: DataFrame, value: str, within: list[str], out: str) -> DataFrame:
     """df with the average percent rank of value in its group: ties share the mean rank, nulls stay null and don't count."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count("*").alias("n"))
     ranks = running_totals(counts, value, ["n"], within)
-    total = F.sum("n").over(W.partitionBy(*within))
-    ranks = ranks.select(*within, value, ((F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).cast("double") / total).alias(out))
+    ranks = ranks.select(*within, value, ((F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).cast("double") / F.col("all_n")).alias(out))
     return df.join(ranks, [*within, value], "left")
 
 
+def percent_ranks_in_groups(df: DataFrame, values: dict[str, str], within: list[str]) -> DataFrame:
+    """df with percent_rank_avg of each column of values under its new name, for groups that fit in a task (a row a feature): windows over one shuffle."""
+    group, out = W.partitionBy(*within), {}
+    for v, name in values.items():
+        ties = F.count("*").over(W.partitionBy(*within, v))
+        rank = F.rank().over(group.orderBy(F.col(v).asc_nulls_last())) + (ties - 1) / 2
+        out[name] = F.when(F.col(v).isNotNull(), rank / F.count(v).over(group))
+    return df.withColumns(out)
+
+
+def exact_percentiles(df: DataFrame, col: str, ps: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., q array<double>): exact percentiles with linear interpolation, nulls left out; a group without values has none.
+
+    Up to DISTINCT distinct values one aggregate holds them; beyond, values are counted, ordered by ranges, and picked by their ranks.
+    """
+    by, ps = by or [], [float(p) for p in ps]
+    rows = df.select(*by, F.col(col).cast("double").alias("v_")).filter(F.col("v_").isNotNull())
+    if (rows.agg(F.approx_count_distinct("v_")).first()[0] or 0) <= DISTINCT:
+        return rows.groupBy(*by).agg(F.percentile("v_", F.array(*map(F.lit, ps))).alias("q"))
+    ranks = running_totals(stored(rows.groupBy(*by, "v_").agg(F.count("*").alias("n")), "counts"), "v_", ["n"], by)
+    at = [(F.col("all_n") - 1) * F.lit(p) for p in ps]
+    picks = [F.min(F.when(F.col("cum_n") > f(x), F.col("v_"))).alias(f"{n}{i}") for i, x in enumerate(at) for n, f in (("lo", F.floor), ("hi", F.ceil))]
+    got = ranks.groupBy(*by).agg(F.first("all_n").alias("all_n"), *picks)
+    part = [x - F.floor(x) for x in at]
+    return got.select(*by, F.array(*[F.col(f"lo{i}") * (1 - w) + F.col(f"hi{i}") * w for i, w in enumerate(part)]).alias("q"))
+
+
 def top_k(df: DataFrame, k: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def permute_within(df: DataFrame, col: str, within: list[str], key: str, seed: int, out: str, buckets: int = 1) -> DataFrame:
-    """df with col shuffled among the rows of each group of within: the i-th row by key receives the value of the i-th row by a seeded hash.
+def permuted(numbered: DataFrame, col: str, within: list[str], key: str, seed: int, out: str) -> DataFrame:
+    """numbered with out: col shuffled among the rows of each group of within. numbered has at_, the place of the row by key in its group, as positions gives it.
 
-    buckets > 1 shuffles within (group, hash bucket of key) only, which bounds a task where a group holds much of the table.
+    The i-th row by key receives the value of the i-th row by a seeded hash; both orders run over ranges, so a group may hold the whole table.
     """
-    rows = df.withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(buckets)))
-    w = [*within, "bucket_"]
-    to = rows.withColumn("at_", F.row_number().over(W.partitionBy(*w).orderBy(key)))
-    source = rows.select(*w, F.col(col).alias(out), F.row_number().over(W.partitionBy(*w).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)).alias("at_"))
-    for c in within:
-        source = source.withColumnRenamed(c, f"{c}_s")
-    same = [to[c].eqNullSafe(source[f"{c}_s"]) for c in within] + [to["bucket_"] == source["bucket_"], to["at_"] == source["at_"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    return to.join(source, cond).select(*[to[c] for c in df.columns], source[out])
+    drawn = positions(numbered.select(*within, key, F.col(col).alias(out)), within, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "at_")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*within, "at_")])
+    return numbered.alias("a").join(drawn.alias("b"), same).select("a.*", f"b.{out}")
+
+
+def permute_within(df: DataFrame, col: str, within: list[str], key: str, seed: int, out: str) -> DataFrame:
+    """df with col shuffled among the rows of each group of within."""
+    return permuted(stored(positions(df, within, [F.col(key)], "at_"), "numbered"), col, within, key, seed, out).drop("at_")

@@ -13,8 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from causeway.functions.columns import hash_uniform
-from causeway.operators.graph import Dag, Edge, is_acyclic, nodes_of, parents, topological_order
-from causeway.operators.stats import contingency, relative_frequency, set_table
+from causeway.functions.scratch import small, stored
+from causeway.operators.graph import Dag, Edge, is_acyclic, nodes_of, parents, simple_paths, topological_order
+from causeway.operators.stats import conditional_mutual_information, contingency, powerset, relative_frequency, set_table, tradeoff
+
+
+#: Graphs whose similarities one job works out.
+TOGETHER = 20
 
 
 def empirical_joint(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -45,7 +50,7 @@ def factorised_joint(counts: DataFrame, dag: Iterable[Edge]) -> DataFrame:
     for node in topological_order(dag):
         given = list(parents(dag, node))
         t = cpt_mle(counts, node, given).select(*given, node, F.col("p").alias("p_"))
-        out = t.withColumnRenamed("p_", "p") if out is None else (out.join(t, given) if given else out.crossJoin(F.broadcast(t))).select(*have, node, (F.col("p") * F.col("p_")).alias("p"))
+        out = t.withColumnRenamed("p_", "p") if out is None else (out.join(t, given) if given else out.crossJoin(small(t))).select(*have, node, (F.col("p") * F.col("p_")).alias("p"))
         have.append(node)
     return out.select(*nodes_of(dag), "p")
 
@@ -152,8 +157,10 @@ def score_dags(df: DataFrame, dags: dict, cols: list[str], with_similarity: bool
     rows = []
     sims: dict = {}
     if with_similarity and dags:
-        union = reduce(DataFrame.unionByName, [similarity(counts, d).select(F.lit(k).alias("dag_id"), "similarity") for k, d in dags.items()])
-        sims = {r["dag_id"]: r["similarity"] for r in union.collect()}
+        ids = list(dags)
+        for at in range(0, len(ids), TOGETHER):  # plans of some graphs each; their shared tables are exchanged once a plan
+            union = reduce(DataFrame.unionByName, [similarity(counts, dags[k]).select(F.lit(k).alias("dag_id"), "similarity") for k in ids[at : at + TOGETHER]])
+            sims |= {r["dag_id"]: r["similarity"] for r in union.collect()}
     for k, d in dags.items():
         s = scores.score(d)
         rows.append((k, ", ".join(f"{p} -> {c}" for p, c in sorted(d)), int(s["k"]), s["ll"], s["aic"], s["bic"], sims.get(k)))
@@ -209,19 +216,72 @@ def inverse_cdf(table: DataFrame, node: str, given: list[str]) -> DataFrame:
     return t.select(*given, node, "lo_", F.when(last, F.lit(1.1)).otherwise(hi_).alias("hi_"))
 
 
-def ancestral_sample(spark: SparkSession, counts: DataFrame, dag: Iterable[Edge], n: int, uniform: Callable[[Column, int], Column] = hash_uniform) -> DataFrame:
-    """(row, nodes...): up to n rows drawn node by node in topological order; a row whose parent configuration was never seen is dropped.
+def draw(rows: DataFrame, counts: DataFrame, order: list[str], dag: Iterable[Edge], uniform: Callable[[Column, int], Column]) -> DataFrame:
+    """(row, nodes...) drawn for rows (row), node by node; a row whose parent configuration was never seen is left out.
 
-    The i-th node of row r uses the i-th stream at key r, so a run can be repeated anywhere. One broadcast-size join a node: tables have a row an observed cell.
+    A root's states are one array in one row (the states of one column), a child's table is joined on its parents.
     """
-    out, have = spark.range(n).withColumnRenamed("id", "row"), []
-    for i, node in enumerate(topological_order(dag)):
+    out, have = rows, []
+    for i, node in enumerate(order):
         given = list(parents(dag, node))
         t = inverse_cdf(cpt_mle(counts, node, given), node, given)
-        rows = out.withColumn("u_", uniform(F.col("row"), i))
-        inside = (F.col("u_") >= F.col("lo_")) & (F.col("u_") < F.col("hi_"))
-        t = t.select(*[F.col(c).alias(f"{c}_t") for c in given], node, "lo_", "hi_")
-        same = [F.col(c) == F.col(f"{c}_t") for c in given]
-        out = rows.join(t, reduce(lambda a, b: a & b, [*same, inside])).select("row", *have, node)
+        out = out.withColumn("u_", uniform(F.col("row"), i))
+        if given:
+            t = t.select(*[F.col(c).alias(f"{c}_t") for c in given], node, "lo_", "hi_")
+            inside = (F.col("u_") >= F.col("lo_")) & (F.col("u_") < F.col("hi_"))
+            out = out.join(t, reduce(lambda a, b: a & b, [*[F.col(c) == F.col(f"{c}_t") for c in given], inside])).select("row", *have, node)
+        else:
+            states = t.agg(F.sort_array(F.collect_list(F.struct("hi_", node))).alias("states_"))
+            drawn = F.filter("states_", lambda s: F.col("u_") < s["hi_"])[0][node]
+            out = out.crossJoin(F.broadcast(states)).select("row", *have, drawn.alias(node))
         have.append(node)
     return out
+
+
+def ancestral_sample(spark: SparkSession, counts: DataFrame, dag: Iterable[Edge], n: int, uniform: Callable[[Column, int], Column] = hash_uniform, rounds: int = 50) -> DataFrame:
+    """(row, nodes...): n rows drawn node by node in topological order. The i-th node of row r uses the i-th stream at key r, so a run can be repeated anywhere.
+
+    A row whose parent configuration was never seen is rejected and drawn again under a higher row number, as far as ``rounds`` go; without nodes of
+    several parents none can be. Every round is written.
+    """
+    order = topological_order(dag)
+    out = draw(spark.range(n).withColumnRenamed("id", "row"), counts, order, dag, uniform)
+    if all(len(parents(dag, x)) < 2 for x in order):
+        return out
+    out, upto = stored(out, "drawn"), n
+    for _ in range(rounds):
+        short = n - out.count()
+        if short <= 0:
+            break
+        more = stored(draw(spark.range(upto, upto + 2 * short).withColumnRenamed("id", "row"), counts, order, dag, uniform), "drawn")
+        upto += 2 * short
+        out = stored(out.unionByName(more.orderBy("row").limit(short)), "drawn")
+    return out
+
+
+def winner_edges(edges: DataFrame, ranked: DataFrame, k: int = 3) -> DataFrame:
+    """(dag_id, parent, child) of the graphs named most often among winners: ranked has a row (dag_id) each time a graph was among the best; ties go to the smaller id."""
+    best = ranked.groupBy("dag_id").agg(F.count("*").alias("times")).orderBy(F.desc("times"), "dag_id").limit(k)
+    return edges.join(F.broadcast(best.select("dag_id")), "dag_id", "left_semi")  # k rows
+
+
+def generator_rankings(metrics: DataFrame, by: str, k: int = 3) -> DataFrame:
+    """(ranking, rank, by, mean_mae, mean_ks, tradeoff): the k best by mean MAE, by mean KS and by the sum of both, min-max scaled. metrics: by, outcome, mae, ks."""
+    means = tradeoff(metrics.groupBy(by).agg(F.avg("mae").alias("mean_mae"), F.avg("ks").alias("mean_ks")), "mean_mae", "mean_ks")
+    means = means.select(by, "mean_mae", "mean_ks", "tradeoff")
+    rows = means.select("*", F.explode(F.create_map(*[x for c in ("mean_mae", "mean_ks", "tradeoff") for x in (F.lit(c), F.col(c))])).alias("ranking", "value_"))
+    rank = F.row_number().over(W.partitionBy("ranking").orderBy("value_", by))  # a row a generator
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("ranking", "rank", by, "mean_mae", "mean_ks", "tradeoff")
+
+
+def path_information(df: DataFrame, dag: Iterable[Edge], epsilon: float = 1e-5) -> DataFrame:
+    """(path, given, cmi, d_separated): for every simple path of three nodes or more between two nodes, the conditional mutual information of its ends given each set of nodes between."""
+    nodes = nodes_of(dag)
+    asked = [(p, z) for i, x in enumerate(nodes) for y in nodes[i + 1 :] for p in simple_paths(dag, x, y) if len(p) > 2 for z in powerset(p[1:-1])]
+    spark, schema = df.sparkSession, "path string, x string, y string, given string"
+    if not asked:
+        return spark.createDataFrame([], "path string, given string, cmi double, d_separated boolean")
+    pairs = sorted({(p[0], p[-1], tuple(sorted(z))) for p, z in asked})
+    found = conditional_mutual_information(df, pairs, epsilon).withColumn("given", F.array_join("given", ","))
+    paths = spark.createDataFrame([(">".join(p), p[0], p[-1], ",".join(sorted(z))) for p, z in asked], schema)
+    return paths.join(found, ["x", "y", "given"]).select("path", "given", "cmi", "d_separated")

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from causeway.functions.windows import exact_percentiles
+
 
 def bin_stats(df: DataFrame, col: str) -> DataFrame:
     """One row: n_rows, n (not null), lo, hi, q1, q3 (linear interpolation)."""
-    q = F.percentile(F.col(col), F.array(F.lit(0.25), F.lit(0.75)))
-    return df.agg(F.count("*").alias("n_rows"), F.count(col).alias("n"), F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), q[0].alias("q1"), q[1].alias("q3"))
+    row = df.agg(F.count("*").alias("n_rows"), F.count(col).alias("n"), F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
+    q = exact_percentiles(df, col, [0.25, 0.75])
+    return row.join(F.broadcast(q), F.lit(True), "left").select(*row.columns, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q3"))  # one row each
 
 
 def rule_k(rule: str, h: float | None = None) -> Column:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.windows import percent_rank_avg
+from causeway.functions.columns import nominal_values
+from causeway.functions.windows import percent_ranks_in_groups
 from causeway.operators.stats import relative_frequency
 
 
@@ -46,8 +49,8 @@ def edge_effects(counts: DataFrame, dag, codes: list[str]) -> DataFrame:
 
 
 def dummies(df: DataFrame, col: str) -> list[tuple[str, Column]]:
-    """0/1 columns of a nominal column's sorted values but the first. Reads the distinct values: a handful by the column's nature."""
-    values = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+    """0/1 columns of a nominal column's sorted values but the first; ValueError beyond MOST_VALUES values."""
+    values = nominal_values(df, col)
     return [(f"{col}={v}", F.when(F.col(col) == v, 1.0).otherwise(0.0)) for v in values[1:]]
 
 
@@ -55,14 +58,15 @@ def adjusted_effect(df: DataFrame, x: str, y: str, adjust: list[str], min_rows:
     """(feature, target, effect, method, n): the OLS coefficient of x on y given adjust, from one aggregate of cross moments.
 
     Nominal columns become dummies without their first value; several dummies of x give the sum of their absolute coefficients. Fewer than
-    min_rows complete rows give a null effect. A nominal target is taken as its category code under a linear model (method says so).
+    min_rows complete rows give a null effect. A nominal target of two values gives the coefficient of a logistic regression of its code; one of more
+    values is taken as its category code under a linear model (method says so).
     """
     rows = df.select(*dict.fromkeys([x, y, *adjust])).na.drop()
     nominal = {f.name for f in rows.schema if f.dataType.simpleString() == "string"}
     own = dummies(rows, x) if x in nominal else [(x, F.col(x).cast("double"))]
     rest = [t for z in adjust for t in (dummies(rows, z) if z in nominal else [(z, F.col(z).cast("double"))])]
     if y in nominal:
-        values = [r[0] for r in rows.select(y).distinct().orderBy(y).collect()]
+        values = nominal_values(rows, y)
         target = reduce(lambda acc, iv: F.when(F.col(y) == iv[1], float(iv[0])).otherwise(acc), enumerate(values), F.lit(None).cast("double"))
     else:
         target = F.col(y).cast("double")
@@ -78,8 +82,18 @@ def adjusted_effect(df: DataFrame, x: str, y: str, adjust: list[str], min_rows:
         return spark.createDataFrame([(x, y, None, "insufficient_data", moments["n"])], schema)
     a = np.array([[moments[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     b = np.linalg.lstsq(a, np.array([moments[f"y{i}"] for i in range(k)]), rcond=None)[0][1 : 1 + len(own)]
+    method = "linear_probability" if y in nominal else "ols"
+    if y in nominal and len(values) == 2:
+        b, method = logit_coefficients(rows, [t for _, t in own + rest], target)[: len(own)], "logit"
     effect = float(b[0]) if len(own) == 1 else float(np.abs(b).sum())
-    return spark.createDataFrame([(x, y, effect, "linear_probability" if y in nominal else "ols", moments["n"])], schema)
+    return spark.createDataFrame([(x, y, effect, method, moments["n"])], schema)
+
+
+def logit_coefficients(rows: DataFrame, terms: list[Column], target: Column) -> np.ndarray:
+    """Coefficients of the terms in an unpenalised logistic regression of a 0/1 target."""
+    names = [f"x{i}_" for i in range(len(terms))]
+    data = VectorAssembler(inputCols=names, outputCol="x_").transform(rows.select(target.alias("y_"), *[t.alias(n) for t, n in zip(terms, names)]))
+    return LogisticRegression(featuresCol="x_", labelCol="y_", maxIter=100, tol=1e-9).fit(data).coefficients.toArray()
 
 
 def spurious_flags(effects: DataFrame, importance: DataFrame, weak: float = 0.40, strong: float = 0.60) -> DataFrame:
@@ -89,8 +103,7 @@ def spurious_flags(effects: DataFrame, importance: DataFrame, weak: float = 0.40
     importance; coherent: effect and sensitivity of one sign.
     """
     rows = effects.join(importance, ["target", "feature"], "full").withColumns({"effect_abs": F.abs("effect"), "sens_abs": F.abs("sensitivity"), "perm_abs": F.abs("permutation")})
-    for v, out in (("effect_abs", "effect_pct"), ("sens_abs", "sens_pct"), ("perm_abs", "perm_pct")):
-        rows = percent_rank_avg(rows, v, ["target"], out)
+    rows = percent_ranks_in_groups(rows, {"effect_abs": "effect_pct", "sens_abs": "sens_pct", "perm_abs": "perm_pct"}, ["target"])
     flag = (F.col("effect_pct") <= weak) & ((F.col("sens_pct") >= strong) | (F.col("perm_pct") >= strong))
     sign = F.col("effect") * F.col("sensitivity") > 0
     return rows.withColumns({"spurious": F.coalesce(flag, F.lit(False)), "coherent": F.coalesce(sign, F.lit(False))})

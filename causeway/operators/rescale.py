@@ -13,15 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.columns import in_range, hash_normal, hash_uniform, masked, numeric_columns
+from causeway.functions.columns import hash_normal, hash_uniform, in_range, masked, numeric_columns
+from causeway.functions.scratch import stored
+from causeway.functions.windows import exact_percentiles, positions
 from causeway.operators import stats
 
 Model = Callable[[DataFrame], DataFrame]
 EPS = 1e-6
-
-
-def _percentile(col: str, p: float) -> Column:
-    return F.percentile(col, F.lit(p))
+#: Most candidates of a joint search, each a number or two; every row meets each.
+MOST_CANDIDATES = 100_000
 
 
 def cluster_of(x: Column, bounds: Sequence[float]) -> Column:
@@ -37,18 +37,20 @@ def scale_ranges(a: DataFrame, b: DataFrame, col: str, bounds: Sequence[float],
     """
     cap = 25.0 if cap is None and variant in ("minmax", "median") else cap
     split = lambda df: df.select(cluster_of(F.col(col), bounds).alias("cluster"), F.col(col).cast("double").alias("x")).filter("cluster is not null")
-    lo_a, hi_a, lo_b, hi_b = {
-        "percentile": (_percentile("x", 0.05), _percentile("x", 0.95), _percentile("x", 0.01), _percentile("x", 0.99)),
-        "minmax": (F.min("x"), F.max("x"), F.min("x"), F.max("x")),
-        "median": (_percentile("x", 0.05), _percentile("x", 0.95), F.median(F.when(F.col("x") != 0, F.col("x"))), F.median(F.when(F.col("x") != 0, F.col("x")))),
-        "whole": (_percentile("x", 0.05), _percentile("x", 0.95), _percentile("x", 0.05), _percentile("x", 0.95)),
-    }[variant]
-    right = split(b).groupBy("cluster").agg(lo_b.alias("lo_b"), hi_b.alias("hi_b"))
+
+    def ends(df: DataFrame, ps: list[float] | None, side: str, by: list[str]) -> DataFrame:
+        """(by..., lo_<side>, hi_<side>): the percentiles ps, or the extremes."""
+        if ps is None:
+            return df.groupBy(*by).agg(F.min("x").alias(f"lo_{side}"), F.max("x").alias(f"hi_{side}"))
+        return exact_percentiles(df, "x", ps, by).select(*by, F.col("q")[0].alias(f"lo_{side}"), F.col("q")[1].alias(f"hi_{side}"))
+
+    own = {"percentile": [0.05, 0.95], "minmax": None, "median": [0.05, 0.95], "whole": [0.05, 0.95]}[variant]
+    other = {"percentile": [0.01, 0.99], "minmax": None, "median": [0.5, 0.5], "whole": [0.05, 0.95]}[variant]
+    right = ends(split(b).filter("x <> 0") if variant == "median" else split(b), other, "b", ["cluster"])
     if variant == "whole":
-        left = a.select(F.col(col).cast("double").alias("x")).agg(lo_a.alias("lo_a"), hi_a.alias("hi_a"))
-        both = right.crossJoin(F.broadcast(left))  # one row
+        both = right.crossJoin(F.broadcast(ends(a.select(F.col(col).cast("double").alias("x")), own, "a", [])))  # one row
     else:
-        both = split(a).groupBy("cluster").agg(lo_a.alias("lo_a"), hi_a.alias("hi_a")).join(right, "cluster")
+        both = ends(split(a), own, "a", ["cluster"]).join(right, "cluster")
     s_min = F.greatest(F.col("lo_a") / F.greatest(F.col("hi_b"), F.lit(EPS)), F.lit(0.01))
     s_max = F.col("hi_a") / F.greatest(F.col("lo_b"), F.lit(EPS))
     return both.select("cluster", s_min.alias("s_min"), (F.least(s_max, F.lit(float(cap))) if cap else s_max).alias("s_max"))
@@ -139,6 +141,8 @@ def weight_search(df: DataFrame, cols: Sequence[str], model: Model, objective: O
 
 def joint_search(df: DataFrame, candidates: DataFrame, cols: Sequence[str], model: Model, objective: Objective) -> DataFrame:
     """candidates (i, f_<col>...) with value and ok: all columns scaled at once. candidates is a small table of the search's own, broadcast."""
+    if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates: search them in parts")
     rows = df.crossJoin(F.broadcast(candidates))
     rows = rows.withColumns({c: F.col(c) * F.col(f"f_{c}") for c in cols})
     return model(rows).groupBy("i", *[f"f_{c}" for c in cols]).agg(*objective.aggregates())
@@ -214,10 +218,20 @@ def augment_noise(df: DataFrame, key: str, cols: Sequence[str], sigma: float = 0
     return df.unionByName(noisy)
 
 
-def augment_interpolate(df: DataFrame, key: str, cols: Sequence[str] | None = None, shift: int = 7) -> DataFrame:
-    """df and a convex combination of each row with the row of key + shift (where there is one), by a repeatable weight; other columns of new rows are null."""
+def augment_interpolate(df: DataFrame, key: str, cols: Sequence[str] | None = None, shift: int | None = 7, seed: int = 42) -> DataFrame:
+    """df and a convex combination of each row with another, by a repeatable weight; other columns of new rows are null.
+
+    The other row is that of key + shift (where there is one) or, without shift, the next one in a seeded random order of all rows (the first for the last), so every row has a random partner.
+    """
     cols = list(cols or [c for c in numeric_columns(df) if c != key])
-    other = df.select((F.col(key) - shift).alias(key), *[F.col(c).alias(f"o_{c}") for c in cols])
     w = hash_uniform(F.col(key), 1)
-    new = df.select(key, *cols).join(other, key).select(*[(F.col(c) * w + F.col(f"o_{c}") * (1 - w)).alias(c) for c in cols])
+    if shift is None:
+        placed = positions(df.select(key, *cols), [], [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "at_")
+        placed = stored(placed, "placed")
+        n = placed.count()
+        other = placed.select(F.when(F.col("at_") == 1, n).otherwise(F.col("at_") - 1).alias("at_"), *[F.col(c).alias(f"o_{c}") for c in cols])
+        pairs = placed.join(other, "at_")
+    else:
+        pairs = df.select(key, *cols).join(df.select((F.col(key) - shift).alias(key), *[F.col(c).alias(f"o_{c}") for c in cols]), key)
+    new = pairs.select(*[(F.col(c) * w + F.col(f"o_{c}") * (1 - w)).alias(c) for c in cols])
     return df.unionByName(new, allowMissingColumns=True)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from causeway.functions.windows import running_totals
+from causeway.functions.scratch import stored
+from causeway.functions.windows import exact_percentiles, running_totals
 
 
 def contingency(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -101,19 +102,21 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
+def ks_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., ks, n_a, n_b) from (by..., v, a, b): how often each sample has the value v."""
+    rows = running_totals(counts, "v", ["a", "b"], by).withColumnsRenamed({"all_a": "n_a", "all_b": "n_b"}).filter("n_a > 0 and n_b > 0")
+    gap = F.abs(F.col("cum_a").cast("double") / F.col("n_a") - F.col("cum_b").cast("double") / F.col("n_b"))
+    return rows.groupBy(*by, "n_a", "n_b").agg(F.max(gap).alias("ks")).select(*by, "ks", "n_a", "n_b")
+
+
 def ks_statistic(a: DataFrame, b: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by..., ks, n_a, n_b): the largest distance of the two empirical distribution functions. Nulls don't count.
 
-    Counts a value are summed first; cumulative counts run in value buckets, so no task orders all values.
+    Counts a value are summed and stored first, so each sample is read once; cumulative counts run over ranges of values.
     """
     by = by or []
     both = a.select(*by, F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*by, F.col(value).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).filter("v is not null")
-    counts = both.groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    totals = counts.groupBy(*by).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    rows = running_totals(counts, "v", ["a", "b"], by)
-    rows = rows.join(totals, by) if by else rows.crossJoin(F.broadcast(totals))
-    gap = F.abs(F.col("cum_a").cast("double") / F.col("n_a") - F.col("cum_b").cast("double") / F.col("n_b"))
-    return rows.groupBy(*by, "n_a", "n_b").agg(F.max(gap).alias("ks")).select(*by, "ks", "n_a", "n_b")
+    return ks_of_counts(stored(both.groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "ks-counts"), by)
 
 
 def ks_p_value(ks: float, n_a: int, n_b: int, terms: int = 100) -> float:
@@ -141,9 +144,11 @@ def compare_responses(real: DataFrame, simulated: DataFrame, outcome: str, keys:
     """(by, n, mae, ks) for every group of simulated: response functions joined on equal keys, then error and distribution distance."""
     r = response_mean(real, outcome, keys).withColumnRenamed(outcome, "real_")
     s = response_mean(simulated, outcome, keys, [by]).withColumnRenamed(outcome, "sim_")
-    pairs = s.join(r, keys)
+    pairs = stored(s.join(r, keys).select(by, "real_", "sim_"), "responses")
     error = pairs.groupBy(by).agg(F.count("*").alias("n"), mae(F.col("real_"), F.col("sim_")).alias("mae"))
-    ks = ks_statistic(pairs.select(by, F.col("real_").alias("v")), pairs.select(by, F.col("sim_").alias("v")), "v", [by])
+    each = F.array(F.struct(F.col("real_").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("sim_").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counts = pairs.select(by, F.inline(each)).filter("v is not null").groupBy(by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    ks = ks_of_counts(stored(counts, "ks-counts"), [by])
     return error.join(ks.select(by, "ks"), by)
 
 
@@ -164,8 +169,9 @@ def domain_summary(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
 
     def one(df: DataFrame, name: str) -> DataFrame:
         parts = [F.struct(F.lit(c).alias("column"), F.col(f"{c}_n").alias("n"), F.col(f"{c}_lo").alias("lo"), F.col(f"{c}_q")[0].alias("q1"), F.col(f"{c}_q")[1].alias("median"), F.col(f"{c}_q")[2].alias("q3"), F.col(f"{c}_hi").alias("hi"), F.col(f"{c}_m").alias("mean"), F.col(f"{c}_s").alias("std"), F.col(f"{c}_d").alias("distinct")) for c in cols]
-        quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-        row = df.agg(*[x for c in cols for x in (F.count(c).alias(f"{c}_n"), F.min(F.col(c).cast("double")).alias(f"{c}_lo"), F.percentile(c, quartiles).alias(f"{c}_q"), F.max(F.col(c).cast("double")).alias(f"{c}_hi"), F.avg(c).alias(f"{c}_m"), F.stddev_samp(c).alias(f"{c}_s"), F.countDistinct(c).alias(f"{c}_d"))])
+        row = df.agg(*[x for c in cols for x in (F.count(c).alias(f"{c}_n"), F.min(F.col(c).cast("double")).alias(f"{c}_lo"), F.max(F.col(c).cast("double")).alias(f"{c}_hi"), F.avg(c).alias(f"{c}_m"), F.stddev_samp(c).alias(f"{c}_s"), F.countDistinct(c).alias(f"{c}_d"))])
+        for c in cols:
+            row = row.crossJoin(F.broadcast(exact_percentiles(df, c, [0.25, 0.5, 0.75]).withColumnRenamed("q", f"{c}_q")))  # one row each
         return row.select(F.lit(name).alias("domain"), F.inline(F.array(*parts)))
 
     return one(a, "a").unionByName(one(b, "b"))

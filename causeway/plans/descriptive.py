@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import columns, windows
+from causeway.functions.scratch import scratch_path
 from causeway.operators import bayes, binning, stats
+from causeway.sources import tables
 from causeway.sources.tables import read_table
 
 
@@ -120,8 +122,19 @@ def corr_matrix(spark, d):
 
 
 def variance_both(spark, d):
-    x = F.col("l_discount")
-    return _read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.var_pop(x), 9).alias("var_pop"), F.round(F.var_samp(x), 9).alias("var_samp"), F.round(F.stddev_samp(x), 9).alias("std"), F.round(F.median("l_quantity"), 6).alias("median"))
+    x, rows = F.col("l_discount"), _read(spark, d, "lineitem")
+    out = rows.groupBy("l_returnflag").agg(F.round(F.var_pop(x), 9).alias("var_pop"), F.round(F.var_samp(x), 9).alias("var_samp"), F.round(F.stddev_samp(x), 9).alias("std"))
+    return out.join(windows.exact_percentiles(rows, "l_quantity", [0.5], ["l_returnflag"]).select("l_returnflag", F.round(F.col("q")[0], 6).alias("median")), "l_returnflag", "left")
+
+
+def numbered_files(spark, d):
+    """Orders of three statuses written as numbered CSV files, read back as one table with the number in the path."""
+    root = scratch_path(spark, "numbered")
+    rows = _read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    for i, status in enumerate("FOP", 1):
+        tables.write_table(rows.filter(F.col("o_orderstatus") == status).select("o_orderkey", "o_totalprice"), f"{root}/sample_DAG{i}.csv")
+    got = tables.read_numbered(spark, f"{root}/sample_DAG*.csv", r"DAG(\d+)", "o_orderkey long, o_totalprice double")
+    return got.groupBy("dag_id").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"), F.round(F.max("o_totalprice"), 2).alias("most"))
 
 
 def _predicted(spark, d):
@@ -161,7 +174,7 @@ def csv_round_trip(spark, d):
     return union_tables(back, back.filter("o_orderstatus = 'F'")).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"))
 
 
-QUERIES = {f.__name__: f for f in (bin_fixed_width, bin_explicit_edges, bin_rule_comparison, bin_terrell_tail_merge, factorize_first_seen, bin_pipeline, rename_recode, conditional_scale_clip, distinct_sorted_values, empirical_joint, cpt_mle, cpt_laplace, response_mean, generator_compare, ks_two_sample, tradeoff_rank, percent_rank_avg, corr_matrix, variance_both, regression_metrics, tolerance_metrics, domain_comparison, histogram_counts, csv_round_trip)}
+QUERIES = {f.__name__: f for f in (bin_fixed_width, bin_explicit_edges, bin_rule_comparison, bin_terrell_tail_merge, factorize_first_seen, bin_pipeline, rename_recode, conditional_scale_clip, distinct_sorted_values, empirical_joint, cpt_mle, cpt_laplace, response_mean, generator_compare, ks_two_sample, tradeoff_rank, percent_rank_avg, corr_matrix, variance_both, regression_metrics, tolerance_metrics, domain_comparison, histogram_counts, csv_round_trip, numbered_files)}
 
 _CODE = "CASE WHEN {x} < {lo} OR {x} > {hi} THEN NULL WHEN {k} <= 1 THEN 0 ELSE CAST(len(list_filter(range(1, {k}), lambda i: i * (({hi} - {lo}) / {k}) + {lo} < {x})) AS INTEGER) END"
 
@@ -244,5 +257,6 @@ SELECT l_returnflag, round(a, 6) AS a, round(b, 6) AS b, round((a + b) / 2, 6) A
     ),
     "histogram_counts": """
 SELECT CAST(CASE WHEN l_quantity <= 5 THEN 0 WHEN l_quantity <= 10 THEN 1 WHEN l_quantity <= 25 THEN 2 WHEN l_quantity <= 40 THEN 3 ELSE 4 END AS INTEGER) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1""",
+    "numbered_files": "SELECT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS dag_id, count(*) AS n, max(o_orderkey) AS last, round(max(o_totalprice), 2) AS most FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1",
     "csv_round_trip": "SELECT o_orderstatus, CAST(count(*) * CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS BIGINT) AS n, CAST(sum(o_custkey) * CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS BIGINT) AS keys FROM orders GROUP BY 1",
 }

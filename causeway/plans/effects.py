@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import columns
 from causeway.functions.columns import hash_uniform_sql
-from causeway.operators import causal, models, rescale, stats
+from causeway.operators import bayes, causal, models, rescale, stats
 from causeway.sources.tables import read_table
 
 
@@ -63,6 +63,17 @@ def ols_dummy(spark, d):
     return _effect(spark, d, "l_quantity", "l_extendedprice", ["l_linestatus"])
 
 
+def logit_effect(spark, d):
+    out = causal.adjusted_effect(_items(spark, d), "l_quantity", "l_linestatus", ["l_discount"])
+    return out.select("feature", "target", F.round("effect", 6).alias("effect"), "method", "n")
+
+
+def generator_rankings(spark, d):
+    m = _items(spark, d).groupBy("l_linenumber", "l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mae"), F.round(F.avg("l_discount"), 9).alias("ks"))
+    out = bayes.generator_rankings(m.withColumnRenamed("l_returnflag", "outcome"), "l_linenumber")
+    return out.select("ranking", "rank", "l_linenumber", *[F.round(c, 6).alias(c) for c in ("mean_mae", "mean_ks", "tradeoff")])
+
+
 def _slopes(spark, d):
     """Effects, sensitivities and importances of two features on two targets in each line number, as regressions give them."""
     rows = _items(spark, d)
@@ -135,7 +146,7 @@ def cluster_scale_search(spark, d):
 
 def weight_search(spark, d):
     rows = _small(spark, d).withColumn("q", F.col("q") * 0.5)
-    return _found(spark, rescale.weight_search(rows, ["q", "u"], _model, OBJECTIVE, 0.5, 3.0, 0.25)[0], "weight")
+    return _found(spark, rescale.weight_search(rows, ["q", "u"], _model, OBJECTIVE, 0.5, 3.0, 0.01)[0], "weight")
 
 
 def grid_scale_search(spark, d):
@@ -145,7 +156,7 @@ def grid_scale_search(spark, d):
 
 
 def random_scale_search(spark, d):
-    out = rescale.joint_search(_small(spark, d), rescale.random_candidates(spark, ["q", "u"], 12), ["q", "u"], _model, OBJECTIVE)
+    out = rescale.joint_search(_small(spark, d), rescale.random_candidates(spark, ["q", "u"], 500), ["q", "u"], _model, OBJECTIVE)
     return out.select("i", F.round("f_q", 9).alias("f_q"), F.round("f_u", 9).alias("f_u"), F.round("value", 4).alias("value"))
 
 
@@ -167,6 +178,12 @@ def augment_interpolate(spark, d):
     return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 3).alias("mean_price"))
 
 
+def augment_random_pairs(spark, d):
+    rows = _orders(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    out = rescale.augment_interpolate(rows, "o_orderkey", ["o_totalprice"], shift=None)
+    return out.groupBy(F.col("o_orderstatus").isNull().alias("drawn")).agg(F.count("*").alias("n"))
+
+
 def augment_noise(spark, d):
     out = rescale.augment_noise(_orders(spark, d), "o_orderkey", ["o_totalprice"])
     return out.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean_price"))
@@ -181,10 +198,10 @@ def _labelled(spark, d):
 FEATURES = ["l_quantity", "l_discount", "l_linestatus"]
 
 
-def _refined(spark, d):
+def _refined(spark, d, rounds: int = 5):
     rows = _labelled(spark, d)
     train, test = models.split(rows, "key", 42)
-    return models.fit_refined(train, FEATURES, ("y", "t"), rounds=2, maxDepth=4, numTrees=8), test
+    return models.fit_refined(train, FEATURES, ("y", "t"), rounds, boosting={"maxIter": 10}, maxDepth=4, numTrees=8), test
 
 
 def rf_refined(spark, d):
@@ -192,11 +209,26 @@ def rf_refined(spark, d):
     return stats.regression_metrics(model.transform(test), [("y", "p_y"), ("t", "p_t")])
 
 
+def seed_sweep(spark, d):
+    """The seed whose forest did best on its own training rows and on fixed validation rows, and both R2."""
+    rows = _labelled(spark, d)
+    known, validation = models.split(rows, "key", 7)
+    fit = lambda train, seed: models.forest(train, FEATURES, "y", seed, maxDepth=4, numTrees=5)
+    _, best = models.seed_sweep(known, "key", "y", fit, validation, [1, 2, 3])
+    return spark.createDataFrame([(best["seed"], float(best["train"]), float(best["validation"]))], "seed int, train double, validation double")
+
+
+def separate_scales(spark, d):
+    model, test = _refined(spark, d, rounds=2)
+    out = models.separate_scales(test, model, {"y": ("l_quantity", 1.1)})
+    return stats.regression_metrics(out, [("y", "p_y"), ("t", "p_t")])
+
+
 def permutation_importance(spark, d):
     rows = _labelled(spark, d)
     model = models.forest(rows, FEATURES, "y", maxDepth=4, numTrees=8)
     predict = lambda df: model.transform(df.drop("p_y", "x_y"))
-    parts = [models.permutation_importance(rows, predict, "y", f, z, "key", repeats=2).select(F.lit(f).alias("feature"), "importance", "base_r2") for f, z in (("l_quantity", ["l_linestatus"]), ("l_discount", []))]
+    parts = [models.permutation_importance(rows, predict, "y", f, z, "key", repeats=10).select(F.lit(f).alias("feature"), "importance", "base_r2") for f, z in (("l_quantity", ["l_linestatus"]), ("l_discount", []))]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -225,7 +257,7 @@ def isotonic_calibration(spark, d):
     return fitted.apply(rows, "p", "c").agg(F.round(stats.r2(F.col("y"), F.col("p")), 6).alias("before"), F.round(stats.r2(F.col("y"), F.col("c")), 6).alias("after"))
 
 
-QUERIES = {f.__name__: f for f in (do_probability, do_probability_root, ace, ace_edges, ols_adjusted_1, ols_adjusted_2, ols_dummy, spurious_flags, scale_ranges, mid_range_scaling, greedy_scale_search, objective_variants, cluster_scale_search, weight_search, grid_scale_search, random_scale_search, refine_expression, augment_interpolate, augment_noise, rf_refined, permutation_importance, sensitivity, grid_search_cv, poly_calibration, isotonic_calibration)}
+QUERIES = {f.__name__: f for f in (logit_effect, generator_rankings, augment_random_pairs, seed_sweep, separate_scales, do_probability, do_probability_root, ace, ace_edges, ols_adjusted_1, ols_adjusted_2, ols_dummy, spurious_flags, scale_ranges, mid_range_scaling, greedy_scale_search, objective_variants, cluster_scale_search, weight_search, grid_scale_search, random_scale_search, refine_expression, augment_interpolate, augment_noise, rf_refined, permutation_importance, sensitivity, grid_search_cv, poly_calibration, isotonic_calibration)}
 
 _X = "b AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS x, l_linenumber AS z, CAST(l_linestatus = 'O' AS INTEGER) AS y, CAST(ceil(l_quantity / 10) AS INTEGER) AS w FROM lineitem)"
 _DO = """z AS (SELECT z, count(*)::DOUBLE / (SELECT count(*) FROM b) AS pz FROM b GROUP BY z),
@@ -260,7 +292,7 @@ def _best(name: str, q: str, u: str, xs, where: str = "b", kind: str = "r2") ->
     return f"{name} AS (SELECT f, v FROM (SELECT i, f, {_value(q, u, kind)} AS v FROM {where}, {_cand(xs)} GROUP BY i, f) ORDER BY v DESC, i LIMIT 1)"
 
 
-_W = rescale.frange(0.5, 3.0, 0.25)
+_W = rescale.frange(0.5, 3.0, 0.01)
 _GRID = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in (0.5, 1.0, 1.5) for b in (0.5, 1.0, 2.0))]
 
 
@@ -312,7 +344,15 @@ SELECT target, feature, round(ep, 9) AS effect_pct, round(sp, 9) AS sens_pct, ro
     "cluster_scale_search": f"WITH {_SMALL}, {_best('r1', '(CASE WHEN q BETWEEN 0 AND 20 THEN q * f ELSE q END)', 'u', FACTORS)}, {_best('r2', '(CASE WHEN q BETWEEN 20 AND 50 THEN q * f ELSE q END)', 'u', FACTORS)} SELECT round(avg(CASE WHEN q BETWEEN 20 AND 50 THEN q * (SELECT f FROM r2) WHEN q BETWEEN 0 AND 20 THEN q * (SELECT f FROM r1) ELSE q END), 6) AS mean_q, (SELECT f FROM r1) AS f_low, (SELECT f FROM r2) AS f_high FROM b",
     "weight_search": f"WITH {_SMALL}, {_best('r1', '(q * 0.5::DOUBLE) * f', 'u', _W)}, {_best('r2', '(q * 0.5::DOUBLE) * (SELECT f FROM r1)', 'u * f', _W)} SELECT 'weight' AS kind, 'q' AS col, f AS factor FROM r1 UNION ALL SELECT 'weight', 'u', f FROM r2",
     "grid_scale_search": f"WITH {_SMALL}, g AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, a, b in _GRID) + f") v(i, f_q, f_u)) SELECT i, f_q, f_u, round({_value('(q * f_q)', '(u * f_u)')}, 6) AS value FROM b, g GROUP BY 1, 2, 3",
-    "random_scale_search": f"WITH {_SMALL}, g AS (SELECT CAST(i AS INTEGER) AS i, {hash_uniform_sql('i', 0)} * (5 - 0.05::DOUBLE) + 0.05::DOUBLE AS f_q, {hash_uniform_sql('i', 1)} * (5 - 0.05::DOUBLE) + 0.05::DOUBLE AS f_u FROM (SELECT unnest(range(12)) AS i)) SELECT i, round(f_q, 9) AS f_q, round(f_u, 9) AS f_u, round({_value('(q * f_q)', '(u * f_u)')}, 4) AS value FROM b, g GROUP BY i, g.f_q, g.f_u",
+    "augment_random_pairs": "SELECT drawn, count(*) AS n FROM (SELECT unnest([false, true]) AS drawn FROM orders) GROUP BY drawn",
+    "generator_rankings": """
+WITH m AS (SELECT l_linenumber, l_returnflag, round(avg(l_extendedprice), 4) AS mae, round(avg(l_discount), 9) AS ks FROM lineitem GROUP BY 1, 2),
+g AS (SELECT l_linenumber, avg(mae) AS mean_mae, avg(ks) AS mean_ks FROM m GROUP BY 1),
+t AS (SELECT *, (mean_mae - min(mean_mae) OVER ()) / (max(mean_mae) OVER () - min(mean_mae) OVER ()) + (mean_ks - min(mean_ks) OVER ()) / (max(mean_ks) OVER () - min(mean_ks) OVER ()) AS tradeoff FROM g),
+r AS (SELECT 'mean_mae' AS ranking, CAST(row_number() OVER (ORDER BY mean_mae, l_linenumber) AS INTEGER) AS rank, * FROM t UNION ALL
+  SELECT 'mean_ks', CAST(row_number() OVER (ORDER BY mean_ks, l_linenumber) AS INTEGER), * FROM t UNION ALL SELECT 'tradeoff', CAST(row_number() OVER (ORDER BY tradeoff, l_linenumber) AS INTEGER), * FROM t)
+SELECT ranking, rank, l_linenumber, round(mean_mae, 6) AS mean_mae, round(mean_ks, 6) AS mean_ks, round(tradeoff, 6) AS tradeoff FROM r WHERE rank <= 3""",
+    "random_scale_search": f"WITH {_SMALL}, g AS (SELECT CAST(i AS INTEGER) AS i, {hash_uniform_sql('i', 0)} * (5 - 0.05::DOUBLE) + 0.05::DOUBLE AS f_q, {hash_uniform_sql('i', 1)} * (5 - 0.05::DOUBLE) + 0.05::DOUBLE AS f_u FROM (SELECT unnest(range(500)) AS i)) SELECT i, round(f_q, 9) AS f_q, round(f_u, 9) AS f_u, round({_value('(q * f_q)', '(u * f_u)')}, 4) AS value FROM b, g GROUP BY i, g.f_q, g.f_u",
     "refine_expression": f"WITH {_SMALL} SELECT l_linenumber, round(avg({_a}), 6) AS a, round(avg({_b}), 6) AS b FROM b GROUP BY 1",
     "augment_interpolate": f"""
 WITH n AS (SELECT o.o_totalprice * {hash_uniform_sql('o.o_orderkey', 1)} + p.o_totalprice * (1 - {hash_uniform_sql('o.o_orderkey', 1)}) AS o_totalprice FROM orders o JOIN orders p ON p.o_orderkey = o.o_orderkey + 7),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from causeway.functions import windows
 from causeway.functions.columns import hash_uniform_sql
+from causeway.functions.scratch import scratch_path
 from causeway.operators import bayes, graph, stats
+from causeway.sources import logs
 from causeway.sources.tables import read_table
 
 NODES = ["f", "s", "t"]
@@ -120,7 +122,68 @@ def sampled_against_real(spark, d):
     return windows.top_k(sample.groupBy("f", "s").agg(F.count("*").alias("n"), F.round(F.avg("t"), 6).alias("mean_t")), 5, F.desc("n"), "f", "s")
 
 
-QUERIES = {f.__name__: f for f in (dag_scores, dag_ranking, factorised_similarity, factorised_joint, param_counts, hill_climb_dag, laplace_log_likelihood, joint_entropy, cmi, cmi_powerset, dag_structures, v_structures, equivalence_classes, simple_paths, backdoor_sets, ancestral_sample, sampled_against_real)}
+COLUMNS = ["f", "p", "q", "s", "t"]
+BANNED = bayes.outcome_constraints(["t"], ["f", "s"])
+LARGER = frozenset({("f", "s"), ("s", "t"), ("f", "q"), ("q", "t")})
+FORCED = ("a", "c")
+#: Graphs named by each of four outcomes as its best.
+WINNERS = [1, 5, 2, 5, 1, 3, 5, 2, 2, 7, 1, 3]
+
+
+def node_trios(spark, d):
+    return spark.createDataFrame([(k, *v) for k, v in bayes.node_combinations(COLUMNS).items()], "trio_id int, a string, b string, c string")
+
+
+def dag_enumeration(spark, d):
+    every = bayes.enumerate_dags(NODES)
+    allowed, apart = set(bayes.enumerate_dags(NODES, BANNED)), set(bayes.without_direct_edges(every, [("f", "s")]))
+    return spark.createDataFrame([(_edges(x), len(x), x in allowed, x in apart) for x in every], "edges string, n_edges long, allowed boolean, apart boolean")
+
+
+def whitelist_edges(spark, d):
+    return spark.createDataFrame(sorted(bayes.whitelist(bayes.enumerate_dags(NODES, BANNED))), "parent string, child string")
+
+
+def forced_graphs(spark, d):
+    """Every graph with a forced edge, where that makes no cycle, and the graphs that are the same with it."""
+    forced = {}
+    for k, x in SHAPES.items():
+        try:
+            forced[k] = graph.forced_edges(x, [FORCED])
+        except ValueError:
+            continue
+    same = {k: ",".join(map(str, g)) for g in graph.duplicate_dags(forced) for k in g}
+    return spark.createDataFrame([(k, len(x), same.get(k, "")) for k, x in forced.items()], "dag_id int, n_edges long, same_as string")
+
+
+def path_information(spark, d):
+    out = bayes.path_information(_nominal(spark, d, True), LARGER)
+    return out.select("path", "given", F.round("cmi", 6).alias("cmi"), "d_separated")
+
+
+def winner_edges(spark, d):
+    return bayes.winner_edges(graph.edge_table(spark, DAGS), spark.createDataFrame([(k,) for k in WINNERS], "dag_id int"), 3)
+
+
+def scored_log(spark, d):
+    """Scored graphs written as log lines and read back."""
+    path = f"{scratch_path(spark, 'scored')}.log"
+    scored = bayes.score_dags(_nominal(spark, d), DAGS, NODES, with_similarity=False).withColumn("similarity", F.lit(0.5))
+    logs.dag_lines(scored).write.text(path)
+    back = logs.read_scored_dags(spark, path)
+    return back.select(F.col("dag_id").cast("int").alias("dag_id"), F.array_join(F.transform("edges", lambda e: F.concat_ws(" -> ", e["parent"], e["child"])), ", ").alias("edges"), "similarity", F.round("ll", 1).alias("ll"), F.round("bic", 1).alias("bic"))
+
+
+def dag_blocks(spark, d):
+    """Blocks of a graph log, read as edges with their score."""
+    path = f"{scratch_path(spark, 'blocks')}.log"
+    text = "\n".join(f"DAG {k}:\nEdges: [{', '.join(repr(e) for e in sorted(x))}]\nScore: {k}.5\n------" for k, x in SHAPES.items())
+    spark.createDataFrame([(text,)], "value string").write.text(path)
+    blocks = logs.read_dag_blocks(spark, path)
+    return logs.edge_rows(blocks).join(blocks.select("dag_id", "score"), "dag_id")
+
+
+QUERIES = {f.__name__: f for f in (dag_scores, dag_ranking, factorised_similarity, factorised_joint, param_counts, hill_climb_dag, laplace_log_likelihood, joint_entropy, cmi, cmi_powerset, dag_structures, v_structures, equivalence_classes, simple_paths, backdoor_sets, ancestral_sample, sampled_against_real, node_trios, dag_enumeration, whitelist_edges, forced_graphs, path_information, winner_edges, scored_log, dag_blocks)}
 
 _BASE = "b AS (SELECT l_returnflag AS f, l_linestatus AS s, l_linenumber AS t, CAST(ceil(l_quantity / 10) AS INTEGER) AS q FROM lineitem)"
 _N = "(SELECT count(*) FROM b)::DOUBLE"
@@ -212,7 +275,31 @@ def _smoothed(child: str, given: tuple[str, ...]) -> str:
 
 
 _LAPLACE = " + ".join(_smoothed(n, graph.parents({("f", "s"), ("s", "t")}, n)) for n in SEARCHED)
+_BITS = "v(bit, p, c)"
+_MASKS = f"""e AS (SELECT * FROM (VALUES (1, 'f', 's'), (2, 's', 'f'), (4, 'f', 't'), (8, 't', 'f'), (16, 's', 't'), (32, 't', 's')) {_BITS}),
+g AS (SELECT m, string_agg(p || ' -> ' || c, ', ' ORDER BY p, c) AS edges, count(*) AS n_edges FROM (SELECT unnest(range(64)) AS m) JOIN e ON (m & bit) > 0 GROUP BY m
+  HAVING count(*) >= 2 AND (m & 3) <> 3 AND (m & 12) <> 12 AND (m & 48) <> 48 AND (m & 25) <> 25 AND (m & 38) <> 38)"""
+_PATHS = [(p, z) for i, x in enumerate(sorted(SEARCHED)) for y in sorted(SEARCHED)[i + 1 :] for p in graph.simple_paths(LARGER, x, y) if len(p) > 2 for z in stats.powerset(p[1:-1])]
+
+
+def _path_sql(p: tuple[str, ...], z: tuple[str, ...]) -> str:
+    given = tuple(sorted(z))
+    return f"SELECT '{'>'.join(p)}' AS path, given, cmi, cmi < 1e-5 AS d_separated FROM ({_cmi(p[0], p[-1], given)})"
+
+
 SQL = {
+    "node_trios": "WITH n AS (SELECT unnest(['f', 'p', 'q', 's', 't']) AS x) SELECT CAST(row_number() OVER (ORDER BY a.x, b.x, c.x) AS INTEGER) AS trio_id, a.x AS a, b.x AS b, c.x AS c FROM n a JOIN n b ON a.x < b.x JOIN n c ON b.x < c.x",
+    "dag_enumeration": f"WITH {_MASKS} SELECT edges, n_edges, (m & 40) = 0 AS allowed, (m & 3) = 0 AS apart FROM g",
+    "whitelist_edges": f"WITH {_MASKS} SELECT DISTINCT p AS parent, c AS child FROM g JOIN e ON (m & bit) > 0 WHERE (m & 40) = 0",
+    "forced_graphs": f"""WITH RECURSIVE {_SHAPES},
+r AS (SELECT dag_id, child AS x FROM e WHERE parent = 'c' UNION SELECT r.dag_id, e.child FROM r JOIN e ON e.dag_id = r.dag_id AND e.parent = r.x),
+n AS (SELECT dag_id, parent, child FROM e UNION SELECT dag_id, 'a', 'c' FROM e),
+k AS (SELECT dag_id, count(*) AS n_edges, string_agg(parent || child, ' ' ORDER BY parent, child) AS own FROM n WHERE dag_id NOT IN (SELECT dag_id FROM r WHERE x = 'a') GROUP BY dag_id)
+SELECT dag_id, n_edges, CASE WHEN count(*) OVER (PARTITION BY own) > 1 THEN string_agg(CAST(dag_id AS VARCHAR), ',') OVER (PARTITION BY own ORDER BY dag_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE '' END AS same_as FROM k""",
+    "path_information": f"WITH {_BASE} " + " UNION ALL ".join(_path_sql(p, z) for p, z in _PATHS),
+    "winner_edges": "WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p}', '{c}')" for k, x in DAGS.items() for p, c in sorted(x)) + ") v(dag_id, parent, child)), w AS (SELECT k FROM (SELECT unnest(" + str(WINNERS) + ") AS k) GROUP BY k ORDER BY count(*) DESC, k LIMIT 3) SELECT * FROM e WHERE dag_id IN (SELECT k FROM w)",
+    "scored_log": f"{_WITH}, z AS ({_SCORED}) SELECT dag_id, edges, 0.5::DOUBLE AS similarity, round(round(ll, 2), 1) AS ll, round(round(ln({_N}) * k - 2 * ll, 2), 1) AS bic FROM z",
+    "dag_blocks": f"WITH {_SHAPES} SELECT dag_id, parent, child, dag_id + 0.5::DOUBLE AS score FROM e",
     "dag_scores": f"{_WITH}, z AS ({_SCORED}) SELECT dag_id, edges, k, round(ll, 3) AS ll, round(2 * k - 2 * ll, 3) AS aic, round(ln({_N}) * k - 2 * ll, 3) AS bic, round(similarity, 6) AS similarity FROM z",
     "dag_ranking": f"{_WITH}, z AS ({_SCORED}) SELECT dag_id, round(ln({_N}) * k - 2 * ll, 2) AS bic FROM z ORDER BY 2, round(2 * k - 2 * ll, 2), round(ll, 2) DESC, dag_id LIMIT 10",
     "factorised_similarity": f"WITH {_BASE}, {_family_sql('f', ())}, {_family_sql('s', ())}, {_family_sql('t', ('f', 's'))} SELECT round(({_similarity_sql(frozenset({('f', 't'), ('s', 't')}))}), 6) AS similarity",
