@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the session names in spark.checkpoint.dir, shared by all executors; a local one only where it is unset."""
+    """A fresh path in the folder that the session names in spark.checkpoint.dir, shared by all executors; where it is unset, a local one in local mode, else RuntimeError."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         root = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(root)
