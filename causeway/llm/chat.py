@@ -6,10 +6,11 @@ their first character (a turn that already holds such an escape gets one more),
 loss. The machine walks the roles and reports whether the order is valid and the first turn that is not; nothing is dropped.
 
 Scale: one shuffle by conversation with each text once; all else is per row. A conversation is one output string, so all its turns
-meet in one row by definition: the longest conversation bounds a row, not the corpus.
+meet in one row by definition: the longest conversation bounds a row, not the corpus. That holds for the rows without a conv_id too, which are one conversation:
+where they may be many, give them ids or filter them first.
 
 Cases: turns are ordered by (turn, role, text), null turn first, so ties and repeated rows have a fixed order and all count; a null text
-is empty, a null role is the role ''; a null conv_id is a conversation; unknown roles use the template's generic form; an empty table
+is empty, a null role is the role ''; rows of a null conv_id are one conversation; very long texts are escaped whole; unknown roles use the template's generic form; an empty table
 gives an empty result; extra columns are ignored.
 """
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 ARROW_ROWS = 1000
 #: Bytes of text that Python works on at a time.
 SLICE_BYTES = 1 << 20
+#: Paths of intermediate tables of this process, oldest first.
+MADE: list[str] = []
 
 
 def fold(text: Column) -> Column:
@@ -56,9 +59,11 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_B
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a local one only where it is unset (tests)."""
+    """The folder all executors share, as the session names it; where it is unset, a local one in local mode (tests), else RuntimeError."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         where = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(where)
@@ -67,7 +72,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It is noted in MADE, so that a caller who is done with what was written can remove it."""
+    MADE.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that fresh_path named."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

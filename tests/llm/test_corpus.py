@@ -207,6 +207,29 @@ def test_signatures_are_unbiased():
         assert (sig[i] == sig[j]).mean() == pytest.approx(near_dup.overlap_with(lead, np.zeros(len(h), int), h, c, 1)[0], abs=0.03)
 
 
+def test_bands_find_similar_pairs():
+    """Recall of the bands by exact similarity, 0.8 and more."""
+    import pyarrow as pa
+
+    rng, met, missed = random.Random(5), Counter(), Counter()
+    for _ in range(60):
+        base = invented(rng, rng.randrange(100, 500))
+        texts = [" ".join(base)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randrange(1, max(2, len(w) // 38))):
+                w[rng.randrange(len(w))] = "x%d" % rng.randrange(10**6)
+            texts.append(" ".join(w))
+        d, h, c = near_dup.shingle_bags(*near_dup.text_words(pa.array(texts)), len(texts))
+        times = near_dup.bag_minhash(d, h, c, len(texts), 120).reshape(len(texts), 24, 5)
+        sims = near_dup.overlap_with((h[d == 0], c[d == 0]), d, h, c, len(texts))
+        for i in range(1, len(texts)):
+            if sims[i] >= 0.8:
+                met[int(sims[i] * 20)] += 1
+                missed[int(sims[i] * 20)] += not (times[0] == times[i]).all(axis=1).any()
+    assert all(met[b] > 50 for b in (16, 17, 18, 19)) and not missed.total()
+
+
 def test_words_across_spans():
     import pyarrow as pa
 
