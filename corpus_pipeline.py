@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import small, stored, table, words
+from causeway.llm.common import MADE, removed, small, stored, table, words
 from causeway.llm.decontaminate import find_contamination
 from causeway.llm.mixing import mix_sources
 from causeway.llm.near_dup import near_duplicates
@@ -84,12 +84,15 @@ STAGES = [
     ("sharding", to_shards),
 ]
 
-#: SQL can express neither the toxicity scores nor the mix; tests hold the stages against brute force.
+#: SQL can express neither the toxicity scores nor the mix; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each stored for the next; what a stage wrote on the way is removed when its result is stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        made = len(MADE)
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        removed(spark, MADE[made:-1])
     return docs
