@@ -254,3 +254,21 @@ def test_announced_secrets_of_any_alphabet(spark):
     assert not any((i, value[i]) in flagged for i in value if i % 7 in (4, 5))
     long = spark.createDataFrame([(1, "abc" * 100, None, None, None)], SCHEMA)
     assert secrets.common_trigrams(long) == ["abc", "bca", "cab"]
+
+
+def test_clashing_columns_repeats_and_long_texts(spark, labelled):
+    docs, labels = labelled
+    rng = random.Random(7)
+    value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(1, f'token = "{value}"', "en", "s", 0), (1, f'token = "{value}"', "en", "s", 0), (2, " ".join([*prose(rng, 40_000), f"password={value}", "vilescum vilecur vilerat grubber"]), None, None, None)]
+    odd = spark.createDataFrame(rows, SCHEMA)
+    names = ["score", "passages", "n_tokens", "text_", "id", "y", "part", "left", "right", "candidate", "label", "nth", "path", "parts", "g", "n", "word", "secret", "features", "probability"]
+    more = odd.withColumns({n: F.lit("x") for n in names})
+    model = toxicity.train(docs.withColumns({n: F.lit("x") for n in names}), labels.withColumns({n: F.lit("x") for n in ("id", "y", "part", "text")}))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(toxicity.score_toxicity(more, model)) == plain(toxicity.score_toxicity(odd, model))
+    assert toxicity.reject_toxic(more, model).columns == more.columns
+    found = secrets.candidates(more)
+    assert sorted(r.id for r in found.filter(F.col("candidate") == value).collect()) == [1, 1, 2]
+    marked = secrets.label(found)
+    assert plain(secrets.scan_secrets(more, marked).select("doc_id", "candidate", "secret")) == plain(secrets.scan_secrets(odd, secrets.label(secrets.candidates(odd))).select("doc_id", "candidate", "secret"))
