@@ -320,7 +320,24 @@ w AS (SELECT DISTINCT dag_id, ['a'] AS p FROM e UNION ALL SELECT w.dag_id, list_
 f AS (SELECT * FROM w WHERE p[len(p)] = CASE WHEN dag_id IN (5, 6, 7) THEN 'd' ELSE 'c' END),
 i AS (SELECT f.*, EXISTS (SELECT 1 FROM e WHERE e.dag_id = f.dag_id AND parent = p[1] AND child = p[2]) AS fw1, EXISTS (SELECT 1 FROM e WHERE e.dag_id = f.dag_id AND parent = p[2] AND child = p[3]) AS fw2 FROM f)
 SELECT dag_id, array_to_string(p, '>') AS path, CASE WHEN len(p) = 2 THEN 'edge' WHEN len(p) > 3 THEN 'longer' WHEN fw1 = fw2 THEN 'chain' WHEN fw1 THEN 'collider' ELSE 'fork' END AS kind FROM i""",
-    "backdoor_sets": "SELECT * FROM (VALUES (5, 'indirect', '', 1, 2), (6, 'direct', '', 1, 3), (7, 'indirect', 'b', 1, 1)) v(dag_id, role, minimal, n_sets, n_causal_paths)",
+    "backdoor_sets": f"""WITH RECURSIVE {_SHAPES},
+u AS (SELECT dag_id, parent AS x, child AS y FROM e UNION SELECT dag_id, child, parent FROM e),
+w AS (SELECT DISTINCT dag_id, ['a'] AS p FROM e WHERE dag_id IN (5, 6, 7) UNION ALL SELECT w.dag_id, list_append(p, u.y) FROM w JOIN u ON u.dag_id = w.dag_id AND u.x = p[len(p)] AND NOT list_contains(p, u.y) AND p[len(p)] <> 'd'),
+f AS (SELECT * FROM w WHERE p[len(p)] = 'd'),
+r AS (SELECT dag_id, parent AS x, child AS y FROM e UNION SELECT r.dag_id, r.x, e.child FROM r JOIN e ON e.dag_id = r.dag_id AND e.parent = r.y),
+m AS (SELECT g.dag_id, v.s FROM (SELECT DISTINCT dag_id FROM e WHERE dag_id IN (5, 6, 7)) g, (VALUES (CAST([] AS VARCHAR[])), (['b']), (['c']), (['b', 'c'])) v(s)),
+ok AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.dag_id = m.dag_id AND r.x = 'a' AND list_contains(m.s, r.y))),
+k AS (SELECT f.dag_id, f.p, unnest(range(2, len(f.p))) AS k FROM f JOIN e ON e.dag_id = f.dag_id AND e.parent = f.p[2] AND e.child = f.p[1]),
+t AS (SELECT k.dag_id, k.p, k.p[k.k] AS mid, l.parent IS NOT NULL AND n.parent IS NOT NULL AS collider FROM k
+  LEFT JOIN e l ON l.dag_id = k.dag_id AND l.parent = k.p[k.k - 1] AND l.child = k.p[k.k] LEFT JOIN e n ON n.dag_id = k.dag_id AND n.parent = k.p[k.k + 1] AND n.child = k.p[k.k]),
+below AS (SELECT dag_id, x, list(y) AS ys FROM r GROUP BY dag_id, x),
+z AS (SELECT ok.dag_id, ok.s, t.p, bool_or(CASE WHEN t.collider THEN NOT list_contains(ok.s, t.mid) AND NOT list_has_any(ok.s, coalesce(below.ys, [])) ELSE list_contains(ok.s, t.mid) END) AS shut
+  FROM ok JOIN t ON t.dag_id = ok.dag_id LEFT JOIN below ON below.dag_id = t.dag_id AND below.x = t.mid GROUP BY 1, 2, 3),
+good AS (SELECT * FROM ok WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.dag_id = ok.dag_id AND z.s = ok.s AND NOT z.shut)),
+best AS (SELECT dag_id, array_to_string(s, ',') AS minimal, row_number() OVER (PARTITION BY dag_id ORDER BY len(s), array_to_string(s, ',')) AS nth, count(*) OVER (PARTITION BY dag_id) AS n_sets FROM good),
+direct AS (SELECT f.dag_id, f.p FROM f WHERE (SELECT count(*) FROM (SELECT unnest(range(1, len(f.p))) AS i) q JOIN e ON e.dag_id = f.dag_id AND e.parent = f.p[q.i] AND e.child = f.p[q.i + 1]) = len(f.p) - 1)
+SELECT b.dag_id, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.dag_id = b.dag_id AND parent = 'a' AND child = 'd') THEN 'direct' WHEN EXISTS (SELECT 1 FROM r WHERE r.dag_id = b.dag_id AND x = 'a' AND y = 'd') THEN 'indirect' ELSE 'unconnected' END AS role,
+  b.minimal, CAST(b.n_sets AS INTEGER) AS n_sets, CAST((SELECT count(*) FROM direct WHERE direct.dag_id = b.dag_id) AS INTEGER) AS n_causal_paths FROM best b WHERE nth = 1""",
     "ancestral_sample": f"{_SAMPLE} SELECT * FROM x",
     "sampled_against_real": f"{_SAMPLE} SELECT f, s, count(*) AS n, round(avg(t), 6) AS mean_t FROM x GROUP BY f, s ORDER BY n DESC, f, s LIMIT 5",
 }
