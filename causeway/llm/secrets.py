@@ -2,7 +2,8 @@
 
 Candidates are runs of at least 16 key characters. Features: length, character-class transitions, shares of digits, capitals and hex digits, distinct
 characters, dictionary coverage (share of the candidate's letter trigrams that are common in the corpus's words), the neighbouring words (words that
-announce secrets, harmless digests or placeholders; assignment and quotes) and the path (test or example places). A random forest is trained on labelled
+announce secrets, harmless digests or placeholders; assignment and quotes; and the probability that a logistic regression over
+the nearest words, hashed to NEAR_SLOTS slots, gives, so it is learnt which of them matter) and the path (test or example places). A random forest is trained on labelled
 findings, at most ``max_rows`` of them, and scores all candidates.
 
 Scale: one map over the texts; only texts with a candidate are marked and split, in linear time. Words of all texts are counted (combined map-side), then their
@@ -14,8 +15,8 @@ labels of both kinds the score is the share of label 1, or one half without any
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ ISSUED = (
 #: In front of the payload or the signature of a web token.
 WEB_TOKEN = r"\beyJ[0-9A-Za-z_\-]+\.([0-9A-Za-z_\-]+\.)?$"
 WORDS = r"[A-Za-z][a-z]{3,}|[A-Z]{5,}"
+#: Slots that the nearest words, four in front of a candidate and two behind, are hashed to.
+NEAR_SLOTS = 4096
 FEATURES = ["length", "transitions", "digits", "capitals", "hex", "distinct", "coverage", "announced", "harmless", "placeholder", "assigned", "quoted", "place"]
 
 
@@ -68,6 +71,7 @@ def with_features(found: DataFrame, trigrams: list[str]) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - 3, F.lit(0))), lambda i: F.concat_ws("", F.get("chars_", i), F.get("chars_", i + 1), F.get("chars_", i + 2)))
     common = F.filter(grams, lambda g: g.isin(trigrams)) if trigrams else F.array().cast("array<string>")
     around = F.concat_ws(" ", left, F.coalesce(F.col("right"), F.lit("")))
+    said = lambda x: F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z]{2,}"), F.lit(0))
     return found.withColumn("chars_", chars).withColumns({
         "length": size,
         "transitions": F.regexp_count(c, F.lit(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])")) / size,
@@ -82,9 +86,20 @@ def with_features(found: DataFrame, trigrams: list[str]) -> DataFrame:
         "assigned": flag(left.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(left.rlike(r"[\"']$")),
         "place": flag(F.col("path").rlike(PLACE)),
+        "near_words": F.concat(F.slice(F.reverse(said(left)), 1, 4), F.slice(said(F.col("right")), 1, 2)),
     }).drop("chars_")
 
 
+def hashed_words(found: DataFrame) -> DataFrame:
+    return HashingTF(inputCol="near_words", outputCol="near_slots", numFeatures=NEAR_SLOTS, binary=True).transform(found)
+
+
+def vectors(found: DataFrame, neighbours: LogisticRegressionModel) -> DataFrame:
+    """found with its features and what its neighbouring words say as one vector."""
+    told = neighbours.transform(hashed_words(found)).withColumn("neighbours", vector_to_array("near_said")[1]).drop("near_slots", "near_raw", "near_said", "near_label")
+    return VectorAssembler(inputCols=[*FEATURES, "neighbours"], outputCol="features").transform(told)
+
+
 def scan_secrets(docs: DataFrame, findings: DataFrame, *, max_rows: int = 20_000, trees: int = 24, depth: int = 7, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(id, nth, candidate, left, score, secret) of every candidate in docs. findings: path, left, candidate, right, label (0 or 1), the labelled findings."""
     trigrams = common_trigrams(docs, text_col)
@@ -95,9 +110,10 @@ def scan_secrets(docs: DataFrame, findings: DataFrame, *, max_rows: int = 20_000
     if len(kinds) < 2:
         score = F.lit(float(next(iter(kinds), 0.5)))
         return rows.select(F.col("id").alias(id_col), "nth", "candidate", "left", score.alias("score"), (score >= 0.5).alias("secret"))
-    vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(vector.transform(with_features(labelled, trigrams)))
-    out = forest.transform(vector.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+    labelled = with_features(labelled, trigrams)
+    neighbours = LogisticRegression(featuresCol="near_slots", regParam=0.01, standardization=False, rawPredictionCol="near_raw", probabilityCol="near_said", predictionCol="near_label").fit(hashed_words(labelled))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="0.6", maxBins=256).fit(vectors(labelled, neighbours))
+    out = forest.transform(vectors(rows, neighbours)).withColumn("score", vector_to_array("probability")[1])
     return out.select(F.col("id").alias(id_col), "nth", "candidate", "left", "score", (F.col("score") >= 0.5).alias("secret"))
 
 
