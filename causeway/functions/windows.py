@@ -87,12 +87,12 @@ def top_k(df: DataFrame, k: int, *order) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def permuted(numbered: DataFrame, col: str, within: list[str], key: str, seed: int, out: str) -> DataFrame:
+def permuted(numbered: DataFrame, col: str, within: list[str], key: str, seed: int | Column, out: str) -> DataFrame:
     """numbered with out: col shuffled among the rows of each group of within. numbered has at_, the place of the row by key in its group, as positions gives it.
 
     The i-th row by key receives the value of the i-th row by a seeded hash; both orders run over ranges, so a group may hold the whole table.
     """
-    drawn = positions(numbered.select(*within, key, F.col(col).alias(out)), within, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "at_")
+    drawn = positions(numbered.select(*within, key, F.col(col).alias(out)), within, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "at_")  # lit leaves a column as it is
     same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*within, "at_")])
     return numbered.alias("a").join(drawn.alias("b"), same).select("a.*", f"b.{out}")
 
