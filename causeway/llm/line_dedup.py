@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, id_col: str = "doc_id",
     marked = stored(docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(mark, "row long, id long, text string, keys array<binary>"), "marked-texts")
     found = marked.select("row", "id", F.explode("keys").alias("key"))
     repeats = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull().cast("int")).alias("none"))
-    repeats = small(stored(repeats.filter((F.col("first") < F.col("last")) | (F.col("first").isNotNull() & (F.col("none") == 1))).select("key", "first"), "repeated-lines"))
+    repeats = stored(repeats.filter((F.col("first") < F.col("last")) | (F.col("first").isNotNull() & (F.col("none") == 1))).select("key", "first"), "repeated-lines")
     lost = found.join(repeats, "key").filter(F.col("id").isNull() | (F.col("id") > F.col("first"))).select("row", "key").mapInArrow(digest, "row long, digest binary")
     lost = lost.groupBy("row").agg(F.collect_list("digest").alias("lost"))
     schema = "id long, n_lines long, n_dropped long, kept string"
