@@ -41,36 +41,48 @@ STEMS = (3, 4, 5, 6, 7, 8)
 #: Tokens from one place where a token counts in favour to the next: repeats in a phrase are no news, those in another passage are.
 AGAIN = 16
 #: Most tokens whose scores a worker remembers, and as many older ones.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
+#: Token counts a worker gathers before it passes them on.
+GATHERED = 200_000
 #: The highest score where nothing was learnt.
 NO_EVIDENCE = 0.49
 
 
+def log_odds(counts: dict[int, dict[str, tuple[int, int]]], base: float, prior: float) -> dict[int, dict[str, float]]:
+    """Of every token (level 0) and prefix (level: its length): log-odds against the base rate, each shrunk towards its next shorter prefix by prior."""
+    shares: dict[int, dict[str, float]] = {}
+    for level in (*STEMS, 0):
+        shares[level] = {t: (y + prior * nearest(shares, t, level, base)) / (n + prior) for t, (y, n) in counts.get(level, {}).items()}
+    at = math.log(base / (1 - base))
+    return {level: {t: math.log(x / (1 - x)) - at for t, x in own.items()} for level, own in shares.items()}
+
+
+def nearest(known: dict[int, dict[str, float]], token: str, below: int, otherwise: float) -> float:
+    """What is known of the longest prefix of fewer characters than below (0: of any length)."""
+    for level in reversed(STEMS):
+        if (level < below or not below) and (found := known.get(level, {}).get(token[:level])) is not None:
+            return found
+    return otherwise
+
+
 class TokenScores(dict):
-    """Token to score; missing tokens are worked out from their stems."""
+    """Token to score: its log-odds, or those of its longest known prefix, less the drift. The most recent ones are remembered."""
 
-    def __init__(self, shares: dict[tuple[int, str], tuple[int, int]], base: float, prior: float, drift: float) -> None:
+    def __init__(self, odds: dict[int, dict[str, float]], drift: float) -> None:
         super().__init__()
-        self.shares, self.base, self.prior, self.drift, self.older = shares, base, prior, drift, {}
+        self.odds, self.drift, self.older = odds, drift, {}
 
     def __missing__(self, token: str) -> float:
         out = self.older.get(token)
         if out is None:
-            out = self.worked_out(token)
+            out = self.odds.get(0, {}).get(token)
+            out = (nearest(self.odds, token, 0, 0.0) if out is None else out) - self.drift
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
         self[token] = out
         return out
 
-    def worked_out(self, token: str) -> float:
-        share = self.base
-        for level in (*STEMS, 0):
-            seen = self.shares.get((level, token[:level] if level else token))
-            if seen:
-                share = (seen[0] + self.prior * share) / (seen[1] + self.prior)
-        return math.log(share / (1 - share)) - math.log(self.base / (1 - self.base)) - self.drift
-
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, behind the last, score) by Ruzzo and Tompa's rule, in linear time; runs of positive scores enter as one."""
@@ -98,9 +110,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    shares: dict[tuple[int, str], tuple[int, int]]
+    odds: dict[int, dict[str, float]]  # by level, as log_odds gives them
     base: float
-    prior: float
     drift: float
     e_value: float
     rate: float = 1.0  # lambda
@@ -109,7 +120,7 @@ class Model:
     constant: float | None = None  # the smoothed share of label 1, if there is nothing to learn
 
     def scores(self) -> TokenScores:
-        return TokenScores(self.shares, self.base, self.prior, self.drift)
+        return TokenScores(self.odds, self.drift)
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float, list[tuple[int, int, float, float]]]:
         """(evidence of all segments together, ln(1 + passages), passages with E-values).
@@ -158,39 +169,47 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     ones, every = sum(r["y"] for r in counted), sum(r["n"] for r in counted)
     fit = [(r["y"], r["n"]) for r in counted if r["part"] > 0]
     fit_ones, fit_every = sum(f[0] for f in fit), sum(f[1] for f in fit)
-    model = Model({}, (fit_ones + 0.5) / (fit_every + 1), prior, drift, e_value)
+    model = Model({}, (fit_ones + 0.5) / (fit_every + 1), drift, e_value)
     if not 0 < fit_ones < fit_every:
         model.constant = (ones + 1) / (every + 2)
         return model
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shares: dict[tuple[int, str], list[int]] = {}
-        told = lambda: pd.DataFrame([(k[0], k[1], v[0], v[1]) for k, v in shares.items()], columns=["level", "token", "y", "n"])
-        for pdf in frames:
-            for y, text in zip(pdf.y.tolist(), pdf.text):
-                own = set(TOKEN.findall(text.lower()))
-                for level in (0, *STEMS):
-                    for token in {t[:level] for t in own} if level else own:
-                        seen = shares.setdefault((level, token), [0, 0])
-                        seen[0] += y
-                        seen[1] += 1
-                if len(shares) > REMEMBERED:
-                    yield told()
-                    shares.clear()
-        yield told()
-
-    shares = rows.filter("part > 0").select("y", "text").mapInPandas(count, "level int, token string, y long, n long").groupBy("level", "token").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
-    shares = shares.filter((F.col("n") >= min_docs) & ((F.col("y") > 0) | (F.col("n") * 8 >= prior))).toPandas()  # rarer ones without a toxic document hardly move the prior
-    model.shares = {(lv, t): (y, n) for lv, t, y, n in zip(shares.level.tolist(), shares.token.tolist(), shares.y.tolist(), shares.n.tolist())}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares: dict[int, dict[str, int]] = {level: {} for level in (0, *STEMS)}  # documents with the token times 2**32, plus toxic ones
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for level, own in shares.items():
+                both = np.fromiter(own.values(), np.int64, len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), level, np.int32)), pa.array(list(own), pa.string()), pa.array(both & 0xFFFFFFFF), pa.array(both >> 32)], ["level", "token", "y", "n"])
+                own.clear()
+
+        for batch in by_bytes(batches, "text"):
+            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+                tokens = set(TOKEN.findall(text.lower()))
+                for level, own in shares.items():
+                    for token in {t[:level] for t in tokens} if level else tokens:
+                        own[token] = own.get(token, 0) + (1 << 32) + y
+            if sum(map(len, shares.values())) > GATHERED:
+                yield from told()
+        yield from told()
+
+    counts = rows.filter("part > 0").select("y", "text").mapInArrow(count, "level int, token string, y long, n long").groupBy("level", "token").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    counts = counts.filter((F.col("n") >= min_docs) & ((F.col("y") > 0) | (F.col("n") * 8 >= prior)))  # rarer ones without a toxic document hardly move the prior
+    seen: dict[int, dict[str, tuple[int, int]]] = {}
+    for batch in counts.toArrow().to_batches():  # bounded by the sample's tokens
+        for level, token, y, n in zip(*(batch.column(c).to_pylist() for c in ("level", "token", "y", "n"))):
+            seen.setdefault(level, {})[token] = (y, n)
+    model.odds = log_odds(seen, model.base, prior)
+    del seen
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Model(**sent.value).scores()
-        for pdf in frames:
-            found = [scan(scores, t) for t in pdf.text]
-            yield pd.DataFrame({"y": pdf.y, "n": [f[0] for f in found], "all": [[s for _, _, s in f[1]] for f in found]})
+        for batch in by_bytes(batches, "text"):
+            found = [scan(scores, t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([f[0] for f in found], pa.int32()), pa.array([[s for _, _, s in f[1]] for f in found], pa.list_(pa.float64()))], ["y", "n", "all"])
 
-    held = rows.filter("part = 0").select("y", "text").mapInPandas(measure, "y int, n int, all array<double>").toPandas()
+    held = rows.filter("part = 0").select("y", "text").mapInArrow(measure, "y int, n int, all array<double>").toPandas()
     best = np.array([max(a, default=0.0) if a is not None else 0.0 for a in held["all"]])
     clean = (held.y == 0).to_numpy() & (held.n > 0).to_numpy()
     if clean.sum() >= 10 and best[clean].std() > 1e-6:

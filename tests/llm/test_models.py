@@ -195,9 +195,9 @@ def test_run(spark, sf_dir):
 
 def test_toxic_passages_after_uses_of_their_words():
     words = ["vilescum", "vilecur", "vilerat", "grubber", "grubling", "grubcur"]
-    scores = toxicity.TokenScores({}, 0.5, 60.0, 0.5)
+    scores = toxicity.TokenScores({}, 0.5)
     scores.update(dict.fromkeys(words, 2.0))
-    model = toxicity.Model({}, 0.5, 60.0, 0.5, 0.05)
+    model = toxicity.Model({}, 0.5, 0.5, 0.05)
     filler = ["an"] * 40
     late = [x for w in words for x in (w, *filler)] + words
     n, found = toxicity.scan(scores, " ".join(late))
@@ -272,3 +272,18 @@ def test_clashing_columns_repeats_and_long_texts(spark, labelled):
     assert sorted(r.id for r in found.filter(F.col("candidate") == value).collect()) == [1, 1, 2]
     marked = secrets.label(found)
     assert plain(secrets.scan_secrets(more, marked).select("doc_id", "candidate", "secret")) == plain(secrets.scan_secrets(odd, secrets.label(secrets.candidates(odd))).select("doc_id", "candidate", "secret"))
+
+
+def test_neighbouring_words_are_learnt(spark):
+    """Secrets and checksums of one alphabet, told apart only by words that no pattern knows; labels are the truth; judged on held-out documents."""
+    rng = random.Random(21)
+    rows, truth = [], {}
+    for i in range(600):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        truth[i] = rng.random() < 0.4
+        rows.append((i, " ".join([*prose(rng, 15), rng.choice(["zugangsmarke", "losungswort"] if truth[i] else ["pruefwert", "fingerabdruck"]), "ist", value, *prose(rng, 10)]), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = secrets.candidates(docs).withColumn("label", F.array_contains(F.array(*[F.lit(i) for i, t in truth.items() if t]), F.col("id").cast("int")).cast("int"))
+    out = secrets.scan_secrets(docs, labels.filter("id < 400")).filter("doc_id >= 400").collect()
+    hit, found, all_ = sum(r.secret and truth[r.doc_id] for r in out), sum(r.secret for r in out), sum(truth[r.doc_id] for r in out)
+    assert len(out) == 200 and hit / found > 0.95 and hit / all_ > 0.95, (hit, found, all_)
