@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import fold, fresh_path, small, stored
 
-#: State on disk, saved as changes; its caches share one bound on every executor.
+#: State on disk, saved as changes; its caches share one bound on every executor, and stores of a few rows claim no disk ahead.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
