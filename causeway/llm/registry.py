@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from causeway.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, mixing, near_dup, secrets, sharding, topk, toxicity
+from causeway.llm import chat, collocations, decontaminate, exact_dedup, lexical, licenses, line_dedup, mixing, near_dup, secrets, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_format_chats": chat.op9_format_chats,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_ranked_search": lexical.op11_ranked_search,
+        "op12_collocations": collocations.op12_collocations,
         "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op3_exact_topk": topk.OP3_SQL, "op6_near_duplicates": near_dup.OP6_SQL, "op9_format_chats": chat.OP9_SQL, "op13_exact_dedup": exact_dedup.OP13_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op3_exact_topk": topk.OP3_SQL, "op6_near_duplicates": near_dup.OP6_SQL, "op9_format_chats": chat.OP9_SQL, "op11_ranked_search": lexical.OP11_SQL, "op12_collocations": collocations.OP12_SQL, "op13_exact_dedup": exact_dedup.OP13_SQL}
