@@ -18,7 +18,7 @@ phrases of 2 to ``max_words`` words met at least ``min_count`` times; a cut afte
 Scale: beyond one row a shard, only phrases of a shard whose parts are frequent shuffle. The filter has 16 bits a phrase up to ``max_bits``; beyond, it lets more
 phrases through to be counted and the result stays exact. Scores are computed in decimals of 38 digits.
 
-Cases: a null text is empty, a null language is ``und`` (one language with those so named); very long texts are cut into slices only at piece borders; ties go
+Cases: a null text is empty, a null language is ``und`` (one language with those so named); very long texts are split whole, one at a time; ties go
 to the smaller k and, between phrases, to the larger count, then to the smaller phrase in byte order; repeated rows count as often as they occur; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -127,11 +127,11 @@ def inside(known: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
     return has(known[0], probes(hashes, known[0].size * 8, known[1])) if len(hashes) else np.zeros(0, bool)
 
 
-def levels(lang: str, words: list[str], text: np.ndarray, frequent: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int] | None, max_words: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+def levels(lang: str, words: pa.StringArray, text: np.ndarray, frequent: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int] | None, max_words: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(phrases, counts) of a shard's trie level by level, sorted. Without pairs: the second level over frequent words; with: the deeper ones over frequent pairs."""
-    size, hashes = len(words) + 1, word_hashes(lang, words)
+    size, hashes = len(words) + 1, word_hashes(lang, words.to_pylist())
     good = np.concatenate([[False], inside(frequent, hashes)])
-    strings = pa.array(["", *words], pa.string())
+    strings = pa.concat_arrays([pa.array([""], pa.string()), words.cast(pa.string())])
     begins = np.flatnonzero(good[text[:-1]] & good[text[1:]])  # where a pair of frequent words begins
     nodes, which = np.unique(text[begins].astype(np.int64) * size + text[begins + 1], return_inverse=True)
     phrases = pc.binary_join_element_wise(strings.take(pa.array(nodes // size)), strings.take(pa.array(nodes % size)), " ")
@@ -159,12 +159,13 @@ def tries(shards: DataFrame, frequent: tuple[np.ndarray, int], pairs: tuple[np.n
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                for phrases, counts in levels(row["lang"], row["words"], unpacked(row["text"], np.int32), *sent.value, max_words):
+            for lang, words, text in zip(*(batch.column(c) for c in ("lang", "words", "text"))):
+                for phrases, counts in levels(lang.as_py(), words.values, unpacked(text.as_py(), np.int32), *sent.value, max_words):
                     for lo in range(0, len(phrases), 1 << 16):
                         own = phrases.slice(lo, 1 << 16)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["lang"]), len(own)), own, pa.array(counts[lo : lo + (1 << 16)], pa.int64())], ["lang", "phrase", "n"])
-            pa.default_memory_pool().release_unused()
+                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), own, pa.array(counts[lo : lo + (1 << 16)], pa.int64())], ["lang", "phrase", "n"])
+                    del phrases, counts
+                pa.default_memory_pool().release_unused()
 
     return shards.select("lang", "words", "text").mapInArrow(nodes, TRIE)
 
@@ -189,6 +190,11 @@ def linked(phrases: DataFrame, max_words: int) -> list[DataFrame]:
     return out
 
 
+def cut_score(a: str, n: str, left: str, right: str) -> Column:
+    """floor(1000 a n / (l r)), exact beyond 64 bits."""
+    return F.expr(f"(CAST(1000 * {a} AS DECIMAL(19, 0)) * CAST({n} AS DECIMAL(18, 0))) div (CAST({left} AS DECIMAL(18, 0)) * CAST({right} AS DECIMAL(18, 0)))")
+
+
 def collocations(docs: DataFrame, *, min_count: int = 100, max_words: int = 5, first: int = 2000, drop_percent: int = 100, text_col: str = "text", lang_col: str = "lang", max_bits: int = 1 << 30) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first candidates by score. drop_percent: the share of a candidate's count at which a longer one displaces it."""
     text_batches(docs.sparkSession)
@@ -206,8 +212,7 @@ def collocations(docs: DataFrame, *, min_count: int = 100, max_words: int = 5, f
     within = nodes.select("lang", F.explode(F.array("parent", "suffix")).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
     kept = nodes.join(within, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < drop_percent * F.col("n")))
     rows = kept.join(totals, "lang").select("lang", "phrase", F.col("n").alias("a"), F.col("total").alias("n"), F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("lefts")).alias("k"), F.col("lefts").alias("l"), F.col("rights").alias("r"))).alias("cut"))
-    score = F.expr("(CAST(1000 * a AS DECIMAL(19, 0)) * CAST(n AS DECIMAL(18, 0))) div (CAST(cut.l AS DECIMAL(18, 0)) * CAST(cut.r AS DECIMAL(18, 0)))")
-    best = rows.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "cut.k", "cut.l", "cut.r")).alias("x"))
+    best = rows.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(cut_score("a", "n", "cut.l", "cut.r").alias("score"), "cut.k", "cut.l", "cut.r")).alias("x"))
     best = best.select("lang", "phrase", "a", "x.l", "x.r", "n", "x.score")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= first).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
