@@ -192,7 +192,7 @@ def linked(phrases: DataFrame, max_words: int) -> list[DataFrame]:
 
 def cut_score(a: str, n: str, left: str, right: str) -> Column:
     """floor(1000 a n / (l r)), exact beyond 64 bits."""
-    return F.expr(f"(CAST(1000 * {a} AS DECIMAL(19, 0)) * CAST({n} AS DECIMAL(18, 0))) div (CAST({left} AS DECIMAL(18, 0)) * CAST({right} AS DECIMAL(18, 0)))")
+    return F.expr(f"(1000 * CAST({a} AS DECIMAL(17, 0)) * CAST({n} AS DECIMAL(17, 0))) div (CAST({left} AS DECIMAL(18, 0)) * CAST({right} AS DECIMAL(18, 0)))")
 
 
 def collocations(docs: DataFrame, *, min_count: int = 100, max_words: int = 5, first: int = 2000, drop_percent: int = 100, text_col: str = "text", lang_col: str = "lang", max_bits: int = 1 << 30) -> DataFrame:
