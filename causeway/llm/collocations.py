@@ -5,17 +5,17 @@ phrases of 2 to ``max_words`` words met at least ``min_count`` times; a cut afte
 
 1. ``encode`` cuts the texts of a language into shards of bounded size and stores each with its sorted words and its text as word numbers, compressed.
    So texts are split once.
-2. ``tries`` counts a shard's phrases level by level: a node is (its parent, a word), numbered by sorting, so nodes come out in the order of a sorted trie. A
-   level's nodes are only opened where the level below them is frequent over all shards: words first, then pairs, then all deeper levels in one pass over
-   nodes whose pairs are all frequent (a phrase can't be more frequent than its parts). What is frequent goes to the tasks as a Bloom filter, so a false
-   positive costs a count and changes none.
-3. Sorted tries of all shards are stored and merged by ranges of (language, phrase): equal phrases share a range, Spark draws the ranges from a sample, a phrase
-   occurs once a shard, so no phrase is hot.
+2. ``levels`` counts a shard's phrases level by level: a node is (its parent, a word), numbered by sorting, so nodes come out in the order of a sorted trie. A
+   level's nodes are only opened where the level above is frequent over all shards (a phrase can't be more frequent than its parts). Which
+   are, is found for words, pairs and triples by counting hashes: sorted, cut by ranges, sent as differences, about three bytes each. What is
+   frequent goes to the tasks as a Bloom filter; a false positive costs a count and changes none.
+3. ``tries`` then writes every shard's trie, sorted, down to ``max_words``, and ``merged`` merges them by ranges of (language, phrase): equal phrases share a
+   range, Spark draws the ranges from a sample, a phrase occurs once a shard, so no phrase is hot.
 4. ``linked`` walks the merged trie level by level: a node's left parts are its parent's and its parent itself; its right parts are found over its suffix link
    (the phrase without its first word) and that node's own. Both are joins of frequent phrases.
 5. A candidate inside a longer one as frequent as itself is dropped. One word more is enough to look at: what holds it in a still longer phrase holds it there too.
 
-Scale: beyond one row a shard, only phrases of a shard whose parts are frequent shuffle. The filter has 16 bits a phrase up to ``max_bits``; beyond, it lets more
+Scale: hashes of phrases shuffle only where their parts are frequent, phrases themselves only where their first three levels are. A filter has 16 bits a phrase up to ``max_bits``; beyond, it lets more
 phrases through to be counted and the result stays exact. Scores are computed in decimals of 38 digits.
 
 Cases: a null text is empty, a null language is ``und`` (one language with those so named); very long texts are split whole, one at a time; ties go
@@ -49,6 +49,9 @@ SHARD_BYTES, OPEN_BYTES = 16 << 20, 32 << 20
 SHARDS = "lang string, size long, words array<string>, counts array<long>, text binary"
 TRIE = "lang string, phrase string, n long"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the hashes that are counted, levels of which they are, hashes a task merges at a time, words a range at least.
+BITS, HASHED, MERGED, RANGE_WORDS = 44, 3, 1 << 21, 20_000_000
+Filter = tuple[np.ndarray, int]
 
 
 def encode(texts: DataFrame) -> DataFrame:
@@ -95,76 +98,117 @@ def word_hashes(lang: str, words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], dtype=np.uint64)
 
 
-def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def longer_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of all words but the last, and of the last."""
     x = a * MIX ^ (b + (a >> np.uint64(29)))
     return (x ^ (x >> np.uint64(32))) * MIX
 
 
-def phrase_hashes(lang: str, phrases: list[str]) -> np.ndarray:
-    """Hashes of words, or of pairs of words, as tries look them up."""
-    parts = [p.split(" ") for p in phrases]
-    first = word_hashes(lang, [p[0] for p in parts])
-    return pair_hashes(first, word_hashes(lang, [p[1] for p in parts])) if parts and len(parts[0]) == 2 else first
+def levels(lang: str, words: pa.StringArray, text: np.ndarray, filters: list[Filter], upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(parent, last word, hash, count) of the nodes of a shard's trie, level by level and sorted; parents are numbers of the level above, words count from 1.
+
+    Nodes that the filter of their level doesn't hold are left out. A phrase is a node only if both phrases of one word less in it are.
+    """
+    text, size = text.astype(np.int64), len(words) + 1
+    one = np.concatenate([np.zeros(1, np.uint64), word_hashes(lang, words.to_pylist())])
+    parent, last, hashes, counts = np.zeros(size - 1, np.int64), np.arange(1, size), one[1:], np.bincount(text, minlength=size)[1:]
+    at = text - 1  # the node of the phrase that begins at a place, -1: none
+    for depth in range(1, upto + 1):
+        if depth > 1:
+            begins = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+            nodes, which = np.unique(at[begins] * size + text[begins + depth - 1], return_inverse=True)
+            parent, last, counts = nodes // size, nodes % size, np.bincount(which, minlength=len(nodes))
+            hashes = longer_hashes(hashes[parent], one[last])
+            at = np.full(len(text), -1, np.int64)
+            at[begins] = which
+            del begins, nodes, which
+        if depth <= len(filters):
+            kept = inside(filters[depth - 1], hashes)
+            parent, last, hashes, counts = parent[kept], last[kept], hashes[kept], counts[kept]
+            number = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)
+            at = number[at]
+        yield parent, last, hashes, counts
+
+
+def hash_counts(shards: DataFrame, filters: list[Filter], min_count: int, ranges: int) -> DataFrame:
+    """(h): the hashes, in blobs, of phrases one word longer than the filters know that occur min_count times at least.
+
+    A shard's hashes go out sorted and cut by range, as differences; a range is merged at a time. Hashes fall evenly, so no range is hot.
+    """
+    sent = shards.sparkSession.sparkContext.broadcast(filters)
+    edges = np.array([(i << BITS) // ranges for i in range(1, ranges)], np.uint64)
+
+    def count_up(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, which = np.unique(np.concatenate(h), return_inverse=True)
+        return keys, np.minimum(np.bincount(which, np.concatenate(n), len(keys)), min_count).astype(np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words, text in zip(*(batch.column(c) for c in ("lang", "words", "text"))):
+                *_, (_, _, hashes, counts) = levels(lang.as_py(), words.values, unpacked(text.as_py(), np.int32), sent.value, len(sent.value) + 1)
+                keys, n = count_up([hashes >> np.uint64(64 - BITS)], [counts])
+                at = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                own = np.flatnonzero(np.diff(at))
+                steps = [np.diff(keys[at[r] : at[r + 1]], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T for r in own]  # bytes of one weight side by side
+                cols = [pa.array(own, pa.int32()), pa.array([packed(x) for x in steps], pa.binary()), pa.array([packed(n[at[r] : at[r + 1]].astype(np.uint32)) for r in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "keys", "n"])
+                del hashes, counts, keys, n, steps
+                pa.default_memory_pool().release_unused()
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, n, waiting = -1, [], [], 0
 
-def frequent_filter(phrases: DataFrame, max_bits: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter of (lang, phrase), phrases of one length, and its probes a phrase."""
-    bits, k = filter_shape(phrases.count(), 16, max_bits)
+        def frequent() -> pa.RecordBatch:
+            whole, total = count_up(keys, n)
+            return pa.RecordBatch.from_arrays([pa.array([whole[total >= min_count].tobytes()], pa.binary())], ["h"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, own = np.array(batch.column("lang").to_pylist(), object), np.array(batch.column("phrase").to_pylist(), object)
-            for lang in set(langs):
-                yield pa.RecordBatch.from_arrays([pa.array([phrase_hashes(lang, own[langs == lang].tolist()).tobytes()], pa.binary())], ["h"])
-
+            for part, k, c in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "n"))):
+                if part != now and keys:
+                    yield frequent()
+                    keys, n, waiting = [], [], 0
+                now = part
+                keys.append(np.cumsum(np.ascontiguousarray(unpacked(k, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()))
+                n.append(unpacked(c, np.uint32).astype(np.int64))
+                waiting += len(keys[-1])
+                if waiting > MERGED:
+                    first, total = count_up(keys, n)
+                    keys, n, waiting = [first], [total], 0
+        if keys:
+            yield frequent()
+
+    parts = shards.select("lang", "words", "text").mapInArrow(cut, "part int, keys binary, n binary")
+    return parts.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(merge, "h binary")
+
+
+def frequent_filter(hashes: DataFrame, max_bits: int) -> Filter:
+    """A Bloom filter of hashes in blobs, and its probes a phrase."""
+    bits, k = filter_shape(hashes.agg(F.sum(F.octet_length("h"))).first()[0] // 8 if not hashes.isEmpty() else 0, 16, max_bits)
     bitmap = np.zeros(bits // 8, np.uint8)
-    for (h,) in phrases.select("lang", "phrase").mapInArrow(hashed, "h binary").toLocalIterator():
-        put(bitmap, probes(np.frombuffer(h, np.uint64), bits, k))
+    for (h,) in hashes.toLocalIterator():
+        put(bitmap, probes(np.frombuffer(h, np.uint64) * MIX, bits, k))
     return bitmap, k
 
 
-def inside(known: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
-    return has(known[0], probes(hashes, known[0].size * 8, known[1])) if len(hashes) else np.zeros(0, bool)
-
-
-def levels(lang: str, words: pa.StringArray, text: np.ndarray, frequent: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int] | None, max_words: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) of a shard's trie level by level, sorted. Without pairs: the second level over frequent words; with: the deeper ones over frequent pairs."""
-    size, hashes = len(words) + 1, word_hashes(lang, words.to_pylist())
-    good = np.concatenate([[False], inside(frequent, hashes)])
-    strings = pa.concat_arrays([pa.array([""], pa.string()), words.cast(pa.string())])
-    begins = np.flatnonzero(good[text[:-1]] & good[text[1:]])  # where a pair of frequent words begins
-    nodes, which = np.unique(text[begins].astype(np.int64) * size + text[begins + 1], return_inverse=True)
-    phrases = pc.binary_join_element_wise(strings.take(pa.array(nodes // size)), strings.take(pa.array(nodes % size)), " ")
-    if pairs is None:
-        yield phrases, np.bincount(which, minlength=len(nodes))
-        return
-    known = inside(pairs, pair_hashes(hashes[nodes // size - 1], hashes[nodes % size - 1]))
-    at = np.full(len(text), -1, np.int64)  # the node of the phrase that begins at a place, -1: none
-    at[begins] = np.where(known[which], which, -1)
-    pair_at = at >= 0
-    for depth in range(3, max_words + 1):
-        begins = np.flatnonzero(at >= 0)
-        begins = begins[begins + depth <= len(text)]
-        begins = begins[pair_at[begins + depth - 2]]
-        nodes, which = np.unique(at[begins] * size + text[begins + depth - 1], return_inverse=True)
-        phrases = pc.binary_join_element_wise(phrases.take(pa.array(nodes // size)), strings.take(pa.array(nodes % size)), " ")
-        yield phrases, np.bincount(which, minlength=len(nodes))
-        at = np.full(len(text), -1, np.int64)
-        at[begins] = which
-
-
-def tries(shards: DataFrame, frequent: tuple[np.ndarray, int], pairs: tuple[np.ndarray, int] | None, max_words: int) -> DataFrame:
-    """The nodes of every shard's trie as TRIE says."""
-    sent = shards.sparkSession.sparkContext.broadcast((frequent, pairs))
+def inside(known: Filter, hashes: np.ndarray) -> np.ndarray:
+    return has(known[0], probes((hashes >> np.uint64(64 - BITS)) * MIX, known[0].size * 8, known[1])) if len(hashes) else np.zeros(0, bool)
+
+
+def tries(shards: DataFrame, filters: list[Filter], max_words: int) -> DataFrame:
+    """The nodes of every shard's trie as TRIE says, sorted, as far as the filters let them through."""
+    sent = shards.sparkSession.sparkContext.broadcast(filters)
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, words, text in zip(*(batch.column(c) for c in ("lang", "words", "text"))):
-                for phrases, counts in levels(lang.as_py(), words.values, unpacked(text.as_py(), np.int32), *sent.value, max_words):
+                strings = pa.concat_arrays([pa.array([""], pa.string()), words.values.cast(pa.string())])
+                phrases = None
+                for parent, last, _, counts in levels(lang.as_py(), words.values, unpacked(text.as_py(), np.int32), sent.value, max_words):
+                    ends = strings.take(pa.array(last))
+                    phrases = ends if phrases is None else pc.binary_join_element_wise(phrases.take(pa.array(parent)), ends, " ")
                     for lo in range(0, len(phrases), 1 << 16):
                         own = phrases.slice(lo, 1 << 16)
                         yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), own, pa.array(counts[lo : lo + (1 << 16)], pa.int64())], ["lang", "phrase", "n"])
-                    del phrases, counts
                 pa.default_memory_pool().release_unused()
 
     return shards.select("lang", "words", "text").mapInArrow(nodes, TRIE)
@@ -200,14 +244,12 @@ def collocations(docs: DataFrame, *, min_count: int = 100, max_words: int = 5, f
     text_batches(docs.sparkSession)
     shards = stored(encode(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))), "shards")
     totals = shards.groupBy("lang").agg(F.sum("size").alias("total"))
-    words = shards.select("lang", F.explode(F.arrays_zip(F.col("words").alias("phrase"), F.col("counts").alias("n"))).alias("x")).select("lang", "x.phrase", "x.n")
-    words = merged(words, min_count)
-    frequent = frequent_filter(words, max_bits)
-    pairs = merged(tries(shards, frequent, None, max_words), min_count)
-    found = [words, pairs]
-    if max_words > 2:
-        found.append(merged(tries(shards, frequent, frequent_filter(pairs, max_bits), max_words), min_count))
-    steps = linked(reduce(DataFrame.unionByName, found), max_words)
+    total = shards.agg(F.sum("size")).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_WORDS)
+    filters: list[Filter] = []
+    for depth in range(1, min(max_words, HASHED) + 1):
+        filters.append(frequent_filter(stored(hash_counts(shards, filters, min_count, ranges), f"frequent-{depth}"), max_bits))
+    steps = linked(merged(tries(shards, filters, max_words), min_count), max_words)
     nodes = reduce(DataFrame.unionByName, steps[1:])
     within = nodes.select("lang", F.explode(F.array("parent", "suffix")).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
     kept = nodes.join(within, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < drop_percent * F.col("n")))
