@@ -9,8 +9,8 @@ phrases of 2 to ``max_words`` words met at least ``min_count`` times; a cut afte
    level's nodes are only opened where the level above is frequent over all shards (a phrase can't be more frequent than its parts). Which
    are, is found for words, pairs and triples by counting hashes: sorted, cut by ranges, sent as differences, about three bytes each. What is
    frequent goes to the tasks as a Bloom filter; a false positive costs a count and changes none.
-3. ``tries`` then writes every shard's trie, sorted, down to ``max_words``, and ``merged`` merges them by ranges of (language, phrase): equal phrases share a
-   range, Spark draws the ranges from a sample, a phrase occurs once a shard, so no phrase is hot.
+3. ``trie`` then counts each shard's phrases down to ``max_words``; ``merged`` serialises every trie sorted, cut at the borders of ranges of (language, phrase),
+   and merges a range at a time. Borders are drawn from some tries, so a range begins inside a frequent first word where that has many phrases.
 4. ``linked`` walks the merged trie level by level: a node's left parts are its parent's and its parent itself; its right parts are found over its suffix link
    (the phrase without its first word) and that node's own. Both are joins of frequent phrases.
 5. A candidate inside a longer one as frequent as itself is dropped. One word more is enough to look at: what holds it in a still longer phrase holds it there too.
@@ -25,6 +25,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,19 +47,24 @@ from causeway.llm.line_dedup import filter_shape, has, probes, put
 #: Ends of pieces all become the first of them, which no word can hold.
 PIECES = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 #: Bytes of text of a shard, and of all open shards of a task together.
-SHARD_BYTES, OPEN_BYTES = 16 << 20, 32 << 20
-SHARDS = "lang string, size long, words array<string>, counts array<long>, text binary"
-TRIE = "lang string, phrase string, n long"
+SHARD_BYTES, OPEN_BYTES = 10 << 20, 24 << 20
+SHARDS = "shard long, lang string, size long, words array<string>, counts array<long>, text binary"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the hashes that are counted, levels of which they are, hashes a task merges at a time, words a range at least.
 BITS, HASHED, MERGED, RANGE_WORDS = 44, 3, 1 << 21, 20_000_000
+#: Shards, and nodes of each at most, from which the borders of ranges are drawn; they decide how even ranges are, nothing else.
+SAMPLED, NODES = 24, 2000
 Filter = tuple[np.ndarray, int]
 
 
 def encode(texts: DataFrame) -> DataFrame:
-    """Shards as SHARDS says: sorted words, their counts, and the text as numbers from 1, 0 between pieces. texts: lang, text."""
+    """Shards as SHARDS says: a number, sorted words, their counts, and the text as numbers from 1, 0 between pieces. texts: lang, text."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        made = count(TaskContext.get().partitionId() << 32)
+
         class Shard:
             def __init__(self) -> None:
                 self.numbers: dict[bytes, int] = defaultdict(count(1).__next__)
@@ -71,8 +78,8 @@ def encode(texts: DataFrame) -> DataFrame:
             place[[shard.numbers[w] for w in words]] = np.arange(1, len(words) + 1)
             text = place[np.concatenate(shard.parts)]
             counts = np.bincount(text, minlength=len(words) + 1)[1:]
-            cols = [[lang], [int(counts.sum())], [[w.decode() for w in words]], [counts], [packed(text)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()))], ["lang", "size", "words", "counts", "text"])
+            cols = [[next(made)], [lang], [int(counts.sum())], [[w.decode() for w in words]], [counts], [packed(text)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()))], ["shard", "lang", "size", "words", "counts", "text"])
 
         open_: dict[str, Shard] = defaultdict(Shard)
         for batch in by_bytes(batches, "text"):
@@ -194,30 +201,84 @@ def inside(known: Filter, hashes: np.ndarray) -> np.ndarray:
     return has(known[0], probes((hashes >> np.uint64(64 - BITS)) * MIX, known[0].size * 8, known[1])) if len(hashes) else np.zeros(0, bool)
 
 
-def tries(shards: DataFrame, filters: list[Filter], max_words: int) -> DataFrame:
-    """The nodes of every shard's trie as TRIE says, sorted, as far as the filters let them through."""
+def trie(lang: str, words: pa.StringArray, text: np.ndarray, filters: list[Filter], max_words: int) -> tuple[pa.Array, np.ndarray]:
+    """(phrases, counts): all nodes of a shard's trie that the filters let through, sorted."""
+    strings = pa.concat_arrays([pa.array([""], pa.string()), words.cast(pa.string())])
+    found, numbers = [strings.slice(0, 0)], [np.zeros(0, np.int64)]
+    for parent, last, _, counts in levels(lang, words, text, filters, max_words):
+        ends = strings.take(pa.array(last))
+        found.append(pc.binary_join_element_wise(found[-1].take(pa.array(parent)), ends, " ") if len(found) > 1 else ends)
+        numbers.append(counts)
+    phrases = pa.concat_arrays(found)
+    order = pc.sort_indices(phrases)
+    return phrases.take(order), np.concatenate(numbers)[order.to_numpy()]
+
+
+def borders(shards: DataFrame, filters: list[Filter], max_words: int, ranges: int) -> list[tuple[str, str]]:
+    """(language, phrase) where ranges of about equal size begin, by every so manieth node of SAMPLED tries."""
     sent = shards.sparkSession.sparkContext.broadcast(filters)
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, words, text in zip(*(batch.column(c) for c in ("lang", "words", "text"))):
+                phrases, _ = trie(lang.as_py(), words.values, unpacked(text.as_py(), np.int32), sent.value, max_words)
+                step = -(-len(phrases) // NODES) or 1
+                own = phrases.take(pa.array(np.arange(0, len(phrases), step)))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), own, pa.repeat(pa.scalar(step, pa.int64()), len(own))], ["lang", "phrase", "n"])
+
+    ids = [r[0] for r in shards.select("shard").orderBy(F.xxhash64("shard")).limit(SAMPLED).collect()]
+    taken = shards.filter(F.col("shard").isin(ids)).select("lang", "words", "text").mapInArrow(some, "lang string, phrase string, n long")
+    rows = sorted((r["lang"], r["phrase"], r["n"]) for r in taken.collect())
+    upto = np.cumsum([n for *_, n in rows])
+    at = np.searchsorted(upto, np.arange(1, ranges) * (upto[-1] / ranges)) if rows else []
+    return sorted({rows[i][:2] for i in at})
+
+
+def merged(shards: DataFrame, filters: list[Filter], max_words: int, min_count: int, ranges: int) -> DataFrame:
+    """(lang, phrase, n) of the phrases met min_count times over all shards: sorted tries, cut at the borders, merged range by range."""
+    sent = shards.sparkSession.sparkContext.broadcast((filters, borders(shards, filters, max_words, ranges)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters, ends = sent.value
         for batch in batches:
             for lang, words, text in zip(*(batch.column(c) for c in ("lang", "words", "text"))):
-                strings = pa.concat_arrays([pa.array([""], pa.string()), words.values.cast(pa.string())])
-                phrases = None
-                for parent, last, _, counts in levels(lang.as_py(), words.values, unpacked(text.as_py(), np.int32), sent.value, max_words):
-                    ends = strings.take(pa.array(last))
-                    phrases = ends if phrases is None else pc.binary_join_element_wise(phrases.take(pa.array(parent)), ends, " ")
-                    for lo in range(0, len(phrases), 1 << 16):
-                        own = phrases.slice(lo, 1 << 16)
-                        yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(own)), own, pa.array(counts[lo : lo + (1 << 16)], pa.int64())], ["lang", "phrase", "n"])
+                name = lang.as_py()
+                phrases, counts = trie(name, words.values, unpacked(text.as_py(), np.int32), filters, max_words)
+                first = bisect_left(ends, (name,))
+                inner = [bisect_left(range(len(phrases)), p, key=lambda i: phrases[i].as_py()) for x, p in ends if x == name]  # noqa: B023
+                at = [0, *inner, len(phrases)]
+                own = [i for i in range(len(at) - 1) if at[i] < at[i + 1]]
+                bytes_ = [zstandard.ZstdCompressor(level=1).compress("\n".join(phrases[at[i] : at[i + 1]].to_pylist()).encode()) for i in own]
+                cols = [pa.array([first + i for i in own], pa.int32()), pa.repeat(lang, len(own)), pa.array(bytes_, pa.binary()), pa.array([packed(counts[at[i] : at[i + 1]].astype(np.int64)) for i in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "lang", "phrases", "n"])
                 pa.default_memory_pool().release_unused()
 
-    return shards.select("lang", "words", "text").mapInArrow(nodes, TRIE)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(waiting).group_by("phrase").aggregate([("n", "sum")]).rename_columns(["phrase", "n"])
 
+        def frequent() -> Iterator[pa.RecordBatch]:
+            whole = summed()
+            for own in whole.filter(pc.greater_equal(whole["n"], min_count)).combine_chunks().to_batches(max_chunksize=1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now[1]), own.num_rows), own["phrase"], own["n"]], ["lang", "phrase", "n"])
 
-def merged(parts: DataFrame, min_count: int) -> DataFrame:
-    """(lang, phrase, n) of the phrases met min_count times over all shards. Ranges of phrases are dealt out, and each task merges its own."""
-    whole = stored(parts, "tries").repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return stored(whole.filter(F.col("n") >= min_count), "phrases")
+        for batch in batches:
+            for part, lang, phrases, n in zip(*(batch.column(x).to_pylist() for x in ("part", "lang", "phrases", "n"))):
+                if waiting and (part, lang) != now:
+                    yield from frequent()
+                    waiting = []
+                now = part, lang
+                waiting.append(pa.table({"phrase": pa.array(zstandard.ZstdDecompressor().decompress(phrases).decode().split("\n"), pa.string()), "n": pa.array(unpacked(n, np.int64))}))
+                if len(waiting) > 1 and sum(t.num_rows for t in waiting) > MERGED:
+                    waiting = [summed()]
+        if waiting:
+            yield from frequent()
+
+    parts = shards.select("lang", "words", "text").mapInArrow(cut, "part int, lang string, phrases binary, n binary")
+    whole = parts.repartition(ranges, "part").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, phrase string, n long")
+    return stored(whole, "phrases")
 
 
 def linked(phrases: DataFrame, max_words: int) -> list[DataFrame]:
@@ -249,7 +310,7 @@ def collocations(docs: DataFrame, *, min_count: int = 100, max_words: int = 5, f
     filters: list[Filter] = []
     for depth in range(1, min(max_words, HASHED) + 1):
         filters.append(frequent_filter(stored(hash_counts(shards, filters, min_count, ranges), f"frequent-{depth}"), max_bits))
-    steps = linked(merged(tries(shards, filters, max_words), min_count), max_words)
+    steps = linked(merged(shards, filters, max_words, min_count, ranges), max_words)
     nodes = reduce(DataFrame.unionByName, steps[1:])
     within = nodes.select("lang", F.explode(F.array("parent", "suffix")).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
     kept = nodes.join(within, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < drop_percent * F.col("n")))
