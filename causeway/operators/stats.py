@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,9 +17,19 @@ from causeway.functions.scratch import stored
 from causeway.functions.windows import exact_percentiles, running_totals
 
 
+def reserved(cols: Iterable[str], *names: str) -> None:
+    """ValueError if a column has the name of one that the operator adds."""
+    if clash := sorted(set(cols) & set(names)):
+        raise ValueError(f"rename these columns, the result needs their names: {', '.join(clash)}")
+
+
 def contingency(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(cols..., n): the one pass over the data from which all frequency operators work."""
-    return df.groupBy(*cols).agg(F.count("*").alias("n"))
+    """(cols..., n): the one pass over the data from which all frequency operators work.
+
+    Complete cases only: rows with a null or NaN among cols are left out here, once, so that tables made from the counts sum to 1 and agree with each other.
+    """
+    reserved(cols, "n")
+    return df.na.drop(subset=list(cols)).groupBy(*cols).agg(F.count("*").alias("n"))
 
 
 def set_sums(counts: DataFrame, sets: Iterable[frozenset[str]], cols: list[str]) -> DataFrame:
@@ -47,6 +59,7 @@ def entropy_bits(s: float, total: float) -> float:
 
 def relative_frequency(counts: DataFrame, within: list[str], out: str = "p") -> DataFrame:
     """counts with n over the total of its group (all rows, if within is empty)."""
+    reserved(counts.columns, out)
     if within:
         return counts.withColumn(out, F.col("n").cast("double") / F.sum("n").over(W.partitionBy(*within)))
     total = counts.agg(F.sum("n").cast("double").alias("total_"))
@@ -103,9 +116,10 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def ks_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., ks, n_a, n_b) from (by..., v, a, b): how often each sample has the value v."""
-    rows = running_totals(counts, "v", ["a", "b"], by).withColumnsRenamed({"all_a": "n_a", "all_b": "n_b"}).filter("n_a > 0 and n_b > 0")
-    gap = F.abs(F.col("cum_a").cast("double") / F.col("n_a") - F.col("cum_b").cast("double") / F.col("n_b"))
+    """(by..., ks, n_a, n_b) from (by..., __v, __a, __b): how often each sample has the value __v."""
+    reserved(by, "ks", "n_a", "n_b")
+    rows = running_totals(counts, "__v", ["__a", "__b"], by).withColumnsRenamed({"all___a": "n_a", "all___b": "n_b"}).filter("n_a > 0 and n_b > 0")
+    gap = F.abs(F.col("cum___a").cast("double") / F.col("n_a") - F.col("cum___b").cast("double") / F.col("n_b"))
     return rows.groupBy(*by, "n_a", "n_b").agg(F.max(gap).alias("ks")).select(*by, "ks", "n_a", "n_b")
 
 
@@ -115,8 +129,9 @@ def ks_statistic(a: DataFrame, b: DataFrame, value: str, by: list[str] | None =
     Counts a value are summed and stored first, so each sample is read once; cumulative counts run over ranges of values.
     """
     by = by or []
-    both = a.select(*by, F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(*by, F.col(value).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).filter("v is not null")
-    return ks_of_counts(stored(both.groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "ks-counts"), by)
+    one = lambda df, i, j: df.select(*by, F.col(value).alias("__v"), F.lit(i).alias("__a"), F.lit(j).alias("__b"))
+    both = one(a, 1, 0).unionByName(one(b, 0, 1)).filter("__v is not null")
+    return ks_of_counts(stored(both.groupBy(*by, "__v").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b")), "ks-counts"), by)
 
 
 def ks_p_value(ks: float, n_a: int, n_b: int, terms: int = 100) -> float:
@@ -125,6 +140,43 @@ def ks_p_value(ks: float, n_a: int, n_b: int, terms: int = 100) -> float:
     return 1.0 if x < 0.2 else min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * x * x) for j in range(1, terms))))
 
 
+def ks_exact_p(ks: float, n_a: int, n_b: int) -> float:
+    """P(D >= ks) of two samples of one continuous distribution (Smirnov).
+
+    Orders of the pooled values are lattice paths from (0, 0) to (n_a, n_b), all equally likely. The chance that a path to (i, j) has met a point with
+    |i / n_a - j / n_b| >= ks follows from its two predecessors, diagonal by diagonal. Only positive numbers are added, so small p keep their digits; the distance is
+    compared in whole multiples of 1 / lcm(n_a, n_b).
+    """
+    m, n = sorted((int(n_a), int(n_b)))
+    whole = math.lcm(m, n)
+    least = round(ks * whole)
+    met = np.zeros(m + 2)  # met[i + 1]: at (i, s - i)
+    for s in range(m + n + 1):
+        i = np.arange(max(0, s - n), min(s, m) + 1)
+        if s:
+            met[i + 1] = (i * met[i] + (s - i) * met[i + 1]) / s
+        met[i[np.abs(i * (whole // m) - (s - i) * (whole // n)) >= least] + 1] = 1.0
+    return float(met[m + 1])
+
+
+def with_p_value(tests: DataFrame, exact_up_to: int = 10_000) -> DataFrame:
+    """tests (ks, n_a, n_b) with p and method: 'exact' where both samples have at most exact_up_to values, else 'asymptotic'. A row a test."""
+
+    @F.pandas_udf("p double, method string")
+    def p_value(ks: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.DataFrame:
+        exact = [max(x, y) <= exact_up_to for x, y in zip(n_a, n_b)]
+        p = [(ks_exact_p if e else ks_p_value)(d, x, y) for e, d, x, y in zip(exact, ks, n_a, n_b)]
+        return pd.DataFrame({"p": p, "method": ["exact" if e else "asymptotic" for e in exact]})
+
+    reserved(tests.columns, "p", "method", "__p")
+    return tests.withColumn("__p", p_value("ks", "n_a", "n_b")).select(*tests.columns, "__p.p", "__p.method")
+
+
+def ks_two_sample(a: DataFrame, b: DataFrame, value: str, by: list[str] | None = None, exact_up_to: int = 10_000) -> DataFrame:
+    """(by..., ks, n_a, n_b, p, method): the two-sided test of every group."""
+    return with_p_value(ks_statistic(a, b, value, by), exact_up_to)
+
+
 def min_max(df: DataFrame, cols: list[str]) -> DataFrame:
     """df with <c>_norm = (x - min) / (max - min) of each column, 0 where it is constant."""
     ends = df.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
@@ -140,16 +192,18 @@ def response_mean(df: DataFrame, outcome: str, keys: list[str], extra: list[str]
     return df.groupBy(*(extra or []), *keys).agg(F.avg(outcome).alias(outcome))
 
 
-def compare_responses(real: DataFrame, simulated: DataFrame, outcome: str, keys: list[str], by: str) -> DataFrame:
-    """(by, n, mae, ks) for every group of simulated: response functions joined on equal keys, then error and distribution distance."""
-    r = response_mean(real, outcome, keys).withColumnRenamed(outcome, "real_")
-    s = response_mean(simulated, outcome, keys, [by]).withColumnRenamed(outcome, "sim_")
-    pairs = stored(s.join(r, keys).select(by, "real_", "sim_"), "responses")
-    error = pairs.groupBy(by).agg(F.count("*").alias("n"), mae(F.col("real_"), F.col("sim_")).alias("mae"))
-    each = F.array(F.struct(F.col("real_").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("sim_").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    counts = pairs.select(by, F.inline(each)).filter("v is not null").groupBy(by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ks = ks_of_counts(stored(counts, "ks-counts"), [by])
-    return error.join(ks.select(by, "ks"), by)
+def compare_responses(real: DataFrame, simulated: DataFrame, outcome: str, keys: list[str], by: str | list[str]) -> DataFrame:
+    """(by..., n, mae, ks) for every group of simulated: response functions joined on equal keys, then error and distribution distance. Points with a null key meet none."""
+    by = [by] if isinstance(by, str) else list(by)
+    reserved(by, "n", "mae", "ks")
+    r = response_mean(real, outcome, keys).withColumnRenamed(outcome, "__real")
+    s = response_mean(simulated, outcome, keys, by).withColumnRenamed(outcome, "__sim")
+    pairs = stored(s.join(r, keys).select(*by, "__real", "__sim"), "responses")
+    error = pairs.groupBy(*by).agg(F.count("*").alias("n"), mae(F.col("__real"), F.col("__sim")).alias("mae"))
+    one = lambda c, i, j: F.struct(F.col(c).alias("__v"), F.lit(i).alias("__a"), F.lit(j).alias("__b"))
+    counts = pairs.select(*by, F.inline(F.array(one("__real", 1, 0), one("__sim", 0, 1)))).filter("__v is not null").groupBy(*by, "__v").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    ks = ks_of_counts(stored(counts, "ks-counts"), by)
+    return error.join(ks.select(*by, "ks"), by)
 
 
 def tradeoff(df: DataFrame, a: str, b: str) -> DataFrame:

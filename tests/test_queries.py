@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 
-OWN = {**entry_points.descriptive.QUERIES, **entry_points.networks.QUERIES, **entry_points.effects.QUERIES}
+OWN = {**entry_points.descriptive.QUERIES, **entry_points.networks.QUERIES, **entry_points.effects.QUERIES, **entry_points.searches.QUERIES}
 SQL = entry_points.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
