@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causeway.operators import bayes, cube, graph, stats
+from causeway.functions.columns import hash_uniform_sql
+from causeway.operators import bayes, cube, generators, graph, stats
 from causeway.sources.tables import read_table
 
 #: Seven inputs and two outcomes of line items, binned, as SQL that both engines read.
@@ -32,7 +33,43 @@ def ks_p_values(spark, d):
     return out.select("part", F.round("ks", 9).alias("ks"), "n_a", "n_b", F.round("p", 8).alias("p"), "method")
 
 
-QUERIES = {f.__name__: f for f in (trio_scores, ks_p_values)}
+GENERATORS = {
+    1: frozenset({("f", "s"), ("s", "t"), ("f", "q")}), 2: frozenset({("f", "t"), ("s", "t"), ("q", "t")}), 3: frozenset({("s", "f"), ("f", "q"), ("q", "t")}),
+    4: frozenset({("f", "q"), ("s", "q"), ("s", "t")}), 5: frozenset({("q", "f"), ("q", "s"), ("f", "t")}),
+}
+N, ITERATIONS = 400, 4
+
+
+def _binned(spark, d):
+    return read_table(spark, f"{d}/lineitem.parquet").selectExpr("l_returnflag AS f", "l_linestatus AS s", "l_linenumber AS t", "CAST(ceil(l_quantity / 10) AS INTEGER) AS q")
+
+
+def _sampled(spark, d):
+    rows = _binned(spark, d)
+    return rows, generators.sample_generators(stats.contingency(rows, ["f", "s", "t", "q"]), GENERATORS, N, ITERATIONS)
+
+
+def generator_samples(spark, d):
+    """Five generators in four iterations, sampled in one job: what was drawn how often."""
+    return _sampled(spark, d)[1].groupBy("dag_id", "iteration", "f", "s", "t", "q").agg(F.count("*").alias("n"))
+
+
+def generator_winners(spark, d):
+    """The generators whose samples came closest to the data most often."""
+    rows, sampled = _sampled(spark, d)
+    out = generators.generator_winners(generators.compare_generators(rows, sampled, {"t": ["f", "s"], "q": ["f", "s"]}))
+    return out.select("dag_id", "times", F.round("mean_tradeoff", 6).alias("mean_tradeoff"))
+
+
+def guide_draws(spark, d):
+    """An order drawn for every customer, orders weighted by their total in cents: a table of as many states as there are orders."""
+    orders = read_table(spark, f"{d}/orders.parquet").select(F.lit(0).alias("g"), F.col("o_orderkey").alias("state"), F.round(F.col("o_totalprice") * 100).cast("long").alias("n"))
+    guide = generators.guide_table(orders, ["g"])
+    customers = read_table(spark, f"{d}/customer.parquet").select("c_custkey", F.lit(0).alias("g"), generators.hash_uniform(F.col("c_custkey")).alias("u"))
+    return generators.draw_states(customers, guide, ["g"], "u", "o_orderkey").select("c_custkey", "o_orderkey")
+
+
+QUERIES = {f.__name__: f for f in (trio_scores, ks_p_values, generator_samples, generator_winners, guide_draws)}
 
 
 def _trio_sql() -> str:
@@ -65,7 +102,44 @@ i AS (SELECT dag_id, avg(1 - abs(e - j) / (e + j + 1e-10::DOUBLE)) AS similarity
 SELECT dag_id, edges, k, round(ll, 3) AS ll, round(2 * k - 2 * ll, 3) AS aic, round(ln(n) * k - 2 * ll, 3) AS bic, round(similarity, 6) AS similarity FROM l JOIN i USING (dag_id)"""
 
 
+def _sample_sql() -> str:
+    """Every generator's rows by the textbook: per node a cumulative table of its family, ordered by the state's text."""
+    withs, selects = [], []
+    for ordinal, (k, d) in enumerate(GENERATORS.items()):
+        order, joins = graph.topological_order(d), []
+        for i, x in enumerate(order):
+            up, name = graph.parents(d, x), f"c{k}{x}"
+            keys, part = ", ".join((*up, x)), f"PARTITION BY {', '.join(up)}" if up else ""
+            withs.append(f"{name} AS (SELECT {keys}, (sum(n) OVER w - n)::DOUBLE / sum(n) OVER p AS lo, sum(n) OVER w::DOUBLE / sum(n) OVER p AS hi, row_number() OVER ({part} ORDER BY CAST({x} AS VARCHAR) DESC) AS back FROM (SELECT {keys}, count(*) AS n FROM b GROUP BY {keys}) WINDOW w AS ({part} ORDER BY CAST({x} AS VARCHAR) ROWS UNBOUNDED PRECEDING), p AS ({part}))".replace("sum(n) OVER w::DOUBLE", "(sum(n) OVER w)::DOUBLE"))
+            met = " AND ".join([*[f"{name}.{p} = c{k}{p}.{p}" for p in up], f"u{i} >= {name}.lo", f"(u{i} < {name}.hi OR {name}.back = 1)"])
+            joins.append(f"JOIN {name} ON {met}")
+        draws = ", ".join(f"{hash_uniform_sql('CAST(key AS BIGINT)', i)} AS u{i}" for i in range(len(order)))
+        selects.append(f"SELECT {k} AS dag_id, r.iteration, r.row, " + ", ".join(f"c{k}{x}.{x}" for x in ("f", "q", "s", "t")) + f" FROM (SELECT row, iteration, {draws} FROM (SELECT row, iteration, ({ordinal * ITERATIONS} + iteration) * {N} + row AS key FROM ids)) r " + " ".join(joins))
+    return f"b AS (SELECT l_returnflag AS f, l_linestatus AS s, l_linenumber AS t, CAST(ceil(l_quantity / 10) AS INTEGER) AS q FROM lineitem), ids AS (SELECT CAST(i % {N} AS BIGINT) AS row, CAST(i // {N} AS INTEGER) AS iteration FROM (SELECT unnest(range({N * ITERATIONS})) AS i)), {', '.join(withs)}, x AS ({' UNION ALL '.join(selects)})"
+
+
+def _response_sql(y: str) -> str:
+    return f"""r{y} AS (SELECT f, s, avg({y}) AS v FROM b GROUP BY f, s), m{y} AS (SELECT dag_id, iteration, f, s, avg({y}) AS v FROM x GROUP BY ALL),
+j{y} AS (SELECT dag_id, iteration, r.v AS a, m.v AS b FROM m{y} m JOIN r{y} r USING (f, s)), u{y} AS (SELECT dag_id, iteration, a AS v, 1 AS ia, 0 AS ib FROM j{y} UNION ALL SELECT dag_id, iteration, b, 0, 1 FROM j{y}),
+k{y} AS (SELECT dag_id, iteration, max(abs(ca / na - cb / nb)) AS ks FROM (SELECT dag_id, iteration, sum(ia) OVER w AS ca, sum(ib) OVER w AS cb, sum(ia) OVER p AS na, sum(ib) OVER p AS nb FROM u{y} WINDOW w AS (PARTITION BY dag_id, iteration ORDER BY v RANGE UNBOUNDED PRECEDING), p AS (PARTITION BY dag_id, iteration)) GROUP BY ALL),
+d{y} AS (SELECT dag_id, iteration, mae, ks FROM (SELECT dag_id, iteration, avg(abs(a - b)) AS mae FROM j{y} GROUP BY ALL) JOIN k{y} USING (dag_id, iteration))"""
+
+
+_SCALED = lambda c: f"CASE WHEN max({c}) OVER i > min({c}) OVER i THEN ({c} - min({c}) OVER i) / (max({c}) OVER i - min({c}) OVER i) ELSE 0 END"
+
 SQL = {
+    "generator_samples": f"WITH {_sample_sql()} SELECT dag_id, iteration, f, s, t, q, count(*) AS n FROM x GROUP BY ALL",
+    "generator_winners": f"""
+WITH {_sample_sql()}, {_response_sql('t')}, {_response_sql('q')},
+m AS (SELECT dag_id, iteration, avg(mae) AS mae, avg(ks) AS ks FROM (SELECT * FROM dt UNION ALL SELECT * FROM dq) GROUP BY ALL),
+o AS (SELECT dag_id, iteration, round({_SCALED('mae')} + {_SCALED('ks')}, 9) AS t FROM m WINDOW i AS (PARTITION BY iteration)),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY iteration ORDER BY t, dag_id) AS rank FROM o) WHERE rank <= 3)
+SELECT dag_id, count(*) AS times, round(avg(t), 6) AS mean_tradeoff FROM h GROUP BY dag_id ORDER BY times DESC, dag_id LIMIT 3""",
+    "guide_draws": f"""
+WITH c AS (SELECT o_orderkey, (sum(n) OVER w - n)::DOUBLE / sum(n) OVER () AS lo, (sum(n) OVER w)::DOUBLE / sum(n) OVER () AS hi, row_number() OVER (ORDER BY o_orderkey DESC) AS back
+  FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS n FROM orders) WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)),
+u AS (SELECT c_custkey, {hash_uniform_sql('c_custkey', 0)} AS u FROM customer)
+SELECT c_custkey, o_orderkey FROM u ASOF JOIN c ON u.u >= c.lo""",
     "trio_scores": _trio_sql(),
     "ks_p_values": f"""
 WITH RECURSIVE u AS (SELECT unnest(['supplier ' || l_suppkey, 'line ' || l_linenumber]) AS part, l_extendedprice AS v, CAST(l_returnflag = 'A' AS INTEGER) AS a, CAST(l_returnflag = 'R' AS INTEGER) AS b FROM lineitem WHERE l_returnflag IN ('A', 'R')),
