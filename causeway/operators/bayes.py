@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.columns import hash_uniform
 from causeway.functions.scratch import small, stored
+from causeway.operators.generators import draw_states, guide_table
 from causeway.operators.graph import Dag, Edge, is_acyclic, nodes_of, parents, simple_paths, topological_order
 from causeway.operators.stats import conditional_mutual_information, contingency, powerset, relative_frequency, set_table, tradeoff
 
@@ -204,38 +205,16 @@ def expand_dag(scores: FamilyScores, seed: Iterable[Edge], allowed: Iterable[Edg
     return hill_climb(scores, seed, pairs, allowed, metric, max_steps)
 
 
-def inverse_cdf(table: DataFrame, node: str, given: list[str]) -> DataFrame:
-    """(given..., node, lo_, hi_): the part of [0, 1) that draws each value, values in ascending order; p <= 0 or NaN never drawn, the rest renormalised."""
-    t = table.filter((F.col("p") > 0) & ~F.isnan("p"))
-    w = W.partitionBy(*given).orderBy(node) if given else W.partitionBy(F.lit(0)).orderBy(node)
-    total = F.sum("p").over(W.partitionBy(*given) if given else W.partitionBy(F.lit(0)))
-    hi = F.sum("p").over(w) / total
-    lo = F.coalesce(F.lag(hi_ := F.col("hi_")).over(w), F.lit(0.0))
-    t = t.withColumn("hi_", hi).withColumn("lo_", lo)
-    last = F.row_number().over((W.partitionBy(*given) if given else W.partitionBy(F.lit(0))).orderBy(F.col(node).desc())) == 1
-    return t.select(*given, node, "lo_", F.when(last, F.lit(1.1)).otherwise(hi_).alias("hi_"))
-
-
 def draw(rows: DataFrame, counts: DataFrame, order: list[str], dag: Iterable[Edge], uniform: Callable[[Column, int], Column]) -> DataFrame:
-    """(row, nodes...) drawn for rows (row), node by node; a row whose parent configuration was never seen is left out.
-
-    A root's states are one array in one row (the states of one column), a child's table is joined on its parents.
-    """
+    """(row, nodes...) drawn for rows (row), node by node, each from the guide table of its family; a row whose parent configuration was never seen is left out."""
     out, have = rows, []
     for i, node in enumerate(order):
         given = list(parents(dag, node))
-        t = inverse_cdf(cpt_mle(counts, node, given), node, given)
-        out = out.withColumn("u_", uniform(F.col("row"), i))
-        if given:
-            t = t.select(*[F.col(c).alias(f"{c}_t") for c in given], node, "lo_", "hi_")
-            inside = (F.col("u_") >= F.col("lo_")) & (F.col("u_") < F.col("hi_"))
-            out = out.join(t, reduce(lambda a, b: a & b, [*[F.col(c) == F.col(f"{c}_t") for c in given], inside])).select("row", *have, node)
-        else:
-            states = t.agg(F.sort_array(F.collect_list(F.struct("hi_", node))).alias("states_"))
-            drawn = F.filter("states_", lambda s: F.col("u_") < s["hi_"])[0][node]
-            out = out.crossJoin(F.broadcast(states)).select("row", *have, drawn.alias(node))
+        cells = counts.groupBy(*given, node).agg(F.sum("n").alias("n_"))
+        guide = guide_table(cells, given, node, "n_")
+        out = draw_states(out.withColumn("u_", uniform(F.col("row"), i)), guide, given, "u_", node, node).drop("u_")
         have.append(node)
-    return out
+    return out.select("row", *have)
 
 
 def ancestral_sample(spark: SparkSession, counts: DataFrame, dag: Iterable[Edge], n: int, uniform: Callable[[Column, int], Column] = hash_uniform, rounds: int = 50) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.columns import nominal_values
+from causeway.functions.columns import STEP, hash_uniform, nominal_values
 from causeway.functions.windows import percent_ranks_in_groups
 from causeway.operators.stats import relative_frequency
 
@@ -96,6 +97,55 @@ def logit_coefficients(rows: DataFrame, terms: list[Column], target: Column) ->
     return LogisticRegression(featuresCol="x_", labelCol="y_", maxIter=100, tol=1e-9).fit(data).coefficients.toArray()
 
 
+#: Where the cumulative distribution of a Poisson weight of mean 1 stands, up to a tail of 1e-9.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def poisson_weight(u: Column) -> Column:
+    """A Poisson number of mean 1 from a uniform one: how often a bootstrap draws the row."""
+    return reduce(lambda a, b: a + b, [(u >= F.lit(c)).cast("int") for c in POISSON])
+
+
+def stratified_effect(df: DataFrame, x: str, y: str, strata: list[str], key: str, replicates: int = 32, level: float = 0.95) -> DataFrame:
+    """(feature, target, effect, low, high, se, n, coverage): g-computation over strata, with a Poisson bootstrap in the same pass.
+
+    A numeric x: the change of the mean outcome if every row's x were one more, under a linear model with an intercept a stratum; that is the pooled slope
+    within strata, and the coefficient that adjusted_effect finds for nominal strata. A nominal x of two values: the mean outcome if all rows had the
+    larger value, less that if all had the smaller, strata weighted by their rows. coverage: the share of rows in strata that tell anything about
+    x; the others are left out and not made up for. Rows with a null or NaN are left out; the bootstrap's weights follow from an integer key and can be repeated.
+
+    The data is read once: a replicate is a number beside the stratum, and rows with their weights become sums map-side, so what shuffles is a row a stratum, replicate and task.
+    """
+    rows = df.select(F.col(key).cast("long").alias("__key"), F.col(x).alias("__x"), F.col(y).cast("double").alias("__y"), *[F.col(z).alias(f"__z{i}") for i, z in enumerate(strata)]).na.drop()
+    nominal = dict(df.dtypes)[x] == "string"
+    if nominal:
+        values = nominal_values(rows, "__x", 2)
+        if len(values) != 2:
+            raise ValueError(f"{x} must have two values")
+        rows = rows.withColumn("__x", (F.col("__x") == values[1]).cast("double"))
+    middle = rows.agg(F.avg("__x").alias("x"), F.avg("__y").alias("y")).first()
+    shift = (0.0, 0.0) if nominal or middle["x"] is None else (middle["x"], middle["y"])
+    rows = rows.withColumns({"__x": F.col("__x").cast("double") - shift[0], "__y": F.col("__y") - shift[1]})
+    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("__u", hash_uniform(F.col("__key") + F.col("b") * F.lit(STEP)))
+    w = F.when(F.col("b") == 0, 1).otherwise(poisson_weight(F.col("__u")))
+    rows = rows.withColumn("__w", w)  # no filter on it: pushed down, it would work the hash out once for every step of the distribution
+    sums = {"w": F.col("__w"), "x": F.col("__w") * F.col("__x"), "y": F.col("__w") * F.col("__y"), "xx": F.col("__w") * F.col("__x") * F.col("__x"), "xy": F.col("__w") * F.col("__x") * F.col("__y")}
+    cells = rows.groupBy("b", *[f"__z{i}" for i in range(len(strata))]).agg(*[F.sum(v).cast("double").alias(n) for n, v in sums.items()])
+    w, sx, sy, sxx, sxy = (F.col(n) for n in sums)
+    if nominal:  # x is 0 or 1: sx counts ones, sxy sums their outcomes
+        tells = (sx > 0) & (sx < w)
+        top, bottom = w * (sxy / F.nullif(sx, F.lit(0.0)) - (sy - sxy) / F.nullif(w - sx, F.lit(0.0))), w
+    else:
+        tells = sxx - sx * sx / w > 1e-12 * F.greatest(sxx, F.lit(1e-300))
+        top, bottom = sxy - sx * sy / w, sxx - sx * sx / w
+    found = cells.groupBy("b").agg(F.sum(F.when(tells, top)).alias("top"), F.sum(F.when(tells, bottom)).alias("bottom"), F.coalesce(F.sum(F.when(tells, w)), F.lit(0.0)).alias("told"), F.sum("w").alias("w"))
+    found = found.select("b", (F.col("top") / F.nullif("bottom", F.lit(0.0))).alias("e"), "told", "w")
+    again = F.when(F.col("b") > 0, F.col("e"))
+    tail = (1 - level) / 2
+    out = found.agg(F.max(F.when(F.col("b") == 0, F.col("e"))).alias("effect"), F.percentile(again, tail).alias("low"), F.percentile(again, 1 - tail).alias("high"), F.stddev_samp(again).alias("se"), F.coalesce(F.max(F.when(F.col("b") == 0, F.col("w"))), F.lit(0.0)).cast("long").alias("n"), F.max(F.when(F.col("b") == 0, F.col("told") / F.nullif("w", F.lit(0.0)))).alias("coverage"))
+    return out.select(F.lit(x).alias("feature"), F.lit(y).alias("target"), "effect", "low", "high", "se", "n", "coverage")
+
+
 def spurious_flags(effects: DataFrame, importance: DataFrame, weak: float = 0.40, strong: float = 0.60) -> DataFrame:
     """Outer join on (target, feature) with average percent ranks in the target and the flags.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions.columns import hash_uniform_sql
-from causeway.operators import bayes, cube, generators, graph, stats
+from causeway.operators import bayes, causal, cube, generators, graph, models, stats, validation
 from causeway.sources.tables import read_table
 
 #: Seven inputs and two outcomes of line items, binned, as SQL that both engines read.
@@ -69,7 +69,35 @@ def guide_draws(spark, d):
     return generators.draw_states(customers, guide, ["g"], "u", "o_orderkey").select("c_custkey", "o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (trio_scores, ks_p_values, generator_samples, generator_winners, guide_draws)}
+REPLICATES = 16
+
+
+def _keyed(spark, d):
+    rows = read_table(spark, f"{d}/lineitem.parquet").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return rows.select("key", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_linestatus", "l_returnflag", (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_tax") * 10 + F.col("l_quantity") / 50).alias("t"))
+
+
+def stratified_effects(spark, d):
+    """Effects by g-computation over strata, with intervals: of a number, and of a nominal column of two values."""
+    rows = _keyed(spark, d)
+    out = causal.stratified_effect(rows, "l_quantity", "y", ["l_returnflag", "l_linenumber"], "key", REPLICATES)
+    out = out.unionByName(causal.stratified_effect(rows, "l_linestatus", "y", ["l_linenumber"], "key", REPLICATES))
+    return out.select("feature", "target", *[F.round(c, 7).alias(c) for c in ("effect", "low", "high", "se")], "n", F.round("coverage", 9).alias("coverage"))
+
+
+CAUSES = frozenset({("l_linenumber", "l_quantity"), ("l_quantity", "y"), ("l_linenumber", "y"), ("l_tax", "t"), ("l_quantity", "t"), ("l_linestatus", "l_discount")})
+VALIDATED = ["l_quantity", "l_discount", "l_tax", "l_linestatus", "l_linenumber"]
+
+
+def causal_validation(spark, d):
+    """Effects of five features on two targets, beside what refined forests make of the features, and the flags."""
+    rows = _keyed(spark, d)
+    model = models.fit_refined(rows, VALIDATED, ("y", "t"), 2, boosting={"maxIter": 5}, maxDepth=4, numTrees=5)
+    predict = lambda df: model.transform(df)
+    return validation.validate(rows, CAUSES, ["y", "t"], VALIDATED, predict, "key", repeats=3)
+
+
+QUERIES = {f.__name__: f for f in (trio_scores, ks_p_values, generator_samples, generator_winners, guide_draws, stratified_effects, causal_validation)}
 
 
 def _trio_sql() -> str:
@@ -127,7 +155,24 @@ d{y} AS (SELECT dag_id, iteration, mae, ks FROM (SELECT dag_id, iteration, avg(a
 
 _SCALED = lambda c: f"CASE WHEN max({c}) OVER i > min({c}) OVER i THEN ({c} - min({c}) OVER i) / (max({c}) OVER i - min({c}) OVER i) ELSE 0 END"
 
+_WEIGHT = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INTEGER)" for c in causal.POISSON)
+_DRAWN = " UNION ALL ".join(["SELECT *, 0 AS r, 1 AS w FROM b", *[f"SELECT * EXCLUDE u, {_WEIGHT} AS w FROM (SELECT *, {i} AS r, {hash_uniform_sql('key', i)} AS u FROM b)" for i in range(1, REPLICATES + 1)]])
+
+
+def _interval_sql(kind: str, x: str, strata: str) -> str:
+    num, den, tells = {
+        "slope": ("sxy - sx * sy / sw", "sxx - sx * sx / sw", "sw > 0 AND sxx - sx * sx / sw > 1e-9"),
+        "contrast": ("sw * (sxy / nullif(sx, 0) - (sy - sxy) / nullif(sw - sx, 0))", "sw", "sx > 0 AND sx < sw"),
+    }[kind]
+    return f"""SELECT '{x}' AS feature, 'y' AS target, round(max(e) FILTER (WHERE r = 0), 7) AS effect, round(quantile_cont(e, 0.025) FILTER (WHERE r > 0), 7) AS low, round(quantile_cont(e, 0.975) FILTER (WHERE r > 0), 7) AS high, round(stddev_samp(e) FILTER (WHERE r > 0), 7) AS se,
+  CAST(max(w) FILTER (WHERE r = 0) AS BIGINT) AS n, round(max(told / w) FILTER (WHERE r = 0), 9) AS coverage FROM (
+  SELECT r, sum(CASE WHEN {tells} THEN {num} END) / sum(CASE WHEN {tells} THEN {den} END) AS e, sum(CASE WHEN {tells} THEN sw ELSE 0 END) AS told, sum(sw) AS w FROM (
+    SELECT r, {strata}, sum(w)::DOUBLE AS sw, sum(w * {kind}) AS sx, sum(w * y) AS sy, sum(w * {kind} * {kind}) AS sxx, sum(w * {kind} * y) AS sxy FROM drawn GROUP BY r, {strata}) GROUP BY r)"""
+
+
 SQL = {
+    "stratified_effects": f"""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity - 25 AS slope, CAST(l_linestatus = 'O' AS INTEGER) AS contrast, l_extendedprice / 1000 AS y, l_returnflag, l_linenumber FROM lineitem),
+drawn AS ({_DRAWN}) {_interval_sql('slope', 'l_quantity', 'l_returnflag, l_linenumber')} UNION ALL {_interval_sql('contrast', 'l_linestatus', 'l_linenumber')}""",
     "generator_samples": f"WITH {_sample_sql()} SELECT dag_id, iteration, f, s, t, q, count(*) AS n FROM x GROUP BY ALL",
     "generator_winners": f"""
 WITH {_sample_sql()}, {_response_sql('t')}, {_response_sql('q')},
