@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import windows
@@ -14,18 +17,6 @@ from causeway.sources.tables import read_table
 NODES = ["f", "s", "t"]
 SEARCHED = ["f", "s", "t", "q"]
 DAGS = dict(enumerate(bayes.enumerate_dags(NODES), 1))
-#: Graphs for the structure queries: a chain, its reversal, a fork, a collider, and larger ones.
-SHAPES = {
-    1: frozenset({("a", "b"), ("b", "c")}),
-    2: frozenset({("c", "b"), ("b", "a")}),
-    3: frozenset({("b", "a"), ("b", "c")}),
-    4: frozenset({("a", "b"), ("c", "b")}),
-    5: frozenset({("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")}),
-    6: frozenset({("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d")}),
-    7: frozenset({("b", "a"), ("a", "c"), ("b", "d"), ("c", "d")}),
-    8: frozenset({("a", "b"), ("b", "c"), ("a", "c")}),
-}
-
 
 def _nominal(spark, d, extra: bool = False):
     rows = read_table(spark, f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), F.col("l_linenumber").alias("t"), *([F.ceil(F.col("l_quantity") / 10).cast("int").alias("q")] if extra else []))
@@ -89,25 +80,42 @@ def cmi_powerset(spark, d):
     return out.select("x", "y", F.array_join("given", ",").alias("given"), F.round("cmi", 6).alias("cmi"))
 
 
+def _ranked(spark, d):
+    """The ten graphs that fit the line items best."""
+    return bayes.rank_dags(bayes.score_dags(_nominal(spark, d), DAGS, NODES, with_similarity=False), 10).select("dag_id")
+
+
+def _learnt(spark, d):
+    """Their edges."""
+    return graph.edge_table(spark, DAGS).join(F.broadcast(_ranked(spark, d)), "dag_id", "left_semi")  # ten rows
+
+
+def _graphs(spark, d) -> dict:
+    """The same on the driver: ten graphs of three nodes."""
+    return {k: DAGS[k] for k in sorted(r["dag_id"] for r in _ranked(spark, d).collect())}
+
+
 def dag_structures(spark, d):
-    return graph.triples(graph.edge_table(spark, SHAPES))
+    return graph.triples(_learnt(spark, d))
 
 
 def v_structures(spark, d):
-    return graph.v_structures(graph.edge_table(spark, SHAPES))
+    return graph.v_structures(_learnt(spark, d))
 
 
 def equivalence_classes(spark, d):
-    return graph.equivalence_classes(graph.edge_table(spark, SHAPES))
+    return graph.equivalence_classes(_learnt(spark, d))
 
 
 def simple_paths(spark, d):
-    rows = [(k, ">".join(p), graph.classify_path(x, p)) for k, x in SHAPES.items() for p in graph.simple_paths(x, "a", "d" if k in (5, 6, 7) else "c")]
+    rows = [(k, ">".join(p), graph.classify_path(x, p)) for k, x in _graphs(spark, d).items() for p in graph.simple_paths(x, "f", "t")]
     return spark.createDataFrame(rows, "dag_id int, path string, kind string")
 
 
 def backdoor_sets(spark, d):
-    rows = [(k, graph.feature_role(x, "a", "d"), ",".join(graph.minimal_backdoor_set(x, "a", "d") or ()), len(graph.backdoor_sets(x, "a", "d")), len(graph.causal_paths(x, "a", "d"))) for k, x in SHAPES.items() if k in (5, 6, 7)]
+    """Of the graphs in which t is no parent of f."""
+    some = {k: x for k, x in _graphs(spark, d).items() if ("t", "f") not in x}
+    rows = [(k, graph.feature_role(x, "f", "t"), ",".join(graph.minimal_backdoor_set(x, "f", "t") or ()), len(graph.backdoor_sets(x, "f", "t")), len(graph.causal_paths(x, "f", "t"))) for k, x in some.items()]
     return spark.createDataFrame(rows, "dag_id int, role string, minimal string, n_sets int, n_causal_paths int")
 
 
@@ -125,29 +133,19 @@ def sampled_against_real(spark, d):
 COLUMNS = ["f", "p", "q", "s", "t"]
 BANNED = bayes.outcome_constraints(["t"], ["f", "s"])
 LARGER = frozenset({("f", "s"), ("s", "t"), ("f", "q"), ("q", "t")})
-FORCED = ("a", "c")
-#: Graphs named by each of four outcomes as its best.
-WINNERS = [1, 5, 2, 5, 1, 3, 5, 2, 2, 7, 1, 3]
-
-
-def node_trios(spark, d):
-    return spark.createDataFrame([(k, *v) for k, v in bayes.node_combinations(COLUMNS).items()], "trio_id int, a string, b string, c string")
-
-
-def dag_enumeration(spark, d):
-    every = bayes.enumerate_dags(NODES)
-    allowed, apart = set(bayes.enumerate_dags(NODES, BANNED)), set(bayes.without_direct_edges(every, [("f", "s")]))
-    return spark.createDataFrame([(_edges(x), len(x), x in allowed, x in apart) for x in every], "edges string, n_edges long, allowed boolean, apart boolean")
+FORCED = ("f", "t")
+#: What names winners: each metric's three best graphs, ties to the smaller id.
+METRICS = {"bic": "bic", "aic": "aic", "ll": "-ll", "similarity": "-similarity"}
 
 
 def whitelist_edges(spark, d):
-    return spark.createDataFrame(sorted(bayes.whitelist(bayes.enumerate_dags(NODES, BANNED))), "parent string, child string")
+    return spark.createDataFrame(sorted(bayes.whitelist(_graphs(spark, d).values())), "parent string, child string")
 
 
 def forced_graphs(spark, d):
     """Every graph with a forced edge, where that makes no cycle, and the graphs that are the same with it."""
     forced = {}
-    for k, x in SHAPES.items():
+    for k, x in _graphs(spark, d).items():
         try:
             forced[k] = graph.forced_edges(x, [FORCED])
         except ValueError:
@@ -162,7 +160,9 @@ def path_information(spark, d):
 
 
 def winner_edges(spark, d):
-    return bayes.winner_edges(graph.edge_table(spark, DAGS), spark.createDataFrame([(k,) for k in WINNERS], "dag_id int"), 3)
+    scored = dag_scores(spark, d).persist()
+    named = reduce(DataFrame.unionByName, [windows.top_k(scored, 3, F.expr(m), "dag_id").select("dag_id") for m in METRICS.values()])
+    return bayes.winner_edges(graph.edge_table(spark, DAGS), named, 3)
 
 
 def scored_log(spark, d):
@@ -177,13 +177,13 @@ def scored_log(spark, d):
 def dag_blocks(spark, d):
     """Blocks of a graph log, read as edges with their score."""
     path = f"{scratch_path(spark, 'blocks')}.log"
-    text = "\n".join(f"DAG {k}:\nEdges: [{', '.join(repr(e) for e in sorted(x))}]\nScore: {k}.5\n------" for k, x in SHAPES.items())
+    text = "\n".join(f"DAG {k}:\nEdges: [{', '.join(repr(e) for e in sorted(x))}]\nScore: {k}.5\n------" for k, x in _graphs(spark, d).items())
     spark.createDataFrame([(text,)], "value string").write.text(path)
     blocks = logs.read_dag_blocks(spark, path)
     return logs.edge_rows(blocks).join(blocks.select("dag_id", "score"), "dag_id")
 
 
-QUERIES = {f.__name__: f for f in (dag_scores, dag_ranking, factorised_similarity, factorised_joint, param_counts, hill_climb_dag, laplace_log_likelihood, joint_entropy, cmi, cmi_powerset, dag_structures, v_structures, equivalence_classes, simple_paths, backdoor_sets, ancestral_sample, sampled_against_real, node_trios, dag_enumeration, whitelist_edges, forced_graphs, path_information, winner_edges, scored_log, dag_blocks)}
+QUERIES = {f.__name__: f for f in (dag_scores, dag_ranking, factorised_similarity, factorised_joint, param_counts, hill_climb_dag, laplace_log_likelihood, joint_entropy, cmi, cmi_powerset, dag_structures, v_structures, equivalence_classes, simple_paths, backdoor_sets, ancestral_sample, sampled_against_real, whitelist_edges, forced_graphs, path_information, winner_edges, scored_log, dag_blocks)}
 
 _BASE = "b AS (SELECT l_returnflag AS f, l_linestatus AS s, l_linenumber AS t, CAST(ceil(l_quantity / 10) AS INTEGER) AS q FROM lineitem)"
 _N = "(SELECT count(*) FROM b)::DOUBLE"
@@ -237,7 +237,8 @@ def _edges(dag) -> str:
 
 
 _SCORED = " UNION ALL ".join(f"SELECT {k} AS dag_id, '{_edges(x)}' AS edges, CAST({_k(x)} AS INTEGER) AS k, {_ll(x)} AS ll, ({_similarity_sql(x)}) AS similarity FROM card" for k, x in DAGS.items())
-_SHAPES = "e AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p}', '{c}')" for k, x in SHAPES.items() for p, c in sorted(x)) + ") v(dag_id, parent, child))"
+_EDGES = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p}', '{c}')" for k, x in DAGS.items() for p, c in sorted(x)) + ") v(dag_id, parent, child))"
+_LEARNT = f"{_WITH.removeprefix('WITH ')}, scored AS ({_SCORED}), ranked AS (SELECT dag_id FROM scored ORDER BY round(ln({_N}) * k - 2 * ll, 2), round(2 * k - 2 * ll, 2), round(ll, 2) DESC, dag_id LIMIT 10), e AS (SELECT * FROM {_EDGES} WHERE dag_id IN (SELECT dag_id FROM ranked))"
 _H = lambda cols: f"(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / {_N} AS p FROM b GROUP BY {', '.join(cols)}))" if cols else "0"
 
 
@@ -275,10 +276,6 @@ def _smoothed(child: str, given: tuple[str, ...]) -> str:
 
 
 _LAPLACE = " + ".join(_smoothed(n, graph.parents({("f", "s"), ("s", "t")}, n)) for n in SEARCHED)
-_BITS = "v(bit, p, c)"
-_MASKS = f"""e AS (SELECT * FROM (VALUES (1, 'f', 's'), (2, 's', 'f'), (4, 'f', 't'), (8, 't', 'f'), (16, 's', 't'), (32, 't', 's')) {_BITS}),
-g AS (SELECT m, string_agg(p || ' -> ' || c, ', ' ORDER BY p, c) AS edges, count(*) AS n_edges FROM (SELECT unnest(range(64)) AS m) JOIN e ON (m & bit) > 0 GROUP BY m
-  HAVING count(*) >= 2 AND (m & 3) <> 3 AND (m & 12) <> 12 AND (m & 48) <> 48 AND (m & 25) <> 25 AND (m & 38) <> 38)"""
 _PATHS = [(p, z) for i, x in enumerate(sorted(SEARCHED)) for y in sorted(SEARCHED)[i + 1 :] for p in graph.simple_paths(LARGER, x, y) if len(p) > 2 for z in stats.powerset(p[1:-1])]
 
 
@@ -288,18 +285,16 @@ def _path_sql(p: tuple[str, ...], z: tuple[str, ...]) -> str:
 
 
 SQL = {
-    "node_trios": "WITH n AS (SELECT unnest(['f', 'p', 'q', 's', 't']) AS x) SELECT CAST(row_number() OVER (ORDER BY a.x, b.x, c.x) AS INTEGER) AS trio_id, a.x AS a, b.x AS b, c.x AS c FROM n a JOIN n b ON a.x < b.x JOIN n c ON b.x < c.x",
-    "dag_enumeration": f"WITH {_MASKS} SELECT edges, n_edges, (m & 40) = 0 AS allowed, (m & 3) = 0 AS apart FROM g",
-    "whitelist_edges": f"WITH {_MASKS} SELECT DISTINCT p AS parent, c AS child FROM g JOIN e ON (m & bit) > 0 WHERE (m & 40) = 0",
-    "forced_graphs": f"""WITH RECURSIVE {_SHAPES},
-r AS (SELECT dag_id, child AS x FROM e WHERE parent = 'c' UNION SELECT r.dag_id, e.child FROM r JOIN e ON e.dag_id = r.dag_id AND e.parent = r.x),
-n AS (SELECT dag_id, parent, child FROM e UNION SELECT dag_id, 'a', 'c' FROM e),
-k AS (SELECT dag_id, count(*) AS n_edges, string_agg(parent || child, ' ' ORDER BY parent, child) AS own FROM n WHERE dag_id NOT IN (SELECT dag_id FROM r WHERE x = 'a') GROUP BY dag_id)
+    "whitelist_edges": f"WITH {_LEARNT} SELECT DISTINCT parent, child FROM e",
+    "forced_graphs": f"""WITH RECURSIVE {_LEARNT},
+r AS (SELECT dag_id, child AS x FROM e WHERE parent = 't' UNION SELECT r.dag_id, e.child FROM r JOIN e ON e.dag_id = r.dag_id AND e.parent = r.x),
+n AS (SELECT dag_id, parent, child FROM e UNION SELECT dag_id, 'f', 't' FROM e),
+k AS (SELECT dag_id, count(*) AS n_edges, string_agg(parent || child, ' ' ORDER BY parent, child) AS own FROM n WHERE dag_id NOT IN (SELECT dag_id FROM r WHERE x = 'f') GROUP BY dag_id)
 SELECT dag_id, n_edges, CASE WHEN count(*) OVER (PARTITION BY own) > 1 THEN string_agg(CAST(dag_id AS VARCHAR), ',') OVER (PARTITION BY own ORDER BY dag_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE '' END AS same_as FROM k""",
     "path_information": f"WITH {_BASE} " + " UNION ALL ".join(_path_sql(p, z) for p, z in _PATHS),
-    "winner_edges": "WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p}', '{c}')" for k, x in DAGS.items() for p, c in sorted(x)) + ") v(dag_id, parent, child)), w AS (SELECT k FROM (SELECT unnest(" + str(WINNERS) + ") AS k) GROUP BY k ORDER BY count(*) DESC, k LIMIT 3) SELECT * FROM e WHERE dag_id IN (SELECT k FROM w)",
+    "winner_edges": f"{_WITH}, y AS ({_SCORED}), z AS (SELECT dag_id, round(ll, 3) AS ll, round(2 * k - 2 * ll, 3) AS aic, round(ln({_N}) * k - 2 * ll, 3) AS bic, round(similarity, 6) AS similarity FROM y), w AS (" + " UNION ALL ".join(f"SELECT dag_id FROM (SELECT dag_id FROM z ORDER BY {m}, dag_id LIMIT 3)" for m in METRICS.values()) + f") SELECT * FROM {_EDGES} WHERE dag_id IN (SELECT dag_id FROM w GROUP BY dag_id ORDER BY count(*) DESC, dag_id LIMIT 3)",
     "scored_log": f"{_WITH}, z AS ({_SCORED}) SELECT dag_id, edges, 0.5::DOUBLE AS similarity, round(round(ll, 2), 1) AS ll, round(round(ln({_N}) * k - 2 * ll, 2), 1) AS bic FROM z",
-    "dag_blocks": f"WITH {_SHAPES} SELECT dag_id, parent, child, dag_id + 0.5::DOUBLE AS score FROM e",
+    "dag_blocks": f"WITH {_LEARNT} SELECT dag_id, parent, child, dag_id + 0.5::DOUBLE AS score FROM e",
     "dag_scores": f"{_WITH}, z AS ({_SCORED}) SELECT dag_id, edges, k, round(ll, 3) AS ll, round(2 * k - 2 * ll, 3) AS aic, round(ln({_N}) * k - 2 * ll, 3) AS bic, round(similarity, 6) AS similarity FROM z",
     "dag_ranking": f"{_WITH}, z AS ({_SCORED}) SELECT dag_id, round(ln({_N}) * k - 2 * ll, 2) AS bic FROM z ORDER BY 2, round(2 * k - 2 * ll, 2), round(ll, 2) DESC, dag_id LIMIT 10",
     "factorised_similarity": f"WITH {_BASE}, {_family_sql('f', ())}, {_family_sql('s', ())}, {_family_sql('t', ('f', 's'))} SELECT round(({_similarity_sql(frozenset({('f', 't'), ('s', 't')}))}), 6) AS similarity",
@@ -309,24 +304,24 @@ SELECT dag_id, n_edges, CASE WHEN count(*) OVER (PARTITION BY own) > 1 THEN stri
     "joint_entropy": f"WITH {_BASE} " + " UNION ALL ".join(f"SELECT '{','.join(v)}' AS names, round(-sum(p * log2(p)), 6) AS bits, count(*) AS cells FROM (SELECT count(*) / {_N} AS p FROM b GROUP BY {', '.join(v)})" for v in stats.powerset(NODES) if v),
     "cmi": f"WITH {_BASE} " + " UNION ALL ".join(_cmi(*p) for p in [("f", "s", ()), ("f", "s", ("t",)), ("f", "t", ("s",))]),
     "cmi_powerset": f"WITH {_BASE} " + " UNION ALL ".join(_cmi(*p) for p in _SEARCH_PAIRS),
-    "dag_structures": f"WITH {_SHAPES} {_TRIPLES}",
-    "v_structures": f"WITH {_SHAPES}, {_V} SELECT * FROM v",
-    "equivalence_classes": f"""WITH {_SHAPES}, {_V},
+    "dag_structures": f"WITH {_LEARNT} {_TRIPLES}",
+    "v_structures": f"WITH {_LEARNT}, {_V} SELECT * FROM v",
+    "equivalence_classes": f"""WITH {_LEARNT}, {_V},
 k AS (SELECT dag_id, (SELECT string_agg(x, ';' ORDER BY x) FROM (SELECT DISTINCT least(parent, child) || '-' || greatest(parent, child) AS x FROM e WHERE e.dag_id = d.dag_id)) AS sk, (SELECT string_agg(a || '>' || mid || '>' || b, ';' ORDER BY a, mid, b) FROM v WHERE v.dag_id = d.dag_id) AS vs FROM (SELECT DISTINCT dag_id FROM e) d)
 SELECT CAST(row_number() OVER (ORDER BY min(dag_id)) AS INTEGER) AS class_id, min(dag_id) AS representative, string_agg(CAST(dag_id AS VARCHAR), ',' ORDER BY dag_id) AS dag_ids FROM k GROUP BY sk, coalesce(vs, '')""",
-    "simple_paths": f"""WITH RECURSIVE {_SHAPES},
+    "simple_paths": f"""WITH RECURSIVE {_LEARNT},
 u AS (SELECT dag_id, parent AS x, child AS y FROM e UNION SELECT dag_id, child, parent FROM e),
-w AS (SELECT DISTINCT dag_id, ['a'] AS p FROM e UNION ALL SELECT w.dag_id, list_append(p, u.y) FROM w JOIN u ON u.dag_id = w.dag_id AND u.x = p[len(p)] AND NOT list_contains(p, u.y) AND p[len(p)] <> CASE WHEN w.dag_id IN (5, 6, 7) THEN 'd' ELSE 'c' END),
-f AS (SELECT * FROM w WHERE p[len(p)] = CASE WHEN dag_id IN (5, 6, 7) THEN 'd' ELSE 'c' END),
+w AS (SELECT DISTINCT dag_id, ['f'] AS p FROM e UNION ALL SELECT w.dag_id, list_append(p, u.y) FROM w JOIN u ON u.dag_id = w.dag_id AND u.x = p[len(p)] AND NOT list_contains(p, u.y) AND p[len(p)] <> 't'),
+f AS (SELECT * FROM w WHERE p[len(p)] = 't'),
 i AS (SELECT f.*, EXISTS (SELECT 1 FROM e WHERE e.dag_id = f.dag_id AND parent = p[1] AND child = p[2]) AS fw1, EXISTS (SELECT 1 FROM e WHERE e.dag_id = f.dag_id AND parent = p[2] AND child = p[3]) AS fw2 FROM f)
 SELECT dag_id, array_to_string(p, '>') AS path, CASE WHEN len(p) = 2 THEN 'edge' WHEN len(p) > 3 THEN 'longer' WHEN fw1 = fw2 THEN 'chain' WHEN fw1 THEN 'collider' ELSE 'fork' END AS kind FROM i""",
-    "backdoor_sets": f"""WITH RECURSIVE {_SHAPES},
+    "backdoor_sets": f"""WITH RECURSIVE {_LEARNT.replace(', e AS (', ', e0 AS (')}, e AS (SELECT * FROM e0 WHERE dag_id NOT IN (SELECT dag_id FROM e0 WHERE parent = 't' AND child = 'f')),
 u AS (SELECT dag_id, parent AS x, child AS y FROM e UNION SELECT dag_id, child, parent FROM e),
-w AS (SELECT DISTINCT dag_id, ['a'] AS p FROM e WHERE dag_id IN (5, 6, 7) UNION ALL SELECT w.dag_id, list_append(p, u.y) FROM w JOIN u ON u.dag_id = w.dag_id AND u.x = p[len(p)] AND NOT list_contains(p, u.y) AND p[len(p)] <> 'd'),
-f AS (SELECT * FROM w WHERE p[len(p)] = 'd'),
+w AS (SELECT DISTINCT dag_id, ['f'] AS p FROM e UNION ALL SELECT w.dag_id, list_append(p, u.y) FROM w JOIN u ON u.dag_id = w.dag_id AND u.x = p[len(p)] AND NOT list_contains(p, u.y) AND p[len(p)] <> 't'),
+f AS (SELECT * FROM w WHERE p[len(p)] = 't'),
 r AS (SELECT dag_id, parent AS x, child AS y FROM e UNION SELECT r.dag_id, r.x, e.child FROM r JOIN e ON e.dag_id = r.dag_id AND e.parent = r.y),
-m AS (SELECT g.dag_id, v.s FROM (SELECT DISTINCT dag_id FROM e WHERE dag_id IN (5, 6, 7)) g, (VALUES (CAST([] AS VARCHAR[])), (['b']), (['c']), (['b', 'c'])) v(s)),
-ok AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.dag_id = m.dag_id AND r.x = 'a' AND list_contains(m.s, r.y))),
+m AS (SELECT g.dag_id, v.s FROM (SELECT DISTINCT dag_id FROM e) g, (VALUES (CAST([] AS VARCHAR[])), (['s'])) v(s)),
+ok AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.dag_id = m.dag_id AND r.x = 'f' AND list_contains(m.s, r.y))),
 k AS (SELECT f.dag_id, f.p, unnest(range(2, len(f.p))) AS k FROM f JOIN e ON e.dag_id = f.dag_id AND e.parent = f.p[2] AND e.child = f.p[1]),
 t AS (SELECT k.dag_id, k.p, k.p[k.k] AS mid, l.parent IS NOT NULL AND n.parent IS NOT NULL AS collider FROM k
   LEFT JOIN e l ON l.dag_id = k.dag_id AND l.parent = k.p[k.k - 1] AND l.child = k.p[k.k] LEFT JOIN e n ON n.dag_id = k.dag_id AND n.parent = k.p[k.k + 1] AND n.child = k.p[k.k]),
@@ -336,7 +331,7 @@ z AS (SELECT ok.dag_id, ok.s, t.p, bool_or(CASE WHEN t.collider THEN NOT list_co
 good AS (SELECT * FROM ok WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.dag_id = ok.dag_id AND z.s = ok.s AND NOT z.shut)),
 best AS (SELECT dag_id, array_to_string(s, ',') AS minimal, row_number() OVER (PARTITION BY dag_id ORDER BY len(s), array_to_string(s, ',')) AS nth, count(*) OVER (PARTITION BY dag_id) AS n_sets FROM good),
 direct AS (SELECT f.dag_id, f.p FROM f WHERE (SELECT count(*) FROM (SELECT unnest(range(1, len(f.p))) AS i) q JOIN e ON e.dag_id = f.dag_id AND e.parent = f.p[q.i] AND e.child = f.p[q.i + 1]) = len(f.p) - 1)
-SELECT b.dag_id, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.dag_id = b.dag_id AND parent = 'a' AND child = 'd') THEN 'direct' WHEN EXISTS (SELECT 1 FROM r WHERE r.dag_id = b.dag_id AND x = 'a' AND y = 'd') THEN 'indirect' ELSE 'unconnected' END AS role,
+SELECT b.dag_id, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.dag_id = b.dag_id AND parent = 'f' AND child = 't') THEN 'direct' WHEN EXISTS (SELECT 1 FROM r WHERE r.dag_id = b.dag_id AND x = 'f' AND y = 't') THEN 'indirect' ELSE 'unconnected' END AS role,
   b.minimal, CAST(b.n_sets AS INTEGER) AS n_sets, CAST((SELECT count(*) FROM direct WHERE direct.dag_id = b.dag_id) AS INTEGER) AS n_causal_paths FROM best b WHERE nth = 1""",
     "ancestral_sample": f"{_SAMPLE} SELECT * FROM x",
     "sampled_against_real": f"{_SAMPLE} SELECT f, s, count(*) AS n, round(avg(t), 6) AS mean_t FROM x GROUP BY f, s ORDER BY n DESC, f, s LIMIT 5",
