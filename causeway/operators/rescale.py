@@ -218,15 +218,18 @@ def augment_noise(df: DataFrame, key: str, cols: Sequence[str], sigma: float = 0
     return df.unionByName(noisy)
 
 
-def augment_interpolate(df: DataFrame, key: str, cols: Sequence[str] | None = None, shift: int | None = 7, seed: int = 42) -> DataFrame:
+def augment_interpolate(df: DataFrame, key: str, cols: Sequence[str] | None = None, shift: int | None = 7, seed: int = 42, exclusive: tuple[str, str] | None = None, low: float | None = 0.0) -> DataFrame:
     """df and a convex combination of each row with another, by a repeatable weight; other columns of new rows are null.
 
+    Of an exclusive pair of columns no new row keeps both: the second becomes 0 where the first is above 0, then the first where the second is. New values
+    below low become low (None: they stay). A null in either row of a pair makes a null. key is an integer.
+
     The other row is that of key + shift (where there is one) or, without shift, the next one in a seeded random order of all rows (the first for the last), so every row has a random partner.
     """
     cols = list(cols or [c for c in numeric_columns(df) if c != key])
     w = hash_uniform(F.col(key), 1)
     if shift is None:
-        placed = positions(df.select(key, *cols), [], [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "at_")
+        placed = positions(df.select(key, *cols), [], [hash_uniform(F.col(key), seed), F.col(key)], "at_")
         placed = stored(placed, "placed")
         n = placed.count()
         other = placed.select(F.when(F.col("at_") == 1, n).otherwise(F.col("at_") - 1).alias("at_"), *[F.col(c).alias(f"o_{c}") for c in cols])
@@ -234,4 +237,8 @@ def augment_interpolate(df: DataFrame, key: str, cols: Sequence[str] | None = No
     else:
         pairs = df.select(key, *cols).join(df.select((F.col(key) - shift).alias(key), *[F.col(c).alias(f"o_{c}") for c in cols]), key)
     new = pairs.select(*[(F.col(c) * w + F.col(f"o_{c}") * (1 - w)).alias(c) for c in cols])
+    for a, b in (exclusive, exclusive[::-1]) if exclusive else ():
+        new = new.withColumn(b, masked(F.col(b), F.col(a) > 0, F.lit(0.0)))
+    if low is not None:
+        new = new.withColumns({c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(low))) for c in cols})
     return df.unionByName(new, allowMissingColumns=True)

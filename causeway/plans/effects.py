@@ -183,7 +183,15 @@ def augment_interpolate(spark, d):
 def augment_random_pairs(spark, d):
     rows = _orders(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus")
     out = rescale.augment_interpolate(rows, "o_orderkey", ["o_totalprice"], shift=None)
-    return out.groupBy(F.col("o_orderstatus").isNull().alias("drawn")).agg(F.count("*").alias("n"))
+    return out.groupBy(F.col("o_orderstatus").isNull().alias("drawn")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 3).alias("mean_price"), F.round(F.max("o_totalprice"), 3).alias("most"))
+
+
+def augment_exclusive(spark, d):
+    """Two columns of which a row has one: combinations of random pairs keep that, and stay above 0."""
+    rows = _items(spark, d).groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key")).agg(F.min("l_quantity").alias("q"), F.min("l_tax").alias("l_tax"))  # a key may occur twice
+    rows = rows.withColumns({"a": F.col("q") - 30, "b": F.greatest(20 - F.col("q"), F.lit(0.0))})
+    out = rescale.augment_interpolate(rows, "key", ["a", "b", "l_tax"], shift=None, exclusive=("a", "b"))
+    return out.filter("q is null").groupBy((F.col("a") > 0).alias("has_a"), (F.col("b") > 0).alias("has_b")).agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("a", "b", "l_tax")])
 
 
 def augment_noise(spark, d):
@@ -259,7 +267,7 @@ def isotonic_calibration(spark, d):
     return fitted.apply(rows, "p", "c").agg(F.round(stats.r2(F.col("y"), F.col("p")), 6).alias("before"), F.round(stats.r2(F.col("y"), F.col("c")), 6).alias("after"))
 
 
-QUERIES = {f.__name__: f for f in (logit_effect, generator_rankings, augment_random_pairs, seed_sweep, separate_scales, do_probability, do_probability_root, ace, ace_edges, ols_adjusted_1, ols_adjusted_2, ols_dummy, spurious_flags, scale_ranges, mid_range_scaling, greedy_scale_search, objective_variants, cluster_scale_search, weight_search, grid_scale_search, random_scale_search, refine_expression, augment_interpolate, augment_noise, rf_refined, permutation_importance, sensitivity, grid_search_cv, poly_calibration, isotonic_calibration)}
+QUERIES = {f.__name__: f for f in (logit_effect, generator_rankings, augment_random_pairs, seed_sweep, separate_scales, do_probability, do_probability_root, ace, ace_edges, ols_adjusted_1, ols_adjusted_2, ols_dummy, spurious_flags, scale_ranges, mid_range_scaling, greedy_scale_search, objective_variants, cluster_scale_search, weight_search, grid_scale_search, random_scale_search, refine_expression, augment_interpolate, augment_exclusive, augment_noise, rf_refined, permutation_importance, sensitivity, grid_search_cv, poly_calibration, isotonic_calibration)}
 
 _X = "b AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS x, l_linenumber AS z, CAST(l_linestatus = 'O' AS INTEGER) AS y, CAST(ceil(l_quantity / 10) AS INTEGER) AS w FROM lineitem)"
 _DO = """z AS (SELECT z, count(*)::DOUBLE / (SELECT count(*) FROM b) AS pz FROM b GROUP BY z),
@@ -346,7 +354,16 @@ SELECT target, feature, round(ep, 9) AS effect_pct, round(sp, 9) AS sens_pct, ro
     "cluster_scale_search": f"WITH {_SMALL}, {_best('r1', '(CASE WHEN q BETWEEN 0 AND 20 THEN q * f ELSE q END)', 'u', FACTORS)}, {_best('r2', '(CASE WHEN q BETWEEN 20 AND 50 THEN q * f ELSE q END)', 'u', FACTORS)} SELECT round(avg(CASE WHEN q BETWEEN 20 AND 50 THEN q * (SELECT f FROM r2) WHEN q BETWEEN 0 AND 20 THEN q * (SELECT f FROM r1) ELSE q END), 6) AS mean_q, (SELECT f FROM r1) AS f_low, (SELECT f FROM r2) AS f_high FROM b",
     "weight_search": f"WITH {_SMALL}, {_best('r1', '(q * 0.5::DOUBLE) * f', 'u', _W)}, {_best('r2', '(q * 0.5::DOUBLE) * (SELECT f FROM r1)', 'u * f', _W)} SELECT 'weight' AS kind, 'q' AS col, f AS factor FROM r1 UNION ALL SELECT 'weight', 'u', f FROM r2",
     "grid_scale_search": f"WITH {_SMALL}, g AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, a, b in _GRID) + f") v(i, f_q, f_u)) SELECT i, f_q, f_u, round({_value('(q * f_q)', '(u * f_u)')}, 6) AS value FROM b, g GROUP BY 1, 2, 3",
-    "augment_random_pairs": "SELECT drawn, count(*) AS n FROM (SELECT unnest([false, true]) AS drawn FROM orders) GROUP BY drawn",
+    "augment_random_pairs": f"""
+WITH r AS (SELECT *, row_number() OVER (ORDER BY {hash_uniform_sql('o_orderkey', 42)}, o_orderkey) AS at, count(*) OVER () AS n FROM orders),
+m AS (SELECT a.o_totalprice * {hash_uniform_sql('a.o_orderkey', 1)} + b.o_totalprice * (1 - {hash_uniform_sql('a.o_orderkey', 1)}) AS v FROM r a JOIN r b ON b.at = a.at % a.n + 1)
+SELECT drawn, count(*) AS n, round(avg(v), 3) AS mean_price, round(max(v), 3) AS most FROM (SELECT false AS drawn, o_totalprice AS v FROM orders UNION ALL SELECT true, v FROM m) GROUP BY drawn""",
+    "augment_exclusive": f"""
+WITH k AS (SELECT key, q - 30 AS a, greatest(20 - q, 0) AS b, l_tax FROM (SELECT l_orderkey * 10 + l_linenumber AS key, min(l_quantity) AS q, min(l_tax) AS l_tax FROM lineitem GROUP BY 1)),
+r AS (SELECT *, row_number() OVER (ORDER BY {hash_uniform_sql('key', 42)}, key) AS at, count(*) OVER () AS n, {hash_uniform_sql('key', 1)} AS w FROM k),
+m AS (SELECT x.a * x.w + y.a * (1 - x.w) AS a, x.b * x.w + y.b * (1 - x.w) AS b, x.l_tax * x.w + y.l_tax * (1 - x.w) AS l_tax FROM r x JOIN r y ON y.at = x.at % x.n + 1),
+o AS (SELECT a, CASE WHEN a > 0 THEN 0 ELSE b END AS b, l_tax FROM m), p AS (SELECT greatest(CASE WHEN b > 0 THEN 0 ELSE a END, 0) AS a, greatest(b, 0) AS b, l_tax FROM o)
+SELECT a > 0 AS has_a, b > 0 AS has_b, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(l_tax), 6) AS mean_l_tax FROM p GROUP BY 1, 2""",
     "generator_rankings": """
 WITH m AS (SELECT l_linenumber, l_returnflag, round(avg(l_extendedprice), 4) AS mae, round(avg(l_discount), 9) AS ks FROM lineitem GROUP BY 1, 2),
 g AS (SELECT l_linenumber, avg(mae) AS mean_mae, avg(ks) AS mean_ks FROM m GROUP BY 1),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import bayes, causal, cube, generators, models, stats, validation
+from causeway.operators import bayes, causal, cube, generators, models, rescale, stats, validation
 
 
 @pytest.mark.parametrize("m, n", [(3, 3), (4, 6), (5, 5), (2, 7), (6, 4)])
@@ -160,3 +160,12 @@ def test_importance_and_sensitivity_of_all_features_at_once(spark):
     out = {(r["target"], r["feature"]): r for r in validation.validate(rows, {("g", "x"), ("x", "y"), ("g", "y"), ("k", "y")}, ["y", "t"], ["x", "k", "g"], predict, "key", 2).collect()}
     assert out["y", "x"]["given"] == "g" and out["y", "x"]["effect"] == pytest.approx(2, abs=0.05) and out["y", "x"]["coherent"]
     assert out["t", "x"]["given"] is None and out["t", "x"]["role"] == "unconnected"
+
+
+def test_interpolation_keeps_pairs_exclusive_and_values_above_low(spark):
+    rows = spark.createDataFrame([(i, float(i % 3) - 0.5, float((i + 1) % 2 * 4), None if i == 4 else -float(i)) for i in range(60)], "key long, a double, b double, c double")
+    new = rescale.augment_interpolate(rows, "key", ["a", "b", "c"], shift=None, exclusive=("a", "b")).filter("key is null").collect()
+    assert len(new) == 60 and all(not (r["a"] > 0 and r["b"] > 0) and r["a"] >= 0 and r["b"] >= 0 for r in new)
+    assert sum(r["c"] is None for r in new) == 2 and {r["c"] for r in new} <= {0.0, None}
+    free = rescale.augment_interpolate(rows, "key", ["a", "b", "c"], shift=None, low=None).filter("key is null").collect()
+    assert min(r["c"] for r in free if r["c"] is not None) < -1 and any(r["a"] > 0 and r["b"] > 0 for r in free)
