@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from causeway.functions.windows import exact_percentiles
+from causeway.functions.scratch import stored
+from causeway.functions.windows import exact_percentiles, positions
 
 
 def bin_stats(df: DataFrame, col: str) -> DataFrame:
@@ -63,9 +63,13 @@ def merge_tail(code: Column, first: int, into: int) -> Column:
 
 
 def first_seen_codes(df: DataFrame, col: str, order: str) -> DataFrame:
-    """(col, code, first): codes by the smallest value of order at which each value appears."""
-    seen = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min(order).alias("first"))
-    return seen.select(col, (F.row_number().over(W.orderBy("first", col)) - 1).cast("int").alias("code"), "first")
+    """(col, code, first), stored: codes by the smallest value of order at which each value appears, ties by value; null has none.
+
+    Values are ordered by ranges, so no task orders them all.
+    """
+    seen = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.min(order).alias("__first"))
+    placed = positions(seen, [], [F.col("__first"), F.col(col)], "__at")
+    return stored(placed.select(col, (F.col("__at") - 1).cast("int").alias("code"), F.col("__first").alias("first")), "codes")
 
 
 def bin_columns(df: DataFrame, widths: dict[str, float], suffix: str = "_bin") -> DataFrame:

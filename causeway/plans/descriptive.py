@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import columns, windows
-from causeway.functions.scratch import scratch_path
+from causeway.functions.scratch import scratch_path, small
 from causeway.operators import bayes, binning, stats
 from causeway.sources import tables
 from causeway.sources.tables import read_table
@@ -44,13 +44,13 @@ def bin_terrell_tail_merge(spark, d):
 def factorize_first_seen(spark, d):
     o = _read(spark, d, "orders")
     codes = binning.first_seen_codes(o, "o_orderpriority", "o_orderkey")
-    return o.join(F.broadcast(codes), "o_orderpriority").groupBy("o_orderpriority", "code").agg(F.count("*").alias("n"))
+    return o.join(small(codes), "o_orderpriority").groupBy("o_orderpriority", "code").agg(F.count("*").alias("n"))
 
 
 def bin_pipeline(spark, d):
     rows = _read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag").na.drop()
     codes = binning.first_seen_codes(rows, "l_returnflag", "l_orderkey").select("l_returnflag", F.col("code").alias("returnflag"))
-    rows = binning.bin_columns(rows, {"l_quantity": 10, "l_extendedprice": 20000, "l_discount": 0.025}, "_CAT").join(F.broadcast(codes), "l_returnflag")
+    rows = binning.bin_columns(rows, {"l_quantity": 10, "l_extendedprice": 20000, "l_discount": 0.025}, "_CAT").join(small(codes), "l_returnflag")
     out = columns.strip_names(rows.select("l_quantity_CAT", "l_extendedprice_CAT", "l_discount_CAT", "returnflag"), "_CAT")
     return out.groupBy("l_quantity", "l_extendedprice", "l_discount", "returnflag").agg(F.count("*").alias("n"))
 

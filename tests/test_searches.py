@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import bayes, causal, cube, generators, models, rescale, stats, validation
+from causeway.operators import bayes, binning, causal, cube, generators, models, rescale, stats, validation
 
 
 @pytest.mark.parametrize("m, n", [(3, 3), (4, 6), (5, 5), (2, 7), (6, 4)])
@@ -169,3 +169,12 @@ def test_interpolation_keeps_pairs_exclusive_and_values_above_low(spark):
     assert sum(r["c"] is None for r in new) == 2 and {r["c"] for r in new} <= {0.0, None}
     free = rescale.augment_interpolate(rows, "key", ["a", "b", "c"], shift=None, low=None).filter("key is null").collect()
     assert min(r["c"] for r in free if r["c"] is not None) < -1 and any(r["a"] > 0 and r["b"] > 0 for r in free)
+
+
+def test_first_seen_codes_of_many_values(spark):
+    rows = spark.range(60_000).select((F.col("id") * 7919 % 20_011).alias("v"), (60_000 - F.col("id")).alias("at")).unionByName(spark.createDataFrame([(None, 0)], "v long, at long"))
+    got = {r["v"]: (r["code"], r["first"]) for r in binning.first_seen_codes(rows, "v", "at").collect()}
+    first = {}
+    for i in range(60_000):
+        first[i * 7919 % 20_011] = 60_000 - i
+    assert got == {v: (k, f) for k, (f, v) in enumerate(sorted((f, v) for v, f in first.items()))}
