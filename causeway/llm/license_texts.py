@@ -52,6 +52,7 @@ BSD_CONDITIONS = (
     " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 )
+BSD_BULLETS = BSD_CONDITIONS.replace(" 1. ", " * ").replace(" 2. ", " * ")
 BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 BSD_DISCLAIMER = (
     ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
@@ -73,17 +74,17 @@ ISC_REST = (
 )
 
 
-def gnu_notice(name: str, version: str) -> str:
-    return (
-        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
-        f" This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
-    )
+def gnu_notices(name: str, version: str) -> list[str]:
+    """The notice's first two paragraphs, and the first alone."""
+    first = f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    second = f" This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+    return [first + second, first]
 
 
 #: Notices and texts beyond those that follow from the title.
 TEXTS = {
     "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted." + ISC_REST],
-    "AGPL-3.0": [gnu_notice("GNU Affero General Public License", "3")],
+    "AGPL-3.0": gnu_notices("GNU Affero General Public License", "3"),
     "Apache-2.0": [
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
         ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -91,8 +92,8 @@ TEXTS = {
         "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0",
     ],
     "BSD": [BSD_HEAD],
-    "BSD-2-Clause": [BSD_HEAD + BSD_CONDITIONS + BSD_DISCLAIMER],
-    "BSD-3-Clause": [BSD_HEAD + BSD_CONDITIONS + BSD_THIRD + BSD_DISCLAIMER],
+    "BSD-2-Clause": [BSD_HEAD + BSD_CONDITIONS + BSD_DISCLAIMER, BSD_HEAD + BSD_BULLETS + BSD_DISCLAIMER],
+    "BSD-3-Clause": [BSD_HEAD + BSD_CONDITIONS + BSD_THIRD + BSD_DISCLAIMER, BSD_HEAD + BSD_BULLETS + BSD_THIRD.replace(" 3. ", " * ") + BSD_DISCLAIMER],
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -102,10 +103,11 @@ TEXTS = {
     "CC-BY-NC-ND-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."],
     "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
-    "GPL-2.0": [gnu_notice("GNU General Public License", "2")],
-    "GPL-3.0": [gnu_notice("GNU General Public License", "3")],
+    "GPL-2.0": gnu_notices("GNU General Public License", "2"),
+    "GPL-3.0": gnu_notices("GNU General Public License", "3"),
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies." + ISC_REST],
-    "LGPL-3.0": [gnu_notice("GNU Lesser General Public License", "3")],
+    "LGPL-2.1": gnu_notices("GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": gnu_notices("GNU Lesser General Public License", "3"),
     "MIT": [MIT_GRANT + MIT_REST, MIT_GRANT, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",

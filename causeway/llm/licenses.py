@@ -1,12 +1,12 @@
 """Operator 8, license scans: conditional compression against templates, confirmed by exact wording.
 
 Blocks are the surroundings of license words: as many words to either side as the longest template of a class needs (short notices, full texts), merged
-where they meet, kept within blank lines, and cut into overlapping blocks of bounded length. Each block is compressed by zstandard alone and with every
+where they meet, across blank lines (notices have paragraphs), and cut into overlapping blocks of bounded length. Each block is compressed by zstandard alone and with every
 template as a raw dictionary; templates are ranked by how much smaller they make the block. In that order, all that make it smaller are aligned word by word: places
 where enough of a template's word pairs lie in one diagonal band are compared, and each whose differing words are at most ``slack`` of the template's,
 none of them decisive (a number, a word of a license's name, a negation), is an alignment with a span of its own. Of overlapping alignments the one with
-the most words explained wins (then fewer differences, then the larger reduction); all others are findings each. A bare reservation of rights counts only in
-a paragraph without another license.
+the most words explained wins (then fewer differences, then the larger reduction); all others are findings each. A bare reservation of rights counts only if
+neither its paragraph nor the next one has another license, as the line of a copyright stands before its notice.
 
 Scale: one map over the texts; texts without a license word never leave the JVM. Work is linear in the length of a text: lines are scanned once, blocks have bounded
 length, and alignments are made only inside a band.
@@ -42,7 +42,7 @@ NAMES = {w for title in [*TITLES, *TITLES.values()] for w in WORD.findall(title.
 DECISIVE = re.compile(r"\d|^(?:attribution.*|sharealike|noncommercial|noderivatives|nc|nd|sa|by|not|no|agpl|gpl|lgpl|mpl|epl)$")
 #: Most words of the templates of a class; the last one has the rest.
 CLASSES = (40, None)
-#: What is dropped beside any other license of its paragraph.
+#: What is dropped beside any other license of its paragraph or the next.
 WEAK = {"Proprietary"}
 
 
@@ -140,15 +140,13 @@ def classes(texts: dict[str, list[str]], slack: float) -> list[Templates]:
     return [Templates(own, slack) for own in out if own]
 
 
-def blocks(anchors: list[int], paragraphs: list[int], n: int, reach: int) -> Iterator[tuple[int, int]]:
-    """(first word, behind the last) of the blocks around anchored words; paragraphs: first words, ascending."""
+def blocks(anchors: list[int], n: int, reach: int) -> Iterator[tuple[int, int]]:
+    """(first word, behind the last) of the blocks around anchored words."""
     merged: list[list[int]] = []
     for at in anchors:
-        p = bisect_right(paragraphs, at)
-        low = max(at - reach, paragraphs[p - 1] if p else 0)
-        high = min(at + reach + 1, paragraphs[p] if p < len(paragraphs) else n)
-        if merged and low <= merged[-1][1] and not (p and low == paragraphs[p - 1] and low == merged[-1][1]):
-            merged[-1][1] = max(merged[-1][1], high)
+        low, high = max(at - reach, 0), min(at + reach + 1, n)
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = high
         else:
             merged.append([low, high])
     for low, high in merged:
@@ -167,7 +165,7 @@ def findings(text: str, known: list[Templates], met: dict) -> list[tuple[int, in
     paragraphs = sorted({bisect_left(starts, m.end()) for m in BLANK_LINE.finditer(text)}) if anchors else []
     found: list[Alignment] = []
     for templates in known:
-        for low, high in blocks(anchors, paragraphs, len(words), templates.reach):
+        for low, high in blocks(anchors, len(words), templates.reach):
             block = text[spans[low][0] : spans[high - 1][1]]
             key = (templates.longest, block)
             if key not in met:
@@ -182,7 +180,7 @@ def findings(text: str, known: list[Templates], met: dict) -> list[tuple[int, in
         if i == 0 or kept[i - 1].end <= a.start:
             kept.insert(i, a)
             begins.insert(i, a.start)
-    strong = {bisect_right(paragraphs, a.start) for a in kept if a.license not in WEAK}
+    strong = {p for a in kept if a.license not in WEAK for p in (bisect_right(paragraphs, a.start) - 1, *range(bisect_right(paragraphs, a.start), bisect_left(paragraphs, a.end) + 1))}
     return [(spans[a.start][0], spans[a.end - 1][1], a.license, a.gain, list(a.differing)) for a in kept if a.license not in WEAK or bisect_right(paragraphs, a.start) not in strong]
 
 

@@ -147,6 +147,29 @@ def test_every_wording_is_found_wherever_it_stands():
     assert lost == 0
 
 
+def published(text, mark, width=72):
+    """A notice as files have it: a paragraph a numbered or spoken part, blank lines between, each line behind a comment mark."""
+    import re
+    import textwrap
+
+    parts = re.split(r" (?=\d\. |\* |THE SOFTWARE IS|THIS SOFTWARE IS|IN NO EVENT|This program is distributed|Unless required|The above copyright|Permission is granted|If a copy)", text)
+    return f"\n{mark}\n".join("\n".join(mark + " " + line for line in textwrap.wrap(p, width)) for p in parts)
+
+
+@pytest.mark.parametrize("mark", ["", "#", " *", "//"])
+def test_published_forms_cross_blank_lines(mark):
+    """Whole notices with blank lines and comment marks give their license alone, with all their words."""
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Zlib"):
+        for t in license_texts.TEXTS[name]:
+            body = published(t, mark)
+            for head in ("", f"{mark} Copyright (c) 2011, The Authors\n{mark} All rights reserved.\n{mark}\n"):
+                found = noticed(f"some words before\n\n{head}{body}\n\nand some after\n".replace("\n \n", "\n\n"))
+                assert [n for _, n in found] == [name], (name, mark, head)
+                assert len(found[0][0].split()) >= 0.95 * len(body.split()) - 2
+    gpl = license_texts.TEXTS["GPL-3.0"]
+    assert noticed(gpl[1] + "\n\nunrelated words of another kind")[0][1] == "GPL-3.0"
+
+
 def test_changed_words():
     t = license_texts.TEXTS["MIT"][0]
     words = t.split(" ")
