@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions.columns import hash_uniform_sql
-from causeway.operators import bayes, causal, cube, generators, graph, models, stats, validation
+from causeway.operators import bayes, causal, cube, generators, graph, isotonic, models, stats, sweeps, validation
 from causeway.sources.tables import read_table
 
 #: Seven inputs and two outcomes of line items, binned, as SQL that both engines read.
@@ -97,7 +97,47 @@ def causal_validation(spark, d):
     return validation.validate(rows, CAUSES, ["y", "t"], VALIDATED, predict, "key", repeats=3)
 
 
-QUERIES = {f.__name__: f for f in (trio_scores, ks_p_values, generator_samples, generator_winners, guide_draws, stratified_effects, causal_validation)}
+STEPS = {"q": [10.0, 20.0, 25.0, 35.0], "u": [0.05]}
+P_Y = "CASE WHEN {q} <= 10 THEN 8.0 WHEN {q} <= 20 THEN 22.0 WHEN {q} <= 35 THEN 40.0 ELSE 60.0 END + CASE WHEN {u} <= 0.05 THEN 0.0 ELSE 3.0 END"
+P_T = "CASE WHEN {q} <= 25 THEN 0.65 ELSE 1.15 END"
+SWEPT = (0.1, 4.0)
+
+
+def factor_sweep(spark, d):
+    """The best factors of two columns in turn, over the whole range, for a model of steps."""
+    rows = _keyed(spark, d).withColumnsRenamed({"l_quantity": "q", "l_discount": "u"})
+    model = lambda df: df.withColumns({"p_y": F.expr(P_Y.format(q="q", u="u")).cast("double"), "p_t": F.expr(P_T.format(q="q")).cast("double")})
+    found, _ = sweeps.greedy_sweep(rows, STEPS, model, [("y", "p_y"), ("t", "p_t")], "r2", *SWEPT)
+    return spark.createDataFrame([(c, *[round(v[k], 9) for k in ("low", "high", "factor", "value")]) for c, v in found.items()], "col string, low double, high double, factor double, value double")
+
+
+def refined_factor_sweep(spark, d):
+    """The best factor of the quantity for forests and boosted trees that refine each other: what no grid can miss. No SQL; held against exploded grids in the tests."""
+    rows = _keyed(spark, d)
+    model = models.fit_refined(rows, ["l_quantity", "l_discount", "l_tax"], ("y", "t"), 1, boosting={"maxIter": 2, "maxDepth": 3, "maxBins": 8}, numTrees=3, maxDepth=3, maxBins=8)
+    rows = rows.withColumn("l_quantity", F.col("l_quantity") * 0.6)  # another domain
+    found = sweeps.sweep_factor(rows, "l_quantity", sweeps.thresholds(model, "l_quantity"), lambda df: model.transform(df), [("y", "p_y"), ("t", "p_t")])
+    return spark.createDataFrame([tuple(float(found[k]) for k in ("low", "high", "factor", "value"))], "low double, high double, factor double, value double")
+
+
+def isotonic_blocks(spark, d):
+    """The isotonic fit of a noisy measure over prices in hundreds: its blocks."""
+    rows = read_table(spark, f"{d}/lineitem.parquet").select(F.floor(F.col("l_extendedprice") / 100).alias("x"), (F.col("l_linenumber") + F.col("l_extendedprice") / 50000).alias("y"))
+    return isotonic.isotonic_blocks(rows, "x", "y").select("lo", "hi", "n", F.round("mean", 7).alias("mean"))
+
+
+QUERIES = {f.__name__: f for f in (trio_scores, ks_p_values, generator_samples, generator_winners, guide_draws, stratified_effects, causal_validation, factor_sweep, refined_factor_sweep, isotonic_blocks)}
+
+
+def _sweep_sql(col: str, cells: str) -> str:
+    """The best stretch of factors of col by trying the middle of every one on the cells (q, u) with their sums."""
+    py, pt = P_Y.format(q="q * CASE WHEN '{c}' = 'q' THEN f ELSE 1 END".format(c=col), u="u * CASE WHEN '{c}' = 'u' THEN f ELSE 1 END".format(c=col)), P_T.format(q="q * CASE WHEN '{c}' = 'q' THEN f ELSE 1 END".format(c=col))
+    return f"""(SELECT '{col}' AS col, low, high, f AS factor, 1 - (ey / vy + et / vt) / 2 AS value FROM (
+  SELECT low, high, f, sum(syy - 2 * sy * py + n * py * py) AS ey, sum(stt - 2 * st * pt + n * pt * pt) AS et FROM (
+    SELECT *, {py} AS py, {pt} AS pt FROM {cells}, (
+      SELECT low, high, (low + high) / 2 AS f FROM (SELECT low, coalesce(lead(low) OVER (ORDER BY low), {SWEPT[1]}::DOUBLE) AS high FROM (
+        SELECT {SWEPT[0]}::DOUBLE AS low UNION SELECT t / {col} FROM {cells}, (SELECT unnest({STEPS[col]}::DOUBLE[]) AS t) WHERE {col} > 0 AND t / {col} > {SWEPT[0]}::DOUBLE AND t / {col} < {SWEPT[1]}::DOUBLE)))) GROUP BY ALL), v
+  ORDER BY round(value, 11) DESC, low LIMIT 1)"""
 
 
 def _trio_sql() -> str:
@@ -171,6 +211,18 @@ def _interval_sql(kind: str, x: str, strata: str) -> str:
 
 
 SQL = {
+    "factor_sweep": f"""
+WITH g AS (SELECT l_quantity AS q, l_discount AS u, count(*) AS n, sum(l_extendedprice / 1000) AS sy, sum((l_extendedprice / 1000) ** 2) AS syy, sum(l_tax * 10 + l_quantity / 50) AS st, sum((l_tax * 10 + l_quantity / 50) ** 2) AS stt FROM lineitem GROUP BY ALL),
+v AS (SELECT count(*) * var_pop(l_extendedprice / 1000) AS vy, count(*) * var_pop(l_tax * 10 + l_quantity / 50) AS vt FROM lineitem),
+a AS {_sweep_sql('q', 'g')}, h AS (SELECT g.* REPLACE (q * factor AS q) FROM g, a), b AS {_sweep_sql('u', 'h')}
+SELECT col, round(low, 9) AS low, round(high, 9) AS high, round(factor, 9) AS factor, round(value, 9) AS value FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
+    "isotonic_blocks": """
+WITH p AS (SELECT floor(l_extendedprice / 100) AS x, count(*) AS n, sum(l_linenumber + l_extendedprice / 50000) AS s FROM lineitem GROUP BY 1),
+c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, n, sum(n) OVER w AS cn, sum(s) OVER w AS cs, sum(n) OVER w - n AS bn, sum(s) OVER w - s AS bs FROM p WINDOW w AS (ORDER BY x)),
+m AS (SELECT a.i AS a, b.i AS b, (b.cs - a.bs) / (b.cn - a.bn) AS mean FROM c a JOIN c b ON b.i >= a.i),
+l AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS least FROM m),
+f AS (SELECT i, max(least) AS fit FROM l GROUP BY i)
+SELECT min(x) AS lo, max(x) AS hi, CAST(sum(n) AS BIGINT) AS n, round(avg(fit), 7) AS mean FROM c JOIN f USING (i) GROUP BY round(fit, 9)""",
     "stratified_effects": f"""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS key, l_quantity - 25 AS slope, CAST(l_linestatus = 'O' AS INTEGER) AS contrast, l_extendedprice / 1000 AS y, l_returnflag, l_linenumber FROM lineitem),
 drawn AS ({_DRAWN}) {_interval_sql('slope', 'l_quantity', 'l_returnflag, l_linenumber')} UNION ALL {_interval_sql('contrast', 'l_linestatus', 'l_linenumber')}""",
     "generator_samples": f"WITH {_sample_sql()} SELECT dag_id, iteration, f, s, t, q, count(*) AS n FROM x GROUP BY ALL",

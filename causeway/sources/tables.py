@@ -1,13 +1,15 @@
-"""Table sources and sinks: CSV, Parquet, JSON, globs with an id from the path, extract and rename."""
+"""Table sources and sinks: CSV, Parquet, JSON, spreadsheets, globs with an id from the path, extract and rename."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.sources.sheets import read_sheets
+
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """By suffix: .csv (header), .parquet, .json. Declare the schema where a column may look like another type; ValueError for other suffixes."""
+    """By suffix: .csv (header), .parquet, .json, .xlsx (the first sheet, header; needs a schema). Declare the schema where a column may look like another type; ValueError for other suffixes."""
     bare = path.rstrip("/*")
     if bare.endswith(".csv"):
         return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
@@ -15,7 +17,11 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
         return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     if bare.endswith(".json"):
         return spark.read.json(path, schema=schema, multiLine=True)
-    raise ValueError(f"unsupported file format: {path} (.csv, .parquet, .json)")
+    if bare.endswith(".xlsx"):
+        if schema is None:
+            raise ValueError(f"declare the columns of {path}")
+        return read_sheets(spark, path, schema)
+    raise ValueError(f"unsupported file format: {path} (.csv, .parquet, .json, .xlsx)")
 
 
 def write_table(df: DataFrame, path: str) -> None:
