@@ -87,10 +87,10 @@ class Objective:
 
 def search(df: DataFrame, col: str, factors: Sequence[float], model: Model, objective: Objective, mask: Column | None = None) -> DataFrame:
     """(i, factor, value, ok) of every candidate: col times the factor (where the mask holds), predicted, scored. One pass over df."""
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(f)).alias("factor")) for i, f in enumerate(factors)])
+    listed = F.array(*[F.struct(F.lit(i).alias("i_"), F.lit(float(f)).alias("factor_")) for i, f in enumerate(factors)])
     rows = df.select("*", F.inline(listed))
-    rows = rows.withColumn(col, masked(F.col(col), F.lit(True) if mask is None else mask, F.col(col) * F.col("factor")))
-    return model(rows).groupBy("i", "factor").agg(*objective.aggregates())
+    rows = rows.withColumn(col, masked(F.col(col), F.lit(True) if mask is None else mask, F.col(col) * F.col("factor_")))
+    return model(rows).groupBy(F.col("i_").alias("i"), F.col("factor_").alias("factor")).agg(*objective.aggregates())
 
 
 def best_of(scored: DataFrame) -> DataFrame:

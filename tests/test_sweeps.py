@@ -62,6 +62,12 @@ def test_sweep_by_hand(spark):
             sweeps.sweep_factor(rows, "a", at, stepped, pairs, kind, low, high)
 
 
+def test_search_of_tables_with_its_own_names(spark):
+    rows = spark.range(20).select(F.col("id").alias("i"), (F.col("id") / 2).alias("factor"), F.col("id").alias("y"))
+    found = rescale.search(rows, "factor", [1.0, 2.0, 3.0], lambda df: df.withColumn("p", F.col("factor")), rescale.Objective((("y", "p"),), "mse"))
+    assert rescale.best_of(found).first()["factor"] == 2.0 and found.columns == ["i", "factor", "value", "ok"]
+
+
 def sequential(points):
     """Blocks of sorted (x, n, mean) by one pass over all."""
     out = []
