@@ -257,7 +257,7 @@ def _grow(t: _Table, fits: list[Fit], done: list[list[Tree]], forest: bool) -> N
                     a, c = p[lo : lo + (1 << 16)], code[lo : lo + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), i, np.int32), (c // width + first).astype(np.int32), a.astype(np.int32), (c % width - 1).astype(np.int32), s[0][a, c], s[1][a, c])], ["fit", "node", "feature", "bin", "g", "h"])
 
-        summed = t.rows.mapInArrow(cells, "fit int, node int, feature int, bin int, g long, h long").groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        summed = t.rows.mapInArrow(cells, "fit int, node int, feature int, bin int, g long, h long").groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).repartition("fit", "node")  # one exchange for windows and maxima
         for r in best_splits(summed, [f.params for f in fits], unit).collect():  # a row a node
             tree, lam = fits[r["fit"]].tree, fits[r["fit"]].params.lam
             value = lambda g, h: -g / (h + lam) if h + lam > 0 else 0.0
