@@ -20,18 +20,21 @@ Scale: a task holds cells of at most about ``CELLS`` numbers (fits are dealt int
 from __future__ import annotations
 
 import itertools
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.columns import nominal_columns, nominal_values
 from causeway.functions.scratch import stored
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 UNIT = 2.0**-20
 CELLS = 1 << 23
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
