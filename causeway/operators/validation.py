@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions.columns import nominal_columns, nominal_values
-from causeway.functions.scratch import stored
-from causeway.functions.windows import permuted, positions
-from causeway.operators import stats
 from causeway.operators.causal import adjusted_effect, spurious_flags
 from causeway.operators.graph import Edge, feature_role, minimal_backdoor_set, nodes_of
+from causeway.operators.models import shuffled_r2
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -29,30 +27,24 @@ def placed(df: DataFrame, features: Sequence[str], value: Callable[[str], Column
     return df.withColumns({f: F.when(F.col("__f") == j, value(f).cast(kinds[f])).otherwise(F.col(f)) for j, f in enumerate(features)})
 
 
-def importances(df: DataFrame, predict: Predict, targets: Sequence[str], given: dict[str, list[str]], key: str, repeats: int = 10, seed: int = 42) -> DataFrame:
+def importances(df: DataFrame, predict: Predict, targets: Sequence[str], given: dict[str, list[str]] | dict[tuple[str, str], list[str]], key: str, repeats: int = 10, seed: int = 42, reads: Sequence[str] | None = None) -> DataFrame:
     """(target, feature, permutation, base_r2): the mean fall of each target's R2 when a feature is shuffled among rows of equal values of its covariates.
 
-    given: {feature: covariates} (none: among all rows). Features and repeats are columns of one job: rows are numbered by key in the groups of their feature, the
-    i-th by key receives the value of the i-th by a seeded hash, and orders run over ranges, so a group may hold the whole table. df is predicted once for the base
-    and once in features x repeats copies of a row. Null covariates are a value of their own. key must be unique.
+    given: {feature: covariates} or, where targets differ, {(target, feature): covariates} (none: among all rows). Features of one set of covariates share their orders, for
+    all targets: the i-th row by key receives the values of the i-th by a seeded hash, and orders run over ranges, so a group may hold the whole table.
+    reads: as in shuffled_r2. Null covariates are a value of their own. key must be unique.
     """
-    features = list(given)
-    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    group = chosen(features, lambda f: F.array(*map(text, given[f])).cast("array<string>"))
-    each = df.withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).withColumns({"__group": group, "__value": chosen(features, lambda f: F.col(f).cast("string"))})
-    numbered = stored(positions(each, ["__f", "__group"], [F.col(key)], "at_"), "numbered")
-    many = numbered.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    moved = permuted(many, "__value", ["__f", "__r", "__group"], key, F.col("__r") + seed, "__moved")
-    moved = placed(moved, features, lambda f: F.col("__moved")).drop("__group", "__value", "__moved", "at_")
-    scores = [stats.r2(F.col(t), F.col(f"p_{t}")).alias(t) for t in targets]
-    listed = F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("r2")) for t in targets])
-    base = predict(df).agg(*scores).select(F.inline(listed)).withColumnRenamed("r2", "base_r2")
-    runs = predict(moved).groupBy("__f", "__r").agg(*scores).select("__f", F.inline(listed)).groupBy("__f", "target").agg(F.avg("r2").alias("r2"))
-    return runs.join(F.broadcast(base), "target").select("target", chosen(features, F.lit).alias("feature"), (F.col("base_r2") - F.col("r2")).alias("permutation"), "base_r2")  # a row a target
-
-
-def sensitivities(df: DataFrame, predict: Predict, targets: Sequence[str], features: Sequence[str], delta: float = 1.0) -> DataFrame:
-    """(target, feature, sensitivity): the mean change of a prediction when a feature moves by delta; all features in one scan.
+    each = {tf: list(z) for k, z in given.items() for tf in ([k] if isinstance(k, tuple) else [(t, k) for t in targets])}
+    rows = []
+    for z in dict.fromkeys(map(tuple, each.values())):
+        mine = [tf for tf, own in each.items() if tuple(own) == z]
+        base, after = shuffled_r2(df, predict, [t for t in targets if t in {t for t, _ in mine}], list(dict.fromkeys(f for _, f in mine)), list(z), key, repeats, seed, reads)
+        rows += [(t, f, None if None in (base[t], after[t, f]) else base[t] - after[t, f], base[t]) for t, f in mine]
+    return df.sparkSession.createDataFrame(rows, "target string, feature string, permutation double, base_r2 double")
+
+
+def sensitivities(df: DataFrame, predict: Predict, targets: Sequence[str], features: Sequence[str], delta: float = 1.0, reads: Sequence[str] | None = None) -> DataFrame:
+    """(target, feature, sensitivity): the mean change of a prediction when a feature moves by delta; all features in one scan. reads: as in shuffled_r2.
 
     A nominal feature of two values has them swapped; of more, every other value becomes the first and the first the second (values sorted). One of a single value doesn't move.
     """
@@ -64,25 +56,26 @@ def sensitivities(df: DataFrame, predict: Predict, targets: Sequence[str], featu
         a, b = (values[f] * 2)[:2] if values[f] else (None, None)
         return F.when(F.col(f) == a, F.lit(b)).when(F.col(f).isNotNull(), F.lit(a))
 
-    each = df.withColumn("__f", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
-    means = predict(placed(each, features, other)).groupBy("__f").agg(*[F.avg(f"p_{t}").alias(t) for t in targets])
+    rows = df.groupBy(*reads).agg(F.count("*").alias("__n")) if reads else df.withColumn("__n", F.lit(1))
+    each = rows.withColumn("__f", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    mean = lambda p: F.sum(p * F.col("__n")) / F.sum(F.when(p.isNotNull(), F.col("__n")))
+    means = predict(placed(each, features, other)).groupBy("__f").agg(*[mean(F.col(f"p_{t}")).alias(t) for t in targets])
     means = means.select("__f", F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("m")) for t in targets])))
     base = means.filter("__f = -1").select("target", F.col("m").alias("base"))
     return means.filter("__f >= 0").join(F.broadcast(base), "target").select("target", chosen(features, F.lit).alias("feature"), (F.col("m") - F.col("base")).alias("sensitivity"))  # a row a target
 
 
-def validate(df: DataFrame, dag: Iterable[Edge], targets: Sequence[str], features: Sequence[str], predict: Predict, key: str, repeats: int = 10, delta: float = 1.0, seed: int = 42) -> DataFrame:
+def validate(df: DataFrame, dag: Iterable[Edge], targets: Sequence[str], features: Sequence[str], predict: Predict, key: str, repeats: int = 10, delta: float = 1.0, seed: int = 42, reads: Sequence[str] | None = None) -> DataFrame:
     """(target, feature, role, given, method, effect, sensitivity, permutation, effect_pct, sens_pct, perm_pct, spurious, coherent) of every feature and target.
 
     Effects are adjusted for the smallest backdoor set that the graph gives; importance shuffles within that set; a feature that the graph doesn't know, or that has no
-    such set, is adjusted for nothing (given is null). predict adds p_<target> columns.
+    such set, is adjusted for nothing (given is null). predict adds p_<target> columns. reads: as in shuffled_r2.
     """
     dag = frozenset(dag)
     known, spark = set(nodes_of(dag)), df.sparkSession
     sets = {(t, f): minimal_backdoor_set(dag, f, t, [c for c in df.columns if c not in targets]) if {t, f} <= known else None for t in targets for f in features}
     effects = reduce(DataFrame.unionByName, [adjusted_effect(df, f, t, list(z or ())) for (t, f), z in sets.items()]).drop("n")
     roles = spark.createDataFrame([(t, f, feature_role(dag, f, t) if {t, f} <= known else "unconnected", None if z is None else ",".join(z)) for (t, f), z in sets.items()], "target string, feature string, role string, given string")
-    parts = [importances(df, predict, [t], {f: list(sets[t, f] or ()) for f in features}, key, repeats, seed) for t in targets]
-    learnt = reduce(DataFrame.unionByName, parts).join(sensitivities(df, predict, targets, features, delta), ["target", "feature"])
+    learnt = importances(df, predict, targets, {tf: list(z or ()) for tf, z in sets.items()}, key, repeats, seed, reads).join(sensitivities(df, predict, targets, features, delta, reads), ["target", "feature"])
     flags = spurious_flags(effects, learnt.select("target", "feature", "sensitivity", "permutation"))
     return roles.join(flags, ["target", "feature"]).select("target", "feature", "role", "given", "method", "effect", "sensitivity", "permutation", "effect_pct", "sens_pct", "perm_pct", "spurious", "coherent")

@@ -242,3 +242,20 @@ def test_random_pairs(spark):
     again = rescale.augment_interpolate(df.repartition(7), "k", ["v"], shift=None).filter("name is null").collect()
     assert sorted(r.v for r in new) == sorted(r.v for r in again)
     assert len({r.v for r in new}) > 190
+
+
+def test_importance_in_buckets_gives_the_textbook_order_and_leaves_no_files(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(windows, "BUCKET", 16)
+    df = spark.range(900).select(F.col("id").alias("key"), (F.col("id") % 10).cast("double").alias("x"), F.when(F.col("id") % 9 < 8, "big").alias("g"), (F.col("id") * 31 % 10).cast("double").alias("y"))
+    got = {r.key: r.w for r in windows.permute_within(df, "x", ["g"], "key", 3, "w").collect()}
+    rows = df.withColumn("h", F.xxhash64("key", F.lit(3))).collect()
+    for g in ("big", None):
+        own = sorted((r for r in rows if r.g == g), key=lambda r: r.key)
+        assert [got[r.key] for r in own] == [r.x for r in sorted(own, key=lambda r: (r.h, r.key))]
+    made = []
+    monkeypatch.setattr(scratch, "scratch_path", lambda _, name: made.append(f"file://{tmp_path}/{len(made)}/{name}") or scratch.MADE.append(made[-1]) or made[-1])
+    monkeypatch.setattr(models, "AT_ONCE", 1000)  # a job a repeat
+    predict = lambda d: d.withColumn("p_y", F.col("x") * 0.5 + F.when(F.col("g").isNull(), 1.0).otherwise(0.0))
+    each = models.permutation_importance(df, predict, "y", "x", ["g"], "key", 3).first()
+    once = models.permutation_importance(df, predict, "y", "x", ["g"], "key", 3, reads=["x", "g"]).first()
+    assert (each.importance, each.base_r2) == pytest.approx((once.importance, once.base_r2)) and made and not list(tmp_path.rglob("*.parquet"))
