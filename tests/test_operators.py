@@ -203,3 +203,13 @@ def test_tables(spark, tmp_path):
     assert sorted((r.dag_id, r.x) for r in df.collect()) == [(1, 1), (1, 6), (2, 2), (2, 7)]
     assert tables.extract(df.withColumnRenamed("x", " x "), {"x": "X"}).columns == ["X"]
     assert tables.union_tables(df, df.drop("y"), cols=["x"]).count() == 8
+
+
+def test_exact_p_values_of_a_small_table_are_dealt_to_tasks(spark):
+    pairs = [(5, 7), (30, 12), (64, 64), (1, 1), (90, 41), (3, 200)] * 20
+    ks = [round(0.3 * math.lcm(a, b)) / math.lcm(a, b) for a, b in pairs]
+    each = [stats.ks_exact_p(k, a, b) for k, (a, b) in zip(ks, pairs)]
+    assert list(stats.ks_exact_ps(ks, *zip(*pairs))) == each
+    tests = spark.createDataFrame([(k, a, b) for k, (a, b) in zip(ks, pairs)], "ks double, n_a long, n_b long").coalesce(1)
+    got = stats.with_p_value(tests).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.p for r in got) == sorted(each) and len({r.task for r in got}) > 1
