@@ -84,13 +84,39 @@ class Objective:
         ok = reduce(lambda a, b: a & b, [stats.mse(y, p) <= t for (y, p), t in zip(cols, self.limits)], F.lit(True)) if self.kind == "constrained" else F.lit(True)
         return [value.alias("value"), ok.alias("ok")]
 
+    def of_cells(self, spread: dict[str, float | None]) -> list[Column]:
+        """The same of cells (stats.cells); spread: each truth's sum of squared deviations over all rows."""
+        fit = {y: stats.sse(y, F.col(p)) for y, p in self.pairs}
+        mean_error = {y: fit[y] / F.sum(F.when(F.col(p).isNotNull(), F.col(f"n_{y}"))) for y, p in self.pairs}
+        one = {
+            "mse": lambda y, _: -mean_error[y],
+            "tolerance": lambda y, k: 1 - mean_error[y] / F.lit(float(self.tolerances[k])),
+        }.get(self.kind, lambda y, _: 1 - fit[y] / F.lit(spread[y]).cast("double"))
+        value = reduce(lambda a, b: a + b, [one(y, k) for k, (y, _) in enumerate(self.pairs)]) / len(self.pairs)
+        ok = reduce(lambda a, b: a & b, [mean_error[y] <= t for (y, _), t in zip(self.pairs, self.limits)], F.lit(True)) if self.kind == "constrained" else F.lit(True)
+        return [value.alias("value"), ok.alias("ok")]
+
+
+def merged(df: DataFrame, cols: Sequence[str], objective: Objective, reads: Sequence[str] | None) -> tuple[DataFrame, list[Column]]:
+    """(the rows that candidates meet, the aggregates that score them). With reads, all columns that the model and a mask read, rows that are equal there are one, predicted once a candidate.
+
+    Without it, or if it names a truth, they are df's own rows. The cells are stored: every candidate meets them, the table is read once.
+    """
+    truths = list(dict.fromkeys(y for y, _ in objective.pairs))
+    if not reads or set(truths) & {*reads, *cols}:
+        return df, objective.aggregates()
+    spread = df.agg(*[(F.var_pop(y) * F.count(y)).alias(f"s{i}") for i, y in enumerate(truths)]).first()
+    by = list(dict.fromkeys([*reads, *cols]))
+    return stored(stats.cells(df, by, truths), "cells"), objective.of_cells({y: spread[f"s{i}"] for i, y in enumerate(truths)})
+
 
-def search(df: DataFrame, col: str, factors: Sequence[float], model: Model, objective: Objective, mask: Column | None = None) -> DataFrame:
-    """(i, factor, value, ok) of every candidate: col times the factor (where the mask holds), predicted, scored. One pass over df."""
+def search(df: DataFrame, col: str, factors: Sequence[float], model: Model, objective: Objective, mask: Column | None = None, reads: Sequence[str] | None = None) -> DataFrame:
+    """(i, factor, value, ok) of every candidate: col times the factor (where the mask holds), predicted, scored. One pass over df, or over its cells (reads: as in merged)."""
+    df, scores = merged(df, [col], objective, reads)
     listed = F.array(*[F.struct(F.lit(i).alias("i_"), F.lit(float(f)).alias("factor_")) for i, f in enumerate(factors)])
     rows = df.select("*", F.inline(listed))
     rows = rows.withColumn(col, masked(F.col(col), F.lit(True) if mask is None else mask, F.col(col) * F.col("factor_")))
-    return model(rows).groupBy(F.col("i_").alias("i"), F.col("factor_").alias("factor")).agg(*objective.aggregates())
+    return model(rows).groupBy(F.col("i_").alias("i"), F.col("factor_").alias("factor")).agg(*scores)
 
 
 def best_of(scored: DataFrame) -> DataFrame:
@@ -105,12 +131,12 @@ def frange(lo: float, hi: float, step: float) -> list[float]:
 DEFAULT_FACTORS = frange(0.1, 20.0, 0.1)
 
 
-def greedy_scale_search(df: DataFrame, cols: Sequence[str], model: Model, objective: Objective, factors: Sequence[float] | dict[str, Sequence[float]] = DEFAULT_FACTORS) -> tuple[dict[str, float], DataFrame]:
-    """Coordinate-wise: the best factor of each column in turn, columns before it scaled already. Returns factors and the scaled table."""
+def greedy_scale_search(df: DataFrame, cols: Sequence[str], model: Model, objective: Objective, factors: Sequence[float] | dict[str, Sequence[float]] = DEFAULT_FACTORS, reads: Sequence[str] | None = None) -> tuple[dict[str, float], DataFrame]:
+    """Coordinate-wise: the best factor of each column in turn, columns before it scaled already. Returns factors and the scaled table. reads: as in merged."""
     found = {}
     for c in cols:
         own = factors.get(c, DEFAULT_FACTORS) if isinstance(factors, dict) else factors
-        found[c] = best_of(search(df, c, own, model, objective)).first()["factor"]
+        found[c] = best_of(search(df, c, own, model, objective, reads=reads)).first()["factor"]
         df = df.withColumn(c, F.col(c) * F.lit(found[c]))
     return found, df
 
@@ -124,28 +150,29 @@ class ClusterSpec:
     factors: tuple[float, ...]
 
 
-def cluster_scale_search(df: DataFrame, col: str, specs: Sequence[ClusterSpec], model: Model, objective: Objective) -> tuple[list[float], DataFrame]:
-    """The best factor of each cluster, each judged with the rest of the column unscaled; then all applied, the last cluster winning on a shared edge."""
+def cluster_scale_search(df: DataFrame, col: str, specs: Sequence[ClusterSpec], model: Model, objective: Objective, reads: Sequence[str] | None = None) -> tuple[list[float], DataFrame]:
+    """The best factor of each cluster, each judged with the rest of the column unscaled; then all applied, the last cluster winning on a shared edge. reads: as in merged."""
     found = []
     for s in specs:
         mask = in_range(F.col(col), s.lo, s.hi, closed=True)
-        found.append(best_of(search(df, col, s.factors, model, objective, mask)).first()["factor"])
+        found.append(best_of(search(df, col, s.factors, model, objective, mask, reads)).first()["factor"])
     factor = reduce(lambda acc, sf: F.when(in_range(F.col(col), sf[0].lo, sf[0].hi, closed=True), F.lit(sf[1])).otherwise(acc), zip(specs, found), F.lit(1.0))
     return found, df.withColumn(col, F.col(col) * factor)
 
 
-def weight_search(df: DataFrame, cols: Sequence[str], model: Model, objective: Objective, lo: float = 0.1, hi: float = 3.0, step: float = 0.01) -> tuple[dict[str, float], DataFrame]:
-    """One global weight a column after cluster scaling, columns in turn."""
-    return greedy_scale_search(df, cols, model, objective, frange(lo, hi, step))
+def weight_search(df: DataFrame, cols: Sequence[str], model: Model, objective: Objective, lo: float = 0.1, hi: float = 3.0, step: float = 0.01, reads: Sequence[str] | None = None) -> tuple[dict[str, float], DataFrame]:
+    """One global weight a column after cluster scaling, columns in turn. reads: as in merged."""
+    return greedy_scale_search(df, cols, model, objective, frange(lo, hi, step), reads)
 
 
-def joint_search(df: DataFrame, candidates: DataFrame, cols: Sequence[str], model: Model, objective: Objective) -> DataFrame:
-    """candidates (i, f_<col>...) with value and ok: all columns scaled at once. candidates is a small table of the search's own, broadcast."""
+def joint_search(df: DataFrame, candidates: DataFrame, cols: Sequence[str], model: Model, objective: Objective, reads: Sequence[str] | None = None) -> DataFrame:
+    """candidates (i, f_<col>...) with value and ok: all columns scaled at once. candidates is a small table of the search's own, broadcast. reads: as in merged."""
     if candidates.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
         raise ValueError(f"more than {MOST_CANDIDATES} candidates: search them in parts")
+    df, scores = merged(df, cols, objective, reads)
     rows = df.crossJoin(F.broadcast(candidates))
     rows = rows.withColumns({c: F.col(c) * F.col(f"f_{c}") for c in cols})
-    return model(rows).groupBy("i", *[f"f_{c}" for c in cols]).agg(*objective.aggregates())
+    return model(rows).groupBy("i", *[f"f_{c}" for c in cols]).agg(*scores)
 
 
 def grid_candidates(spark, grids: dict[str, Sequence[float]]) -> DataFrame:

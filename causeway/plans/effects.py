@@ -118,6 +118,7 @@ def _model(df):
     return df.withColumns({"p_y": F.col("q") * 1.2 + F.col("u") * 20, "p_t": F.col("u") * 4 + 0.2})
 
 
+READS = ["q", "u"]  # all that _model reads
 OBJECTIVE = rescale.Objective((("y", "p_y"), ("t", "p_t")), "r2")
 FACTORS = rescale.frange(0.2, 2.0, 0.2)
 #: Most MSE of both targets: the factor of u with the best R2 breaks the first, so the limit decides.
@@ -129,20 +130,20 @@ def _found(spark, factors: dict[str, float], kind: str):
 
 
 def greedy_scale_search(spark, d):
-    return _found(spark, rescale.greedy_scale_search(_small(spark, d), ["q", "u"], _model, OBJECTIVE, FACTORS)[0], "r2")
+    return _found(spark, rescale.greedy_scale_search(_small(spark, d), ["q", "u"], _model, OBJECTIVE, FACTORS, READS)[0], "r2")
 
 
 def objective_variants(spark, d):
     rows, out = _small(spark, d), []
     for kind in ("mse", "tolerance", "constrained"):
         o = rescale.Objective(OBJECTIVE.pairs, kind, (100.0, 0.25), LIMITS)
-        out.append(rescale.best_of(rescale.search(rows, "u" if kind == "constrained" else "q", FACTORS, _model, o)).select(F.lit(kind).alias("kind"), "factor", F.round("value", 4).alias("value")))
+        out.append(rescale.best_of(rescale.search(rows, "u" if kind == "constrained" else "q", FACTORS, _model, o, reads=READS)).select(F.lit(kind).alias("kind"), "factor", F.round("value", 4).alias("value")))
     return reduce(DataFrame.unionByName, out)
 
 
 def cluster_scale_search(spark, d):
     specs = [rescale.ClusterSpec(0, 20, tuple(FACTORS)), rescale.ClusterSpec(20, 50, tuple(FACTORS))]
-    found, scaled = rescale.cluster_scale_search(_small(spark, d), "q", specs, _model, OBJECTIVE)
+    found, scaled = rescale.cluster_scale_search(_small(spark, d), "q", specs, _model, OBJECTIVE, READS)
     return scaled.agg(F.round(F.avg("q"), 6).alias("mean_q")).withColumns({"f_low": F.lit(found[0]), "f_high": F.lit(found[1])})
 
 
@@ -153,12 +154,12 @@ def weight_search(spark, d):
 
 def grid_scale_search(spark, d):
     grid = rescale.grid_candidates(spark, {"q": [0.5, 1.0, 1.5], "u": [0.5, 1.0, 2.0]})
-    out = rescale.joint_search(_small(spark, d), grid, ["q", "u"], _model, OBJECTIVE)
+    out = rescale.joint_search(_small(spark, d), grid, ["q", "u"], _model, OBJECTIVE, READS)
     return out.select("i", "f_q", "f_u", F.round("value", 6).alias("value"))
 
 
 def random_scale_search(spark, d):
-    out = rescale.joint_search(_small(spark, d), rescale.random_candidates(spark, ["q", "u"], 500), ["q", "u"], _model, OBJECTIVE)
+    out = rescale.joint_search(_small(spark, d), rescale.random_candidates(spark, ["q", "u"], 500), ["q", "u"], _model, OBJECTIVE, READS)
     return out.select("i", F.round("f_q", 9).alias("f_q"), F.round("f_u", 9).alias("f_u"), F.round("value", 4).alias("value"))
 
 

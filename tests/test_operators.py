@@ -213,3 +213,16 @@ def test_exact_p_values_of_a_small_table_are_dealt_to_tasks(spark):
     tests = spark.createDataFrame([(k, a, b) for k, (a, b) in zip(ks, pairs)], "ks double, n_a long, n_b long").coalesce(1)
     got = stats.with_p_value(tests).withColumn("task", F.spark_partition_id()).collect()
     assert sorted(r.p for r in got) == sorted(each) and len({r.task for r in got}) > 1
+
+
+def test_searches_predict_equal_rows_once(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).cast("double").alias("q"), (F.col("id") % 3).cast("double").alias("u"), F.when(F.col("id") % 11 > 0, F.col("id") % 101 * 0.1).alias("y"), (F.col("id") % 13 * 1.0).alias("t"))
+    model = lambda df: df.withColumns({"p_y": F.when(F.col("u") < 2, F.col("q") * 2 + F.col("u")), "p_t": F.col("q") + F.col("u")})
+    pairs, factors = (("y", "p_y"), ("t", "p_t")), [0.3, 1.0, 1.7]
+    for o in [rescale.Objective(pairs, k, (9.0, 4.0), (30.0, 40.0)) for k in ("r2", "mse", "tolerance", "constrained")]:
+        for mask in (None, F.col("q") > 2):
+            want, got = ({r["i"]: r for r in rescale.search(rows, "q", factors, model, o, mask, reads).collect()} for reads in (None, ["q", "u"]))
+            assert all(got[i]["value"] == pytest.approx(want[i]["value"], rel=1e-12) and got[i]["ok"] == want[i]["ok"] for i in range(3)) and len(got) == 3
+    met = []
+    rescale.search(rows, "q", factors, lambda df: met.append(df.count()) or model(df), o, None, ["q", "u"])
+    assert met == [21 * len(factors)]  # 21 kinds of rows
