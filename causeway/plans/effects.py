@@ -149,7 +149,7 @@ def cluster_scale_search(spark, d):
 
 def weight_search(spark, d):
     rows = _small(spark, d).withColumn("q", F.col("q") * 0.5)
-    return _found(spark, rescale.weight_search(rows, ["q", "u"], _model, OBJECTIVE, 0.5, 3.0, 0.01)[0], "weight")
+    return _found(spark, rescale.weight_search(rows, ["q", "u"], _model, OBJECTIVE, 0.5, 3.0, 0.01, READS)[0], "weight")
 
 
 def grid_scale_search(spark, d):
