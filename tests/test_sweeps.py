@@ -139,3 +139,15 @@ def test_spreadsheets(spark, tmp_path):
     for schema, sheet in (("missing string", None), ("n int", "Absent")):
         with pytest.raises(Exception, match="no column|no sheet"):
             sheets.read_sheets(spark, str(tmp_path / "one.xlsx"), schema, sheet).collect()
+
+
+def test_a_sweep_predicts_equal_rows_once(spark):
+    rows = spark.range(3000).select((F.col("id") % 9).cast("double").alias("a"), (F.col("id") % 2).cast("double").alias("u"), F.when(F.col("id") % 7 > 0, F.col("id") % 101 * 0.1).alias("y"))
+    met = []
+
+    def predict(df):
+        met.append(df.count())
+        return df.withColumn("p_y", F.when(F.col("a") <= 3, 2.0).when(F.col("a") <= 6, 5.0).otherwise(8.0) + F.col("u"))
+
+    want, got = (sweeps.sweep_factor(rows, "a", [3.0, 6.0], predict, [("y", "p_y")], low=0.2, high=5.0, reads=reads) for reads in (None, ["a", "u"]))
+    assert got == pytest.approx(want, rel=1e-12) and met[1] * 100 < met[0]
