@@ -178,3 +178,12 @@ def test_first_seen_codes_of_many_values(spark):
     for i in range(60_000):
         first[i * 7919 % 20_011] = 60_000 - i
     assert got == {v: (k, f) for k, (f, v) in enumerate(sorted((f, v) for v, f in first.items()))}
+
+
+def test_importances_of_merged_rows_and_of_covariates_by_target(spark):
+    rows = spark.range(300).select(F.col("id").alias("key"), (F.col("id") * 37 % 11).cast("double").alias("x"), (F.col("id") % 7).alias("k"), F.when(F.col("id") % 5 > 0, "a").alias("g"))
+    rows = rows.withColumns({"y": F.col("x") * 2 + F.col("k") + F.col("key") % 3, "t": F.col("k") * 1.5 + F.col("key") % 2})
+    predict = lambda df: df.withColumns({"p_y": F.col("x") * 2 + F.col("k"), "p_t": F.col("k") * 1.5 + F.when(F.col("g").isNull(), 1.0).otherwise(0.0)})
+    given = {("y", "x"): ["g"], ("y", "k"): [], ("t", "x"): [], ("t", "k"): ["g"]}
+    one, two = ({(r["target"], r["feature"]): (r["permutation"], r["base_r2"]) for r in validation.importances(rows, predict, ["y", "t"], given, "key", 2, reads=reads).collect()} for reads in (None, ["x", "k", "g"]))
+    assert set(one) == set(given) and all(one[k] == pytest.approx(two[k], rel=1e-9, abs=1e-12) for k in given)
