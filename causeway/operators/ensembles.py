@@ -14,12 +14,15 @@ one value is never split; no row with a target raises ValueError. Nominal featur
 null ones are missing.
 
 Scale: a task holds cells of at most about ``CELLS`` numbers (fits are dealt into blocks for that); margins of boosted fits are stored every
-``every`` trees and worked out from there. Edges are percentiles of one mergeable sketch a feature, at most max_bins - 1.
+``every`` trees and worked out from there. Edges are percentiles of one mergeable sketch a feature, at most max_bins - 1. Rows of one fold with equal bins go the same
+way in every tree, so where they are at least twice as many as their kinds, one pass adds up what the next draws make of each kind (weights and gradients, as
+integers), and levels and errors meet kinds instead of rows, with the same sums. Where inputs are continuous nothing merges, and every level passes over the rows.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
@@ -33,10 +36,13 @@ from pyspark.sql import functions as F
 
 from causeway.functions.columns import nominal_columns, nominal_values
 from causeway.functions.scratch import stored
+from causeway.operators import stats
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 UNIT = 2.0**-20
 CELLS = 1 << 23
+#: Most draws that a table of merged rows has.
+DRAWS = 64
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 
 
@@ -90,6 +96,10 @@ class Fit:
     seed: int
     tree: Tree | None = None
 
+    def draw(self, forest: bool) -> tuple[int, float | None]:
+        """What decides the rows that the tree sees: a seed and a share of rows; no share is a draw with replacement."""
+        return (self.seed, None) if forest else (self.seed, self.params.rows) if self.params.rows < 1.0 else (0, 1.0)
+
 
 def uniform(key: np.ndarray, seed: int) -> np.ndarray:
     """Numbers in [0, 1) from 64-bit keys and a seed, by two rounds of a mixing hash."""
@@ -145,14 +155,15 @@ class Ensemble:
 _LINKS: dict[str, Callable] = {"squared": lambda m: m, "logistic": lambda m: 1.0 / (1.0 + np.exp(-m))}
 
 
-def _gradients(objective: str, y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gradients(objective: str, origin: float, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of rows whose target is origin, and Hessians."""
     p = _LINKS[objective](margin)
-    return p - y, np.ones(len(y)) if objective == "squared" else p * (1.0 - p)
+    return p - origin, np.ones(len(p)) if objective == "squared" else p * (1.0 - p)
 
 
 @dataclass
 class _Table:
-    """The binned rows with a target, stored: key (hash), y, fold, b (bins), and m (margins of boosted fits) once some trees are done."""
+    """The binned rows with a target, stored: key (hash), y, fold, b (bins). merges: rows of equal fold and bins are worth merging; made: merged tables and their draws."""
 
     rows: DataFrame
     inputs: list[tuple[str, str | None]]
@@ -160,6 +171,14 @@ class _Table:
     base: float
     unit: float
     objective: str
+    folds: int
+    merges: bool
+    made: list[tuple[DataFrame, list]] = field(default_factory=list)
+
+    @property
+    def origin(self) -> float:
+        """Gradients of targets are taken from here, those of predictions up to here: their sum is the gradient."""
+        return self.base if self.objective == "squared" else 0.0
 
 
 def _binned(df: DataFrame, features: Sequence[str], target: str, key: str, folds: int, seed: int, objective: str, max_bins: int) -> _Table:
@@ -191,18 +210,83 @@ def _binned(df: DataFrame, features: Sequence[str], target: str, key: str, folds
             bins = _to_bins(columns, edges).T.astype(np.int16 if max_bins < 1 << 15 else np.int32)
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), b.column("fold"), _lists(bins.astype(np.int32))], ["key", "y", "fold", "b"])
 
-    table = rows.mapInArrow(bin_up, "key long, y double, fold int, b array<int>")
-    return _Table(stored(table, "binned"), inputs, edges, base, (spread or 1.0) * UNIT, objective)
+    table = stored(rows.mapInArrow(bin_up, "key long, y double, fold int, b array<int>"), "binned")
+    kinds = table.agg(F.approx_count_distinct(F.xxhash64("fold", "b"))).first()[0]
+    return _Table(table, inputs, edges, base, (spread or 1.0) * UNIT, objective, folds, 2 * kinds <= seen["n"])
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
 
 
-def _parts(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, y, fold, bins as features x rows) of a batch."""
-    bins = batch.column("b").flatten().to_numpy().reshape(batch.num_rows, features).T
-    return batch.column("key").to_numpy(), batch.column("y").to_numpy(), batch.column("fold").to_numpy(), bins
+def _parts(batch: pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fold, bins as features x rows) of a batch."""
+    return batch.column("fold").to_numpy(), batch.column("b").flatten().to_numpy().reshape(batch.num_rows, features).T
+
+
+def _drawn(batch: pa.RecordBatch, draws: Sequence[tuple[int, float | None]], origin: float, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """draws x rows: weights, and weighted gradients of the targets in units. Merged rows have them."""
+    if "w" in batch.schema.names:
+        return tuple(batch.column(c).flatten().to_numpy().reshape(batch.num_rows, len(draws)).T for c in "ws")
+    key, y = batch.column("key").to_numpy(), batch.column("y").to_numpy()
+    w = np.stack([_weights(key, d) for d in draws])
+    return w, np.rint(w * (origin - y) / unit).astype(np.int64)
+
+
+def _weights(key: np.ndarray, draw: tuple[int, float | None]) -> np.ndarray:
+    seed, share = draw
+    if share is None:
+        return np.searchsorted(POISSON, uniform(key, seed), side="right").astype(np.int64)
+    return np.ones(len(key), np.int64) if share >= 1.0 else (uniform(key, seed) < share).astype(np.int64)
+
+
+def _kinds(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], folds: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fold, bins as rows x features, sums) with rows of equal fold and bins as one."""
+    fold, bins, sums = (np.concatenate(x) for x in zip(*parts))
+    code, top = fold.astype(np.int64), folds
+    for b in bins.T:
+        if top * width >= 1 << 62:
+            code, top = np.unique(code, return_inverse=True)[1].astype(np.int64), len(code)
+        code, top = code * width + b + 1, top * width
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return fold[order[first]], bins[order[first]], np.add.reduceat(sums[order], first)
+
+
+def _met(t: _Table, draws: list[tuple[int, float | None]]) -> tuple[DataFrame, list[tuple[int, float | None]]]:
+    """(the rows that trees meet, their draws): the table's, or a stored table with a row (fold, b, w, s: sums a draw) for all of equal fold and bins."""
+    if not t.merges:
+        return t.rows, draws
+    for rows, known in t.made:
+        if set(draws) <= set(known):
+            return rows, known
+    n, features, width, folds, origin, unit = len(draws), len(t.inputs), max(len(e) for e in t.edges) + 2, t.folds, t.origin, t.unit
+    room, names = CELLS // (2 * n), [f"{c}{i}" for c in "ws" for i in range(n)]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(fold: np.ndarray, bins: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(fold), 1 << 14):
+                part = slice(lo, lo + (1 << 14))
+                yield pa.RecordBatch.from_arrays([pa.array(fold[part]), _lists(bins[part]), *[pa.array(x) for x in np.ascontiguousarray(sums[part].T)]], ["fold", "b", *names])
+
+        parts, held = [], 0
+        for b in batches:
+            fold, bins = _parts(b, features)
+            parts.append((fold, bins.T, np.concatenate(_drawn(b, draws, origin, unit)).T))
+            held += b.num_rows
+            if held >= room:
+                parts = [_kinds(parts, folds, width)]
+                held = len(parts[0][0])
+                if held > room // 2:  # too many kinds to hold: Spark adds the rest up
+                    yield from out(*parts[0])
+                    parts, held = [], 0
+        if held:
+            yield from out(*_kinds(parts, folds, width))
+
+    summed = t.rows.mapInArrow(add_up, "fold int, b array<int>, " + ", ".join(f"{c} long" for c in names)).groupBy("fold", "b").agg(*[F.sum(c).alias(c) for c in names])
+    t.made.append((stored(summed.select("fold", "b", F.array(*names[:n]).alias("w"), F.array(*names[n:]).alias("s")), "kinds"), draws))
+    return t.made[-1]
 
 
 def _margins(batch: pa.RecordBatch, bins: np.ndarray, done: list[list[Tree]], rates: Sequence[float], base: float) -> np.ndarray:
@@ -215,24 +299,18 @@ def _margins(batch: pa.RecordBatch, bins: np.ndarray, done: list[list[Tree]], ra
     return out
 
 
-def _weights(fit: Fit, key: np.ndarray, fold: np.ndarray, forest: bool) -> np.ndarray:
-    u = uniform(key, fit.seed) if forest or fit.params.rows < 1.0 else None
-    w = np.searchsorted(POISSON, u, side="right").astype(np.float64) if forest else np.ones(len(key)) if u is None else (u < fit.params.rows).astype(np.float64)
-    return np.where(fold == fit.fold, 0.0, w)
-
-
 def _chosen(fit: Fit, features: int) -> np.ndarray:
     """The features that a tree may split, by its seed."""
     k = max(1, round(fit.params.columns * features))
     return np.arange(features) if k >= features else np.sort(np.argsort(uniform(np.arange(features), ~fit.seed), kind="stable")[:k])
 
 
-def _grow(t: _Table, fits: list[Fit], done: list[list[Tree]], forest: bool) -> None:
-    """Grows a tree for every fit, level by level. done: boosted trees since the margins that are stored (none in forests, whose trees are apart)."""
+def _grow(t: _Table, rows: DataFrame, draws: list[tuple[int, float | None]], fits: list[Fit], done: list[list[Tree]], forest: bool) -> None:
+    """Grows a tree for every fit, level by level, on rows and their draws. done: boosted trees since the margins that are stored (none in forests, whose trees are apart)."""
     features, width = len(t.inputs), max(len(e) for e in t.edges) + 2
     for f in fits:
         f.tree = Tree(f.params.depth)
-    rates, base, unit, objective = [f.params.eta for f in fits], t.base, t.unit, t.objective
+    rates, base, unit, objective, origin, drawn = [f.params.eta for f in fits], t.base, t.unit, t.objective, t.origin, [draws.index(f.draw(forest)) for f in fits]
     for level in range(max(f.params.depth for f in fits)):
         first, nodes = 2**level - 1, 2**level
         open_ = [i for i, f in enumerate(fits) if level < f.params.depth and (level == 0 or (f.tree.feature[(first - 1) // 2 : first] >= 0).any())]
@@ -242,25 +320,31 @@ def _grow(t: _Table, fits: list[Fit], done: list[list[Tree]], forest: bool) -> N
         def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = {i: np.zeros((2, features, nodes * width), np.int64) for i in open_}
             for b in batches:
-                key, y, fold, bins = _parts(b, features)
+                fold, bins = _parts(b, features)
+                weights, targets = _drawn(b, draws, origin, unit)
                 margins = None if forest else _margins(b, bins, done, rates, base)
                 for i in open_:
-                    fit = fits[i]
-                    w, node = _weights(fit, key, fold, forest), fit.tree.walk(bins, level)
-                    at = np.flatnonzero((w > 0) & (node >= first))
-                    g, h = (base - y[at], np.ones(len(at))) if forest else _gradients(objective, y[at], margins[i][at])
-                    g, h = np.rint(w[at] * g / unit), np.rint(w[at] * h / UNIT)
+                    fit, w = fits[i], weights[drawn[i]]
+                    at = np.flatnonzero((w > 0) & (fold != fit.fold))
+                    node = fit.tree.walk(bins[:, at], level)
+                    at, node = at[node >= first], node[node >= first] - first
+                    w, g = w[at], targets[drawn[i]][at]
+                    if forest:
+                        h = w * int(1 / UNIT)
+                    else:
+                        own, h = _gradients(objective, origin, margins[i][at])
+                        g, h = g + w * np.rint(own / unit).astype(np.int64), w * np.rint(h / UNIT).astype(np.int64)
                     for p in _chosen(fit, features):
-                        code = (node[at] - first) * width + bins[p, at] + 1
+                        code = node * width + bins[p, at] + 1
                         for k, v in enumerate((g, h)):
-                            sums[i][k, p] += np.rint(np.bincount(code, v, nodes * width)).astype(np.int64)
+                            np.add.at(sums[i][k, p], code, v)
             for i, s in sums.items():
                 p, code = np.nonzero((s[0] != 0) | (s[1] != 0))
                 for lo in range(0, len(p), 1 << 16):
                     a, c = p[lo : lo + (1 << 16)], code[lo : lo + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), i, np.int32), (c // width + first).astype(np.int32), a.astype(np.int32), (c % width - 1).astype(np.int32), s[0][a, c], s[1][a, c])], ["fit", "node", "feature", "bin", "g", "h"])
 
-        summed = t.rows.mapInArrow(cells, "fit int, node int, feature int, bin int, g long, h long").groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).repartition("fit", "node")  # one exchange for windows and maxima
+        summed = rows.mapInArrow(cells, "fit int, node int, feature int, bin int, g long, h long").groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).repartition("fit", "node")  # one exchange for windows and maxima
         for r in best_splits(summed, [f.params for f in fits], unit).collect():  # a row a node
             tree, lam = fits[r["fit"]].tree, fits[r["fit"]].params.lam
             value = lambda g, h: -g / (h + lam) if h + lam > 0 else 0.0
@@ -294,42 +378,46 @@ def best_splits(cells: DataFrame, params: Sequence[Params], unit: float) -> Data
     return each.select("fit", "node", "g_all", "h_all", split.alias("split")).groupBy("fit", "node").agg(F.max("g_all").alias("g"), F.max("h_all").alias("h"), F.max("split").alias("split"))
 
 
-def _blocks(items: list, t: _Table, depth: int) -> list[list]:
-    """Items in blocks whose cells fit a task."""
+def _blocks(items: list, t: _Table, depth: int, most: int | None = None) -> list[list]:
+    """Items in blocks, of at most ``most``, whose cells fit a task."""
     each = 2 * 2 ** max(depth - 1, 0) * len(t.inputs) * (max(len(e) for e in t.edges) + 2)
-    n = max(1, CELLS // each)
+    n = max(1, min(CELLS // each, most or len(items)))
     return [items[i : i + n] for i in range(0, len(items), n)]
 
 
 def _boost(t: _Table, jobs: list[tuple[Params, int]], seed: int, every: int) -> list[list[Tree]]:
     """Trees of every job (settings, fold left out)."""
-    rows, trees, done = t.rows, [[] for _ in jobs], [[] for _ in jobs]
+    trees, done, before = [[] for _ in jobs], [[] for _ in jobs], None
     rates, base, features = [p.eta for p, _ in jobs], t.base, len(t.inputs)
-    for k in range(max(p.trees for p, _ in jobs)):
-        fits = [Fit(p, fold, seed * 1_000_003 + k) for p, fold in jobs]
-        _grow(replace(t, rows=rows), fits, done, False)
+    steps = [[Fit(p, fold, seed * 1_000_003 + k) for p, fold in jobs] for k in range(max(p.trees for p, _ in jobs))]
+    for k, fits in enumerate(steps):
+        if k % every == 0:
+            rows, draws = _met(t, list(dict.fromkeys(f.draw(False) for x in steps[k : k + every] for f in x)))
+            if before is not None:
+                rows = stored(rows.join(before, ["fold", "b"]), "margins") if t.merges else before
+        _grow(t, rows, draws, fits, done, False)
         for i, f in enumerate(fits):
             trees[i].append(f.tree)
             done[i].append(f.tree)
-        if len(done[0]) == every:
-            before, rows_then = done, rows
+        if len(done[0]) == every and k + 1 < len(steps):
+            since, kept = done, ["fold", "b"] if t.merges else ["key", "y", "fold", "b"]
 
             def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    m = _margins(b, _parts(b, features)[3], before, rates, base)
-                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("key", "y", "fold", "b")], _lists(np.ascontiguousarray(m.T))], ["key", "y", "fold", "b", "m"])
+                    m = _margins(b, _parts(b, features)[1], since, rates, base)
+                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], _lists(np.ascontiguousarray(m.T))], [*kept, "m"])
 
-            rows = stored(rows_then.mapInArrow(add, "key long, y double, fold int, b array<int>, m array<double>"), "margins")
+            before = stored(rows.mapInArrow(add, ("" if t.merges else "key long, y double, ") + "fold int, b array<int>, m array<double>"), "margins")
             done = [[] for _ in jobs]
     return trees
 
 
 def _forests(t: _Table, jobs: list[tuple[Params, int]], seed: int) -> list[list[Tree]]:
-    fits = [Fit(replace(p, lam=0.0, gamma=0.0), fold, seed * 1_000_003 + k) for p, fold in jobs for k in range(p.trees)]
-    for block in _blocks(fits, t, max(f.params.depth for f in fits)):
-        _grow(t, block, [], True)
-    grown = iter(fits)
-    return [[next(grown).tree for _ in range(p.trees)] for p, _ in jobs]
+    """Trees of every job. The k-th trees of all jobs share a draw and are grown together."""
+    fits = {(j, k): Fit(replace(p, lam=0.0, gamma=0.0), fold, seed * 1_000_003 + k) for j, (p, fold) in enumerate(jobs) for k in range(p.trees)}
+    for block in _blocks([fits[at] for at in sorted(fits, key=lambda at: at[::-1])], t, max(p.depth for p, _ in jobs), DRAWS if t.merges and len(jobs) == 1 else None):
+        _grow(t, *_met(t, list(dict.fromkeys(f.draw(True) for f in block))), block, [], True)
+    return [[fits[j, k].tree for k in range(p.trees)] for j, (p, _) in enumerate(jobs)]
 
 
 def fit_boosted(df: DataFrame, features: Sequence[str], target: str, key: str, params: Params = Params(), seed: int = 42, objective: str = "squared", max_bins: int = 256, every: int = 10) -> Ensemble:
@@ -366,7 +454,8 @@ def staged_grid(df: DataFrame, features: Sequence[str], target: str, key: str, g
     def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(points), folds, 2))
         for b in batches:
-            _, y, fold, bins = _parts(b, width)
+            fold, bins = _parts(b, width)
+            n_rows, mean, dev = (b.column(c).to_numpy().astype(np.float64) for c in ("n_y", "mean_y", "dev_y"))
             for (p, held), trees, asked in zip(jobs, grown, wanted):
                 at = np.flatnonzero(fold == held)
                 part = bins[:, at]
@@ -375,12 +464,18 @@ def staged_grid(df: DataFrame, features: Sequence[str], target: str, key: str, g
                     for k, tree in enumerate(trees, 1):
                         total += tree.value[tree.walk(part, depth)]
                         for i in (i for i, n, d in asked if n == k and d == depth):
-                            sums[i, held] += [(((base + total * (1 / k if forest else p.eta)) - y[at]) ** 2).sum(), len(at)]
+                            sums[i, held] += [(dev[at] + n_rows[at] * ((base + total * (1 / k if forest else p.eta)) - mean[at]) ** 2).sum(), n_rows[at].sum()]
         i, held = np.nonzero(sums[:, :, 1])
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(held.astype(np.int32)), pa.array(sums[i, held, 0]), pa.array(sums[i, held, 1])], ["point", "fold", "sse", "n"])
 
-    by_fold = t.rows.mapInArrow(errors, "point int, fold int, sse double, n double").groupBy("point", "fold").agg((F.sum("sse") / F.sum("n")).alias("mse"))
-    mse = {r["point"]: r["mse"] for r in by_fold.groupBy("point").agg(F.avg("mse").alias("mse")).collect()}  # a row a setting
+    judged = stored(stats.cells(t.rows, ["fold", "b"], ["y"]), "judged") if t.merges else t.rows.select("fold", "b", F.lit(1).alias("n_y"), F.col("y").alias("mean_y"), F.lit(0.0).alias("dev_y"))
+    # tasks' sums are added in their own order and folds on the driver: settings with the same trees have the same error, to the bit
+    total = lambda c: F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x)
+    by_fold = judged.mapInArrow(errors, "point int, fold int, sse double, n double").groupBy("point", "fold").agg((total("sse") / total("n")).alias("mse"))
+    found: dict[int, list[float]] = {}
+    for r in by_fold.collect():  # a row a setting and fold
+        found.setdefault(r["point"], []).append(r["mse"])
+    mse = {i: math.fsum(v) / len(v) for i, v in found.items()}
     ranked = sorted(mse, key=lambda i: (mse[i], i))
     best = points[ranked[0]]
     scores = df.sparkSession.createDataFrame([(*[float(getattr(points[i], n)) for n in names], mse[i], r) for r, i in enumerate(ranked, 1)], ", ".join([*[f"`{n}` double" for n in names], "mse double", "rank int"]))

@@ -114,6 +114,50 @@ def test_the_grid_of_72_takes_a_twelfth_of_the_fits_and_chooses_as_cross_validat
     assert small.filter("rank = 1").first()["depth"] == [1.0, 4.0][int(np.argmin(mses))]
 
 
+def many(spark):
+    """Rows that are equal to the trees, five times over, with keys of their own and some targets moved."""
+    copies = rows_of(spark).crossJoin(spark.range(5).withColumnRenamed("id", "i"))
+    return copies.withColumns({"k": F.col("k") * 5 + F.col("i"), "y": F.col("y") + F.col("i") / 50, "z": F.when(F.col("i") == 2, 1 - F.col("z")).otherwise(F.col("z"))}).drop("i")
+
+
+def same_trees(one, two):
+    for a, b in zip([t for x in one for t in x], [t for x in two for t in x], strict=True):
+        assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and (a.missing_left == b.missing_left).all() and (a.value == b.value).all()
+
+
+def test_forests_meet_equal_rows_once_and_grow_the_same_trees(spark, monkeypatch):
+    df = many(spark).repartition(6)
+    t = ensembles._binned(df, ["a", "b", "c"], "y", "k", 2, 42, "squared", 256)
+    apart = ensembles.replace(t, merges=False)
+    jobs = [(Params(trees=3, depth=4, min_child=c), fold) for c in (1.0, 9.0) for fold in (0, 1)] + [(Params(trees=2, depth=3), -1)]
+    assert t.merges
+    want = ensembles._forests(apart, jobs, 1)
+    same_trees(ensembles._forests(t, jobs, 1), want)
+    kinds = t.rows.select("fold", "b").distinct().count()
+    assert [r.count() for r, _ in t.made] == [kinds] and 2 * kinds <= t.rows.count()
+    assert len(ensembles._forests(t, jobs[:1], 1)[0]) == 3 and len(t.made) == 1  # its draws are known
+    monkeypatch.setattr(ensembles, "CELLS", 200)  # a fit a block, and tasks that can't hold their kinds
+    same_trees(ensembles._forests(ensembles.replace(t, made=[]), jobs, 1), want)
+    assert not ensembles._binned(rows_of(spark).withColumn("b", F.col("k") / 3), ["b"], "y", "k", 2, 42, "squared", 256).merges
+
+
+def test_kinds_of_many_wide_features():
+    rng = np.random.default_rng(3)
+    fold, bins, sums = rng.integers(0, 3, 900).astype(np.int32), rng.integers(-1, 2, (900, 9)).astype(np.int32), rng.integers(-9, 9, (900, 4))
+    bins[:, 3:] = bins[:, :1] * 30_000  # codes of nine features of 32,768 bins pass 64 bits
+    want = {}
+    for f, b, s in zip(fold, bins, sums):
+        want[f, *b] = want.get((f, *b), 0) + s
+    got = ensembles._kinds([(fold[:400], bins[:400], sums[:400]), (fold[400:], bins[400:], sums[400:])], 3, 32_770)
+    assert len(got[0]) == len(want) and all((want[f, *b] == s).all() for f, b, s in zip(*got))
+
+
+def test_equal_settings_rank_in_the_grids_order(spark):
+    df = rows_of(spark, 3000, nulls=False).repartition(7)
+    _, scores, _ = ensembles.staged_grid(df, ["a", "b", "c"], "y", "k", {"min_split": [9.0, 5.0, 7.0, 3.0, 8.0, 4.0], "depth": [1]}, "forest", folds=3, trees=7)
+    assert [r["min_split"] for r in scores.orderBy("rank").collect()] == [9.0, 5.0, 7.0, 3.0, 8.0, 4.0] and scores.select("mse").distinct().count() == 1
+
+
 def test_edge_cases(spark):
     df = rows_of(spark)
     for bad in (df.limit(0), df.withColumn("y", F.lit(None).cast("double"))):
