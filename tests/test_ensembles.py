@@ -141,6 +141,19 @@ def test_forests_meet_equal_rows_once_and_grow_the_same_trees(spark, monkeypatch
     assert not ensembles._binned(rows_of(spark).withColumn("b", F.col("k") / 3), ["b"], "y", "k", 2, 42, "squared", 256).merges
 
 
+@pytest.mark.parametrize(("target", "objective"), [("y", "squared"), ("z", "logistic")])
+def test_boosting_meets_equal_rows_once_and_grows_the_same_trees(spark, target, objective):
+    t = ensembles._binned(many(spark).repartition(6), ["a", "b", "c"], target, "k", 2, 42, objective, 256)
+    jobs = [(Params(trees=n, depth=3, rows=r, columns=c), fold) for n, r, c, fold in ((5, 1.0, 1.0, -1), (5, 0.7, 0.5, 0), (3, 0.4, 1.0, 1))]
+    want = ensembles._boost(ensembles.replace(t, merges=False), jobs, 3, 10)
+    assert t.merges and not t.made
+    same_trees(ensembles._boost(t, jobs, 3, 10), want)
+    same_trees(ensembles._boost(ensembles.replace(t, made=[]), jobs, 3, 10), want)
+    for got in (ensembles._boost(t, jobs, 3, 2), ensembles._boost(ensembles.replace(t, made=[]), jobs, 3, 2)):  # margins stored twice, with the next draws
+        for a, b in zip([x for j in got for x in j], [x for j in want for x in j], strict=True):
+            assert (a.feature == b.feature).all() and np.allclose(a.value, b.value, atol=1e-6)
+
+
 def test_kinds_of_many_wide_features():
     rng = np.random.default_rng(3)
     fold, bins, sums = rng.integers(0, 3, 900).astype(np.int32), rng.integers(-1, 2, (900, 9)).astype(np.int32), rng.integers(-9, 9, (900, 4))
