@@ -259,3 +259,34 @@ def test_importance_in_buckets_gives_the_textbook_order_and_leaves_no_files(spar
     each = models.permutation_importance(df, predict, "y", "x", ["g"], "key", 3).first()
     once = models.permutation_importance(df, predict, "y", "x", ["g"], "key", 3, reads=["x", "g"]).first()
     assert (each.importance, each.base_r2) == pytest.approx((once.importance, once.base_r2)) and made and not list(tmp_path.rglob("*.parquet"))
+
+
+def repeated(spark, copies=6):
+    rows = spark.range(400).selectExpr("CAST(id % 9 AS double) a", "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 'u' ELSE 'v' END c", "CAST(id % 13 AS double) b")
+    rows = rows.crossJoin(spark.range(copies).withColumnRenamed("id", "i")).filter("(a * 7 + b * 3 + i) % 5 <> 0")  # as many copies as it falls out
+    return rows.selectExpr("a", "b", "c", "a * 2 + CASE WHEN c = 'u' AND b > 5 THEN 9.0 ELSE 0.0 END + i * (b - 6) / 7 AS y")
+
+
+def test_boosted_trees_of_equal_rows_meet_them_once(spark, monkeypatch):
+    df = repeated(spark).repartition(5)
+    cells = models.merged_rows(df, ["a", "b", "c"], "y")
+    want = {(r.a, r.b, r.c): (r.y, r.n) for r in df.groupBy("a", "b", "c").agg(F.avg("y").alias("y"), F.count("*").alias("n")).collect()}
+    got = {(r.a, r.b, r.c): (r.y, r.n_) for r in cells.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and 2 * len(got) <= df.count()
+    merged = models.boosted(df, ["a", "b", "c"], "y", maxIter=6, maxDepth=4)
+    monkeypatch.setattr(models, "LINEAR", set())
+    apart = models.boosted(df, ["a", "b", "c"], "y", maxIter=6, maxDepth=4)
+    assert merged.stages[-1].getWeightCol() == "n_" and not apart.stages[-1].isSet("weightCol")
+    both = merged.transform(df).select("a", "b", "c", F.col("p_y").alias("p")).distinct().join(apart.transform(df).select("a", "b", "c", "p_y").distinct().withColumnsRenamed({"a": "a_", "b": "b_", "c": "c_"}), F.expr("a = a_ AND b = b_ AND c <=> c_"))
+    assert both.count() == len(want) and both.filter("abs(p - p_y) > 1e-9").count() == 0
+
+
+def test_what_boosted_trees_may_not_merge(spark, steps):
+    df = repeated(spark)
+    assert models.merged_rows(steps, FEATURES, "y") is None  # a feature is continuous
+    assert not models.boosted(df, ["a", "b"], "y", maxIter=1, minInstancesPerNode=20).stages[-1].isSet("weightCol")  # counts rows
+    holes = df.withColumn("y", F.when((F.col("a") != 3) | (F.rand(1) < 0.8), F.col("y")))
+    with pytest.raises(Exception, match="(?i)null"):
+        models.boosted(holes, ["a", "b"], "y", maxIter=1)  # as it does without merging
+    with pytest.raises(ValueError):
+        models.merged_rows(df.withColumnRenamed("a", "n_"), ["n_"], "y")
