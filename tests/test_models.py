@@ -290,3 +290,16 @@ def test_what_boosted_trees_may_not_merge(spark, steps):
         models.boosted(holes, ["a", "b"], "y", maxIter=1)  # as it does without merging
     with pytest.raises(ValueError):
         models.merged_rows(df.withColumnRenamed("a", "n_"), ["n_"], "y")
+
+
+def test_a_learners_partitions_are_bounded(spark, monkeypatch):
+    df = repeated(spark).coalesce(1)
+    assert models.in_parts(df) is df and models.in_parts(df.limit(0)).count() == 0
+    monkeypatch.setattr(models, "PART", 100)
+    kept, seen = models.in_parts, []
+    monkeypatch.setattr(models, "in_parts", lambda d: seen.append(kept(d)) or seen[-1])
+    for fit, bound in ((models.forest, df.count()), (models.boosted, df.select("a", "b").distinct().count())):
+        fit(df, ["a", "b"], "y", maxDepth=2, **({"numTrees": 2} if fit is models.forest else {"maxIter": 1}))
+        parts = [r["count"] for r in seen[-1].groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == bound and max(parts) <= 130  # dealt in turn, from any number of partitions
+    assert set(seen[0].columns) == {"a", "b", "y"}
