@@ -17,6 +17,9 @@ Scale: a task holds cells of at most about ``CELLS`` numbers (fits are dealt int
 ``every`` trees and worked out from there. Edges are percentiles of one mergeable sketch a feature, at most max_bins - 1. Rows of one fold with equal bins go the same
 way in every tree, so where they are at least twice as many as their kinds, one pass adds up what the next draws make of each kind (weights and gradients, as
 integers), and levels and errors meet kinds instead of rows, with the same sums. Where inputs are continuous nothing merges, and every level passes over the rows.
+Where rows of equal values have at most ``KINDS`` kinds, these are counted once: edges are exact percentiles of the counts, errors meet the kinds, and rows are not stored:
+a draw reads key, target and number of kind, which a broadcast join finds by hash (kinds have different hashes, or rows are binned and stored as else). df is read several
+times, so its rows must not change from one time to the next.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions.columns import nominal_columns, nominal_values
-from causeway.functions.scratch import stored
+from causeway.functions.scratch import batches_by_rows, stored
 from causeway.operators import stats
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
@@ -43,6 +46,8 @@ UNIT = 2.0**-20
 CELLS = 1 << 23
 #: Most draws that a table of merged rows has.
 DRAWS = 64
+#: Most kinds of rows by value that are counted and broadcast.
+KINDS = 200_000
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 
 
@@ -163,7 +168,10 @@ def _gradients(objective: str, origin: float, margin: np.ndarray) -> tuple[np.nd
 
 @dataclass
 class _Table:
-    """The binned rows with a target, stored: key (hash), y, fold, b (bins). merges: rows of equal fold and bins are worth merging; made: merged tables and their draws."""
+    """The binned rows with a target: key (hash), y, fold, b (bins). merges: rows of equal fold and bins are worth merging; made: merged tables and their draws.
+
+    Rows are stored, unless there are kinds (kind: from 0 to less than n_kinds, fold, b, n_y, mean_y, dev_y); placed then has key, y and kind of every row, and is stored if it stays.
+    """
 
     rows: DataFrame
     inputs: list[tuple[str, str | None]]
@@ -174,6 +182,10 @@ class _Table:
     folds: int
     merges: bool
     made: list[tuple[DataFrame, list]] = field(default_factory=list)
+    kinds: DataFrame | None = None
+    placed: DataFrame | None = None
+    n_kinds: int = 0
+    stays: bool = False
 
     @property
     def origin(self) -> float:
@@ -191,28 +203,68 @@ def _binned(df: DataFrame, features: Sequence[str], target: str, key: str, folds
     y = F.col("`" + target.replace("`", "``") + "`").cast("double")
     own = F.xxhash64(F.col("`" + key.replace("`", "``") + "`"))
     rows = df.select(own.alias("key"), y.alias("y"), F.pmod(F.xxhash64(own, F.lit(seed)), F.lit(folds)).cast("int").alias("fold"), *[c.alias(n) for c, n in zip(_numbers(inputs), names)]).filter(F.col("y").isNotNull() & ~F.isnan("y"))
-    shares = [i / max_bins for i in range(1, max_bins)]
-    finite = lambda n: F.when(F.abs(n) < float("inf"), F.col(n))
-    seen = rows.agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"), *[F.percentile_approx(finite(n), shares, 20 * max_bins).alias(n) for n in names]).first()
+    seen = rows.agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high")).first()
     if not seen["n"]:
         raise ValueError("no row has a target")
     if objective == "logistic" and not 0.0 <= seen["low"] <= seen["high"] <= 1.0:
         raise ValueError("a logistic target is from 0 to 1")
-    edges = [np.unique(np.array(seen[n] or [], np.float64)) for n in names]
+    rows = rows.withColumn("hash", F.xxhash64("fold", *names))
+    kinds = _counted(rows, names, seen["n"])
+    edges = _sketched_edges(rows, names, max_bins) if kinds is None else _counted_edges(kinds, names, max_bins)
     mean = seen["mean"]
     inner = min(max(mean, 1e-6), 1 - 1e-6)
     base = mean if objective == "squared" else float(np.log(inner / (1 - inner)))
     spread = max(seen["high"] - mean, mean - seen["low"]) if objective == "squared" else 1.0
 
-    def bin_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]
-            bins = _to_bins(columns, edges).T.astype(np.int16 if max_bins < 1 << 15 else np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), b.column("fold"), _lists(bins.astype(np.int32))], ["key", "y", "fold", "b"])
+    def binned(df: DataFrame, keep: str) -> DataFrame:
+        kept = [c.split()[0] for c in keep.split(", ")]
 
-    table = stored(rows.mapInArrow(bin_up, "key long, y double, fold int, b array<int>"), "binned")
-    kinds = table.agg(F.approx_count_distinct(F.xxhash64("fold", "b"))).first()[0]
-    return _Table(table, inputs, edges, base, (spread or 1.0) * UNIT, objective, folds, 2 * kinds <= seen["n"])
+        def bin_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bins = _to_bins([b.column(n).to_numpy(zero_copy_only=False) for n in names], edges).T
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], _lists(np.ascontiguousarray(bins))], [*kept, "b"])
+
+        return df.select(*kept, *names).mapInArrow(bin_up, f"{keep}, b array<int>")
+
+    table, rest = binned(rows, "key long, y double, fold int"), (inputs, edges, base, (spread or 1.0) * UNIT, objective, folds)
+    if kinds is not None:
+        kinds = stored(binned(kinds, "kind int, hash long, fold int, n_y long, mean_y double, dev_y double"), "valued")
+        placed = rows.select("key", "y", "hash").join(F.broadcast(kinds.select("hash", "kind")), "hash", "left").select("key", "y", "kind")
+        return _Table(table, *rest, True, [], kinds, placed, kinds.count())
+    table = stored(table, "binned")
+    n_kinds = table.agg(F.approx_count_distinct(F.xxhash64("fold", "b"))).first()[0]
+    return _Table(table, *rest, 2 * n_kinds <= seen["n"])
+
+
+def _counted(rows: DataFrame, names: Sequence[str], n: int) -> DataFrame | None:
+    """The n rows' kinds by value (kind, hash, fold, names, n_y, mean_y, dev_y), stored; None if they are more than KINDS or than half of the rows, or if hashes don't tell them apart."""
+    part = max(1, n >> 20)  # of all hashes a part is counted, to see whether rows are worth grouping
+    some = rows.filter(F.pmod("hash", F.lit(part)) == 0).select("hash").distinct().limit(KINDS // part + 1).count() * part
+    if some > min(KINDS, n // 2):
+        return None
+    cells = stored(stats.cells(rows, ["hash", "fold", *names], ["y"]), "cells")
+    found = cells.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("hash").alias("hashes")).first()
+    if found["n"] > min(KINDS, n // 2) or found["hashes"] < found["n"]:
+        return None
+    return cells.withColumn("kind", F.row_number().over(Window.orderBy("hash")) - 1)
+
+
+def _sketched_edges(rows: DataFrame, names: Sequence[str], max_bins: int) -> list[np.ndarray]:
+    shares = [i / max_bins for i in range(1, max_bins)]
+    finite = lambda n: F.when(F.abs(n) < float("inf"), F.col(n))
+    seen = rows.agg(*[F.percentile_approx(finite(n), shares, 20 * max_bins).alias(n) for n in names]).first()
+    return [np.unique(np.array(seen[n] or [], np.float64)) for n in names]
+
+
+def _counted_edges(kinds: DataFrame, names: Sequence[str], max_bins: int) -> list[np.ndarray]:
+    """Exact percentiles at i / max_bins: the least values that so many of the rows do not pass. A window holds the values of one feature, at most KINDS."""
+    counts = kinds.select("n_y", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(n).alias("x")) for i, n in enumerate(names)])).alias("v")).groupBy("v.i", "v.x").agg(F.sum("n_y").alias("n")).filter(F.abs("x") < float("inf"))
+    group = Window.partitionBy("i")
+    upto = counts.withColumns({"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))})
+    found: dict[int, list[float]] = {}
+    for r in upto.filter(f"least(upto * {max_bins} div total, {max_bins - 1}) > (upto - n) * {max_bins} div total").collect():  # at most max_bins - 1 rows a feature
+        found.setdefault(r["i"], []).append(r["x"])
+    return [np.unique(np.array(found.get(i, []), np.float64)) for i in range(len(names))]
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
@@ -228,9 +280,12 @@ def _drawn(batch: pa.RecordBatch, draws: Sequence[tuple[int, float | None]], ori
     """draws x rows: weights, and weighted gradients of the targets in units. Merged rows have them."""
     if "w" in batch.schema.names:
         return tuple(batch.column(c).flatten().to_numpy().reshape(batch.num_rows, len(draws)).T for c in "ws")
-    key, y = batch.column("key").to_numpy(), batch.column("y").to_numpy()
-    w = np.stack([_weights(key, d) for d in draws])
-    return w, np.rint(w * (origin - y) / unit).astype(np.int64)
+    w = np.stack([_weights(batch.column("key").to_numpy(), d) for d in draws])
+    return w, _targets(w, batch.column("y").to_numpy(), origin, unit)
+
+
+def _targets(w: np.ndarray, y: np.ndarray, origin: float, unit: float) -> np.ndarray:
+    return np.rint(w * (origin - y) / unit).astype(np.int64)
 
 
 def _weights(key: np.ndarray, draw: tuple[int, float | None]) -> np.ndarray:
@@ -261,6 +316,10 @@ def _met(t: _Table, draws: list[tuple[int, float | None]]) -> tuple[DataFrame, l
     for rows, known in t.made:
         if set(draws) <= set(known):
             return rows, known
+    if t.kinds is not None:
+        if 2 * len(draws) * t.n_kinds <= 4 * CELLS:
+            return _placed(t, draws)
+        t.rows, t.kinds = stored(t.rows, "binned"), None
     n, features, width, folds, origin, unit = len(draws), len(t.inputs), max(len(e) for e in t.edges) + 2, t.folds, t.origin, t.unit
     room, names = CELLS // (2 * n), [f"{c}{i}" for c in "ws" for i in range(n)]
 
@@ -289,6 +348,46 @@ def _met(t: _Table, draws: list[tuple[int, float | None]]) -> tuple[DataFrame, l
     return t.made[-1]
 
 
+def _placed(t: _Table, draws: list[tuple[int, float | None]]) -> tuple[DataFrame, list[tuple[int, float | None]]]:
+    """_met by number of kind: a task holds a sum for every kind and draw."""
+    if t.made and not t.stays:  # more draws than one pass has
+        t.placed, t.stays = stored(t.placed, "placed"), True
+    n, k, origin, unit, names = len(draws), t.n_kinds, t.origin, t.unit, [f"{c}{i}" for c in "ws" for i in range(len(draws))]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, here = np.zeros((2 * n, k), np.int64), np.zeros(k, bool)
+
+        def add(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+            key, y, kind = (np.concatenate(x) for x in zip(*parts))
+            here[kind] = True
+            for i, d in enumerate(draws):
+                w = _weights(key, d)
+                for at, v in ((i, w), (n + i, _targets(w, y, origin, unit))):
+                    sums[at] += np.bincount(kind, v, k).astype(np.int64)  # whole numbers far below 2^53
+
+        parts, rows = [], 0
+        for b in batches:
+            if b.column("kind").null_count:
+                raise ValueError("the rows changed while they were read")
+            parts.append(tuple(b.column(c).to_numpy() for c in ("key", "y", "kind")))
+            rows += b.num_rows
+            if rows >= max(k, 1 << 16):
+                add(parts)
+                parts, rows = [], 0
+        if rows:
+            add(parts)
+        met = np.flatnonzero(here)  # undrawn ones too: later draws may have them
+        for lo in range(0, len(met), 1 << 14):
+            part = met[lo : lo + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(x) for x in sums[:, part]]], ["kind", *names])
+
+    summed = t.placed.mapInArrow(add_up, "kind int, " + ", ".join(f"{c} long" for c in names)).groupBy("kind").agg(*[F.sum(c).alias(c) for c in names])
+    arrays = [F.array(*[F.sum(c) for c in part]).alias(a) for a, part in (("w", names[:n]), ("s", names[n:]))]
+    with batches_by_rows(t.rows.sparkSession):
+        t.made.append((stored(summed.join(t.kinds.select("kind", "fold", "b"), "kind").groupBy("fold", "b").agg(*arrays), "kinds"), draws))
+    return t.made[-1]
+
+
 def _margins(batch: pa.RecordBatch, bins: np.ndarray, done: list[list[Tree]], rates: Sequence[float], base: float) -> np.ndarray:
     """fits x rows: stored margins (or the base) plus the trees done since."""
     n = batch.num_rows
@@ -468,7 +567,7 @@ def staged_grid(df: DataFrame, features: Sequence[str], target: str, key: str, g
         i, held = np.nonzero(sums[:, :, 1])
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(held.astype(np.int32)), pa.array(sums[i, held, 0]), pa.array(sums[i, held, 1])], ["point", "fold", "sse", "n"])
 
-    judged = stored(stats.cells(t.rows, ["fold", "b"], ["y"]), "judged") if t.merges else t.rows.select("fold", "b", F.lit(1).alias("n_y"), F.col("y").alias("mean_y"), F.lit(0.0).alias("dev_y"))
+    judged = t.kinds if t.kinds is not None else stored(stats.cells(t.rows, ["fold", "b"], ["y"]), "judged") if t.merges else t.rows.select("fold", "b", F.lit(1).alias("n_y"), F.col("y").alias("mean_y"), F.lit(0.0).alias("dev_y"))
     # tasks' sums are added in their own order and folds on the driver: settings with the same trees have the same error, to the bit
     total = lambda c: F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda a, x: a + x)
     by_fold = judged.mapInArrow(errors, "point int, fold int, sse double, n double").groupBy("point", "fold").agg((total("sse") / total("n")).alias("mse"))

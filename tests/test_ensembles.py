@@ -154,6 +154,27 @@ def test_boosting_meets_equal_rows_once_and_grows_the_same_trees(spark, target,
             assert (a.feature == b.feature).all() and np.allclose(a.value, b.value, atol=1e-6)
 
 
+def test_rows_of_few_kinds_are_not_stored_and_grow_the_same_trees(spark, monkeypatch):
+    zero = F.when(F.col("b") == 0, F.when(F.col("k") % 2 == 0, -0.0).otherwise(0.0)).otherwise(F.col("b"))  # both zeros are one kind
+    df = many(spark).withColumn("b", F.when(F.col("k") % 50 < 5, float("inf")).otherwise(zero)).repartition(6)
+    kept = []
+    monkeypatch.setattr(ensembles, "stored", lambda d, name, real=ensembles.stored: kept.append(real(d, name)) or kept[-1])
+    t = ensembles._binned(df, ["a", "b", "c"], "y", "k", 2, 42, "squared", 4)
+    ensembles.staged_grid(df, ["a", "b", "c"], "y", "k", {"trees": [1], "depth": [1], "rows": [0.7]}, folds=2, max_bins=4)
+    kinds, rows = df.select("a", "b", "c", F.pmod(F.xxhash64(F.xxhash64("k"), F.lit(42)), F.lit(2))).distinct().count(), t.rows.count()
+    assert kept and max(d.count() for d in kept) <= kinds <= rows / 2
+    own = df.filter("y IS NOT NULL AND abs(b) < double('infinity')").orderBy("b").toPandas()["b"].to_numpy()
+    assert t.edges[1].tolist() == sorted({own[-(-len(own) * i // 4) - 1] for i in (1, 2, 3)})
+    jobs = [(Params(trees=3, depth=2, rows=0.3), 0)]
+    ours = [ensembles._boost(t, jobs, 3, 2), ensembles._forests(t, jobs, 3)]
+    monkeypatch.setattr(ensembles, "KINDS", 0)
+    other = ensembles._binned(df, ["a", "b", "c"], "y", "k", 2, 42, "squared", 4)
+    assert t.kinds is not None and t.stays and other.kinds is None and other.merges
+    other.edges, other.rows = t.edges, t.rows  # the sketch's may differ
+    for got, want in zip(ours, [ensembles._boost(other, jobs, 3, 2), ensembles._forests(other, jobs, 3)]):
+        same_trees(got, want)
+
+
 def test_kinds_of_many_wide_features():
     rng = np.random.default_rng(3)
     fold, bins, sums = rng.integers(0, 3, 900).astype(np.int32), rng.integers(-1, 2, (900, 9)).astype(np.int32), rng.integers(-9, 9, (900, 4))
