@@ -19,7 +19,9 @@ way in every tree, so where they are at least twice as many as their kinds, one
 integers), and levels and errors meet kinds instead of rows, with the same sums. Where inputs are continuous nothing merges, and every level passes over the rows.
 Where rows of equal values have at most ``KINDS`` kinds, these are counted once: edges are exact percentiles of the counts, errors meet the kinds, and rows are not stored:
 a draw reads key, target and number of kind, which a broadcast join finds by hash (kinds have different hashes, or rows are binned and stored as else). df is read several
-times, so its rows must not change from one time to the next.
+times, so its rows must not change from one time to the next. Forests of more than ``DRAWS`` trees are dealt out by draw there (and where rows are at most KINDS, each a kind):
+rows are ordered by kind once, DRAWS draws are one job, and the trees of a draw grow in one task from its sums a kind, which no more rows make larger. Settings that have met the same
+splits so far share their sums and gains.
 """
 
 from __future__ import annotations
@@ -46,9 +48,13 @@ UNIT = 2.0**-20
 CELLS = 1 << 23
 #: Most draws that a table of merged rows has.
 DRAWS = 64
-#: Most kinds of rows by value that are counted and broadcast.
-KINDS = 200_000
+#: Most kinds of rows by value that are counted and broadcast; a draw's sums of them fill a task.
+KINDS = 1 << 19
 POISSON = np.cumsum([0.36787944117144233 / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
+#: Poisson weights by the first 16 bits of a uniform number.
+CUT = 255
+SLOTS = np.searchsorted(POISSON, np.arange(1 << 16) / 65536, side="right").astype(np.uint8)
+SLOTS[(POISSON * 65536).astype(np.int64)] = CUT
 
 
 @dataclass(frozen=True)
@@ -106,12 +112,28 @@ class Fit:
         return (self.seed, None) if forest else (self.seed, self.params.rows) if self.params.rows < 1.0 else (0, 1.0)
 
 
-def uniform(key: np.ndarray, seed: int) -> np.ndarray:
-    """Numbers in [0, 1) from 64-bit keys and a seed, by two rounds of a mixing hash."""
+def _mixed(key: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits from 64-bit keys and a seed, by two rounds of a mixing hash."""
     z = key.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2**64)
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(by)
+    z ^= z >> np.uint64(31)
+    return z
+
+
+def uniform(key: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) from 64-bit keys and a seed."""
+    return (_mixed(key, seed) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def poisson(key: np.ndarray, seed: int) -> np.ndarray:
+    """How often a draw with replacement has each row: where uniform stands among POISSON. Its first 16 bits tell, but in the slots that a bound cuts."""
+    z = _mixed(key, seed)
+    w = SLOTS[(z >> np.uint64(48)).astype(np.int64)]
+    cut = np.flatnonzero(w == CUT)
+    w[cut] = np.searchsorted(POISSON, (z[cut] >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+    return w
 
 
 def _inputs(df: DataFrame, features: Sequence[str]) -> list[tuple[str, str | None]]:
@@ -186,6 +208,7 @@ class _Table:
     placed: DataFrame | None = None
     n_kinds: int = 0
     stays: bool = False
+    n: int = 0
 
     @property
     def origin(self) -> float:
@@ -230,10 +253,10 @@ def _binned(df: DataFrame, features: Sequence[str], target: str, key: str, folds
     if kinds is not None:
         kinds = stored(binned(kinds, "kind int, hash long, fold int, n_y long, mean_y double, dev_y double"), "valued")
         placed = rows.select("key", "y", "hash").join(F.broadcast(kinds.select("hash", "kind")), "hash", "left").select("key", "y", "kind")
-        return _Table(table, *rest, True, [], kinds, placed, kinds.count())
+        return _Table(table, *rest, True, [], kinds, placed, kinds.count(), n=seen["n"])
     table = stored(table, "binned")
     n_kinds = table.agg(F.approx_count_distinct(F.xxhash64("fold", "b"))).first()[0]
-    return _Table(table, *rest, 2 * n_kinds <= seen["n"])
+    return _Table(table, *rest, 2 * n_kinds <= seen["n"], n=seen["n"])
 
 
 def _counted(rows: DataFrame, names: Sequence[str], n: int) -> DataFrame | None:
@@ -291,7 +314,7 @@ def _targets(w: np.ndarray, y: np.ndarray, origin: float, unit: float) -> np.nda
 def _weights(key: np.ndarray, draw: tuple[int, float | None]) -> np.ndarray:
     seed, share = draw
     if share is None:
-        return np.searchsorted(POISSON, uniform(key, seed), side="right").astype(np.int64)
+        return poisson(key, seed).astype(np.int64)
     return np.ones(len(key), np.int64) if share >= 1.0 else (uniform(key, seed) < share).astype(np.int64)
 
 
@@ -511,8 +534,173 @@ def _boost(t: _Table, jobs: list[tuple[Params, int]], seed: int, every: int) ->
     return trees
 
 
+def _sums(code: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers by code, as whole numbers."""
+    if np.abs(v).sum(dtype=np.float64) < 2.0**52:
+        return np.bincount(code, v, n).astype(np.int64)
+    out = np.zeros(n, np.int64)
+    np.add.at(out, code, v)
+    return out
+
+
+@dataclass
+class _State:
+    """What settings share that have met the same splits down to a level: the rows' nodes, and of each of the level's nodes its sums and, flat by feature, side of missing values and bin, gains and left sums."""
+
+    node: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
+    gain: np.ndarray
+    gl: np.ndarray
+    hl: np.ndarray
+
+
+def _state(bins: np.ndarray, node: np.ndarray, level: int, g: np.ndarray, w: np.ndarray, width: int, unit: float) -> _State:
+    """As best_splits has it, without lam and gamma; gains that no split can have are -1."""
+    first, nodes, features = 2**level - 1, 2**level, len(bins)
+    at = np.flatnonzero(node >= first)
+    code, g, w = (node[at] - first) * width, g[at], w[at]
+    sums = np.stack([np.stack([_sums(code + b[at] + 1, v, nodes * width) for b in bins]) for v in (g, w)]).reshape(2, features, nodes, width).transpose(0, 2, 1, 3)
+    known, upto = sums[1, :, :, 1:] > 0, np.cumsum(sums[..., 1:], axis=3)
+    none, (g_all, h_all) = sums[..., 0], (sums.sum(axis=3)[..., 0] * np.array([[unit], [1.0]]))
+    share = lambda g, h: np.divide(g * g, h, out=np.zeros(np.broadcast(g, h).shape), where=h > 0)
+    gl, hl = (np.stack([x, x + none[i, ..., None] * u], axis=2) for i, (x, u) in enumerate(((upto[0] * unit, unit), (upto[1] * 1.0, 1.0))))
+    g, h = g_all[:, None, None, None], h_all[:, None, None, None]
+    gain = (share(gl, hl) + share(g - gl, h - hl) - share(g, h)) / 2
+    ok = known[:, :, None] & (hl > 0) & (h - hl > 0) & (gain > 1e-12 * share(g, h)) & (gain > 0)
+    ok[:, :, 1] &= (none[1] > 0)[..., None]
+    return _State(node, g_all, h_all, *(x.reshape(nodes, -1) for x in (np.where(ok, gain, -1.0), gl, hl)))
+
+
+def _grow_apart(fits: list[Fit], bins: np.ndarray, g: np.ndarray, w: np.ndarray, width: int, unit: float) -> None:
+    """Grows forest trees that share a draw and a fold, from the draw's sums of each kind of rows: the trees that _grow makes."""
+    states: dict[tuple, _State] = {}
+    features, at = len(bins), np.arange(bins.shape[1])
+    for f in fits:
+        f.tree = tree = Tree(f.params.depth)
+        mine = np.zeros((features, 2, width - 1), bool)
+        mine[_chosen(f, features)] = True
+        node = np.zeros(bins.shape[1], np.int64)
+        for level in range(f.params.depth):
+            first, nodes = 2**level - 1, 2**level
+            if level and not (tree.feature[(first - 1) // 2 : first] >= 0).any():
+                break
+            met = (level, tree.feature[:first].tobytes(), tree.bin[:first].tobytes(), tree.missing_left[:first].tobytes())
+            if met not in states:
+                if level:
+                    of = tree.feature[node]
+                    b = bins[of, at]
+                    node = np.where(of < 0, node, 2 * node + 2 - np.where(b < 0, tree.missing_left[node], b <= tree.bin[node]))
+                states[met] = _state(bins, node, level, g, w, width, unit)
+            s = states[met]
+            node = s.node
+            h = s.h[:, None]
+            least = f.params.min_child
+            gain = np.where((s.hl >= least) & (h - s.hl >= least) & (h >= f.params.min_split) & mine.ravel(), s.gain, -1.0)
+            best = gain.argmax(axis=1)  # the first: by feature, side of missing values, bin
+            value = lambda g, h: -g / h if h > 0 else 0.0
+            if level == 0:
+                tree.value[0] = value(s.g[0], s.h[0])
+            for i in np.flatnonzero(gain[np.arange(nodes), best] > 0):
+                n, (p, left, b) = first + i, np.unravel_index(best[i], mine.shape)
+                tree.feature[n], tree.bin[n], tree.missing_left[n] = p, b, bool(left)
+                gl, hl = s.gl[i, best[i]], s.hl[i, best[i]]
+                tree.value[2 * n + 1], tree.value[2 * n + 2] = value(gl, hl), value(s.g[i] - gl, s.h[i] - hl)
+
+
+def _dealt(t: _Table, jobs: list[tuple[Params, int]]) -> bool:
+    """Whether forests are dealt out by draw: they have many, and a task can hold a draw's sums of all kinds."""
+    few = t.n_kinds if t.kinds is not None else t.n
+    cells = 2 ** max(p.depth for p, _ in jobs) * len(t.inputs) * (max(len(e) for e in t.edges) + 2)
+    return max(p.trees for p, _ in jobs) > DRAWS and 0 < few <= KINDS and few * len(t.inputs) <= CELLS and 8 * cells <= CELLS
+
+
+def _dealt_forests(t: _Table, jobs: list[tuple[Params, int]], seed: int) -> list[list[Tree]]:
+    """_forests by draws: a job adds up DRAWS draws by kind, and the trees of a draw grow in one task."""
+    if t.kinds is None:  # each row is a kind
+        rows = stored(t.rows.select("key", "y", "fold", "b", (F.row_number().over(Window.orderBy("key", "y")) - 1).alias("kind")), "rows")
+        t = replace(t, kinds=rows, placed=rows.select("key", "y", "kind"), n_kinds=t.n, stays=True)
+    elif not t.stays:
+        t.placed, t.stays = stored(t.placed.repartitionByRange("kind", "key"), "placed"), True  # a task has few kinds
+    spark, k, origin, unit, width = t.rows.sparkSession, t.n_kinds, t.origin, t.unit, max(len(e) for e in t.edges) + 2
+    found = t.kinds.select("kind", "fold", "b").toArrow().combine_chunks().sort_by("kind")  # at most KINDS rows
+    known = spark.sparkContext.broadcast((found["fold"].to_numpy(), np.ascontiguousarray(found["b"].combine_chunks().flatten().to_numpy().reshape(k, -1).T.astype(np.int16))))
+    trees: list[list[Tree]] = [[None] * p.trees for p, _ in jobs]
+    most, per = max(p.trees for p, _ in jobs), max(1, min(DRAWS, 2 * CELLS // k))
+    for lo in range(0, most, per):
+        draws = range(lo, min(lo + per, most))
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, here = np.zeros((2, len(draws), k), np.int64), np.zeros(k, bool)
+
+            def add(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+                key, y, kind = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(kind, kind="stable")
+                key, y, kind = key[order], y[order], kind[order]
+                first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+                own, off = kind[first], origin - y
+                here[own] = True
+                for i, d in enumerate(draws):
+                    w = poisson(key, seed * 1_000_003 + d)
+                    sums[0, i, own] += np.add.reduceat(w, first, dtype=np.int64)
+                    sums[1, i, own] += np.add.reduceat(np.rint(w * off / unit), first).astype(np.int64)  # whole numbers far below 2^53
+
+            parts, rows = [], 0
+            for b in batches:
+                if b.column("kind").null_count:
+                    raise ValueError("the rows changed while they were read")
+                parts.append(tuple(b.column(c).to_numpy() for c in ("key", "y", "kind")))
+                rows += b.num_rows
+                if rows >= 1 << 16:
+                    add(parts)
+                    parts, rows = [], 0
+            if rows:
+                add(parts)
+            met = np.flatnonzero(here).astype(np.int32)
+            for i, d in enumerate(draws) if len(met) else ():
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (met, sums[0, i, met], sums[1, i, met])]], ["draw", "kind", "w", "s"])
+
+        def grow(parts: pa.Table) -> pa.Table:
+            (fold, bins), sums = known.value, np.zeros((2, k), np.int64)
+            for kind, w, s in zip(*(parts[c].to_pylist() for c in ("kind", "w", "s"))):
+                at = np.frombuffer(kind, np.int32)
+                sums[0, at] += np.frombuffer(w, np.int64)
+                sums[1, at] += np.frombuffer(s, np.int64)
+            d, out = parts["draw"][0].as_py(), {}
+            for held in dict.fromkeys(fold for _, fold in jobs):
+                own = [j for j, (p, f) in enumerate(jobs) if f == held and d < p.trees]
+                fits, at = [Fit(replace(jobs[j][0], lam=0.0, gamma=0.0), held, seed * 1_000_003 + d) for j in own], np.flatnonzero((sums[0] > 0) & (fold != held))
+                _grow_apart(fits, np.ascontiguousarray(bins[:, at]), sums[1, at], sums[0, at], width, unit)
+                for j, f in zip(own, fits):
+                    out.setdefault((f.tree.depth, *(x.tobytes() for x in (f.tree.feature, f.tree.bin, f.tree.missing_left, f.tree.value))), []).append(j)
+            return pa.table({"draw": pa.array([d] * len(out), pa.int32()), "jobs": pa.array(list(out.values()), pa.list_(pa.int32())), "depth": pa.array([x[0] for x in out], pa.int32()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("feature", "bin", "missing_left", "value"), 1)}})
+
+        with batches_by_rows(spark):
+            summed = t.placed.mapInArrow(add_up, "draw int, kind binary, w binary, s binary")
+            for r in summed.groupBy("draw").applyInArrow(grow, "draw int, jobs array<int>, depth int, feature binary, bin binary, missing_left binary, value binary").collect():  # a row a tree
+                tree = Tree(r["depth"])
+                for c, kind in (("feature", np.int32), ("bin", np.int32), ("missing_left", bool), ("value", np.float64)):
+                    setattr(tree, c, np.frombuffer(bytes(r[c]), kind))
+                for j in r["jobs"]:
+                    trees[j][r["draw"]] = tree
+    known.unpersist()
+    return trees
+
+
+def _cut(tree: Tree, depth: int) -> Tree:
+    """The first levels of a tree."""
+    out = Tree(min(depth, tree.depth))
+    n, inner = len(out.feature), 2**out.depth - 1
+    out.bin, out.missing_left, out.value = tree.bin[:n].copy(), tree.missing_left[:n].copy(), tree.value[:n].copy()
+    out.feature[:inner] = tree.feature[:inner]
+    out.bin[inner:], out.missing_left[inner:] = 0, False
+    return out
+
+
 def _forests(t: _Table, jobs: list[tuple[Params, int]], seed: int) -> list[list[Tree]]:
     """Trees of every job. The k-th trees of all jobs share a draw and are grown together."""
+    if _dealt(t, jobs):
+        return _dealt_forests(t, jobs, seed)
     fits = {(j, k): Fit(replace(p, lam=0.0, gamma=0.0), fold, seed * 1_000_003 + k) for j, (p, fold) in enumerate(jobs) for k in range(p.trees)}
     for block in _blocks([fits[at] for at in sorted(fits, key=lambda at: at[::-1])], t, max(p.depth for p, _ in jobs), DRAWS if t.merges and len(jobs) == 1 else None):
         _grow(t, *_met(t, list(dict.fromkeys(f.draw(True) for f in block))), block, [], True)
@@ -531,6 +719,24 @@ def fit_forest(df: DataFrame, features: Sequence[str], target: str, key: str, pa
     return Ensemble(t.inputs, t.edges, _forests(t, [(params, -1)], seed)[0], t.base, 1.0, "squared", True)
 
 
+def _staged(bins: np.ndarray, fits: Sequence[tuple[Params, list[Tree], list[tuple[int, int, int]]]], forest: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, predictions from the base) of every (number, trees, depth) that a fit is asked for. Trees that fits share are walked once."""
+    totals = [{d: np.zeros(bins.shape[1]) for d in sorted({d for _, _, d in asked})} for _, _, asked in fits]
+    for k in range(1, max((len(trees) for _, trees, _ in fits), default=0) + 1):
+        met: dict[tuple[int, int], np.ndarray] = {}
+        for (p, trees, asked), total in zip(fits, totals):
+            if k > len(trees):
+                continue
+            tree = trees[k - 1]
+            for d in total:
+                if (id(tree), d) not in met:
+                    met[id(tree), d] = tree.value[tree.walk(bins, d)]
+                total[d] += met[id(tree), d]
+            for i, n, d in asked:
+                if n == k:
+                    yield i, total[d] * (1 / k if forest else p.eta)
+
+
 def staged_grid(df: DataFrame, features: Sequence[str], target: str, key: str, grid: dict[str, Sequence], kind: str = "boosted", folds: int = 3, seed: int = 42, max_bins: int = 256, every: int = 10, **fixed) -> tuple[Ensemble, DataFrame, int]:
     """(the best setting fitted on all rows, a row a setting: its values, mse, rank from 1, the number of fits it took) by cross-validation, all folds and settings together.
 
@@ -546,7 +752,8 @@ def staged_grid(df: DataFrame, features: Sequence[str], target: str, key: str, g
     whole = lambda p: replace(p, trees=most, depth=deep if forest else p.depth)
     settings = list(dict.fromkeys(map(whole, points)))
     jobs = [(p, fold) for p in settings for fold in range(folds)]
-    grown = _forests(t, jobs, seed) if forest else [x for block in _blocks(jobs, t, deep) for x in _boost(t, block, seed, every)]
+    final_too = [(p, -1) for p in settings] if forest and _dealt(t, jobs) else []  # of any setting: they share the draws' sums, which the best one would need again
+    grown = _forests(t, [*jobs, *final_too], seed) if forest else [x for block in _blocks(jobs, t, deep) for x in _boost(t, block, seed, every)]
     base, width = t.base, len(t.inputs)
     wanted = [[(i, p.trees, p.depth) for i, p in enumerate(points) if whole(p) == s] for s, _ in jobs]
 
@@ -555,15 +762,11 @@ def staged_grid(df: DataFrame, features: Sequence[str], target: str, key: str, g
         for b in batches:
             fold, bins = _parts(b, width)
             n_rows, mean, dev = (b.column(c).to_numpy().astype(np.float64) for c in ("n_y", "mean_y", "dev_y"))
-            for (p, held), trees, asked in zip(jobs, grown, wanted):
+            for held in range(folds):
                 at = np.flatnonzero(fold == held)
-                part = bins[:, at]
-                for depth in sorted({d for _, _, d in asked}):
-                    total = np.zeros(len(at))
-                    for k, tree in enumerate(trees, 1):
-                        total += tree.value[tree.walk(part, depth)]
-                        for i in (i for i, n, d in asked if n == k and d == depth):
-                            sums[i, held] += [(dev[at] + n_rows[at] * ((base + total * (1 / k if forest else p.eta)) - mean[at]) ** 2).sum(), n_rows[at].sum()]
+                own = [(p, trees, asked) for (p, f), trees, asked in zip(jobs, grown, wanted) if f == held]
+                for i, moved in _staged(bins[:, at], own, forest):
+                    sums[i, held] += [(dev[at] + n_rows[at] * ((base + moved) - mean[at]) ** 2).sum(), n_rows[at].sum()]
         i, held = np.nonzero(sums[:, :, 1])
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(held.astype(np.int32)), pa.array(sums[i, held, 0]), pa.array(sums[i, held, 1])], ["point", "fold", "sse", "n"])
 
@@ -578,5 +781,8 @@ def staged_grid(df: DataFrame, features: Sequence[str], target: str, key: str, g
     ranked = sorted(mse, key=lambda i: (mse[i], i))
     best = points[ranked[0]]
     scores = df.sparkSession.createDataFrame([(*[float(getattr(points[i], n)) for n in names], mse[i], r) for r, i in enumerate(ranked, 1)], ", ".join([*[f"`{n}` double" for n in names], "mse double", "rank int"]))
-    final = _forests(t, [(best, -1)], seed) if forest else _boost(t, [(best, -1)], seed, every)
+    if final_too:
+        final = [[_cut(tree, best.depth) for tree in grown[len(jobs) + settings.index(whole(best))][: best.trees]]]
+    else:
+        final = _forests(t, [(best, -1)], seed) if forest else _boost(t, [(best, -1)], seed, every)
     return Ensemble(t.inputs, t.edges, final[0], t.base, best.eta, "squared", forest), scores, len(jobs)

@@ -141,6 +141,38 @@ def test_forests_meet_equal_rows_once_and_grow_the_same_trees(spark, monkeypatch
     assert not ensembles._binned(rows_of(spark).withColumn("b", F.col("k") / 3), ["b"], "y", "k", 2, 42, "squared", 256).merges
 
 
+def test_forests_dealt_out_by_draw_grow_the_same_trees(spark, monkeypatch):
+    jobs = [(Params(trees=n, depth=4, min_child=c, min_split=s, columns=k), fold) for n, c, s, k, fold in ((5, 1.0, 0.0, 1.0, 0), (5, 9.0, 0.0, 1.0, 0), (3, 1.0, 60.0, 1.0, 1), (5, 1.0, 5.0, 0.5, -1))]
+    for df, merges in ((many(spark), True), (rows_of(spark).withColumn("b", F.col("b") + F.col("k") / 1e4), False)):
+        df = df.filter("y IS NOT NULL").repartition(6)
+        t = ensembles._binned(df, ["a", "b", "c"], "y", "k", 2, 42, "squared", 256)
+        grid = lambda: ensembles.staged_grid(df, ["a", "b", "c"], "y", "k", {"trees": [2, 5], "depth": [1, 3], "min_child": [1.0, 2.0, 9.0]}, "forest", folds=2)  # noqa: E731,B023
+        assert t.merges == merges and not ensembles._dealt(t, jobs)
+        want, (best, scores, fits) = ensembles._forests(ensembles.replace(t, merges=False, rows=ensembles.stored(t.rows, "apart")), jobs, 1), grid()
+        monkeypatch.setattr(ensembles, "DRAWS", 2)
+        assert ensembles._dealt(t, jobs)
+        same_trees(ensembles._forests(t, jobs, 1), want)
+        got, dealt, again = grid()
+        same_trees([got.trees], [best.trees])
+        assert fits == again and [tuple(r)[:3] for r in dealt.orderBy("rank").collect()] == [tuple(r)[:3] for r in scores.orderBy("rank").collect()]
+        monkeypatch.undo()
+
+
+def test_poisson_slots_tell_what_the_bounds_tell():
+    key = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 300_000)
+    assert (ensembles.poisson(key, 5) == np.searchsorted(ensembles.POISSON, ensembles.uniform(key, 5), side="right")).all()
+
+
+def test_the_registered_grid_of_forests_is_the_references(spark, monkeypatch):
+    from causeway.plans import searches
+
+    asked = []
+    monkeypatch.setattr(searches.ensembles, "staged_grid", lambda *args, **more: asked.append((args, more)) or (None, None))
+    searches.staged_forest_grid(spark, "/root/testdata/sf0.001")
+    (args, more), = asked
+    assert args[4:] == ({"trees": [100, 200, 300, 500], "depth": [3, 5, 7], "min_split": [5.0, 10.0, 20.0], "min_child": [1.0, 2.0]}, "forest") and more.get("folds", 3) == 3
+
+
 @pytest.mark.parametrize(("target", "objective"), [("y", "squared"), ("z", "logistic")])
 def test_boosting_meets_equal_rows_once_and_grows_the_same_trees(spark, target, objective):
     t = ensembles._binned(many(spark).repartition(6), ["a", "b", "c"], target, "k", 2, 42, objective, 256)
