@@ -303,3 +303,47 @@ def test_a_learners_partitions_are_bounded(spark, monkeypatch):
         parts = [r["count"] for r in seen[-1].groupBy(F.spark_partition_id()).count().collect()]
         assert sum(parts) == bound and max(parts) <= 130  # dealt in turn, from any number of partitions
     assert set(seen[0].columns) == {"a", "b", "y"}
+
+
+def test_forests_draw_by_key_and_meet_equal_rows_once(spark, monkeypatch):
+    df = repeated(spark).withColumn("key", F.monotonically_increasing_id()).withColumn("z", F.col("y") - F.col("b")).localCheckpoint()
+    rows = models.drawn_rows(df, ["a", "b", "c"], ["y", "z"], "key", 3, 5)
+    weights = [causal.poisson_weight(F.shiftrightunsigned(F.xxhash64("key", F.lit(5), F.lit(i)), 11) / F.lit(2.0**53)).alias(f"w{i}") for i in range(3)]
+    brute = {}
+    for r in df.select("a", "b", "c", "y", "z", *weights).collect():
+        for i in range(3):
+            one = brute.setdefault((r.a, r.b, r.c, i), [0, 0.0, 0.0])
+            one[0], one[1], one[2] = one[0] + r[f"w{i}"], one[1] + r[f"w{i}"] * r.y, one[2] + r[f"w{i}"] * r.z
+    assert 0.95 < sum(w for w, _, _ in brute.values()) / 3 / df.count() < 1.05 and 2 * rows.count() <= 3 * df.count()
+    drawn = {(r.a, r.b, r.c, r.tree_): (r.w_, r.y0_, r.y1_) for r in rows.collect()}
+    assert drawn.keys() == {k for k, (w, _, _) in brute.items() if w}
+    assert all(v == pytest.approx((brute[k][0], brute[k][1] / brute[k][0], brute[k][2] / brute[k][0])) for k, v in drawn.items())
+    met, fit = [], models.RandomForestRegressor.fit
+    monkeypatch.setattr(models.RandomForestRegressor, "fit", lambda self, d: met.append(d.count()) or fit(self, d))
+    settings = {"numTrees": 3, "maxDepth": 12, "featureSubsetStrategy": "all", "maxBins": 64}
+    model = models.forest(df, ["a", "b", "c"], "y", 5, key="key", **settings)
+    assert len(met) == 3 and 2 * max(met) <= df.count()
+    got = {(r.a, r.b, r.c): r.p_y for r in model.transform(df).select("a", "b", "c", "p_y").distinct().collect()}
+    trees = {}  # of full depth: a kind that all trees drew has their means
+    for (a, b, c, i), (w, y, _) in brute.items():
+        trees.setdefault((a, b, c if c == "v" else None), {}).setdefault(i, [0, 0.0])  # null has the dummies of the first value
+        trees[a, b, c if c == "v" else None][i][0] += w
+        trees[a, b, c if c == "v" else None][i][1] += y
+    whole = {k: sum(y / w for w, y in v.values()) / 3 for k, v in trees.items() if all(w for w, _ in v.values())}
+    assert len(whole) > 50 and all(got[k] == pytest.approx(v) for k, v in ((key, whole.get((key[0], key[1], key[2] if key[2] == "v" else None))) for key in got) if v is not None)
+    assert "p_y_0_" not in model.transform(df).columns
+    refined = models.fit_refined(df, ["a", "b", "c"], ("y", "z"), 1, 5, boosting={"maxIter": 1}, key="key", **settings)
+    assert {(r.a, r.b, r.c): r.p_y for r in refined.first[0].transform(df).select("a", "b", "c", "p_y").distinct().collect()} == pytest.approx(got)
+    assert models.drawn_rows(df, ["a", "key"], ["y"], "key", 2, 5) is None
+    with pytest.raises(Exception, match="(?i)null"):
+        models.forest(df.withColumn("y", F.when(F.col("key") % 7 > 0, F.col("y"))), ["a", "b"], "y", key="key", numTrees=1)
+
+
+def test_rows_of_a_kind_are_predicted_once(spark):
+    df = repeated(spark).withColumn("p", F.lit("old"))
+    asked = []
+    predict = lambda d: asked.append(d.count()) or d.withColumn("p", F.col("a") * 2 + F.coalesce(F.length("c"), F.lit(7)))
+    got = models.by_kind(df, predict, ["a", "c"], ["p"])
+    assert asked == [df.select("a", "c").distinct().count()] and got.count() == df.count()
+    assert got.filter(F.col("p").isNull() | (F.col("p") != F.col("a") * 2 + F.coalesce(F.length("c"), F.lit(7)))).count() == 0
+    assert models.by_kind(df, predict, ["a", "b", "c", "y"], ["p"]).count() == df.count() and asked[-1] == df.count()
