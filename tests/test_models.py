@@ -347,3 +347,24 @@ def test_rows_of_a_kind_are_predicted_once(spark):
     assert asked == [df.select("a", "c").distinct().count()] and got.count() == df.count()
     assert got.filter(F.col("p").isNull() | (F.col("p") != F.col("a") * 2 + F.coalesce(F.length("c"), F.lit(7)))).count() == 0
     assert models.by_kind(df, predict, ["a", "b", "c", "y"], ["p"]).count() == df.count() and asked[-1] == df.count()
+
+
+def test_values_are_dealt_out_uniformly_within_groups(spark, monkeypatch):
+    monkeypatch.setattr(models, "DEAL", 100)  # 16 buckets
+    df = spark.range(1200).select(F.col("id").alias("key"), (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 3).alias("o"), F.when(F.col("id") % 9 < 8, 3).alias("g"), (F.col("id") % 10).cast("double").alias("y"), F.when(F.col("id") % 4 > 0, 0.0).alias("z"))
+    predict = lambda d: d.withColumns({"p_y": F.col("x"), "p_z": F.col("x") * F.coalesce("g", F.lit(1)) + F.col("o") * 0})
+    ask = lambda d, z=("y", "z"): models.dealt_errors(d, predict, list(z), ["x"], ["g"], "key", 20, 5, ["x", "g", "o"], 1200)
+    got = {r["d_"]: (r["sse_0"], r["sse_1"]) for r in ask(df)}
+    assert {r["d_"]: (r["sse_0"], r["sse_1"]) for r in ask(df.repartition(7))} == got and len(set(got.values())) > 15
+    whole = ask(df.withColumn("z", F.lit(0.0)))  # no draw loses a value or moves one to another group
+    assert {round(r["sse_1"], 6) for r in whole} == {round(df.agg(F.sum((F.col("x") * F.coalesce("g", F.lit(1))) ** 2)).first()[0], 6)}
+    rows = df.select("x", "g", "y").toPandas()
+    want = sum(((a.x.to_numpy()[:, None] - a.y.to_numpy()) ** 2).sum() / len(a) for _, a in rows.groupby("g", dropna=False))
+    errors = np.array([v for v, _ in got.values()])
+    assert abs(errors.mean() - want) < 4 * errors.std() / len(errors) ** 0.5 and 0.01 < errors.std() / want < 0.1
+    monkeypatch.setattr(models, "DEALT", 1000)
+    monkeypatch.setattr(models, "positions", None)  # rows are not ordered
+    one = models.permutation_importance(df, predict, "y", "x", ["g"], "key", 20, 5, reads=["x", "g", "o"]).first()
+    assert one.base_r2 == pytest.approx(1.0) and one.importance == pytest.approx(errors.mean() / (1200 * 8.25))
+    monkeypatch.setattr(models, "HANDED", 10)
+    assert ask(df) is None
