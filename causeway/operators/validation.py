@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causeway.functions.columns import nominal_columns, nominal_values
+from causeway.functions.columns import nominal_columns, nominal_values, numeric_columns
+from causeway.functions.scratch import stored
+from causeway.operators import stats
 from causeway.operators.causal import adjusted_effect, spurious_flags
 from causeway.operators.graph import Edge, feature_role, minimal_backdoor_set, nodes_of
 from causeway.operators.models import shuffled_r2
@@ -74,7 +76,14 @@ def validate(df: DataFrame, dag: Iterable[Edge], targets: Sequence[str], feature
     dag = frozenset(dag)
     known, spark = set(nodes_of(dag)), df.sparkSession
     sets = {(t, f): minimal_backdoor_set(dag, f, t, [c for c in df.columns if c not in targets]) if {t, f} <= known else None for t in targets for f in features}
-    effects = reduce(DataFrame.unionByName, [adjusted_effect(df, f, t, list(z or ())) for (t, f), z in sets.items()]).drop("n")
+    by = list(dict.fromkeys([*(reads or ()), *features, *[c for z in sets.values() for c in z or ()]]))
+    if reads and set(targets) <= set(numeric_columns(df)) - set(by):  # moments of equal rows are one row's, times their number
+        clean = df.withColumns({t: F.when(~F.isnan(F.col(t).cast("double")), F.col(t)) for t in targets})
+        cells = stored(stats.cells(clean, by, targets), "effects")
+        effect = lambda f, t, z: adjusted_effect(cells.select(*by, F.col(f"mean_{t}").alias(t), F.col(f"n_{t}").alias("__n")), f, t, z, weight="__n")
+    else:
+        effect = lambda f, t, z: adjusted_effect(df, f, t, z)
+    effects = reduce(DataFrame.unionByName, [effect(f, t, list(z or ())) for (t, f), z in sets.items()]).drop("n")
     roles = spark.createDataFrame([(t, f, feature_role(dag, f, t) if {t, f} <= known else "unconnected", None if z is None else ",".join(z)) for (t, f), z in sets.items()], "target string, feature string, role string, given string")
     learnt = importances(df, predict, targets, {tf: list(z or ()) for tf, z in sets.items()}, key, repeats, seed, reads).join(sensitivities(df, predict, targets, features, delta, reads), ["target", "feature"])
     flags = spurious_flags(effects, learnt.select("target", "feature", "sensitivity", "permutation"))

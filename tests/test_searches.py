@@ -187,3 +187,20 @@ def test_importances_of_merged_rows_and_of_covariates_by_target(spark):
     given = {("y", "x"): ["g"], ("y", "k"): [], ("t", "x"): [], ("t", "k"): ["g"]}
     one, two = ({(r["target"], r["feature"]): (r["permutation"], r["base_r2"]) for r in validation.importances(rows, predict, ["y", "t"], given, "key", 2, reads=reads).collect()} for reads in (None, ["x", "k", "g"]))
     assert set(one) == set(given) and all(one[k] == pytest.approx(two[k], rel=1e-9, abs=1e-12) for k in given)
+
+
+def test_effects_of_equal_rows_are_their_numbers_times_ones(spark, monkeypatch):
+    rows = spark.range(900).selectExpr("id AS key", "CAST(id % 7 AS double) x", "CASE WHEN id % 3 = 0 THEN 'u' WHEN id % 3 = 1 THEN 'v' END k", "CAST(id % 5 AS double) z", "id % 7 * 2.0 + id % 5 + id % 11 AS y", "CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN double('nan') ELSE id % 7 - id % 4 * 0.5D END AS t")
+    dag = frozenset({("z", "x"), ("z", "y"), ("x", "y"), ("k", "t"), ("x", "t")})
+    predict = lambda d: d.withColumns({"p_y": F.col("x") * 2, "p_t": F.col("x") - F.when(F.col("k") == "u", 1.0).otherwise(0.0)})
+    met, effect = [], validation.adjusted_effect
+    monkeypatch.setattr(validation, "adjusted_effect", lambda d, *args, **more: met.append(d.count()) or effect(d, *args, **more))
+    for t, given in (("y", {"x": ["z"], "k": []}), ("t", {"x": ["z"], "k": ["x"]})):
+        for f, z in given.items():
+            monkeypatch.setattr(validation, "minimal_backdoor_set", lambda *a, z=z: z)
+            kept = rows.filter("NOT isnan(y)") if t == "y" else rows.withColumn("y", F.lit(0.0))
+            one, two = (validation.validate(kept.withColumn("y", F.col("y").cast("double")), dag, [t], [f], predict, "key", 1, reads=reads).first() for reads in (None, ["x", "k", "z"]))
+            assert (one["effect"], one["method"]) == (pytest.approx(two["effect"]), two["method"]) and one["effect"] is not None
+    assert set(met) == {900, rows.select("x", "k", "z").distinct().count()}
+    with pytest.raises(ValueError):
+        effect(rows.withColumn("n", F.lit(2)), "x", "k", [], weight="n")
